@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NULL_ID = -(2**63)
 
@@ -53,6 +56,36 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+def annotate(docs: DataFrame, fn, fields: str, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in a struct ``row``, so that no column of theirs can clash,
+    beside the columns ``fields`` (DDL) that ``fn`` makes: it gets the UTF-8 texts of a
+    batch (null as empty) and returns an Arrow array for each field."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("t"))
+    made = StructType.fromDDL(fields)
+    names = ["row", *made.names]
+
+    def run(batches):
+        for batch in batches:
+            raw = raw_texts(batch, "t")
+            for i, j in spans([len(t) for t in raw], 8 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), *fn(raw[i:j])], names)
+
+    return packed.mapInArrow(run, StructType([packed.schema["row"], *made.fields]))
+
+
+def per_worker(name: str, make):
+    """What ``make`` returns, made once in each Python worker and kept between its tasks.
+    Only for caches: results must not depend on it."""
+    held = sys.modules.setdefault("orograph_worker_cache", ModuleType("orograph_worker_cache")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def spans(sizes: list[int], limit: int):
     """Consecutive (from, to) index ranges of at most ``limit`` bytes (or one item)."""
     at, total = 0, 0
