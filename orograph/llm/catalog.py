@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orograph.llm import decontaminate, packing
+from orograph.llm import decontaminate, language, packing, secrets, simhash, toxicity, warc
 from orograph.llm.common import read
 
 
@@ -10,9 +10,29 @@ def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.component_rows(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontaminate.digest_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_decontamination)}
-ORACLES = {"op5_decontamination": decontaminate.ORACLE}
+def op6_warc(spark, sf_dir):
+    return warc.derivative_rows(read(spark, sf_dir, "pages"))
+
+
+def op7_language(spark, sf_dir):
+    return language.predict_rows(read(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark, sf_dir):
+    return secrets.scan_rows(read(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash, op5_decontamination, op6_warc, op7_language, op8_secrets, op10_toxicity)}
+ORACLES = {"op5_decontamination": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_secrets": secrets.ORACLE}

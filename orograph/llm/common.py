@@ -56,11 +56,11 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def annotate(docs: DataFrame, fn, fields: str, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in a struct ``row``, so that no column of theirs can clash,
+def annotate(docs: DataFrame, fn, fields: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` (all columns, or ``keep``) in a struct ``row``, so that no column of theirs can clash,
     beside the columns ``fields`` (DDL) that ``fn`` makes: it gets the UTF-8 texts of a
     batch (null as empty) and returns an Arrow array for each field."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("t"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(text).cast("string").alias("t"))
     made = StructType.fromDDL(fields)
     names = ["row", *made.names]
 
