@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from orograph.llm import decontaminate, language, packing, secrets, simhash, toxicity, warc
+from orograph.llm import decontaminate, language, packing, secrets, simhash, substring_dedup, suffix_dedup, toxicity, vptree, warc
 from orograph.llm.common import read
 
 
+def op1_substring(spark, sf_dir):
+    return substring_dedup.remove_repeated_passages(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -14,6 +18,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.component_rows(read(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark, sf_dir):
+    return vptree.neighbour_rows(read(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark, sf_dir):
     return decontaminate.digest_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -30,9 +38,13 @@ def op8_secrets(spark, sf_dir):
     return secrets.scan_rows(read(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark, sf_dir):
+    return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.score_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_simhash, op5_decontamination, op6_warc, op7_language, op8_secrets, op10_toxicity)}
-ORACLES = {"op5_decontamination": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op8_secrets": secrets.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_packing, op3_simhash, op4_neighbours, op5_decontamination, op6_warc, op7_language, op8_secrets, op9_suffixes, op10_toxicity)}
+ORACLES = {"op5_decontamination": decontaminate.ORACLE, "op4_neighbours": vptree.ORACLE, "op6_warc": warc.ORACLE, "op8_secrets": secrets.ORACLE}

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from orograph.llm import text as X
 from orograph.llm.common import cut, raw_texts, spans
 
+#: Rows from which on an anchor is dealt into parts, of about PART rows.
+CROWD, PART = 2_000, 1_000
 SEGMENT = "h long, g binary, dkey long, tkey long, pos long, n long, seg binary"
 
 
@@ -128,6 +130,93 @@ def distinct_segments(segments: DataFrame) -> DataFrame:
     )
 
 
+def crowded(segments: DataFrame) -> DataFrame:
+    """(h, parts): anchors with more than CROWD rows, such as those at the edges of a
+    passage that a great many documents share, and in how many parts to deal them."""
+    return cut(segments.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("h", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
+
+
+SETS = "h long, bucket int, part int, w array<long>, dkey array<long>, tkey array<long>, pos array<long>, many array<boolean>"
+SHARED = "h long, part int, w array<long>, dkey array<long>, tkey array<long>, pos array<long>"
+
+
+def window_table(table: pa.Table, unit: Unit):
+    """Of all windows of a table's segments: hash, number of the segment, place in it."""
+    segs = table.column("seg").to_pylist()
+    values, begin, end, _ = _block(segs, unit)
+    count = np.maximum(np.asarray(end) - np.asarray(begin) - unit.window + 1, 0)
+    owner = np.repeat(np.arange(len(segs)), count)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    h = X.window_hash(values, unit.window)[np.asarray(begin)[owner] + offset] if len(owner) else np.zeros(0, np.uint64)
+    return h.view(np.int64), owner, offset
+
+
+def _lists(rows: list[np.ndarray], cut_at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(rows))
+
+
+def _window_sets(unit: Unit, table: pa.Table) -> pa.Table:
+    """A part's distinct windows with their first places, dealt into buckets."""
+    w, owner, offset = window_table(table, unit)
+    dkey, tkey, pos = (np.asarray(table.column(c)) for c in ("dkey", "tkey", "pos"))
+    order = np.lexsort((pos[owner] + offset, tkey[owner], dkey[owner], w))
+    ws = w[order]
+    first = np.flatnonzero(np.concatenate(([True], ws[1:] != ws[:-1]))) if len(ws) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate((first, [len(ws)]))) > 1
+    at, ws = order[first], ws[first]
+    parts = int(table.column("parts")[0].as_py())
+    bucket = (ws.view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts
+    by = np.argsort(bucket, kind="stable")
+    named, start = np.unique(bucket[by], return_index=True)
+    cuts = np.concatenate((start, [len(by)]))
+    at, o = at[by], owner[at[by]]
+    n = len(named)
+    return pa.table(
+        [
+            pa.array([table.column("h")[0].as_py()] * n, pa.int64()), pa.array(named.astype(np.int32)), pa.array([table.column("part")[0].as_py()] * n, pa.int32()),
+            _lists(ws[by], cuts), _lists(dkey[o], cuts), _lists(tkey[o], cuts), _lists(pos[o] + offset[at], cuts), _lists(many[by], cuts),
+        ],
+        ["h", "bucket", "part", "w", "dkey", "tkey", "pos", "many"],
+    )
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of the windows of a bucket: those that occur twice, with their earliest places,
+    for each part that has them."""
+    flat = {c: np.concatenate([np.asarray(x.values) for x in table.column(c)]) for c in ("w", "dkey", "tkey", "pos", "many")}
+    part = np.repeat(np.asarray(table.column("part")), [len(x) for x in table.column("w")])
+    order = np.lexsort((flat["pos"], flat["tkey"], flat["dkey"], flat["w"]))
+    w = flat["w"][order]
+    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+    size = np.diff(np.concatenate((first, [len(w)])))
+    twice = (size > 1) | np.logical_or.reduceat(flat["many"][order], first)
+    head = np.repeat(order[first], size)[np.repeat(twice, size)]
+    own = part[order][np.repeat(twice, size)]
+    by = np.argsort(own, kind="stable")
+    named, start = np.unique(own[by], return_index=True)
+    cuts, head = np.concatenate((start, [len(by)])), head[by]
+    return pa.table(
+        [pa.array([table.column("h")[0].as_py()] * len(named), pa.int64()), pa.array(named, pa.int32()), *(_lists(flat[c][head], cuts) for c in ("w", "dkey", "tkey", "pos"))],
+        ["h", "part", "w", "dkey", "tkey", "pos"],
+    )
+
+
+def locate_crowded(segments: DataFrame, crowd: DataFrame, unit: Unit, locate) -> DataFrame:
+    """What ``locate`` finds among segments of crowded anchors. No group holds an anchor
+    whole: its distinct segments are dealt into parts; each part reduces its windows to
+    distinct ones, buckets of these find what occurs in two parts, and each part learns
+    which of its windows do and where each is first. ``locate`` gets a part's segments
+    and these windows as Arrow tables."""
+    at = F.struct("dkey", "tkey", "pos")
+    once = segments.join(crowd, "h").groupBy("h", "g", "parts").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.first("n").alias("n"), F.first("seg").alias("seg"))
+    dealt = cut(
+        once.select("h", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int").alias("part"), "parts", "lo.dkey", "lo.tkey", "lo.pos", "n", (F.col("lo") != F.col("hi")).alias("again"), "seg")
+    )
+    sets = dealt.groupBy("h", "part").applyInArrow(lambda t: _window_sets(unit, t), SETS)
+    shared = sets.groupBy("h", "bucket").applyInArrow(lambda t: _shared(t), SHARED)
+    return dealt.groupBy("h", "part").cogroup(shared.groupBy("h", "part")).applyInArrow(lambda a, b: locate(a, b), "dkey long, tkey long, pos long, n long")
+
+
 def copies(segments: DataFrame) -> DataFrame:
     """Occurrences of segments whose text occurs at another place: dkey, tkey, pos, n and
     whether it is the first."""

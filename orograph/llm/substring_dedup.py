@@ -7,6 +7,8 @@
    occur in two different segments, and streams the chunk's texts through it. Words are
    mapped to single characters of a chunk's own alphabet, so matches are exact and start
    at words only.
+   Anchors with a great many segments are dealt into parts (``recurring.locate_crowded``),
+   each with an automaton of its own.
 3. What occurs earlier elsewhere is removed from each document.
 
 Defined results: null and empty texts have no words; a document shorter than a window
@@ -34,6 +36,7 @@ from orograph.llm.common import keyed, raw_texts
 CHUNK_BYTES = 2 << 20
 #: Words of a chunk become characters; one anchor's rows may exceed CHUNK_BYTES, and then
 #: two characters hold a word.
+KEPT = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
 ALPHABET = 0x10FFFF - 0x1000
 
 
@@ -53,6 +56,21 @@ def _letters(texts: list[list[bytes]]) -> tuple[list[str], int]:
     return out, width
 
 
+def _spans(places: list[tuple], window: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in places], pa.int64()) for i in range(3)] + [pa.array([window] * len(places), pa.int64())], ["dkey", "tkey", "pos", "n"])
+
+
+def _stream(phrases, texts: list[str], at: list[tuple], window: int, width: int):
+    """(phrase, place) of every occurrence of the phrases in texts that begin at ``at``."""
+    automaton = ahocorasick.Automaton()
+    for p in phrases:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    for t, (d, k, pos) in zip(texts, at):
+        for end, p in automaton.iter(t):
+            yield p, (d, k, pos + (end + 1) // width - window)
+
+
 def _located(window: int, batches):
     """Windows of each segment's first occurrence that occur earlier in another segment."""
     for table in R.groups(batches, CHUNK_BYTES):
@@ -66,24 +84,36 @@ def _located(window: int, batches):
             seen |= own
         if not phrases:
             continue
-        automaton = ahocorasick.Automaton()
-        for p in phrases:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
         earliest: dict[str, tuple] = {}
-        hits = []
-        for k, t in enumerate(texts):
-            d, f, pos = at[k]
-            for end, p in automaton.iter(t):
-                where = (d, f, pos + (end + 1) // width - window)
-                hits.append((p, where))
-                if where < earliest.get(p, (float("inf"),)):
-                    earliest[p] = where
-        late = [w for p, w in hits if w != earliest[p]]
-        yield pa.RecordBatch.from_arrays([pa.array([w[i] for w in late], pa.int64()) for i in range(3)] + [pa.array([window] * len(late), pa.int64())], ["dkey", "tkey", "pos", "n"])
-
-
-def _kept(batches):
+        hits = list(_stream(phrases, texts, at, window, width))
+        for p, where in hits:
+            if where < earliest.get(p, (float("inf"),)):
+                earliest[p] = where
+        yield _spans([w for p, w in hits if w != earliest[p]], window)
+
+
+def _located_crowded(unit: R.Unit, table: pa.Table, shared: pa.Table) -> pa.Table:
+    """The same for a part of a crowded anchor; which windows recur, and where each is
+    first, was found before."""
+    known = {}
+    for row in shared.select(["w", "dkey", "tkey", "pos"]).to_pylist():
+        known.update(zip(row["w"], zip(row["dkey"], row["tkey"], row["pos"])))
+    places = []
+    if known and len(table):
+        texts, width = _letters([s.split(b" ") for s in table.column("seg").to_pylist()])
+        at = list(zip(*(table.column(c).to_pylist() for c in ("dkey", "tkey", "pos"))))
+        h, owner, offset = R.window_table(table, unit)
+        size = unit.window * width
+        phrases = {}
+        for w, k, o in zip(h.tolist(), owner.tolist(), offset.tolist()):
+            if w in known:
+                phrases[texts[k][o * width : o * width + size]] = known[w]
+        if phrases:
+            places = [where for p, where in _stream(phrases, texts, at, unit.window, width) if where != phrases[p]]
+    return pa.Table.from_batches([_spans(places, unit.window)])
+
+
+def _kept(with_text: bool, batches):
     for batch in batches:
         rows = []
         for raw, cuts in zip(raw_texts(batch), batch.column("cuts")):
@@ -94,23 +124,26 @@ def _kept(batches):
                 removed = int(gone.sum())
                 words = compress(words, (~gone).tolist())
             kept = b" ".join(words)
-            rows.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            rows.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
         out = list(zip(*rows)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())],
             ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-        )
+        ).select(KEPT[: 5 if with_text else 4])
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 6) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 6, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (words left, joined by a space)
     for each row of ``docs`` (doc_id, text). A word goes if it lies in a window of
     ``window`` words whose word sequence also starts earlier: in a smaller doc_id, or
     earlier in the same document."""
     docs = keyed(docs)
-    segments = R.recurring_segments(docs, R.Unit(window, gram, True))
-    located = R.distinct_segments(segments).mapInArrow(partial(_located, window), "dkey long, tkey long, pos long, n long")
+    unit = R.Unit(window, gram, True)
+    segments = R.recurring_segments(docs, unit)
+    crowd = R.crowded(segments)
+    located = R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, window), "dkey long, tkey long, pos long, n long")
+    located = located.unionByName(R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit)))
     later = R.copies(segments).where("not first").select("dkey", "tkey", "pos", "n")
     cuts = later.unionByName(located).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

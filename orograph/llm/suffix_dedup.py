@@ -6,7 +6,8 @@ over wide digits from the most significant on. The first pass is by anchor (see
 all that no other suffix can equal. Equal segments then meet once. In each task the
 remaining suffixes of a chunk are refined digit by digit; a group of one leaves at once;
 groups that are still together after the last digit are exactly the repeated windows,
-which a comparison of their bytes confirms.
+which a comparison of their bytes confirms. Anchors with a great many segments are dealt
+into parts first (``recurring.locate_crowded``).
 
 Defined results: null and empty texts have no bytes; a text shorter than the threshold
 keeps all; rows that repeat an id and its text count as one document (each row is
@@ -30,6 +31,7 @@ from orograph.llm.common import keyed, raw_texts
 
 CHUNK_BYTES = 1 << 20
 DIGIT = 40
+KEPT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
 def _sorted_groups(group: np.ndarray, digit: np.ndarray):
@@ -65,32 +67,46 @@ def _repeated(data: bytes, place: np.ndarray, group: np.ndarray, depth: int) ->
     return index
 
 
+def _runs(table: pa.Table, owner: np.ndarray, offset: np.ndarray, depth: int) -> pa.RecordBatch:
+    """Spans covered by windows that start at ``offset`` in segment ``owner`` (sorted)."""
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))) if len(owner) else np.zeros(0, np.int64)
+    last = np.concatenate((first[1:], [len(owner)]))[: len(first)] - 1
+    at = {c: np.asarray(table.column(c)) for c in ("dkey", "tkey", "pos")}
+    o = owner[first]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(at["dkey"][o]), pa.array(at["tkey"][o]), pa.array(at["pos"][o] + offset[first]), pa.array(offset[last] - offset[first] + depth)],
+        ["dkey", "tkey", "pos", "n"],
+    )
+
+
 def _located(depth: int, batches):
     """Repeated windows among the segments of each anchor, for segments that occur once."""
     for table in R.groups(batches, CHUNK_BYTES):
         segs = table.column("seg").to_pylist()
-        data = b"".join(segs)
         size = np.fromiter(map(len, segs), np.int64, len(segs))
         windows = size - depth + 1
         owner = np.repeat(np.arange(len(segs)), windows)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         h = np.asarray(table.column("h"))
         anchor = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
-        found = _repeated(data, (np.cumsum(size) - size)[owner] + offset, anchor[owner], depth)
+        found = _repeated(b"".join(segs), (np.cumsum(size) - size)[owner] + offset, anchor[owner], depth)
         found = np.sort(found[~np.asarray(table.column("again"))[owner[found]]])
-        if not len(found):
-            continue
-        o, p = owner[found], offset[found]
-        first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1))))
-        last = np.concatenate((first[1:], [len(found)])) - 1
-        at = {c: np.asarray(table.column(c)) for c in ("dkey", "tkey", "pos")}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at["dkey"][o[first]]), pa.array(at["tkey"][o[first]]), pa.array(at["pos"][o[first]] + p[first]), pa.array(p[last] - p[first] + depth)],
-            ["dkey", "tkey", "pos", "n"],
-        )
+        yield _runs(table, owner[found], offset[found], depth)
+
+
+def _located_crowded(unit: R.Unit, table: pa.Table, shared: pa.Table) -> pa.Table:
+    """The same for a part of a crowded anchor; which windows recur was found before, by
+    hashes of all digits beside the anchor's own."""
+    if not len(table):
+        table = pa.table({c: pa.array([], pa.int64()) for c in ("dkey", "tkey", "pos")})
+        return pa.Table.from_batches([_runs(table, np.zeros(0, np.int64), np.zeros(0, np.int64), unit.window)])
+    known = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.values) for x in shared.column("w"))])
+    w, owner, offset = R.window_table(table, unit)
+    found = np.flatnonzero(np.isin(w, known) & ~np.asarray(table.column("again"))[owner])
+    return pa.Table.from_batches([_runs(table, owner[found], offset[found], unit.window)])
 
 
-def _kept(batches):
+def _kept(with_text: bool, batches):
     for batch in batches:
         rows = []
         for raw, cuts in zip(raw_texts(batch), batch.column("cuts")):
@@ -100,21 +116,24 @@ def _kept(batches):
                 removed = int(gone.sum())
                 runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         out = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-        )
+        ).select(KEPT[: 6 if with_text else 5])
 
 
-def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept
     (bytes left) for each row of ``docs`` (doc_id, text). A byte goes if it lies in a
     string of ``depth`` bytes that also starts anywhere else, in any document."""
     docs = keyed(docs)
-    segments = R.recurring_segments(docs, R.Unit(depth, gram, False))
-    located = R.distinct_segments(segments).mapInArrow(partial(_located, depth), "dkey long, tkey long, pos long, n long")
+    unit = R.Unit(depth, gram, False)
+    segments = R.recurring_segments(docs, unit)
+    crowd = R.crowded(segments)
+    located = R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, depth), "dkey long, tkey long, pos long, n long")
+    located = located.unionByName(R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit)))
     cuts = R.copies(segments).drop("first").unionByName(located).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
