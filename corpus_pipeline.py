@@ -5,21 +5,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orograph.llm import decontaminate, packing
+from orograph.llm import decontaminate, packing, secrets, simhash, toxicity
 from orograph.llm.common import cut, read
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model, learned from the labels, finds toxic go."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document of the smallest id stays."""
+    return simhash.keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words in benchmark windows go."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets give way to a placeholder; all documents stay."""
+    return secrets.redact(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("decontamination", decontamination), ("packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
 #: The tokenizer and the models are beyond SQL.
 ORACLE_SQL = None
 
