@@ -17,9 +17,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Makes Spark drop the shuffle files of a query once it has ended.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder and read from there: later stages don't depend
-    on executors that computed it, and nothing is computed twice."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/orograph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    on executors that computed it, nothing is computed twice, and the shuffle files behind
+    it go as soon as it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/orograph-{uuid.uuid4().hex}"
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
