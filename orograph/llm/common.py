@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from types import ModuleType
 
 import pyarrow as pa
@@ -12,27 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-NULL_ID = -(2**63)
-
+from orograph.shared import cut, shared_folder  # noqa: F401  operators take them from here
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getCheckpointDir()
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="orograph-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages don't depend on
-    executors that computed it, and nothing is computed twice."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/orograph-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+NULL_ID = -(2**63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orograph.llm import recurring as R
 from orograph.llm import text as X
-from orograph.llm.common import keyed, raw_texts
+from orograph.llm.common import cut, keyed, raw_texts
 
 CHUNK_BYTES = 2 << 20
 #: Words of a chunk become characters; one anchor's rows may exceed CHUNK_BYTES, and then
@@ -141,9 +141,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 6, w
     unit = R.Unit(window, gram, True)
     segments = R.recurring_segments(docs, unit)
     crowd = R.crowded(segments)
-    located = R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, window), "dkey long, tkey long, pos long, n long")
-    located = located.unionByName(R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit)))
-    later = R.copies(segments).where("not first").select("dkey", "tkey", "pos", "n")
-    cuts = later.unionByName(located).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
+    located = cut(R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, window), "dkey long, tkey long, pos long, n long"))
+    crowded = R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit))
+    later = cut(R.copies(segments).where("not first").select("dkey", "tkey", "pos", "n"))
+    cuts = later.unionByName(located).unionByName(crowded).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
