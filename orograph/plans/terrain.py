@@ -219,7 +219,30 @@ def m5b(spark, sf_dir):
     return tidy(s.groupBy("i", "elev").agg(F.count("*").alias("segments")).withColumn("major", modes.is_major(F.col("i"), 5, 3)))
 
 
-@query("M5c_closed_contours")
+def _closing_sql(name: str, interval: float) -> str:
+    """Border walks between open ends, in pairs, clockwise from the top left."""
+    w, h = "CAST(m.cols - 1 AS DOUBLE)", "CAST(m.rows - 1 AS DOUBLE)"
+    return contour_sql(
+        name, interval,
+        f""",
+tips AS (SELECT i, elev, p.c AS c, p.r AS r FROM (SELECT i, elev, unnest([a, b]) AS p FROM seg)),
+loose AS (SELECT i, elev, c, r FROM tips GROUP BY ALL HAVING count(*) = 1),
+rim AS (SELECT i, elev, c, r, CASE WHEN r <= 1e-9 THEN c / {w} WHEN c >= {w} - 1e-9 THEN 1 + r / {h} WHEN r >= {h} - 1e-9 THEN 2 + (1 - c / {w}) ELSE 3 + (1 - r / {h}) END AS pos
+  FROM loose, m WHERE c <= 1e-9 OR r <= 1e-9 OR c >= {w} - 1e-9 OR r >= {h} - 1e-9),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY pos, c, r) AS k, count(*) OVER (PARTITION BY i) AS n FROM rim),
+stops AS (SELECT i, elev, (k + 1) // 2 AS pair, pos, c, r FROM ranked WHERE n % 2 = 0
+  UNION ALL SELECT x.i, x.elev, (x.k + 1) // 2, q.pos, q.c, q.r FROM ranked x JOIN ranked y ON y.i = x.i AND y.k = x.k + 1, (
+    SELECT 0 AS pos, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS r UNION ALL SELECT 1, {w}, 0 FROM m UNION ALL SELECT 2, {w}, {h} FROM m UNION ALL SELECT 3, 0, {h} FROM m) q
+    WHERE x.n % 2 = 0 AND x.k % 2 = 1 AND q.pos > x.pos + 1e-9 AND q.pos < y.pos - 1e-9),
+walks AS (SELECT i, elev, c AS c0, r AS r0, lead(c) OVER o AS c1, lead(r) OVER o AS r1 FROM stops WINDOW o AS (PARTITION BY i, pair ORDER BY pos, c, r)),
+closed AS (SELECT i, elev, a.c AS c0, a.r AS r0, b.c AS c1, b.r AS r1 FROM seg UNION ALL SELECT i, elev, c0, r0, c1, r1 FROM walks WHERE c1 IS NOT NULL)""",
+    )
+
+
+@query(
+    "M5c_closed_contours",
+    f"WITH {_closing_sql('P', 8)} SELECT CAST(i AS INTEGER) AS i, CASE WHEN (i + 9) % 10 = 0 THEN 'Contours-Major' ELSE 'Contours-Minor' END AS layer, {D.ends(D.wx('c0'), 'elev', D.wz('r0'), D.wx('c1'), 'elev', D.wz('r1'))} FROM closed, m",
+)
 def m5c(spark, sf_dir):
     return ends_of(modes.contours(terrain(spark, sf_dir, "P"), interval=8, close=True), "i", "layer")
 
@@ -383,6 +406,29 @@ def f8(spark, sf_dir):
     return spark.createDataFrame([(n, i, float(p), c) for n, s in GRADIENTS.items() for i, (p, c) in enumerate(s)], "name string, i int, pos double, color string")
 
 
+_HEX_ROWS = sorted({c for g in GRADIENTS.values() for _, c in g})
+_PART = "CAST(CAST('0x' || substr(color, {0}, 2) AS INTEGER) AS DOUBLE) / 255"
+
+
+@query(
+    "F1_hex_colors",
+    f"SELECT color, {', '.join(D.r6(_PART.format(a)) + ' AS k' + n for a, n in ((2, 'r'), (4, 'g'), (6, 'b')))}, {D.r6('(' + _PART.format(2) + ' * 299 + ' + _PART.format(4) + ' * 587 + ' + _PART.format(6) + ' * 114) * 255 / 1000')} AS light FROM (VALUES {', '.join(f'({c!r})' for c in _HEX_ROWS)}) t(color)",
+)
+def f1(spark, sf_dir):
+    """channels and luminance."""
+    from orograph.functions.color import hex_channels, luminance
+
+    k = hex_channels(F.col("color"))
+    return tidy(spark.createDataFrame([(c,) for c in _HEX_ROWS], "color string").select("color", *[k[n].alias(f"k{n}") for n in "rgb"], luminance(F.col("color")).alias("light")))
+
+
+@query("F7_dashes", "SELECT * FROM (VALUES ('solid', ''), ('dashed', '3 2'), ('dotted', '2 5'), ('long-dash', '16 6')) t(name, svg)")
+def f7(spark, sf_dir):
+    from orograph.functions.color import DASH_SVG
+
+    return spark.createDataFrame(list(DASH_SVG.items()), "name string, svg string")
+
+
 # --- meshes and mirrors ----------------------------------------------------------------
 
 
@@ -468,6 +514,22 @@ def k4(spark, sf_dir):
     return heightmap_pixels(terrain(spark, sf_dir, "N"))
 
 
+@query("K2_trim", f"WITH {D.pixels('N')}, a AS (SELECT r, c, CAST(floor(raw * 255) AS INTEGER) AS alpha FROM px), b AS (SELECT greatest(0, min(r) - 2) AS r0, max(r) + 2 AS r1, greatest(0, min(c) - 2) AS c0, max(c) + 2 AS c1 FROM a WHERE alpha > 5) SELECT r - r0 AS r, c - c0 AS c, alpha FROM a, b WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")
+def k2(spark, sf_dir):
+    from orograph.sources.sinks import trimmed
+
+    p = raster(spark, sf_dir, "N").pixels
+    return trimmed(p.select("r", "c", F.floor(F.col("raw") * 255).cast("int").alias("alpha")), margin=2)
+
+
+@query("K8_stats", f"WITH {mesh_sql('N')}, s AS ({_ridge_sql('N', False, 4)}) SELECT (SELECT count(*) FROM s) AS segments, (SELECT 2 * count(*) FROM s) AS vertices, (SELECT count(*) FROM tri) AS triangles, (SELECT cols || '×' || rows FROM m) AS grid, {D.r6('(SELECT max_z - min_z FROM m)')} AS height")
+def k8(spark, sf_dir):
+    from orograph.sources.sinks import stats
+
+    t = terrain(spark, sf_dir, "N")
+    return tidy(stats(t, modes.ridgelines(t, band=(5, 95))))
+
+
 # --- shading ---------------------------------------------------------------------------
 
 
@@ -575,13 +637,31 @@ def p4(spark, sf_dir):
     return tidy(points.all_points(terrain(spark, sf_dir, "N")).agg(F.min("y").alias("floor")))
 
 
-@query("P5_spring")
+_REST = f"s0 AS (SELECT r, c, {D.wx('c')} AS x, {D.elev('h')} AS y, {D.wz('r')} AS z, CAST(0 AS DOUBLE) AS vx, CAST(0 AS DOUBLE) AS vy, CAST(0 AS DOUBLE) AS vz, {D.wx('c')} AS hx, {D.elev('h')} AS hy, {D.wz('r')} AS hz FROM cells, m WHERE valid)"
+
+
+def _spring_sql(k: int) -> str:
+    v = ", ".join(f"(v{a} + (h{a} - {a}) * CAST(0.04 AS DOUBLE) + ({D.uniform('r', 'c', 1 + 3 * k + i)} - 0.5) * CAST(0.4 AS DOUBLE)) * CAST(0.92 AS DOUBLE) AS w{a}" for i, a in enumerate("xyz"))
+    return f"t{k} AS (SELECT *, {v} FROM s{k}), s{k + 1} AS (SELECT r, c, {', '.join(f'{a} + w{a} AS {a}' for a in 'xyz')}, {', '.join(f'w{a} AS v{a}' for a in 'xyz')}, hx, hy, hz FROM t{k})"
+
+
+def _fall_sql(k: int) -> str:
+    pull = {"x": "0", "y": "CAST(0.04 AS DOUBLE)", "z": "0"}
+    v = ", ".join(f"CASE WHEN down THEN 0 ELSE (v{a} - {pull[a]}) * CAST(0.97 AS DOUBLE) END AS w{a}" for a in "xyz")
+    return f"""d{k} AS (SELECT s{k}.*, m.min_z, y <= m.min_z AND vy <= 0 AS down FROM s{k}, m), t{k} AS (SELECT *, {v} FROM d{k}),
+s{k + 1} AS (SELECT r, c, x + wx AS x, CASE WHEN NOT down AND y + wy < min_z THEN min_z ELSE y + wy END AS y, z + wz AS z, wx AS vx, CASE WHEN NOT down AND y + wy < min_z THEN 0 ELSE wy END AS vy, wz AS vz, hx, hy, hz FROM t{k})"""
+
+
+_XYZ = f"SELECT r, c, {D.r6('x')} AS x, {D.r6('y')} AS y, {D.r6('z')} AS z"
+
+
+@query("P5_spring", f"WITH {D.terrain('N')}, {_REST}, {', '.join(map(_spring_sql, range(4)))} {_XYZ} FROM s4")
 def p5(spark, sf_dir):
     p = points.at_rest(points.all_points(terrain(spark, sf_dir, "N")))
-    return tidy(points.animate(p, 6, lambda q, k: points.spring_step(q, k)).select("r", "c", "x", "y", "z"))
+    return tidy(points.animate(p, 4, lambda q, k: points.spring_step(q, k)).select("r", "c", "x", "y", "z"))
 
 
-@query("P6_gravity")
+@query("P6_gravity", f"WITH {D.terrain('N')}, {_REST}, {', '.join(map(_fall_sql, range(6)))} {_XYZ} FROM s6")
 def p6(spark, sf_dir):
     t = terrain(spark, sf_dir, "N")
     p = points.at_rest(points.all_points(t))

@@ -25,6 +25,25 @@ def heightmap_pixels(t: Terrain) -> DataFrame:
     return b.where(inside("r") & inside("c")).select((F.col("r") - F.coalesce("lor", F.lit(0))).alias("r"), (F.col("c") - F.coalesce("loc", F.lit(0))).alias("c"), F.floor(F.col("h") * 255 + 0.5).cast("int").alias("v"))
 
 
+def trimmed(pixels: DataFrame, margin: int = 16, above: int = 5) -> DataFrame:
+    """K2: pixels (r, c, alpha and others) of the box around all that are opaque enough,
+    with a margin, from 0, 0 on."""
+    box = pixels.where(F.col("alpha") > above).agg(*[f(k).alias(n + k) for k in "rc" for n, f in (("lo", F.min), ("hi", F.max))])  # one row
+    low = lambda k: F.greatest(F.lit(0), F.col(f"lo{k}") - margin)
+    b = pixels.crossJoin(F.broadcast(box)).where(" and ".join(f"{k} between greatest(0, lo{k} - {margin}) and hi{k} + {margin}" for k in "rc"))
+    return b.select((F.col("r") - low("r")).alias("r"), (F.col("c") - low("c")).alias("c"), *[x for x in pixels.columns if x not in ("r", "c")])
+
+
+def stats(t: Terrain, segments: DataFrame) -> DataFrame:
+    """K8: one row: segments, their vertices, the surface's triangles, the grid's size and
+    the range of elevations."""
+    from orograph.operators.mesh import triangles
+
+    m = t.meta
+    both = segments.agg(F.count("*").alias("segments")).crossJoin(triangles(t).agg(F.count("*").alias("triangles")))  # one row each
+    return both.select("segments", (F.col("segments") * 2).alias("vertices"), "triangles", F.lit(f"{m.cols}×{m.rows}").alias("grid"), F.lit(m.max_z - m.min_z).alias("height"))
+
+
 def grey_png(pixels: DataFrame, bound: int = BOUND) -> bytes:
     """A greyscale PNG of (r, c, v). An image is one stream of bytes, so its pixels come
     together; more than ``bound`` are refused."""
@@ -56,8 +75,7 @@ def svg_elements(runs: DataFrame, camera: Camera, *, weights: dict[str, float] |
     at = lambda a, v: F.format_string("%.1f", F.col(a) - F.col(v))
     level = lambda k: F.floor(F.col(f"color0.{k}") * 255 + 0.5).cast("string")
     stroke = F.when(F.col("visible"), F.concat(F.lit("rgb("), F.concat_ws(",", level("r"), level("g"), level("b")), F.lit(")"))).otherwise(hidden)
-    layers = {**{k: 1.0 for k in ()}, **(weights or {})}
-    width = F.coalesce(F.create_map(*[F.lit(x) for kv in layers.items() for x in kv])[F.col("layer")], F.lit(1.0)) if layers else F.lit(1.0)
+    width = F.coalesce(F.create_map(*[F.lit(x) for layer, w in weights.items() for x in (layer, float(w))])[F.col("layer")], F.lit(1.0)) if weights else F.lit(1.0)
     marks = {k: DASH_SVG[v] for k, v in (dashes or {}).items() if DASH_SVG[v]}
     dash = F.coalesce(F.concat(F.lit(' stroke-dasharray="'), F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])[F.col("layer")], F.lit('"')), F.lit("")) if marks else F.lit("")
     line = F.concat(
