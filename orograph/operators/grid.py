@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from orograph.functions.numeric import half_up, value_noise
 
 
-
 def along_row():
     return Window.partitionBy("r").orderBy("c")
 

@@ -166,9 +166,8 @@ def r4(spark, sf_dir):
 @query("M4_pillars_cylinder", f"WITH {D.terrain('N')}, p AS ({_pillar_sql(1)}), s AS (SELECT *, k FROM p, range(8) t(k)) SELECT {D.r6('x')} AS x, {D.r6('z')} AS z, CAST(3 AS BIGINT) * count(*) AS n, {D.r6('sum(t + b)')} AS heights FROM s GROUP BY x, z")
 def m4_cylinder(spark, sf_dir):
     s = modes.pillars(terrain(spark, sf_dir, "N"), spacing=3, gap=2, depth=1, style="cylinder")
-    # sides go around a centre three apart; a third of the segments are upright
-    centre = lambda a, k: F.floor((F.col(a) + 1.5 + (0.0 if k is None else k)) / 3)  # noqa: E731,F841
-    upright = s.where("x0 = x1 and z0 = z1").select(((F.col("y0") + F.col("y1"))).alias("h"), "x0", "z0")
+    # pillars stand three apart; a third of a pillar's segments are upright
+    upright = s.where("x0 = x1 and z0 = z1").select((F.col("y0") + F.col("y1")).alias("h"), "x0", "z0")
     t = terrain(spark, sf_dir, "N").meta
     near = lambda a, half: F.floor((F.col(a) + half) / 3 + 0.5) * 3 - half
     grouped = upright.select(near("x0", t.half_w).alias("x"), near("z0", t.half_h).alias("z"), "h").groupBy("x", "z").agg((F.count("*") * 3).alias("n"), F.sum("h").alias("heights"))
