@@ -56,7 +56,7 @@ def curtains(segments: DataFrame, min_z: float, drop: float = 500) -> DataFrame:
 def layer_styles(segments: DataFrame, styles: DataFrame) -> DataFrame:
     """Segments with their layer's weight, opacity and dash (``styles``: a row for
     each layer; Contours-Major has its own)."""
-    return segments.join(F.broadcast(styles), "layer", "left")
+    return segments.join(styles, "layer", "left")
 
 
 def vertices(t: Terrain, jitter: float = 0) -> DataFrame:

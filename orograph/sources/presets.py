@@ -20,7 +20,7 @@ def read_presets(spark: SparkSession, folder: str, manifest: str | None = "manif
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("document"))
     # names in a file's path are encoded
     files = files.withColumn("file", F.url_decode(F.regexp_replace("file", r"\+", "%2B")))
-    listed = files.join(F.broadcast(names), "file", "left_semi") if manifest else files
+    listed = files.join(names, "file", "left_semi") if manifest else files
     return listed.select(F.regexp_replace("file", r"\.json$", "").alias("name"), "document")
 
 
