@@ -73,7 +73,12 @@ def _anchors(unit: Unit, batches):
         raw, key = raw_texts(batch), np.asarray(batch.column("dkey"))
         for i, j in spans([len(t) for t in raw], 1 << 20):
             owner, pos, _, h = _segments(*_block(raw[i:j], unit)[:3], unit)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key[i:j][owner]), pa.array(pos)], ["h", "dkey", "pos"])
+            # an anchor that a text repeats is one row, with its places
+            order = np.lexsort((pos, h, owner))
+            o, a = owner[order], h[order].view(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (o[1:] != o[:-1])))) if len(o) else np.zeros(0, np.int64)
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(o)])), pa.int32()), pa.array(pos[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(key[i:j][o[first]]), places], ["h", "dkey", "pos"])
 
 
 def _texts_of(unit: Unit, batches):
@@ -86,7 +91,7 @@ def _texts_of(unit: Unit, batches):
             # (text, place) as one number, to look up the wanted places of all texts at once
             part = wanted.slice(i, j - i)
             count = np.asarray(part.value_lengths())
-            ask = np.repeat(np.arange(j - i), count) << 40 | np.asarray(part.flatten())
+            ask = np.repeat(np.arange(j - i), count) << 40 | np.asarray(part.flatten()).astype(np.int64)
             keep = np.flatnonzero(np.isin(owner << 40 | pos, ask))
             segs, split, at = [], None, -1
             for k in keep.tolist():
@@ -112,9 +117,10 @@ def recurring_segments(docs: DataFrame, unit: Unit) -> DataFrame:
     ``common.keyed``): h anchor, g digest of the segment's text, dkey and tkey of its
     document, pos its first unit there, n its units, seg its text (words joined by one
     space). Written to the shared folder."""
-    anchors = docs.select("dkey", "text").mapInArrow(partial(_anchors, unit), "h long, dkey long, pos long")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    wanted = anchors.join(twice, "h").groupBy("dkey").agg(F.collect_list("pos").alias("wanted"))
+    anchors = docs.select("dkey", "text").mapInArrow(partial(_anchors, unit), "h long, dkey long, pos array<int>")
+    # a table of its own, so that Spark can split the join where many texts share an anchor
+    twice = cut(anchors.groupBy("h").agg(F.sum(F.size("pos")).alias("c")).where("c > 1").select("h"))
+    wanted = anchors.join(twice, "h").groupBy("dkey").agg(F.flatten(F.collect_list("pos")).alias("wanted"))
     return cut(docs.select("dkey", "tkey", "text").join(wanted, "dkey").mapInArrow(partial(_texts_of, unit), SEGMENT))
 
 
@@ -131,9 +137,11 @@ def distinct_segments(segments: DataFrame) -> DataFrame:
 
 
 def crowded(segments: DataFrame) -> DataFrame:
-    """(h, parts): anchors with more than CROWD rows, such as those at the edges of a
-    passage that a great many documents share, and in how many parts to deal them."""
-    return cut(segments.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("h", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
+    """(h, parts): anchors with more than CROWD different segments, such as those at the
+    edges of a passage that a great many documents share, and in how many parts to deal
+    them. Equal segments meet in a partial aggregation."""
+    texts = segments.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("c"))
+    return cut(texts.where(F.col("c") > CROWD).select("h", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
 
 
 SETS = "h long, bucket int, part int, w array<long>, dkey array<long>, tkey array<long>, pos array<long>, many array<boolean>"
@@ -221,7 +229,7 @@ def copies(segments: DataFrame) -> DataFrame:
     """Occurrences of segments whose text occurs at another place: dkey, tkey, pos, n and
     whether it is the first."""
     at = F.struct("dkey", "tkey", "pos")
-    twice = segments.groupBy("h", "g").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo != hi").select("h", "g", "lo")
+    twice = cut(segments.groupBy("h", "g").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo != hi").select("h", "g", "lo"))
     return segments.select("h", "g", "dkey", "tkey", "pos", "n").join(twice, ["h", "g"]).select("dkey", "tkey", "pos", "n", (F.col("lo") == at).alias("first"))
 
 

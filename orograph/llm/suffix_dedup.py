@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orograph.llm import recurring as R
 from orograph.llm import text as X
-from orograph.llm.common import keyed, raw_texts
+from orograph.llm.common import cut, keyed, raw_texts
 
 CHUNK_BYTES = 1 << 20
 DIGIT = 40
@@ -132,8 +132,9 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32, wit
     unit = R.Unit(depth, gram, False)
     segments = R.recurring_segments(docs, unit)
     crowd = R.crowded(segments)
-    located = R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, depth), "dkey long, tkey long, pos long, n long")
-    located = located.unionByName(R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit)))
-    cuts = R.copies(segments).drop("first").unionByName(located).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
+    located = cut(R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, depth), "dkey long, tkey long, pos long, n long"))
+    crowded = R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit))
+    copied = cut(R.copies(segments).drop("first"))
+    cuts = copied.unionByName(located).unionByName(crowded).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
