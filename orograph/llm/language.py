@@ -8,7 +8,9 @@ training; texts whose best probability lies under a threshold, set there too, ar
 rejected (column ``rejected``).
 
 Only bucket counts of at most SAMPLE training documents reach the driver, chosen by a
-hash of the id: at most SAMPLE * BUCKETS numbers, whatever the input. In tasks, embedding
+hash of id, text and language: at most SAMPLE * BUCKETS numbers, whatever the input. Rows
+that repeat a document are learned from once, and an id that many documents share takes
+no more of the sample than of the table. In tasks, embedding
 and softmax are one table of a row per bucket, since the mean is linear.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orograph.llm import text as X
-from orograph.llm.common import annotate, held_out, raw_texts, sampled_ids, spans
+from orograph.llm.common import annotate, held_out, raw_texts, spans
 
 #: Most documents that a model is trained on.
 SAMPLE = 4_000
@@ -144,16 +146,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from texts and languages of ``docs`` (doc_id, text, lang) that aren't held
     out, of at most ``sample`` of them."""
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null").where(~held_out("doc_id"))
-    chosen = usable.join(F.broadcast(sampled_ids(usable, sample)), "doc_id").select("text", "lang")
-    rows = chosen.mapInArrow(_counts, "lang string, bucket array<int>, n array<int>").orderBy("lang", "bucket", "n").limit(sample).toArrow()
-    names = rows.column("lang").to_pylist()
+    keyed = usable.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id", "text", "lang"))
+    first = keyed.select("doc_id", "key").distinct().orderBy("key", "doc_id").limit(sample)
+    chosen = keyed.join(F.broadcast(first), ["doc_id", "key"]).select("doc_id", "text", "lang").distinct().select("text", "lang")
+    counted = chosen.mapInArrow(_counts, "lang string, bucket array<int>, n array<int>").toArrow()
+    # as bytes, high ones first, which sort like the lists and take no more room
+    packed = lambda c: (np.asarray(v.values).astype(">i4").tobytes() for v in counted.column(c))
+    rows = sorted(zip(counted.column("lang").to_pylist(), packed("bucket"), packed("n")))
+    names = [lang for lang, _, _ in rows]
     languages = sorted(set(names))
     if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     x = np.zeros((len(names), BUCKETS), np.float32)
-    for i, (b, n) in enumerate(zip(rows.column("bucket"), rows.column("n"))):
-        counts = np.asarray(n.values)
-        x[i, np.asarray(b.values)] = counts / max(1, counts.sum())
+    for i, (_, b, n) in enumerate(rows):
+        counts = np.frombuffer(n, ">i4")
+        x[i, np.frombuffer(b, ">i4")] = counts / max(1, counts.sum())
     y = np.array([languages.index(v) for v in names])
     back = np.arange(len(y)) % 5 == 4  # kept back to calibrate; rows are in order of language
     if len(y) < 10:

@@ -300,6 +300,15 @@ def test_language_edges(spark):
     assert [r.lang_pred for r in language.predict(documents(spark, [(1, "text")]), none).collect()] == ["und"]
 
 
+def test_repeated_ids_leave_no_language_out(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    one, twice = language.train(docs, 60), language.train(docs.union(docs), 60)
+    assert len(one.languages) == 4 and twice.languages == one.languages and np.array_equal(twice.table, one.table)
+    # an id, not held out, of a third of the rows; its documents differ
+    shared = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, 3).otherwise(F.col("doc_id")))
+    assert language.train(shared, 60).languages == one.languages
+
+
 def test_held_out_column(spark):
     from orograph.llm.common import held_out
 
