@@ -9,6 +9,10 @@ candidate whose highest window reaches the threshold of its character class (hex
 one case and digits, all of base64) is a span of kind ``entropy``, unless the allow-list
 names it or it overlaps a base match.
 
+That is what the query's SQL lists. ``redact`` takes more: a candidate that overlaps a
+base match gives way as a whole, and what the allow-list names inside a candidate excuses
+only the piece, up to the next of / = _ -, that holds it; the rest is tested.
+
 The sum is kept in whole millionths of a bit, so results don't depend on rounding.
 
 Defined results: null and empty texts have no matches; repeated rows are scanned one by
@@ -47,6 +51,9 @@ ALLOWED = [
     r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Cc][Hh][Aa][Nn][Gg][Ee][Mm][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]",
     r"[Aa][Bb][Cc][Dd][Ee][Ff]|0123456789|1234567890",
 ]
+#: Those that match inside a candidate, and pieces of candidates that hold one.
+_INSIDE = "|".join(f"(?:{p})" for p in ALLOWED if not p.startswith("^"))
+_EXCUSED = f"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?:{_INSIDE})[A-Za-z0-9+]*"
 REPLACEMENT = "[secret]"
 
 _SPAN = "struct<start:long,order:int,stop:long>"
@@ -120,9 +127,16 @@ def _secret(s: Column) -> Column:
     return F.when((F.length(s) < WINDOW) | allowed, False).otherwise(_most_entropy(s) <= most)
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def _holds_secret(s: Column) -> Column:
+    """Whether a candidate string without its excused pieces still holds a secret."""
+    rest = F.regexp_extract_all(F.regexp_replace(s, F.lit(_EXCUSED), F.lit(" ")), F.lit(CANDIDATE), F.lit(0))
+    return F.exists(F.when(s.rlike(_INSIDE), rest).otherwise(F.array(s)), _secret)
+
+
+def find_secrets(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Rows of ``docs`` (struct row) with base and found (arrays of spans: start, order in
-    KINDS, stop; code points, end exclusive, by start, then kind)."""
+    KINDS, stop; code points, end exclusive, by start, then kind). ``whole``: found also
+    has candidates that overlap base matches or are excused in part."""
     text = F.coalesce(F.col("t"), F.lit(""))
     value = lambda m: F.regexp_extract(m, ASSIGN, 2)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("t"))
@@ -136,7 +150,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             _places(text, f"[0-9a-f]{{{SHORTEST['hex']},}}", lambda m: m.isNotNull(), 2),
         )).alias("base"),
     )
-    more = base.select("row", "base", _places(text, CANDIDATE, lambda m: m.isNotNull() & _secret(m), 3).alias("more"))
+    secret = _holds_secret if whole else _secret
+    more = base.select("row", "base", _places(text, CANDIDATE, lambda m: m.isNotNull() & secret(m), 3).alias("more"))
+    if whole:
+        return more.select("row", "base", F.array_sort(F.concat("base", "more")).alias("found"))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     return more.select("row", "base", F.array_sort(F.concat("base", apart)).alias("found"))
 
@@ -156,7 +173,7 @@ def scan_rows(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, replacement: str = REPLACEMENT) -> DataFrame:
     """``docs`` with each run of overlapping spans replaced; n_chars, where there is such
     a column, follows. Texts without secrets stay as they are."""
-    found = find_secrets(docs)
+    found = find_secrets(docs, whole=True)
     text = F.col("row.text").cast("string")
     piece = lambda a, to: F.substring(text, (a + 1).cast("int"), F.greatest(to - a, _long(0)).cast("int"))
     cleaned = F.aggregate(

@@ -363,6 +363,14 @@ def test_secrets(spark):
     assert [tuple(r) for r in secrets.redact(with_size).collect()] == [(1, "x [secret]", 10)]
 
 
+def test_redaction_goes_beyond_base_matches_and_excused_pieces(spark):
+    aws, key = "AKIA" + "Q1W2E3R4T5Y6U7I8", "wJalrXUtnFEMIK7MDENGbPxRfiCYzKq2Lm8Vb4Tn"
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    texts = [f"{aws}/{key} x", f"Zx9Kq2Lm8V{'9f3b7c1de04a8256' * 2}Tn6Rw1Yp x", f"example/{key} x", f"{key}_{uuid} x", f"{uuid}/example-words_only x", f"example{key} x", "x" * 50_000]
+    clean = {r.doc_id: r.text for r in secrets.redact(documents(spark, list(enumerate(texts)))).collect()}
+    assert [clean[i] for i in range(4)] == ["[secret] x"] * 4 and [clean[i] for i in (4, 5, 6)] == texts[4:]
+
+
 def brute_best_sum(s, n=20):
     return min(sum(secrets._SUMS[s[i : i + n].count(c)] for c in set(s[i : i + n])) for i in range(len(s) - n + 1))
 
