@@ -194,6 +194,12 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.keep_first(docs).columns == docs.columns and simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_one_row_stays_of_a_group_without_ids(spark):
+    same = [(None, "one two three four")] * 30
+    kept = simhash.keep_first(documents(spark, same + [(None, "five six seven"), (7, "eight nine ten")]).repartition(4)).collect()
+    assert sorted(r.text for r in kept) == ["eight nine ten", "five six seven", "one two three four"]
+
+
 # --- 4 --------------------------------------------------------------------------------
 
 
