@@ -675,7 +675,7 @@ def e1(spark, sf_dir):
 @query("E3_erosion")
 def e3(spark, sf_dir):
     r = raster(spark, sf_dir, "E")
-    return tidy(sequential.erode(r.pixels, r.width, r.height, droplets=2_000, batches=2))
+    return tidy(sequential.erode(r.pixels, r.width, r.height))
 
 
 def _seen(t: grid.Terrain):

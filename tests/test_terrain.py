@@ -202,6 +202,16 @@ def test_erosion(spark):
     assert sum(w for *_, w in sequential.erosion_brush(3)) == pytest.approx(1)
 
 
+def test_erosion_query_runs_the_whole_job(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from tests.conftest import SMALL
+
+    given = {}
+    monkeypatch.setattr(sequential, "erode", lambda px, *size, **options: given.update(options) or px)
+    entry.queries()["E3_erosion"](spark, SMALL)
+    assert given.get("droplets", 50_000) == 50_000 and given.get("batches", 5) == 5
+
+
 def test_particles(spark):
     t = terrain(spark, PEAK)
     p = points.at_rest(points.all_points(t))
