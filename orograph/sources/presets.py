@@ -11,6 +11,7 @@ from orograph import params
 
 PARTS = {"terrain": params.TERRAIN, "style": None, "points": params.POINTS, "view": params.VIEW}
 EMBEDDED = "heightmapDataURL"
+BACKGROUND = [(0, "#ffffff"), (1, "#cccccc")]
 
 
 def read_presets(spark: SparkSession, folder: str, manifest: str | None = "manifest.json") -> DataFrame:
@@ -35,13 +36,16 @@ def merged(document: str, only: tuple[str, ...] = tuple(PARTS)) -> dict:
     stops = given.get("gradientStops")
     if stops:
         out["style"]["gradientStops"] = [(s["pos"], s["color"]) for s in stops]
+    stops = given.get("bgGradientStops")
+    out["style"]["bgGradientStops"] = [(s["pos"], s["color"]) for s in stops] if stops else BACKGROUND
     return out
 
 
 def preset(p: dict, image_url: str | None = None) -> str:
     """K6: a preset of parameters (as of ``merged``)."""
-    style = {k: v for k, v in p["style"].items() if k != "gradientStops"}
-    made = {"terrain": p["terrain"], "style": style, "points": p["points"], "view": p["view"], "gradientStops": [{"pos": a, "color": c} for a, c in p["style"]["gradientStops"]]}
+    stops = {k: [{"pos": a, "color": c} for a, c in p["style"].get(k, BACKGROUND)] for k in ("gradientStops", "bgGradientStops")}
+    style = {k: v for k, v in p["style"].items() if k not in stops}
+    made = {"terrain": p["terrain"], "style": style, "points": p["points"], "view": p["view"]} | stops
     return json.dumps(made | ({EMBEDDED: image_url} if image_url else {}), indent=2)
 
 

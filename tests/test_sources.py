@@ -116,6 +116,12 @@ def test_presets(spark, tmp_path):
     assert (tmp_path / "out").exists()
 
 
+def test_presets_keep_the_background_gradient():
+    stops = [{"pos": 0, "color": "#102030"}, {"pos": 1, "color": "#405060"}]
+    done = json.loads(presets.preset(presets.merged(json.dumps({"bgGradientStops": stops}))))
+    assert done["bgGradientStops"] == stops and "bgGradientStops" not in done["style"]
+
+
 def test_parameters(spark):
     style = params.style_defaults()
     assert len(style) > 150 and style["enabledX"] and not style["enabledFlow"] and style["weightStipple"] == 4 and style["majorWeightContours"] == 2
