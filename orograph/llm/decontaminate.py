@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +137,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
         for t, s in zip(raw, spans):
             if s:
                 words = WORD.findall(t.lower())
-                gone = X.covered(len(words), np.array([x["pos"] for x in s]), np.array([x["n"] for x in s]))
-                t = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+                t = b" ".join(chain.from_iterable(X.without(words, *X.merged(np.array([x["pos"] for x in s]), np.array([x["n"] for x in s])))))
             out.append(t.decode("utf-8", "replace"))
         return out
 

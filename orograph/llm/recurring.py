@@ -6,14 +6,25 @@ have equal anchors at equal places, so only windows whose anchor occurs twice ca
 Anchors are a few hundredths (bytes) or about a seventh (words) of the windows; counting
 them is a partial aggregation, so frequent ones meet as counts and not as rows.
 
-Consecutive windows with one anchor form a segment. Equal windows lie at equal places of
-segments with equal anchors, so segments can be compared anchor by anchor.
+Consecutive windows with one anchor form a segment. Equal windows lie in segments of
+equal anchors, at equal distances from them, so what recurs is decided anchor by anchor.
+Two windows of one segment have different distances and are never equal.
+
+An anchor that a great many different segments share (``crowded``) is refined: its
+segments are cut into halves by the windows' distance to the anchor, and each half is
+grouped anew by all the text that its windows have in common. Halves that stand alone
+leave. At the latest, a half is one window and its group has one text, so the refinement
+ends, and no group of segments grows with the input.
+
+Hashes only choose who meets whom; what meets is compared by its units. Texts longer than
+a block are cut into pieces that overlap by a window less one unit.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -25,9 +36,12 @@ from pyspark.sql import functions as F
 from orograph.llm import text as X
 from orograph.llm.common import cut, raw_texts, spans
 
-#: Rows from which on an anchor is dealt into parts, of about PART rows.
-CROWD, PART = 2_000, 1_000
-SEGMENT = "h long, g binary, dkey long, tkey long, pos long, n long, seg binary"
+#: Different segments, and bytes of them, from which on an anchor is refined.
+CROWD, CROWD_BYTES = 2_000, 2 << 20
+#: Bytes of a block of texts, or of a piece of one text.
+BLOCK = 1 << 20
+SEGMENT = "h long, g binary, at int, dkey long, tkey long, pos long, n int, size int, seg binary"
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
 @dataclass(frozen=True)
@@ -39,201 +53,178 @@ class Unit:
     gram: int
     words: bool
 
-
-def _block(raw: list[bytes], unit: Unit):
-    """(unit values, first unit of each text, end of each text, words or None)"""
-    if unit.words:
-        w = X.Words(raw, X.space_table())
-        return w.hash, w.ptr[:-1], w.ptr[1:], w
-    size = np.fromiter(map(len, raw), np.int64, len(raw))
-    end = np.cumsum(size)
-    return X.byte_values()[np.frombuffer(b"".join(raw), np.uint8)], end - size, end, None
-
-
-def _segments(values, begin, end, unit: Unit):
-    """Arrays of text number, first unit in the text, windows and anchor of each segment."""
-    none = np.zeros(0, np.int64)
-    if len(values) < unit.window:
-        return none, none, none, np.zeros(0, np.uint64)
-    grams = X.window_hash(values, unit.gram)
-    anchor = X.window_argmin(grams, unit.window - unit.gram + 1)
-    count = np.maximum(end - begin - unit.window + 1, 0)
-    owner = np.repeat(np.arange(len(begin)), count)
-    if not len(owner):
-        return none, none, none, np.zeros(0, np.uint64)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
-    a = anchor[start]
-    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1]))))
-    windows = np.diff(np.concatenate((first, [len(owner)])))
-    return owner[first], start[first] - begin[owner[first]], windows, grams[a[first]]
+    def split(self, raw: bytes) -> list[bytes] | bytes:
+        return raw.split() if self.words else raw
+
+    def join(self, units) -> bytes:
+        return b" ".join(units) if self.words else units
+
+
+@dataclass
+class Block:
+    """Texts (from number ``first`` on) and their units: values, and the range
+    [begin, end) of each text's. ``base``: units before those of a piece of a text."""
+
+    first: int
+    base: int
+    raw: list[bytes]
+    unit: Unit
+    values: np.ndarray = field(init=False)
+    begin: np.ndarray = field(init=False)
+    end: np.ndarray = field(init=False)
+    places: np.ndarray | None = field(init=False, default=None)
+
+    def __post_init__(self):
+        if self.unit.words:
+            w = X.Words(self.raw, X.space_table())
+            self.values, self.begin, self.end, self.places = w.hash, w.ptr[:-1], w.ptr[1:], w.start
+        else:
+            size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+            self.end = np.cumsum(size)
+            self.begin = self.end - size
+            self.values = X.byte_values()[np.frombuffer(b"".join(self.raw), np.uint8)]
+
+    def segments(self):
+        """Arrays of text number, first unit in the text, windows, distance of the anchor
+        from the first unit, and anchor of each segment."""
+        unit, count = self.unit, np.maximum(self.end - self.begin - self.unit.window + 1, 0)
+        owner = np.repeat(np.arange(len(self.begin)), count)
+        none = np.zeros(0, np.int64)
+        if not len(owner):
+            return none, none, none, none, np.zeros(0, np.uint64)
+        grams = X.window_hash(self.values, unit.gram)
+        start = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + self.begin[owner]
+        a = X.window_argmin(grams, unit.window - unit.gram + 1)[start]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1]))))
+        windows = np.diff(np.concatenate((first, [len(owner)])))
+        return self.first + owner[first], self.base + start[first] - self.begin[owner[first]], windows, a[first] - start[first], grams[a[first]]
+
+
+def blocks(raw: list[bytes], unit: Unit):
+    """All texts, in blocks of bounded size."""
+    for i, j in spans([len(t) for t in raw], BLOCK):
+        if j - i > 1 or len(raw[i]) <= BLOCK:
+            yield Block(i, 0, raw[i:j], unit)
+            continue
+        text, start, base, size = raw[i], 0, 0, BLOCK
+        while True:
+            end = min(start + size, len(text))
+            if unit.words and end < len(text):
+                gap = _GAP.search(text, end)
+                end = gap.start() if gap else len(text)
+            piece = Block(i, base, [text[start:end]], unit)
+            step = len(piece.values) - unit.window + 1
+            if end < len(text) and step <= 0:  # few and very long words
+                size *= 2
+                continue
+            yield piece
+            if end == len(text):
+                break
+            start += int(piece.places[step]) if unit.words else step
+            base, size = base + step, BLOCK
 
 
 def _anchors(unit: Unit, batches):
     for batch in batches:
-        raw, key = raw_texts(batch), np.asarray(batch.column("dkey"))
-        for i, j in spans([len(t) for t in raw], 1 << 20):
-            owner, pos, _, h = _segments(*_block(raw[i:j], unit)[:3], unit)
+        raw, key, tkey = raw_texts(batch), np.asarray(batch.column("dkey")), np.asarray(batch.column("tkey"))
+        for block in blocks(raw, unit):
+            owner, pos, _, _, h = block.segments()
             # an anchor that a text repeats is one row, with its places
             order = np.lexsort((pos, h, owner))
             o, a = owner[order], h[order].view(np.int64)
             first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (o[1:] != o[:-1])))) if len(o) else np.zeros(0, np.int64)
             places = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(o)])), pa.int32()), pa.array(pos[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(key[i:j][o[first]]), places], ["h", "dkey", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(key[o[first]]), pa.array(tkey[o[first]]), places], ["h", "dkey", "tkey", "pos"])
+
+
+def digest(seg: bytes) -> bytes:
+    return hashlib.blake2b(seg, digest_size=16).digest()
+
+
+def _segment_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 9
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "g", "at", "dkey", "tkey", "pos", "n", "size", "seg"])
 
 
 def _texts_of(unit: Unit, batches):
     for batch in batches:
         raw, key, tkey = raw_texts(batch), np.asarray(batch.column("dkey")), np.asarray(batch.column("tkey"))
         wanted = batch.column("wanted")
-        for i, j in spans([len(t) for t in raw], 1 << 20):
-            values, begin, end, words = _block(raw[i:j], unit)
-            owner, pos, windows, h = _segments(values, begin, end, unit)
-            # (text, place) as one number, to look up the wanted places of all texts at once
-            part = wanted.slice(i, j - i)
-            count = np.asarray(part.value_lengths())
-            ask = np.repeat(np.arange(j - i), count) << 40 | np.asarray(part.flatten()).astype(np.int64)
+        # (text, place) as one number, to look up the wanted places of all texts at once
+        ask = np.repeat(np.arange(len(raw)), np.asarray(wanted.value_lengths())) << 40 | np.asarray(wanted.flatten()).astype(np.int64)
+        for block in blocks(raw, unit):
+            owner, pos, windows, at, h = block.segments()
             keep = np.flatnonzero(np.isin(owner << 40 | pos, ask))
-            segs, split, at = [], None, -1
-            for k in keep.tolist():
-                o, p, n = int(owner[k]), int(pos[k]), int(windows[k]) + unit.window - 1
-                if unit.words:
-                    if o != at:
-                        split, at = raw[i + o].split(), o
-                    segs.append(b" ".join(split[p : p + n]))
-                else:
-                    segs.append(raw[i + o][p : p + n])
+            segs, units, last = [], None, -1
+            size = windows[keep] + unit.window - 1
+            for o, p, n in zip((owner[keep] - block.first).tolist(), (pos[keep] - block.base).tolist(), size.tolist()):
+                if o != last:
+                    units, last = unit.split(block.raw[o]), o
+                segs.append(unit.join(units[p : p + n]))
+            o = owner[keep]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h[keep].view(np.int64)), pa.array([hashlib.md5(s).digest() for s in segs], pa.binary()),
-                    pa.array(key[i:j][owner[keep]]), pa.array(tkey[i:j][owner[keep]]),
-                    pa.array(pos[keep]), pa.array(windows[keep] + unit.window - 1), pa.array(segs, pa.binary()),
+                    pa.array(h[keep].view(np.int64)), pa.array(list(map(digest, segs)), pa.binary()), pa.array(at[keep].astype(np.int32)),
+                    pa.array(key[o]), pa.array(tkey[o]), pa.array(pos[keep]), pa.array(size.astype(np.int32)),
+                    pa.array(list(map(len, segs)), pa.int32()), pa.array(segs, pa.binary()),
                 ],
-                ["h", "g", "dkey", "tkey", "pos", "n", "seg"],
+                ["h", "g", "at", "dkey", "tkey", "pos", "n", "size", "seg"],
             )
 
 
-def recurring_segments(docs: DataFrame, unit: Unit) -> DataFrame:
+def recurring_segments(docs: DataFrame, unit: Unit) -> list[DataFrame]:
     """A row for each segment whose anchor occurs more than once in ``docs`` (of
-    ``common.keyed``): h anchor, g digest of the segment's text, dkey and tkey of its
-    document, pos its first unit there, n its units, seg its text (words joined by one
-    space). Written to the shared folder."""
-    anchors = docs.select("dkey", "text").mapInArrow(partial(_anchors, unit), "h long, dkey long, pos array<int>")
+    ``common.keyed``): h anchor, g digest of the segment's text, at the anchor's distance
+    from its first unit, dkey and tkey of its document, pos its first unit there, n its
+    units, size its bytes, seg its text (words joined by one space). Tables in the shared folder; those
+    after the first hold refined anchors. No anchor has over CROWD different texts."""
+    anchors = docs.select("dkey", "tkey", "text").mapInArrow(partial(_anchors, unit), "h long, dkey long, tkey long, pos array<int>")
     # a table of its own, so that Spark can split the join where many texts share an anchor
     twice = cut(anchors.groupBy("h").agg(F.sum(F.size("pos")).alias("c")).where("c > 1").select("h"))
-    wanted = anchors.join(twice, "h").groupBy("dkey").agg(F.flatten(F.collect_list("pos")).alias("wanted"))
-    return cut(docs.select("dkey", "tkey", "text").join(wanted, "dkey").mapInArrow(partial(_texts_of, unit), SEGMENT))
+    # sets, since rows that repeat a document have the same places
+    wanted = anchors.join(twice, "h").groupBy("dkey", "tkey").agg(F.flatten(F.collect_set("pos")).alias("wanted"))
+    left = cut(docs.select("dkey", "tkey", "text").join(wanted, ["dkey", "tkey"]).mapInArrow(partial(_texts_of, unit), SEGMENT))
+    parts = []
+    most = unit.window - unit.gram  # of a window's distances to its anchor
+    for level in range(most.bit_length() - 1, -1, -1):
+        crowd = crowded(left)
+        if crowd.isEmpty():
+            break
+        parts.append(left.join(crowd, "h", "left_anti"))
+        halves = cut(left.join(crowd, "h").mapInArrow(partial(_halves, unit, 1 << level), SEGMENT))
+        met = cut(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+        left = cut(halves.join(met, "h"))
+    return [*parts, left]
 
 
-def distinct_segments(segments: DataFrame) -> DataFrame:
-    """Each text of a segment once, with its first and last occurrence. Equal segments
-    meet in a partial aggregation, however many there are; what follows sees each once.
-    Rows of one anchor come together, sorted by it."""
-    at = F.struct("dkey", "tkey", "pos")
-    once = segments.groupBy("h", "g").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.first("n").alias("n"), F.first("seg").alias("seg"))
-    return (
-        once.select("h", "g", "lo.dkey", "lo.tkey", "lo.pos", "n", (F.col("lo") != F.col("hi")).alias("again"), "seg")
-        .repartition(F.col("h")).sortWithinPartitions("h", "dkey", "tkey", "pos")
-    )
+def crowded(segments: DataFrame) -> DataFrame:
+    """(h): anchors with over CROWD different segments, such as those at the edges of a
+    passage that a great many documents share. Equal segments meet in a partial
+    aggregation. A segment of one window is its group's only text."""
+    texts = segments.groupBy("h", "g").agg(F.max("size").alias("size")).groupBy("h").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
+    return cut(texts.where((F.col("c") > CROWD) | ((F.col("c") > 1) & (F.col("size") > CROWD_BYTES))).select("h"))
 
 
-def crowded(segments: DataFrame) -> DataFrame:
-    """(h, parts): anchors with more than CROWD different segments, such as those at the
-    edges of a passage that a great many documents share, and in how many parts to deal
-    them. Equal segments meet in a partial aggregation."""
-    texts = segments.groupBy("h", "g").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("c"))
-    return cut(texts.where(F.col("c") > CROWD).select("h", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
-
-
-SETS = "h long, bucket int, part int, w array<long>, dkey array<long>, tkey array<long>, pos array<long>, many array<boolean>"
-SHARED = "h long, part int, w array<long>, dkey array<long>, tkey array<long>, pos array<long>"
-
-
-def window_table(table: pa.Table, unit: Unit):
-    """Of all windows of a table's segments: hash, number of the segment, place in it."""
-    segs = table.column("seg").to_pylist()
-    values, begin, end, _ = _block(segs, unit)
-    count = np.maximum(np.asarray(end) - np.asarray(begin) - unit.window + 1, 0)
-    owner = np.repeat(np.arange(len(segs)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    h = X.window_hash(values, unit.window)[np.asarray(begin)[owner] + offset] if len(owner) else np.zeros(0, np.uint64)
-    return h.view(np.int64), owner, offset
-
-
-def _lists(rows: list[np.ndarray], cut_at: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cut_at, pa.int32()), pa.array(rows))
-
-
-def _window_sets(unit: Unit, table: pa.Table) -> pa.Table:
-    """A part's distinct windows with their first places, dealt into buckets."""
-    w, owner, offset = window_table(table, unit)
-    dkey, tkey, pos = (np.asarray(table.column(c)) for c in ("dkey", "tkey", "pos"))
-    order = np.lexsort((pos[owner] + offset, tkey[owner], dkey[owner], w))
-    ws = w[order]
-    first = np.flatnonzero(np.concatenate(([True], ws[1:] != ws[:-1]))) if len(ws) else np.zeros(0, np.int64)
-    many = np.diff(np.concatenate((first, [len(ws)]))) > 1
-    at, ws = order[first], ws[first]
-    parts = int(table.column("parts")[0].as_py())
-    bucket = (ws.view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts
-    by = np.argsort(bucket, kind="stable")
-    named, start = np.unique(bucket[by], return_index=True)
-    cuts = np.concatenate((start, [len(by)]))
-    at, o = at[by], owner[at[by]]
-    n = len(named)
-    return pa.table(
-        [
-            pa.array([table.column("h")[0].as_py()] * n, pa.int64()), pa.array(named.astype(np.int32)), pa.array([table.column("part")[0].as_py()] * n, pa.int32()),
-            _lists(ws[by], cuts), _lists(dkey[o], cuts), _lists(tkey[o], cuts), _lists(pos[o] + offset[at], cuts), _lists(many[by], cuts),
-        ],
-        ["h", "bucket", "part", "w", "dkey", "tkey", "pos", "many"],
-    )
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Of the windows of a bucket: those that occur twice, with their earliest places,
-    for each part that has them."""
-    flat = {c: np.concatenate([np.asarray(x.values) for x in table.column(c)]) for c in ("w", "dkey", "tkey", "pos", "many")}
-    part = np.repeat(np.asarray(table.column("part")), [len(x) for x in table.column("w")])
-    order = np.lexsort((flat["pos"], flat["tkey"], flat["dkey"], flat["w"]))
-    w = flat["w"][order]
-    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-    size = np.diff(np.concatenate((first, [len(w)])))
-    twice = (size > 1) | np.logical_or.reduceat(flat["many"][order], first)
-    head = np.repeat(order[first], size)[np.repeat(twice, size)]
-    own = part[order][np.repeat(twice, size)]
-    by = np.argsort(own, kind="stable")
-    named, start = np.unique(own[by], return_index=True)
-    cuts, head = np.concatenate((start, [len(by)])), head[by]
-    return pa.table(
-        [pa.array([table.column("h")[0].as_py()] * len(named), pa.int64()), pa.array(named, pa.int32()), *(_lists(flat[c][head], cuts) for c in ("w", "dkey", "tkey", "pos"))],
-        ["h", "part", "w", "dkey", "tkey", "pos"],
-    )
-
-
-def locate_crowded(segments: DataFrame, crowd: DataFrame, unit: Unit, locate) -> DataFrame:
-    """What ``locate`` finds among segments of crowded anchors. No group holds an anchor
-    whole: its distinct segments are dealt into parts; each part reduces its windows to
-    distinct ones, buckets of these find what occurs in two parts, and each part learns
-    which of its windows do and where each is first. ``locate`` gets a part's segments
-    and these windows as Arrow tables."""
-    at = F.struct("dkey", "tkey", "pos")
-    once = segments.join(crowd, "h").groupBy("h", "g", "parts").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.first("n").alias("n"), F.first("seg").alias("seg"))
-    dealt = cut(
-        once.select("h", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int").alias("part"), "parts", "lo.dkey", "lo.tkey", "lo.pos", "n", (F.col("lo") != F.col("hi")).alias("again"), "seg")
-    )
-    sets = dealt.groupBy("h", "part").applyInArrow(lambda t: _window_sets(unit, t), SETS)
-    shared = sets.groupBy("h", "bucket").applyInArrow(lambda t: _shared(t), SHARED)
-    return dealt.groupBy("h", "part").cogroup(shared.groupBy("h", "part")).applyInArrow(lambda a, b: locate(a, b), "dkey long, tkey long, pos long, n long")
-
-
-def copies(segments: DataFrame) -> DataFrame:
-    """Occurrences of segments whose text occurs at another place: dkey, tkey, pos, n and
-    whether it is the first."""
-    at = F.struct("dkey", "tkey", "pos")
-    twice = cut(segments.groupBy("h", "g").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo != hi").select("h", "g", "lo"))
-    return segments.select("h", "g", "dkey", "tkey", "pos", "n").join(twice, ["h", "g"]).select("dkey", "tkey", "pos", "n", (F.col("lo") == at).alias("first"))
-
-
-def groups(batches, most: int):
+def _halves(unit: Unit, step: int, batches):
+    """Segments cut by their windows' distances to the anchor, in ranges of ``step``
+    distances. All windows of a range have its core in common, which takes the anchor's
+    place as the key of the group."""
+    for batch in batches:
+        rows = []
+        for h, at, dkey, tkey, pos, n, seg in zip(*(batch.column(c).to_pylist() for c in ("h", "at", "dkey", "tkey", "pos", "n", "seg"))):
+            units = unit.split(seg)
+            for low in range((at - n + unit.window) // step * step, at + 1, step):
+                high = min(low + step - 1, unit.window - unit.gram)
+                core = unit.join(units[at - low : at - high + unit.window])
+                key = hashlib.blake2b(b"%d %d " % (h, low) + core, digest_size=8).digest()
+                first, last = max(at - high, 0), min(at - low, n - unit.window)
+                part = unit.join(units[first : last + unit.window])
+                rows.append((int.from_bytes(key, "little", signed=True), digest(part), at - first, dkey, tkey, pos + first, last - first + unit.window, len(part), part))
+        yield _segment_rows(rows)
+
+
+def chunks(batches, most: int):
     """Chunks of rows (as Arrow tables) of about ``most`` bytes of segment text that never
     cut through an anchor's rows."""
     held, size, last = [], 0, None
@@ -254,3 +245,12 @@ def groups(batches, most: int):
             size, last = int(grown[-1]) - base, h[-1]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def by_document(parts: list[DataFrame]) -> DataFrame:
+    """(dkey, tkey, cuts) from rows of (dkey, tkey, cuts array<struct<pos, n>>): all cuts of
+    a document, each once, so that rows that repeat it add nothing."""
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.groupBy("dkey", "tkey").agg(F.flatten(F.collect_set("cuts")).alias("cuts"))

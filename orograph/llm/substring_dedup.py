@@ -1,15 +1,17 @@
 """Operator 1: substring dedup by repeated-phrase automata.
 
-1. Recurring passages are confirmed by anchor (``recurring``): only segments of text
-   whose anchor occurs twice go on, each distinct text once.
+1. Recurring passages are confirmed anchor by anchor (``recurring``). Documents are cut
+   into segments, each with all windows of one anchor. Where an anchor has one segment
+   text only, and that occurs at two places, the text is the passage; else the windows
+   that occur at two places are.
 2. Sharded Aho-Corasick automata: segments are dealt out by anchor; each task compiles an
-   automaton (pyahocorasick) for every bounded chunk of anchors, from the windows that
-   occur in two different segments, and streams the chunk's texts through it. Words are
-   mapped to single characters of a chunk's own alphabet, so matches are exact and start
-   at words only.
-   Anchors with a great many segments are dealt into parts (``recurring.locate_crowded``),
-   each with an automaton of its own.
-3. What occurs earlier elsewhere is removed from each document.
+   automaton (pyahocorasick) of the passages of every bounded chunk of anchors. Words are
+   mapped to characters of a chunk's own alphabet, so matches are exact and start at words
+   only.
+3. All documents are streamed through the automata that can match in them, as segments:
+   a passage can only occur in segments of its own anchor. Equal segments are streamed
+   once, and what the automaton finds there is handed to every place that has the text.
+4. What occurs earlier elsewhere is removed from each document; nothing else is.
 
 Defined results: null and empty texts have no words; a document shorter than a window
 keeps all; rows that repeat an id and its text count as one document (each row is
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import partial
-from itertools import compress
+from itertools import chain, groupby
 
 import ahocorasick
 import numpy as np
@@ -33,11 +35,13 @@ from orograph.llm import recurring as R
 from orograph.llm import text as X
 from orograph.llm.common import cut, keyed, raw_texts
 
-CHUNK_BYTES = 2 << 20
-#: Words of a chunk become characters; one anchor's rows may exceed CHUNK_BYTES, and then
-#: two characters hold a word.
+CHUNK_BYTES = 1 << 20
 KEPT = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-ALPHABET = 0x10FFFF - 0x1000
+#: Digits of a word's number: two or more characters, so that no node of an automaton has
+#: many children. The first character of a word is in a range of its own.
+DIGIT = 256
+_CUTS = "array<struct<pos: long, n: long>>"
+FOUND = f"h long, g binary, lo struct<dkey: long, tkey: long, pos: long>, every {_CUTS}, later {_CUTS}"
 
 
 def _letters(texts: list[list[bytes]]) -> tuple[list[str], int]:
@@ -46,71 +50,91 @@ def _letters(texts: list[list[bytes]]) -> tuple[list[str], int]:
     for t in texts:
         for w in t:
             ids.setdefault(w, len(ids))
-    width = 1 if len(ids) < ALPHABET - 0x800 else 2
-    out = []
-    for t in texts:
-        n = np.fromiter(map(ids.__getitem__, t), np.uint32, len(t))
-        c = (n if width == 1 else np.stack([n >> np.uint32(16), (n & np.uint32(0xFFFF)) + np.uint32(0x20000)], 1).ravel()) + np.uint32(0x100)
-        c = np.where(c >= 0xD800, c + np.uint32(0x800), c)  # no surrogates
-        out.append(c.astype("<u4").tobytes().decode("utf-32-le"))
-    return out, width
-
-
-def _spans(places: list[tuple], window: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in places], pa.int64()) for i in range(3)] + [pa.array([window] * len(places), pa.int64())], ["dkey", "tkey", "pos", "n"])
+    width = 2
+    while DIGIT**width < len(ids):
+        width += 1
+    number = np.fromiter((ids[w] for t in texts for w in t), np.int64)
+    digits = np.stack([number // DIGIT**k % DIGIT for k in range(width - 1, -1, -1)], 1) + 0x100
+    digits[:, 0] += DIGIT
+    whole = digits.ravel().astype("<u4").tobytes().decode("utf-32-le")
+    ends = np.cumsum([0, *map(len, texts)]) * width
+    return [whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], width
+
+
+def _passages(texts: list[str], again: list[bool], anchors: list[int], size: int, width: int) -> set[str]:
+    """What recurs among the texts of each anchor; ``again``: a text occurs twice itself."""
+    found: set[str] = set()
+    for _, rows in groupby(range(len(texts)), anchors.__getitem__):
+        rows = list(rows)
+        if len(rows) == 1:
+            if again[rows[0]]:
+                found.add(texts[rows[0]])
+            continue
+        seen: set[str] = set()
+        for k in rows:
+            own = {texts[k][i : i + size] for i in range(0, len(texts[k]) - size + 1, width)}
+            found |= own if again[k] else own & seen
+            seen |= own
+    return found
 
 
-def _stream(phrases, texts: list[str], at: list[tuple], window: int, width: int):
-    """(phrase, place) of every occurrence of the phrases in texts that begin at ``at``."""
-    automaton = ahocorasick.Automaton()
-    for p in phrases:
-        automaton.add_word(p, p)
-    automaton.make_automaton()
-    for t, (d, k, pos) in zip(texts, at):
-        for end, p in automaton.iter(t):
-            yield p, (d, k, pos + (end + 1) // width - window)
+def _runs(spans: list[tuple[int, int]]) -> list[dict]:
+    """Sorted (from, to) as cuts, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [{"pos": a, "n": b - a} for a, b in out]
 
 
 def _located(window: int, batches):
-    """Windows of each segment's first occurrence that occur earlier in another segment."""
-    for table in R.groups(batches, CHUNK_BYTES):
+    """The places of all passages in each segment's text (``every``), and those that some
+    other place precedes even where the segment occurs first (``later``)."""
+    for table in R.chunks(batches, CHUNK_BYTES):
         texts, width = _letters([s.split(b" ") for s in table.column("seg").to_pylist()])
-        at = list(zip(*(table.column(c).to_pylist() for c in ("dkey", "tkey", "pos"))))
-        size = window * width
-        seen, phrases = set(), set()
-        for t in texts:
-            own = {t[i : i + size] for i in range(0, len(t) - size + 1, width)}
-            phrases |= own & seen
-            seen |= own
-        if not phrases:
+        passages = _passages(texts, table.column("again").to_pylist(), table.column("h").to_pylist(), window * width, width)
+        if not passages:
             continue
-        earliest: dict[str, tuple] = {}
-        hits = list(_stream(phrases, texts, at, window, width))
-        for p, where in hits:
-            if where < earliest.get(p, (float("inf"),)):
-                earliest[p] = where
-        yield _spans([w for p, w in hits if w != earliest[p]], window)
-
-
-def _located_crowded(unit: R.Unit, table: pa.Table, shared: pa.Table) -> pa.Table:
-    """The same for a part of a crowded anchor; which windows recur, and where each is
-    first, was found before."""
-    known = {}
-    for row in shared.select(["w", "dkey", "tkey", "pos"]).to_pylist():
-        known.update(zip(row["w"], zip(row["dkey"], row["tkey"], row["pos"])))
-    places = []
-    if known and len(table):
-        texts, width = _letters([s.split(b" ") for s in table.column("seg").to_pylist()])
+        automaton = ahocorasick.Automaton()
+        for p in passages:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
         at = list(zip(*(table.column(c).to_pylist() for c in ("dkey", "tkey", "pos"))))
-        h, owner, offset = R.window_table(table, unit)
-        size = unit.window * width
-        phrases = {}
-        for w, k, o in zip(h.tolist(), owner.tolist(), offset.tolist()):
-            if w in known:
-                phrases[texts[k][o * width : o * width + size]] = known[w]
-        if phrases:
-            places = [where for p, where in _stream(phrases, texts, at, unit.window, width) if where != phrases[p]]
-    return pa.Table.from_batches([_spans(places, unit.window)])
+        hits: list[list] = []
+        earliest: dict[str, tuple] = {}
+        for t, (d, k, pos) in zip(texts, at):
+            own = []
+            for end, p in automaton.iter(t):
+                place = (end + 1 - len(p)) // width
+                own.append((place, place + len(p) // width, p))
+                where = (d, k, pos + place)
+                if where < earliest.get(p, (float("inf"),)):
+                    earliest[p] = where
+            hits.append(own)
+        h, g = table.column("h").to_pylist(), table.column("g").to_pylist()
+        rows = []
+        for own, (d, k, pos), h1, g1 in zip(hits, at, h, g):
+            if own:
+                own.sort()
+                later = [(a, b) for a, b, p in own if earliest[p] != (d, k, pos + a)]
+                rows.append((h1, g1, {"dkey": d, "tkey": k, "pos": pos}, _runs([(a, b) for a, b, _ in own]), _runs(later)))
+        cuts = pa.list_(pa.struct([("pos", pa.int64()), ("n", pa.int64())]))
+        kinds = [pa.int64(), pa.binary(), pa.struct([("dkey", pa.int64()), ("tkey", pa.int64()), ("pos", pa.int64())]), cuts, cuts]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], ["h", "g", "lo", "every", "later"])
+
+
+def _streamed(segments: DataFrame, window: int) -> DataFrame:
+    """(dkey, tkey, cuts): what goes from each place of ``segments``."""
+    at = F.struct("dkey", "tkey", "pos")
+    once = segments.groupBy("h", "g").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.first("seg").alias("seg"))
+    dealt = once.select("h", "g", "lo.dkey", "lo.tkey", "lo.pos", (F.col("lo") != F.col("hi")).alias("again"), "seg").repartition(F.col("h")).sortWithinPartitions("h", "dkey", "tkey", "pos")
+    found = cut(dealt.mapInArrow(partial(_located, window), FOUND))
+    mine = F.when(at == F.col("lo"), F.col("later")).otherwise(F.col("every"))
+    placed = F.transform(mine, lambda c: F.struct((c["pos"] + F.col("pos")).alias("pos"), c["n"].alias("n")))
+    joined = segments.select("h", "g", "dkey", "tkey", "pos").join(found, ["h", "g"]).select("dkey", "tkey", placed.alias("cuts"))
+    return cut(joined.where(F.size("cuts") > 0))
 
 
 def _kept(with_text: bool, batches):
@@ -120,9 +144,9 @@ def _kept(with_text: bool, batches):
             words = raw.split()
             n, removed = len(words), 0
             if cuts.is_valid and len(cuts):
-                gone = X.covered(n, np.asarray(cuts.values.field("pos")), np.asarray(cuts.values.field("n")))
-                removed = int(gone.sum())
-                words = compress(words, (~gone).tolist())
+                begins, ends = X.merged(np.asarray(cuts.values.field("pos")), np.asarray(cuts.values.field("n")))
+                removed = int((ends - begins).sum())
+                words = chain.from_iterable(X.without(words, begins, ends))
             kept = b" ".join(words)
             rows.append((n, removed, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None))
         out = list(zip(*rows)) or [(), (), (), ()]
@@ -138,12 +162,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 6, w
     ``window`` words whose word sequence also starts earlier: in a smaller doc_id, or
     earlier in the same document."""
     docs = keyed(docs)
-    unit = R.Unit(window, gram, True)
-    segments = R.recurring_segments(docs, unit)
-    crowd = R.crowded(segments)
-    located = cut(R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, window), "dkey long, tkey long, pos long, n long"))
-    crowded = R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit))
-    later = cut(R.copies(segments).where("not first").select("dkey", "tkey", "pos", "n"))
-    cuts = later.unionByName(located).unionByName(crowded).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
+    segments = R.recurring_segments(docs, R.Unit(window, gram, True))
+    cuts = R.by_document([_streamed(part, window) for part in segments])
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)

@@ -1,13 +1,18 @@
 """Operator 9: suffix-array dedup by a depth-limited radix sort.
 
-Suffixes of all texts are ordered only as far as the threshold (200 bytes), by passes
-over wide digits from the most significant on. The first pass is by anchor (see
-``recurring``): it spreads the suffixes over tasks and drops, before any text is shipped,
-all that no other suffix can equal. Equal segments then meet once. In each task the
-remaining suffixes of a chunk are refined digit by digit; a group of one leaves at once;
-groups that are still together after the last digit are exactly the repeated windows,
-which a comparison of their bytes confirms. Anchors with a great many segments are dealt
-into parts first (``recurring.locate_crowded``).
+Suffixes of all texts are ordered only as far as the threshold (200 bytes), by passes over
+digits from the most significant on; groups that are still together after the last digit
+are exactly the repeated windows.
+
+Tasks share the suffixes by anchor (``recurring``), not by their leading bytes: equal
+windows have equal anchors, too, but a segment of a hundred suffixes of one anchor travels
+as one text, where ranges of leading bytes would need each suffix with 200 bytes of its
+own. Suffixes whose anchor occurs once can't equal another and are left out before any
+text is shipped. Within a task all suffixes of a chunk of anchors are sorted in one go:
+the first key is the anchor and the distance to it, then come digits of 8 bytes, the
+leading ones first, compared as they are. A suffix that is alone in its group leaves at
+once. Equal segments are sorted as one, which counts for two: it is repeated even where it
+is alone. What the groups say of a segment's text goes to each place that has it.
 
 Defined results: null and empty texts have no bytes; a text shorter than the threshold
 keeps all; rows that repeat an id and its text count as one document (each row is
@@ -30,80 +35,79 @@ from orograph.llm import text as X
 from orograph.llm.common import cut, keyed, raw_texts
 
 CHUNK_BYTES = 1 << 20
-DIGIT = 40
+DIGIT = 8
 KEPT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-
-
-def _sorted_groups(group: np.ndarray, digit: np.ndarray):
-    """Order by (group, digit); returns the order, and for each the new group number,
-    keeping groups of two or more only."""
-    key = X.mix(group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ digit
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    first = np.concatenate(([True], k[1:] != k[:-1]))
-    number = np.cumsum(first) - 1
-    many = np.bincount(number)[number] > 1
-    return order[many], number[many]
-
-
-def _repeated(data: bytes, place: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
-    """Indices of suffixes (starting at ``place`` in data, each ``depth`` long at least)
-    that equal another one of their group through ``depth`` bytes."""
-    values = X.byte_values()[np.frombuffer(data, np.uint8)]
-    index = np.arange(len(place))
-    for at in range(0, depth, DIGIT):
-        if not len(index):
-            return index
-        digits = X.window_hash(values, min(DIGIT, depth - at))
-        order, group = _sorted_groups(group, digits[place[index] + at])
-        index = index[order]
-    if len(index):
-        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), depth)
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        head = np.repeat(index[first], np.diff(np.concatenate((first, [len(group)]))))
-        for i in range(0, len(index), 1 << 14):
-            if (view[place[index[i : i + (1 << 14)]]] != view[place[head[i : i + (1 << 14)]]]).any():
-                raise ArithmeticError("two digits share a hash")
-    return index
-
-
-def _runs(table: pa.Table, owner: np.ndarray, offset: np.ndarray, depth: int) -> pa.RecordBatch:
-    """Spans covered by windows that start at ``offset`` in segment ``owner`` (sorted)."""
-    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))) if len(owner) else np.zeros(0, np.int64)
-    last = np.concatenate((first[1:], [len(owner)]))[: len(first)] - 1
-    at = {c: np.asarray(table.column(c)) for c in ("dkey", "tkey", "pos")}
-    o = owner[first]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(at["dkey"][o]), pa.array(at["tkey"][o]), pa.array(at["pos"][o] + offset[first]), pa.array(offset[last] - offset[first] + depth)],
-        ["dkey", "tkey", "pos", "n"],
-    )
+_CUTS = "array<struct<pos: long, n: long>>"
+
+
+def _digits(data: bytes) -> np.ndarray:
+    """The DIGIT bytes from each place on, as a number; zeros beyond the end."""
+    padded = np.frombuffer(data + bytes(DIGIT), np.uint8)
+    value = np.zeros(len(data), np.uint64)
+    for k in range(DIGIT):
+        value = value << np.uint64(8) | padded[k : k + len(data)]
+    return value
+
+
+def repeated(data: bytes, place: np.ndarray, group: np.ndarray, twice: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes of ``data`` (at ``place``, ``depth`` bytes long at least) are equal
+    through ``depth`` bytes to another of their ``group``; those marked in ``twice`` are
+    repeated in any case."""
+    digits = _digits(data)
+    index = np.argsort(group, kind="stable")
+    key = group[index]
+    new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]  # begins a group
+    for at in range(0, depth + DIGIT, DIGIT):
+        alone = new & np.concatenate((new[1:], [True]))[: len(new)]
+        index, new = index[~alone], new[~alone]
+        if at >= depth or not len(index):
+            break
+        digit = digits[place[index] + at]
+        if depth - at < DIGIT:
+            digit = digit >> np.uint64(8 * (DIGIT - depth + at))
+        start = np.flatnonzero(new)
+        number = np.cumsum(new) - 1
+        mixed = np.logical_or.reduceat(digit != digit[start][number], start)
+        if mixed.any():  # other groups stay as they are
+            rows = np.flatnonzero(mixed[number])
+            order = rows[np.lexsort((digit[rows], number[rows]))]
+            index[rows], digit[rows] = index[order], digit[order]
+            new[1:] |= digit[1:] != digit[:-1]
+    out = twice.copy()
+    out[index] = True
+    return out
 
 
 def _located(depth: int, batches):
-    """Repeated windows among the segments of each anchor, for segments that occur once."""
-    for table in R.groups(batches, CHUNK_BYTES):
+    """Of each segment's text: the runs that repeated windows cover."""
+    for table in R.chunks(batches, CHUNK_BYTES):
         segs = table.column("seg").to_pylist()
         size = np.fromiter(map(len, segs), np.int64, len(segs))
         windows = size - depth + 1
         owner = np.repeat(np.arange(len(segs)), windows)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        h = np.asarray(table.column("h"))
+        h, again = np.asarray(table.column("h")), np.asarray(table.column("again"))
         anchor = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
-        found = _repeated(b"".join(segs), (np.cumsum(size) - size)[owner] + offset, anchor[owner], depth)
-        found = np.sort(found[~np.asarray(table.column("again"))[owner[found]]])
-        yield _runs(table, owner[found], offset[found], depth)
-
-
-def _located_crowded(unit: R.Unit, table: pa.Table, shared: pa.Table) -> pa.Table:
-    """The same for a part of a crowded anchor; which windows recur was found before, by
-    hashes of all digits beside the anchor's own."""
-    if not len(table):
-        table = pa.table({c: pa.array([], pa.int64()) for c in ("dkey", "tkey", "pos")})
-        return pa.Table.from_batches([_runs(table, np.zeros(0, np.int64), np.zeros(0, np.int64), unit.window)])
-    known = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x.values) for x in shared.column("w"))])
-    w, owner, offset = R.window_table(table, unit)
-    found = np.flatnonzero(np.isin(w, known) & ~np.asarray(table.column("again"))[owner])
-    return pa.Table.from_batches([_runs(table, owner[found], offset[found], unit.window)])
+        group = anchor[owner] * depth + np.asarray(table.column("at"))[owner] - offset
+        found = np.flatnonzero(repeated(b"".join(segs), (np.cumsum(size) - size)[owner] + offset, group, again[owner], depth))
+        o, i = owner[found], offset[found]
+        first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (i[1:] > i[:-1] + depth)))) if len(o) else np.zeros(0, np.int64)
+        last = np.concatenate((first[1:], [len(o)]))[: len(first)] - 1
+        runs = pa.StructArray.from_arrays([pa.array(i[first]), pa.array(i[last] - i[first] + depth)], ["pos", "n"])
+        named, begins = np.unique(o[first], return_index=True)
+        cuts = pa.ListArray.from_arrays(pa.array(np.concatenate((begins, [len(first)])), pa.int32()), runs)
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.select(["h", "g"]).take(pa.array(named)).columns), cuts], ["h", "g", "found"])
+
+
+def _sorted(segments: DataFrame, depth: int) -> DataFrame:
+    """(dkey, tkey, cuts): what goes from each place of ``segments``."""
+    ends = [f(c).alias(f"{name}_{c}") for c in ("dkey", "tkey", "pos") for name, f in (("least", F.min), ("most", F.max))]
+    again = F.expr("least_dkey != most_dkey or least_tkey != most_tkey or least_pos != most_pos")
+    once = segments.groupBy("h", "g", "at", "seg").agg(*ends).select("h", "g", "at", again.alias("again"), "seg")
+    dealt = once.repartition(F.col("h")).sortWithinPartitions("h")
+    found = cut(dealt.mapInArrow(partial(_located, depth), f"h long, g binary, found {_CUTS}"))
+    placed = F.transform("found", lambda c: F.struct((c["pos"] + F.col("pos")).alias("pos"), c["n"].alias("n")))
+    return cut(segments.select("h", "g", "dkey", "tkey", "pos").join(found, ["h", "g"]).select("dkey", "tkey", placed.alias("cuts")))
 
 
 def _kept(with_text: bool, batches):
@@ -112,10 +116,9 @@ def _kept(with_text: bool, batches):
         for raw, cuts in zip(raw_texts(batch), batch.column("cuts")):
             n, removed, runs, kept = len(raw), 0, 0, raw
             if cuts.is_valid and len(cuts):
-                gone = X.covered(n, np.asarray(cuts.values.field("pos")), np.asarray(cuts.values.field("n")))
-                removed = int(gone.sum())
-                runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                begins, ends = X.merged(np.asarray(cuts.values.field("pos")), np.asarray(cuts.values.field("n")))
+                removed, runs = int((ends - begins).sum()), len(begins)
+                kept = b"".join(X.without(raw, begins, ends))
             rows.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
         out = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
@@ -129,12 +132,7 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32, wit
     (bytes left) for each row of ``docs`` (doc_id, text). A byte goes if it lies in a
     string of ``depth`` bytes that also starts anywhere else, in any document."""
     docs = keyed(docs)
-    unit = R.Unit(depth, gram, False)
-    segments = R.recurring_segments(docs, unit)
-    crowd = R.crowded(segments)
-    located = cut(R.distinct_segments(segments.join(crowd, "h", "left_anti")).mapInArrow(partial(_located, depth), "dkey long, tkey long, pos long, n long"))
-    crowded = R.locate_crowded(segments, crowd, unit, partial(_located_crowded, unit))
-    copied = cut(R.copies(segments).drop("first"))
-    cuts = copied.unionByName(located).unionByName(crowded).groupBy("dkey", "tkey").agg(F.collect_list(F.struct("pos", "n")).alias("cuts"))
+    segments = R.recurring_segments(docs, R.Unit(depth, gram, False))
+    cuts = R.by_document([_sorted(part, depth) for part in segments])
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

@@ -7,7 +7,7 @@ import numpy as np
 #: White space as the contract has it: space and 0x09-0x0D. bytes.split() uses the same.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_ALL = (1 << 64) - 1
+_WORDS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,13 +49,15 @@ class Words:
         n = self.end - self.start
         self.hash = np.zeros(len(n), np.uint64)
         if len(n):
-            first = np.cumsum(n) - n
-            letters = data[inside].astype(np.uint64) + np.uint64(1)
-            place = np.arange(len(letters)) - np.repeat(first, n)
             power = np.ones(int(n.max()), np.uint64)
             power[1:] = np.uint64(_P)
             power = np.cumprod(power)
-            self.hash = mix(np.add.reduceat(letters * power[place], first) + n.astype(np.uint64) * np.uint64(_Q))
+            for i in range(0, len(n), _WORDS):  # a block of words at a time: less memory
+                a, b, m = self.start[i], self.end[min(i + _WORDS, len(n)) - 1], n[i : i + _WORDS]
+                first = np.cumsum(m) - m
+                letters = data[a:b][inside[a:b]].astype(np.uint64) + np.uint64(1)
+                letters *= power[np.arange(len(letters)) - np.repeat(first, m)]
+                self.hash[i : i + _WORDS] = mix(np.add.reduceat(letters, first) + m.astype(np.uint64) * np.uint64(_Q))
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]]
@@ -101,9 +103,19 @@ def window_argmin(order: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Which of n places lie in any of the given spans."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.minimum(starts, n), 1)
-    np.add.at(edge, np.minimum(starts + lengths, n), -1)
-    return np.cumsum(edge[:n]) > 0
+def merged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans [from, to) that the given ones cover, in order and apart."""
+    order = np.argsort(starts, kind="stable")
+    a = np.asarray(starts)[order]
+    reach = np.maximum.accumulate(a + np.asarray(lengths)[order]) if len(a) else a
+    first = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))[: len(a)]
+    return a[first], reach[np.concatenate((first[1:], [len(a)]))[: len(first)] - 1]
+
+
+def without(units, begins: np.ndarray, ends: np.ndarray):
+    """The parts of a sequence beside the given spans."""
+    at = 0
+    for a, b in zip(begins.tolist(), ends.tolist()):
+        yield units[at:a]
+        at = b
+    yield units[at:]

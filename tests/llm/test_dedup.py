@@ -3,11 +3,11 @@
 import hashlib
 import random
 import re
-from functools import partial
 
+import numpy as np
 import pytest
 
-from orograph.llm import recurring, substring_dedup, suffix_dedup
+from orograph.llm import recurring, substring_dedup, suffix_dedup, text
 from tests.conftest import SMALL
 
 SCHEMA = "doc_id long, text string, n_words string"
@@ -84,9 +84,8 @@ def test_bytes_match_brute_force_on_the_tables(spark):
 
 @pytest.mark.parametrize("crowd", [2000, 5])
 def test_shared_passages(spark, crowd, monkeypatch):
-    """With a small CROWD, the edges of shared passages are dealt into parts."""
+    """With a small CROWD, anchors are refined down to single windows."""
     monkeypatch.setattr(recurring, "CROWD", crowd)
-    monkeypatch.setattr(recurring, "PART", 4)
     rows = shared_passages(90, crowd)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
     assert words_of(substring_dedup.remove_repeated_passages(docs)) == brute_words(rows)
@@ -94,8 +93,8 @@ def test_shared_passages(spark, crowd, monkeypatch):
 
 
 def test_edge_cases(spark):
-    text = " ".join(f"w{i}" for i in range(40))
-    rows = [(7, text), (7, text), (None, text), (8, text), (9, None)]
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, same), (7, same), (None, same), (8, same), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeated_passages(docs).collect())
     # a null id sorts first and keeps its text; repeated rows count as one document
@@ -114,11 +113,73 @@ def test_kept_texts(spark):
     assert {r.doc_id: r.kept for r in substring_dedup.remove_repeated_passages(docs).collect()} == {1: a, 2: f"{b} {b}"}
 
 
-def test_parts_find_what_one_group_finds():
-    import pyarrow as pa
+def test_rows_without_ids_and_repeated_rows(spark):
+    """A thousand of each: places of one key stay as few as those of one document."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n))
+    passage = words(60)
+    alone = [(None, f"{words(40)} {i} {passage if i % 2 else ''} {words(20)}") for i in range(1000)]
+    docs = spark.createDataFrame(alone + [(3, passage + " end")] * 1000 + [(5, words(80))] * 1000, "doc_id long, text string")
+    by_words = substring_dedup.remove_repeated_passages(docs).collect()
+    assert len(by_words) == 3000
+    assert all(r.n_removed == 0 for r in by_words if r.doc_id == 5) and all(r.n_removed == 60 for r in by_words if r.doc_id == 3)
+    # of those without an id, all but the first in order lose the passage
+    assert sum(r.n_removed >= 60 for r in by_words if r.doc_id is None) == 499
+    by_bytes = suffix_dedup.remove_repeated_bytes(docs).collect()
+    assert all(r.n_removed == 0 for r in by_bytes if r.doc_id == 5)
+    size = len(passage)
+    if size >= 200:
+        assert all(r.n_removed >= size for r in by_bytes if r.doc_id == 3) and sum(r.n_removed >= size for r in by_bytes if r.doc_id is None) == 500
+
+
+@pytest.mark.parametrize("crowd", [2000, 2])
+def test_hashes_that_collide(spark, crowd, monkeypatch):
+    """With hashes of 8 bits, all decisions fall to the texts themselves."""
+    mix = text.mix
+    monkeypatch.setattr(text, "mix", lambda x: mix(x) & np.uint64(0xFF))
+    monkeypatch.setattr(recurring, "CROWD", crowd)
+    rows = shared_passages(60, 5)
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
+    assert words_of(substring_dedup.remove_repeated_passages(docs)) == brute_words(rows)
+    assert bytes_of(suffix_dedup.remove_repeated_bytes(docs)) == brute_bytes(rows)
+
 
-    unit = recurring.Unit(3, 2, True)
-    table = pa.table({"h": [1, 1], "part": [0, 0], "parts": [1, 1], "dkey": [5, 4], "tkey": [0, 0], "pos": [10, 20], "seg": [b"a b c d", b"z a b c"]})
-    sets = partial(recurring._window_sets, unit)(table)
-    shared = recurring._shared(sets.append_column("p", sets.column("part")).drop_columns(["p"]))
-    assert [(r["dkey"], r["pos"]) for r in shared.to_pylist()] == [([4], [21])]
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Texts of many blocks give what whole ones do."""
+    monkeypatch.setattr(recurring, "BLOCK", 700)
+    rows = shared_passages(40, 6) + [(100, "w" * 5000 + " a b " * 200 + "v" * 3000)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
+    assert words_of(substring_dedup.remove_repeated_passages(docs)) == brute_words(rows)
+    assert bytes_of(suffix_dedup.remove_repeated_bytes(docs)) == brute_bytes(rows)
+
+
+def test_a_very_long_text(spark):
+    """20 MB in one text, with a passage that another document has, too."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(10**6, 10**7, 2_500_000).astype("S7").tolist()
+    long = b" ".join(words).decode()
+    passage = long[10_000_000:10_000_800]
+    docs = spark.createDataFrame([(1, long), (2, "x " + passage + " y")], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.remove_repeated_passages(docs, with_text=False).collect()}
+    assert got[1].n_words == 2_500_000 and got[1].n_removed == 0 and 95 <= got[2].n_removed <= 101
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeated_bytes(docs, with_text=False).collect()}
+    assert got[1].n_bytes == len(long) and got[1].n_removed == 800 + (long[9_999_999] == " ") + (long[10_000_800] == " ") and got[1].n_spans == 1
+
+
+def test_radix_passes_against_whole_windows():
+    rng = np.random.default_rng(9)
+    for depth in (5, 8, 19):
+        data = bytes(rng.integers(0, 2, 900, np.uint8))
+        place = rng.permutation(900 - depth)[:600]
+        group = rng.integers(0, 3, 600)
+        twice = rng.random(600) < 0.05
+        got = suffix_dedup.repeated(data, place, group, twice, depth)
+        keys = [(g, data[p : p + depth]) for g, p in zip(group.tolist(), place.tolist())]
+        assert got.tolist() == [t or keys.count(k) > 1 for k, t in zip(keys, twice.tolist())]
+
+
+def test_every_removed_word_comes_from_an_automaton(spark, monkeypatch):
+    """Without passages for the automata nothing is removed, copies included."""
+    monkeypatch.setattr(substring_dedup, "_passages", lambda *a: set())
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert substring_dedup.remove_repeated_passages(docs, with_text=False).where("n_removed > 0").isEmpty()
