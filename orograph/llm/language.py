@@ -37,6 +37,8 @@ BUCKETS = 1 << 13
 DIMENSIONS = 16
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
+#: Bytes and texts of a block that numpy works on.
+PART, ROWS = 1 << 20, 256
 
 
 def _lowered(raw: list[bytes]) -> bytes:
@@ -76,6 +78,15 @@ def subwords(raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def in_parts(raw: list[bytes]):
+    """Blocks of about PART bytes and ROWS texts at most, as (number of each part's text,
+    parts). Long texts are cut at white space, which no subword crosses."""
+    parts = [(i, p) for i, t in enumerate(raw) for p in (X.pieces(t, PART) if len(t) > PART else (t,))]
+    for a, b in spans([len(p) for _, p in parts], PART):
+        for c in range(a, b, ROWS):
+            yield np.array([i for i, _ in parts[c : min(b, c + ROWS)]]), [p for _, p in parts[c : min(b, c + ROWS)]]
+
+
 @dataclass
 class Model:
     """table: bucket x language, the softmax's input for a text of that one subword."""
@@ -88,13 +99,14 @@ class Model:
 
     def logits(self, raw: list[bytes]) -> np.ndarray:
         total, count = np.zeros((len(raw), len(self.languages))), np.zeros(len(raw))
-        for buckets, bounds in subwords(raw):
-            n = np.diff(bounds)
-            count += n
-            some = np.flatnonzero(n)
-            if len(some):
-                for k in range(len(self.languages)):  # a column at a time: less memory
-                    total[some, k] += np.add.reduceat(self.table[k][buckets], bounds[:-1][some], dtype=np.float64)
+        for owner, parts in in_parts(raw):
+            for buckets, bounds in subwords(parts):
+                n = np.diff(bounds)
+                np.add.at(count, owner, n)
+                some = np.flatnonzero(n)
+                if len(some):
+                    for k in range(len(self.languages)):  # a column at a time: less memory
+                        np.add.at(total[:, k], owner[some], np.add.reduceat(self.table[k][buckets], bounds[:-1][some], dtype=np.float64))
         return total / np.maximum(count, 1)[:, None] + self.bias
 
 
@@ -107,14 +119,14 @@ def _counts(batches):
     """Bucket counts of each text, sparse."""
     for batch in batches:
         raw, lang = raw_texts(batch), batch.column("lang")
-        for i, j in spans([len(t) for t in raw], 1 << 20):
-            dense = np.zeros((j - i, BUCKETS), np.int32)
-            for buckets, bounds in subwords(raw[i:j]):
-                owner = np.repeat(np.arange(j - i), np.diff(bounds))
-                np.add.at(dense, (owner, buckets[bounds[0] : bounds[-1]]), 1)
+        for i in range(0, len(raw), ROWS):
+            dense = np.zeros((len(raw[i : i + ROWS]), BUCKETS), np.int32)
+            for owner, parts in in_parts(raw[i : i + ROWS]):
+                for buckets, bounds in subwords(parts):
+                    np.add.at(dense, (np.repeat(owner, np.diff(bounds)), buckets[bounds[0] : bounds[-1]]), 1)
             rows = [np.flatnonzero(d) for d in dense]
             yield pa.RecordBatch.from_arrays(
-                [lang.slice(i, j - i), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([d[r] for d, r in zip(dense, rows)], pa.list_(pa.int32()))],
+                [lang.slice(i, len(rows)), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([d[r] for d, r in zip(dense, rows)], pa.list_(pa.int32()))],
                 ["lang", "bucket", "n"],
             )
 
@@ -190,10 +202,10 @@ _NO_LETTERS = bytes(b for b in range(0x80) if not chr(b).isalpha())
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` (struct row) with lang_pred, score and rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values, which need no package to read
 
     def fn(raw):
-        m = held.value
+        m = Model(**held.value)
         langs, scores, rejected = [UNKNOWN] * len(raw), np.zeros(len(raw)), [True] * len(raw)
         some = [i for i, t in enumerate(raw) if m.languages and has_letter(t)]
         for a, b in spans([len(raw[i]) for i in some], 1 << 20):

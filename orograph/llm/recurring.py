@@ -23,7 +23,6 @@ a block are cut into pieces that overlap by a window less one unit.
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -41,7 +40,6 @@ CROWD, CROWD_BYTES = 2_000, 2 << 20
 #: Bytes of a block of texts, or of a piece of one text.
 BLOCK = 1 << 20
 SEGMENT = "h long, g binary, at int, dkey long, tkey long, pos long, n int, size int, seg binary"
-_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
 @dataclass(frozen=True)
@@ -110,7 +108,7 @@ def blocks(raw: list[bytes], unit: Unit):
         while True:
             end = min(start + size, len(text))
             if unit.words and end < len(text):
-                gap = _GAP.search(text, end)
+                gap = X.GAP.search(text, end)
                 end = gap.start() if gap else len(text)
             piece = Block(i, base, [text[start:end]], unit)
             step = len(piece.values) - unit.window + 1

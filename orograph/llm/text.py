@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: White space as the contract has it: space and 0x09-0x0D. bytes.split() uses the same.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+GAP = re.compile(rb"[\x20\x09-\x0d]")
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _WORDS = 1 << 16
 
@@ -119,3 +122,14 @@ def without(units, begins: np.ndarray, ends: np.ndarray):
         yield units[at:a]
         at = b
     yield units[at:]
+
+
+def pieces(raw: bytes, most: int = 1 << 20):
+    """A text in parts of about ``most`` bytes that begin with white space, but the first;
+    a part is longer only where a word is."""
+    at = 0
+    while at < len(raw):
+        gap = GAP.search(raw, at + most) if at + most < len(raw) else None
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end]
+        at = end
