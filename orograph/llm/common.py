@@ -77,8 +77,3 @@ def spans(sizes: list[int], limit: int):
     if at < len(sizes):
         yield at, len(sizes)
 
-
-def sampled_ids(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` ids of ``rows``, the first by hash: a bounded sample that doesn't
-    depend on partitioning. Only ids travel to the driver."""
-    return rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

@@ -8,9 +8,14 @@ found in one pass of an automaton over the folded text. A match inside an except
 phrase doesn't count. The sum of weights, also per word of the text, goes through a
 logistic curve to a score.
 
-Learning takes at most SAMPLE labelled documents, the first by a hash of the id, so it
-costs the same at any size. Features are counted in tasks and added up by Spark; only
-entries with enough support, LEXICON at most, reach the driver.
+Exception phrases are learned before weights: candidates are entries that toxic documents
+have more often, if not by much. A candidate with the word before or after it is an
+exception where such phrases are in clean documents nearly alone; then candidates are
+counted anew outside exceptions, and those that now tell toxic documents apart get in.
+
+Learning takes at most SAMPLE labelled documents, the first by a hash of id and text, so it
+costs the same at any size. Features and phrases are counted in tasks and added up by
+Spark; all with enough support go on, none is cut off.
 
 Defined results: null and empty texts have no words and get the score of a text without
 matches; a null doc_id isn't held out; without labels of both kinds the lexicon is empty
@@ -21,6 +26,7 @@ rows are scored one by one; other columns ride along and may have any name.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -30,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orograph.llm.common import annotate, cut, held_out, raw_texts, sampled_ids
+from orograph.llm.common import annotate, cut, held_out, raw_texts
 
 #: Most labelled documents that a model is learned from.
 SAMPLE = 20_000
-#: Most entries of a lexicon.
-LEXICON = 2_000
-#: Most word beginnings whose counts among clean documents are looked up.
-CANDIDATES = 50_000
 THRESHOLD = 0.7
+#: Least log odds of a lexicon's entries, and of candidates before exceptions are known.
+ODDS, CANDIDATE_ODDS = 3.0, 0.5
+#: Clean documents that an exception needs, and how many times the toxic ones they must be.
+EXCEPTION_DOCS, EXCEPTION_TIMES = 5, 5
 SHORTEST, LONGEST = 4, 8
 # Letters that look like Latin ones (Cyrillic, Greek, full-width signs).
 LOOKALIKES = str.maketrans(
@@ -88,7 +94,6 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     curve: tuple[float, float, float] | None = None
-    longest_phrase: int = 0
 
     def automaton(self):
         made = ahocorasick.Automaton()
@@ -102,20 +107,32 @@ class Model:
         return made
 
 
-def matches(automaton, text: str) -> list[tuple[int, str, float]]:
+def matches(automaton, text: str, every: bool = False) -> list[tuple[int, str, float]]:
     """(start, entry, weight) of lexicon matches outside exception phrases; of those that
-    start at one place, the heaviest."""
+    start at one place, the heaviest, or ``every`` one."""
     if not len(automaton):
         return []
+    all_of: list[tuple[int, str, float]] = []
     found: dict[int, tuple[float, str]] = {}
-    covered = []
+    begins: list[int] = []  # of covered stretches, apart and in order, as matches end in order
+    ends: list[int] = []
     for end, (entry, weight) in automaton.iter(text):
         start = end - len(entry) + 1
         if weight is None:
-            covered.append((start, end))
+            while begins and start <= ends[-1]:
+                start = min(start, begins.pop())
+                ends.pop()
+            begins.append(start), ends.append(end)
+        elif every:
+            all_of.append((start, entry, weight))
         elif (weight, entry) > found.get(start, (-math.inf, "")):
             found[start] = (weight, entry)
-    return [(s, e, w) for s, (w, e) in sorted(found.items()) if not any(a <= s < b for a, b in covered)]
+
+    def excused(at: int) -> bool:
+        k = bisect_right(begins, at) - 1
+        return k >= 0 and at < ends[k]
+
+    return [m for m in all_of or ((s, e, w) for s, (w, e) in sorted(found.items())) if not excused(m[0])]
 
 
 def signals(automaton, text: str) -> tuple[float, float, int]:
@@ -135,19 +152,46 @@ def _starts(text: str) -> set[str]:
     return out
 
 
-def _count(wanted, batches):
-    """(entry, documents) of each batch; of all entries, or of those in ``wanted``."""
+def _counted(seen: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["entry", "toxic", "docs"])
+
+
+def _entry_rows(held, batches):
+    """(entry, toxic, documents) of each batch: all entries, or those of the model in
+    ``held`` that match outside its exceptions."""
+    automaton = Model(**held.value).automaton() if held else None
     for batch in batches:
-        seen: dict[str, int] = {}
-        for raw in raw_texts(batch):
-            entries = _starts(fold(raw))
-            for e in entries if wanted is None else entries & wanted.value:
-                seen[e] = seen.get(e, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64())], ["entry", "docs"])
+        seen: dict[tuple, int] = {}
+        for raw, toxic in zip(raw_texts(batch), batch.column("toxic").to_pylist()):
+            text = fold(raw)
+            for e in {e for _, e, _ in matches(automaton, text, every=True)} if held else _starts(text):
+                seen[e, toxic] = seen.get((e, toxic), 0) + 1
+        yield _counted(seen)
 
 
-def _document_counts(texts: DataFrame, wanted=None) -> DataFrame:
-    return texts.select("text").mapInArrow(partial(_count, wanted), "entry string, docs long").groupBy("entry").agg(F.sum("docs").alias("docs"))
+def _phrase_rows(held, good, batches):
+    """The same of phrases: each match of the model's entries with the word before it, and
+    with the word after it. With ``good`` (phrase to clean documents), a match counts for
+    the phrase with the most of them only."""
+    automaton = Model(**held.value).automaton()
+    for batch in batches:
+        seen: dict[tuple, int] = {}
+        for raw, toxic in zip(raw_texts(batch), batch.column("toxic").to_pylist()):
+            text, phrases = fold(raw), set()
+            for start, _, _ in matches(automaton, text):
+                stop = text.index(" ", start + 1)
+                both = text[text.rfind(" ", 0, start) if start else 0 : stop + 1], text[start : text.find(" ", stop + 1) + 1 or stop + 1]
+                fit = [p for p in both if p.count(" ") > 2 and (good is None or p in good.value)]
+                phrases.update(fit if good is None else [max(fit, key=lambda p: (good.value[p], p))] if fit else [])
+            for p in phrases:
+                seen[p, toxic] = seen.get((p, toxic), 0) + 1
+        yield _counted(seen)
+
+
+def _document_counts(texts: DataFrame, rows) -> DataFrame:
+    """(entry, bad, good): toxic and clean documents with each entry that ``rows`` counts."""
+    counted = texts.select("text", "toxic").mapInArrow(rows, "entry string, toxic int, docs long").groupBy("entry", "toxic").agg(F.sum("docs").alias("docs"))
+    return counted.groupBy("entry").agg(F.sum(F.expr("if(toxic = 1, docs, 0)")).alias("bad"), F.sum(F.expr("if(toxic = 0, docs, 0)")).alias("good"))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -161,71 +205,66 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1e-
 
 
 def _signal_rows(held, batches):
-    automaton = held.value.automaton()
+    automaton = Model(**held.value).automaton()
     for batch in batches:
         rows = [signals(automaton, fold(raw))[:2] for raw in raw_texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([r[i] for r in rows], pa.float64()) for i in (0, 1))], ["toxic", "total", "density"])
 
 
-def _context_rows(held, batches):
-    """(phrase, toxic, documents): each match with the word before it, or after it."""
-    automaton = held.value.automaton()
-    for batch in batches:
-        seen: dict[tuple, int] = {}
-        for raw, toxic in zip(raw_texts(batch), batch.column("toxic").to_pylist()):
-            text, phrases = fold(raw), set()
-            for start, _, _ in matches(automaton, text):
-                stop = text.index(" ", start + 1)
-                phrases.add(text[text.rfind(" ", 0, start) if start else 0 : stop + 1])
-                phrases.add(text[start : text.find(" ", stop + 1) + 1 or stop + 1])
-            for p in phrases:
-                if p.count(" ") > 2:
-                    seen[p, toxic] = seen.get((p, toxic), 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["phrase", "toxic", "docs"]
-        )
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(text, toxic): ``sample`` labelled documents that aren't held out, at most. Documents
+    are told apart by id and text, so an id that many share takes no more than its share."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    first = texts.select("doc_id", "key").join(usable, "doc_id").distinct().orderBy("key", "doc_id", "toxic").limit(sample)
+    return texts.join(F.broadcast(first), ["doc_id", "key"]).select("doc_id", "text", "toxic").distinct().select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> Model:
+def _odds(bad: int, good: int, toxic: int, clean: int) -> float:
+    return math.log((bad + 0.5) / (toxic + 1)) - math.log((good + 0.5) / (clean + 1))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labels (doc_id, toxic 0 or 1) of ``docs`` (doc_id, text) that aren't
     held out; ``sample`` bounds the labelled documents it looks at."""
-    spark = docs.sparkSession
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out("doc_id")).distinct()
-    chosen = sampled_ids(usable, sample).join(usable, "doc_id")
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct())
+    send = lambda m: docs.sparkSession.sparkContext.broadcast(vars(m))  # noqa: E731  plain values, which need no package to read
+    texts = cut(_sampled(docs, labels, sample))
     n = dict(texts.groupBy("toxic").count().collect())
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return Model()
     support = max(3, math.ceil(toxic / 200))
-    frequent = _document_counts(texts.where("toxic = 1")).where(F.col("docs") >= support).orderBy(F.desc("docs"), "entry").limit(CANDIDATES).collect()
-    wanted = spark.sparkContext.broadcast({r.entry for r in frequent})
-    among_clean = dict(_document_counts(texts.where("toxic = 0"), wanted).collect())
-    odds = {r.entry: math.log((r.docs + 0.5) / (toxic + 1)) - math.log((among_clean.get(r.entry, 0) + 0.5) / (clean + 1)) for r in frequent}
-    docs_of = dict(frequent)
-    model = Model()
+    odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
+    candidates = _document_counts(texts, partial(_entry_rows, None)).where((F.col("bad") >= support) & (odds >= CANDIDATE_ODDS)).select("entry").collect()
+    model = Model({r.entry: 1.0 for r in candidates})
+    held, good = send(model), None
+    for _ in range(2):  # all phrases; then those that explain clean documents on their own
+        phrases = _document_counts(texts, partial(_phrase_rows, held, good))
+        found = phrases.where((F.col("good") >= EXCEPTION_DOCS) & (F.col("good") > F.col("bad") * EXCEPTION_TIMES)).collect()
+        good = docs.sparkSession.sparkContext.broadcast({r.entry: r.good for r in found})
+    model.exceptions = sorted(r.entry for r in found)
+    counted = _document_counts(texts, partial(_entry_rows, send(model))).where(F.col("bad") >= support).collect()
+    weights, docs_of = {r.entry: _odds(r.bad, r.good, toxic, clean) for r in counted}, {r.entry: r.bad for r in counted}
+    model.weights = {}
     # the best supported first, the shortest of equals; what an entry already matches at
     # its place, at no less weight, needs no entry of its own
-    for e in sorted((e for e, o in odds.items() if o >= 3 and docs_of[e] * o), key=lambda e: (-docs_of[e] * odds[e], len(e), e)):
-        if len(model.weights) == lexicon:
-            break
-        if not any(model.weights.get(e[:k], -math.inf) >= odds[e] - 1 for k in range(SHORTEST + 1, len(e))):
-            model.weights[e] = odds[e]
-    held = spark.sparkContext.broadcast(model)
-    contexts = texts.mapInArrow(partial(_context_rows, held), "phrase string, toxic int, docs long").groupBy("phrase").agg(F.sum(F.expr("if(toxic = 1, docs, 0)")).alias("bad"), F.sum(F.expr("if(toxic = 0, docs, 0)")).alias("good"))
-    model.exceptions = [r.phrase for r in contexts.where("good >= 5 and good * 1.0 > bad * 5").orderBy(F.desc("good"), "phrase").limit(lexicon).collect()]
-    held = spark.sparkContext.broadcast(model)
-    rows = np.array(texts.mapInArrow(partial(_signal_rows, held), "toxic int, total double, density double").collect(), float).reshape(-1, 3)
+    for e in sorted((e for e, o in weights.items() if o >= ODDS), key=lambda e: (-docs_of[e] * weights[e], len(e), e)):
+        if not any(model.weights.get(e[:k], -math.inf) >= weights[e] - 1 for k in range(SHORTEST + 1, len(e))):
+            model.weights[e] = weights[e]
+    # only exceptions that hold a match of the lexicon are of use
+    lexicon = Model(model.weights).automaton()
+    model.exceptions = [p for p in model.exceptions if matches(lexicon, p)]
+    rows = np.array(texts.mapInArrow(partial(_signal_rows, send(model)), "toxic int, total double, density double").collect(), float).reshape(-1, 3)
     model.curve = _fit_curve(rows[:, 1:], rows[:, 0])
     return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` (struct row) with score, predicted and n_matches."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def fn(raw):
-        automaton, curve = held.value.automaton(), held.value.curve
+        automaton, curve = Model(**held.value).automaton(), held.value["curve"]
         found = [signals(automaton, fold(t)) for t in raw]
         if curve is None:
             scores = np.zeros(len(raw))
