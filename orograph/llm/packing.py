@@ -2,9 +2,12 @@
 
 A document's ids are cut into full windows, which need no packing, and a remainder. The
 remainders are placed online: into the fill level that minimises the sum of squared
-counts of partially filled windows, which a level array tracks (``Level``). Each task
-packs its own partition, with memory bounded by its open windows. When its rows end,
-what is left in open windows is cut and refilled, so that a task pads one sequence at most.
+counts of partially filled windows, which a level array tracks (``Level``). Remainders
+stay whole, unless over OPEN windows are partially filled: then those that the array
+names may also be filled up, and the rest of the remainder is placed like a document.
+Each task packs its own partition, with memory bounded by its open windows. When its rows
+end, the pieces of the emptiest windows are placed into the others in the same way, so
+that a task pads one sequence at most.
 
 Ids come from a tokenizer file (``Tokenizer.from_file``), special tokens not added, and
 an end id. Tokens never cross ASCII white space, so ids are looked up by white-space
@@ -32,6 +35,8 @@ from orograph.llm.common import per_worker, raw_texts
 
 WINDOW = 2048
 END_ID = 1
+#: Partially filled windows of a task, from which on documents may be cut to fill one up.
+OPEN = 64
 #: Entries of a worker's cache of chunks; emptied when full.
 CACHE = 1_500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -146,34 +151,62 @@ class Ids:
 class Level:
     """Open windows by fill level, and the sum-of-squares choice among them."""
 
-    def __init__(self, window: int):
-        self.window = window
-        self.count = np.zeros(window + 1, np.int64)
-        self.open: list[list] = [[] for _ in range(window + 1)]
-        self.number = 0
-
-    def place(self, length: int) -> tuple[int, int, list | None]:
-        """(sequence, offset, its pieces so far) for a piece of ``length`` tokens, with
-        0 < length < window. The piece must be appended to the pieces."""
-        # the sum of squares changes by 2 (count at the new level - count at the old) + 2,
-        # without the part of a level that isn't partial (0 and window)
-        old, new = self.count[: self.window - length + 1], self.count[length:]
-        change = 2 * (new - old) + 2
-        change[0] = 2 * new[0] + 1
-        if self.window - length:
-            change[-1] = 1 - 2 * old[-1]
-        change[1:][old[1:] == 0] = np.iinfo(np.int64).max
-        level = len(change) - 1 - int(np.argmin(change[::-1]))  # ties: the fullest
-        if level:
-            seq, pieces = self.open[level].pop()
-            self.count[level] -= 1
-        else:
-            seq, pieces = self.number, []
-            self.number += 1
-        if level + length < self.window:
-            self.open[level + length].append((seq, pieces))
-            self.count[level + length] += 1
-        return seq, level, pieces
+    def __init__(self, window: int, most: int = OPEN):
+        self.window, self.most = window, most
+        self.count = np.zeros(window, np.int64)
+        self.open: list[list] = [[] for _ in range(window)]
+        self.number = self.partial = 0
+
+    def choose(self, length: int, cutting: bool, opening: bool) -> int:
+        """The level (0: a new window) that leaves the least sum of squared counts of
+        partially filled windows, the fullest of equals. A piece of ``length`` tokens,
+        with 0 < length < window, goes in whole, or fills the level up if ``cutting``."""
+        most, gap = np.iinfo(np.int64).max, self.window - length
+        change = np.full(self.window, most)
+        # by moving a window from a level to another: 2 (count there - count here) + 2
+        change[:gap] = 2 * (self.count[length:] - self.count[:gap]) + 2
+        # by filling a window up
+        change[gap : self.window if cutting else gap + 1] = 1 - 2 * self.count[gap : self.window if cutting else gap + 1]
+        change[self.count == 0] = most
+        change[0] = 2 * self.count[length] + 1 if opening else most
+        return self.window - 1 - int(np.argmin(change[::-1]))
+
+    def place(self, piece: tuple, opening: bool = True):
+        """Places a piece (doc_id, start, ids as bytes, tokens of the document). Yields the
+        (sequence, pieces) that this fills."""
+        doc_id, start, ids, total = piece
+        while ids:
+            opens = opening or not self.partial
+            level = self.choose(len(ids) // 4, self.partial > self.most or not opens, opens)
+            if level:
+                seq, pieces = self.take(level)
+            else:
+                seq, pieces = self.number, []
+                self.number += 1
+            part = ids[: 4 * (self.window - level)]
+            pieces.append((doc_id, start, part, total))
+            level, start, ids = level + len(part) // 4, start + len(part) // 4, ids[len(part) :]
+            if level == self.window:
+                yield seq, pieces
+            else:
+                self.open[level].append((seq, pieces))
+                self.count[level] += 1
+                self.partial += 1
+
+    def take(self, level: int) -> tuple[int, list]:
+        self.count[level] -= 1
+        self.partial -= 1
+        return self.open[level].pop()
+
+    def end(self):
+        """Yields what is left, with one window at most that isn't full."""
+        while self.partial:
+            seq, pieces = self.take(int(np.flatnonzero(self.count)[0]))
+            if not self.partial:
+                yield seq, pieces
+                return
+            for p in pieces:
+                yield from self.place(p, opening=False)
 
 
 def _pack(path: str, ranks, window: int, end_id: int, batches):
@@ -198,28 +231,13 @@ def _pack(path: str, ranks, window: int, end_id: int, batches):
                     made.append((doc_id, s, window, zlib.crc32(b[4 * s : 4 * (s + window)]), total, base + level.number, 0))
                     level.number += 1
                 if total > full:
-                    seq, offset, pieces = level.place(total - full)
-                    pieces.append((doc_id, full, b[4 * full :], total))
-                    if offset + total - full == window:
+                    for seq, pieces in level.place((doc_id, full, b[4 * full :], total)):
                         made += _laid(pieces, base + seq)
         if made:
             yield rows(made)
             made = []
-    # refill what is left: fullest first, pieces cut at the window's end
-    left = [p for at in range(window - 1, 0, -1) for _, pieces in level.open[at] for p in pieces]
-    pieces, used = [], 0
-    for doc_id, start, b, total in left:
-        while b:
-            part = b[: 4 * (window - used)]
-            pieces.append((doc_id, start, part, total))
-            used += len(part) // 4
-            start += len(part) // 4
-            b = b[len(part) :]
-            if used == window:
-                made += _laid(pieces, base + level.number)
-                level.number += 1
-                pieces, used = [], 0
-    made += _laid(pieces, base + level.number)
+    for seq, pieces in level.end():
+        made += _laid(pieces, base + seq)
     yield rows(made)
 
 
