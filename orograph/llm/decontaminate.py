@@ -1,13 +1,17 @@
 """Operator 5: benchmark decontamination with a broadcast set of normalised n-grams.
 
 Test items and documents are lower-cased (A-Z) and cut into words. Each item gives its
-windows of 13 words (a shorter item: one window of all its words). The windows' hashes
-are broadcast; every document's token windows are looked up in them, hits are verified
-word by word, and the words they cover are marked. Documents over the share of hit words
-can be dropped, or the spans cut out.
-
-The broadcast set is bounded by SET_BYTES of item text. A larger benchmark is dealt into
-blocks under that bound, and the documents are scanned once for each block.
+windows of 13 words (a shorter item: one window of all its words). Tasks hash the windows;
+the sorted hashes are broadcast with the place of each window in the items' words. Every
+document's token windows are looked up among the hashes, hits are verified against the
+words themselves, and the words they cover are marked. Documents over the share of hit
+words can be dropped, or the spans cut out.
+
+The broadcast is bounded by SET_BYTES of item text (about 5 bytes for each: the text, and
+16 bytes a window). A larger benchmark is dealt into blocks under that bound; documents
+are scanned once for each block, only those with hits are written down (by the SHA-256 of
+their text), and a join brings the hits of all blocks back to the documents. A document
+is worked on in blocks of BLOCK bytes that overlap by a window less one word.
 
 Defined results: null texts and texts without words have no words and no hits; items
 without words are ignored, and so are items without an id; items that share an id count
@@ -17,9 +21,9 @@ gives no rows; other columns ride along in a struct and may have any name.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -28,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orograph.llm import text as X
-from orograph.llm.common import annotate, cut
+from orograph.llm.common import annotate, cut, raw_texts, spans
 
 WINDOW = 13
 #: Most bytes of item text that one broadcast set is made from.
-SET_BYTES = 16 << 20
+SET_BYTES = 32 << 20
+BLOCK = 1 << 20
 FOUND = "spans array<struct<pos:long,n:long>>, items array<string>, n_words long"
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -44,65 +49,116 @@ def word_table() -> np.ndarray:
     return table
 
 
-def ngram_set(items: list[tuple[str, bytes]], window: int) -> dict[int, tuple[np.ndarray, dict[bytes, list[str]]]]:
-    """By window length: the sorted hashes, and the items of each window."""
-    made: dict[int, dict[bytes, set]] = {}
-    for item, raw in items:
-        words = WORD.findall(raw.lower())
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            made.setdefault(n, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item)
-    out = {}
-    for n, grams in made.items():
-        names = list(grams)
-        w = X.Words(names, word_table())
-        out[n] = (np.unique(X.window_hash(w.hash, n)[w.ptr[:-1]]), {g: sorted(s) for g, s in grams.items()})
-    return out
+def _item_windows(window: int, batches):
+    """Of each item: its words, joined and followed by spaces, the words of a window, and
+    the windows' hashes and first bytes."""
+    for batch in batches:
+        texts, sizes, hashes, starts = [], [], [], []
+        for raw in raw_texts(batch):
+            words = WORD.findall(raw.lower())
+            n = min(window, len(words))
+            texts.append(b" ".join(words) + b" " * bool(words))
+            w = X.Words([texts[-1]], word_table())
+            h = X.window_hash(w.hash, n) if n else np.zeros(0, np.uint64)
+            sizes.append(n), hashes.append(h.view(np.int64)), starts.append(w.start[: len(h)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("item"), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32()))], ["item", "words", "n", "h", "start"]
+        )
+
+
+def ngram_set(items: DataFrame, window: int) -> dict:
+    """The set of a block of ``items`` (item, text): all words, item ids, and for each
+    window length the windows' sorted hashes, first bytes and items. A table of leading
+    bits of hashes lets most lookups end early."""
+    made = items.mapInArrow(partial(_item_windows, window), "item string, words binary, n int, h array<long>, start array<int>").toArrow().combine_chunks()
+    column = lambda c: made.column(c).combine_chunks() if made.num_rows else pa.array([], made.schema.field(c).type)
+    words, lists = column("words").to_pylist(), column("h")
+    base = np.cumsum([0, *map(len, words)])[:-1]
+    count = np.asarray(lists.value_lengths(), np.int64)
+    owner = np.repeat(np.arange(len(words)), count)
+    hashes, start = np.asarray(lists.flatten()).view(np.uint64), np.asarray(column("start").flatten()) + base[owner]
+    size = np.asarray(column("n"))[owner] if len(owner) else owner
+    by = {}
+    for n in np.unique(size).tolist():
+        mine = np.flatnonzero(size == n)
+        mine = mine[np.argsort(hashes[mine], kind="stable")]
+        seen = np.zeros(1 << min(22, max(10, int(len(mine)).bit_length() + 3)), bool)
+        seen[hashes[mine] & np.uint64(len(seen) - 1)] = True
+        by[n] = (seen, hashes[mine], start[mine].astype(np.int64), owner[mine].astype(np.int32))
+    return {"words": b"".join(words), "items": column("item").to_pylist(), "by": by}
+
+
+def _blocks(raw: list[bytes], overlap: int):
+    """(number of the first text, words before the block in it, words of the block)."""
+    for i, j in spans([len(t) for t in raw], BLOCK):
+        if j - i > 1 or len(raw[i]) <= BLOCK:
+            yield i, 0, X.Words([t.lower() for t in raw[i:j]], word_table())
+            continue
+        tail, base = b"", 0
+        for piece in X.pieces(raw[i], BLOCK):
+            w = X.Words([tail + piece.lower()], word_table())
+            yield i, base, w
+            step = max(0, len(w.start) - overlap)
+            tail = w.buf[w.start[step] :] if len(w.start) else b""
+            base += step
 
 
-def _find(grams, raw: list[bytes]):
+def _find(grams: dict, raw: list[bytes], window: int):
     """For each text: word spans covered by windows of the set, items hit, words."""
-    w = X.Words([t.lower() for t in raw], word_table())
-    spans: list[list] = [[] for _ in raw]
+    spans_of: list[set] = [set() for _ in raw]
     items: list[set] = [set() for _ in raw]
-    for n, (hashes, names) in grams.items():
-        h = X.window_hash(w.hash, n)
-        if not len(h):
-            continue
-        at = np.flatnonzero(np.isin(h, hashes))
-        owner = np.searchsorted(w.ptr, at, "right") - 1
-        inside = at + n <= w.ptr[owner + 1]
-        for i, o in zip(at[inside].tolist(), owner[inside].tolist()):
-            hit = names.get(b" ".join(w.word(k) for k in range(i, i + n)))
-            if hit:
-                spans[o].append((i - int(w.ptr[o]), n))
-                items[o].update(hit)
-    return spans, items, np.diff(w.ptr)
+    count = np.zeros(len(raw), np.int64)
+    text, names = grams["words"], grams["items"]
+    for first, base, w in _blocks(raw, window - 1):
+        count[first : first + len(w.ptr) - 1] = base + np.diff(w.ptr)
+        for n, (seen, hashes, starts, owners) in grams["by"].items():
+            h = X.window_hash(w.hash, n)
+            if not len(h):
+                continue
+            at = np.flatnonzero(seen[h & np.uint64(len(seen) - 1)])
+            low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            owner = np.searchsorted(w.ptr, at, "right") - 1
+            some = np.flatnonzero((high > low) & (at + n <= w.ptr[owner + 1]))
+            for i, o, a, b in zip(at[some].tolist(), owner[some].tolist(), low[some].tolist(), high[some].tolist()):
+                gram = b" ".join(w.word(k) for k in range(i, i + n)) + b" "
+                hit = [names[owners[k]] for k in range(a, b) if text.startswith(gram, starts[k])]
+                if hit:
+                    spans_of[first + o].add((base + i - int(w.ptr[o]), n))
+                    items[first + o].update(hit)
+    return spans_of, items, count
+
+
+def _finder(held, window: int):
+    def fn(raw):
+        spots, items, words = _find(held.value, raw, window)
+        kind = pa.list_(pa.struct([("pos", pa.int64()), ("n", pa.int64())]))
+        return [pa.array([[{"pos": p, "n": n} for p, n in sorted(s)] for s in spots], kind), pa.array([sorted(s) for s in items], pa.list_(pa.string())), pa.array(words, pa.int64())]
+
+    return fn
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, set_bytes: int = SET_BYTES) -> DataFrame:
     """Rows of ``docs`` (struct row) with spans (word position and length of each
     verified window), items (ids of items hit) and n_words. ``benchmark``: item_id, text."""
-    spark = docs.sparkSession
-    named = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    send = docs.sparkSession.sparkContext.broadcast
+    named = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / set_bytes))
-    found = None
+    if blocks == 1:
+        return annotate(docs, _finder(send(ngram_set(named, window)), window), FOUND)
+    scanned, key = [], F.sha2("text", 256)
     for k in range(blocks):
-        part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(ngram_set([(r.item, r.text.encode()) for r in part.collect()], window))
-
-        def fn(raw, held=held):
-            spans, items, words = _find(held.value, raw)
-            kind = pa.list_(pa.struct([("pos", pa.int64()), ("n", pa.int64())]))
-            return [pa.array([[{"pos": p, "n": n} for p, n in s] for s in spans], kind), pa.array([sorted(s) for s in items], pa.list_(pa.string())), pa.array(words, pa.int64())]
-
-        if found is None:
-            found = annotate(docs, fn, FOUND)
-        else:
-            both = annotate(cut(found), fn, FOUND, "row.text")
-            found = both.select("row.row", F.concat("row.spans", "spans").alias("spans"), F.array_distinct(F.concat("row.items", "items")).alias("items"), "n_words")
-    return found
+        part = named.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        hits = annotate(docs.select(key.alias("key"), "text"), _finder(send(ngram_set(part, window)), window), FOUND)
+        scanned.append(cut(hits.where(F.size("spans") > 0).select("row.key", "spans", "items")))
+    every = scanned[0]
+    for s in scanned[1:]:
+        every = every.unionByName(s)
+    hits = every.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    counted = annotate(docs, _finder(send(ngram_set(named.limit(0), window)), window), FOUND).select("row", "n_words", F.sha2("row.text", 256).alias("own"))
+    joined = counted.join(hits, counted["own"] == hits["key"], "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return joined.select("row", none("spans", "array<struct<pos:long,n:long>>"), none("items", "array<string>"), "n_words")
 
 
 def judge(found: DataFrame, share: int = 20) -> DataFrame:
