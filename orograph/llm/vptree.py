@@ -1,21 +1,32 @@
 """Operator 4: approximate nearest neighbours by vantage-point trees, one per shard.
 
 Vectors are scaled to length one; there the Euclidean distance is a metric in the order
-of the cosine. Each shard (SHARD vectors at most, by hash) is a tree: a node takes a
-vantage point and halves its vectors by their distance to it. Queries descend in blocks:
-a half is skipped for a query if, by the triangle inequality, all of it lies farther
-than the query's k-th best so far; ``factor`` relaxes that bound to factor * k-th best,
-so that less is searched below one. Factor one is exact search and is what the query
-uses.
+of the cosine. Tables of over SHARD vectors are dealt into cells around pivots (CELLS at
+most, a bounded sample by hash), each vector to its nearest pivot, and cells by hash into
+shards of about SHARD vectors. Each shard is a tree: a node takes a vantage point and
+halves its vectors by their distance to it. A half is skipped for a query if, by the
+triangle inequality, all of it lies farther than the query's k-th best so far; ``factor``
+relaxes that bound to factor * k-th best, so that less is searched below one. Factor one
+is exact search and is what the query uses.
+
+The same inequality, with the same factor, keeps queries from cells: each query is first
+searched in its own cell, and then goes only to those whose pivot and radius leave room
+for something nearer than its k-th best. Vectors travel once, queries once for each cell
+they must see. A task takes a shard's vectors, builds its tree, and streams the shard's
+queries through it; past SLICE queries the shard is dealt to several tasks. Vectors
+without any clusters leave exact search little to skip; for such data at large sizes
+choose a factor below one.
 
 Equal vectors are searched once. Of each distinct vector the k + 1 smallest ids are kept
 beside it: ties go to smaller ids, so no answer can need more (k, and the query itself).
 They are found by a ranked window whose limit Spark applies before the shuffle, so a
 vector that holds a third of all rows is no hot spot. Distinct query vectors are searched
-once, too, and each query then leaves itself out.
+once, too, and each query then leaves itself out. Of vectors with equal scores, such as
+parallel ones, a shard returns no more than k + 1 ids.
 
-Shards meet queries in blocks of QUERY_BLOCK distinct vectors. Scores are the cosine of
-the original vectors in double precision, summed in one order, so equal pairs tie.
+Scores are the cosine of the original vectors in double precision, summed in one order,
+so equal pairs tie; vectors are brought near one by a power of two first, so squares
+neither overflow nor vanish.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component take no part, neither do rows without an id; vectors are compared with those of their
@@ -28,6 +39,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +51,12 @@ from orograph.llm.common import cut
 K = 5
 EVERY = 50
 SHARD = 16_384
+CELLS = 4_096
 LEAF = 128
-QUERY_BLOCK = 8_192
-FOUND = "query array<double>, hit_ids array<long>, score double"
+#: Queries that a task searches at once, and most that one task gets of a shard.
+BLOCK, SLICE = 256, 65_536
+FOUND = "query array<double>, hits array<struct<vec_id: long, score: double>>"
+DEALT = "size int, cell int, d double, v array<double>"
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -128,8 +143,14 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+def near_one(m: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near one."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows of a with rows of b, each summed in the same order."""
+    a, b = near_one(a), near_one(b)
     total = lambda x: np.cumsum(x, axis=1)[:, -1]  # noqa: E731  from the first component to the last
     return total(a * b) / (np.sqrt(total(a * a)) * np.sqrt(total(b * b)))
 
@@ -141,51 +162,145 @@ def _matrix(column) -> np.ndarray:
 
 
 def unit(m: np.ndarray) -> np.ndarray:
-    m = m / np.abs(m).max(1, keepdims=True)  # no overflow in the squares
+    m = near_one(m)
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def _search(k: int, factor: float, shard: pa.Table, queries: pa.Table) -> pa.Table:
-    points, asked = _matrix(shard.column("v")), _matrix(queries.column("v"))
-    ids = shard.column("ids").to_pylist()
-    out: tuple[list, list, list] = ([], [], [])
-    if len(points) and len(asked):
-        tree = Tree(unit(points))
-        weight = np.array([len(i) for i in ids])
-        given = queries.column("v").to_pylist()
-        for q, (_, at) in enumerate(tree.search(unit(asked), weight, k, factor)):
-            score = cosine(points[at], np.broadcast_to(asked[q], points[at].shape))
-            order = np.argsort(-score, kind="stable")
-            score, at = score[order], at[order]
-            # all of equal score at the end: ties are settled by id, later
-            last = np.searchsorted(-score, -score[min(np.searchsorted(np.cumsum(weight[at]), k), len(at) - 1)], "right")
-            for s, p in zip(score[:last], at[:last]):
-                out[0].append(given[q]), out[1].append(ids[p]), out[2].append(float(s))
-    return pa.table([pa.array(out[0], pa.list_(pa.float64())), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.float64())], ["query", "hit_ids", "score"])
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = 1.0, vector: str = "embedding", shard: int = SHARD) -> DataFrame:
+def _deal(pivots: dict[int, np.ndarray], batches):
+    """The nearest pivot (cell) of each vector among those of its size, and the distance."""
+    for batch in batches:
+        size = np.asarray(batch.column("v").value_lengths())
+        cell, d = np.zeros(len(size), np.int32), np.zeros(len(size))
+        for n in set(size.tolist()) & set(pivots):
+            rows = np.flatnonzero(size == n)
+            for i in range(0, len(rows), 4096):
+                part = rows[i : i + 4096]
+                far = distances(unit(_matrix(batch.column("v").take(pa.array(part)))), pivots[n])
+                cell[part] = far.argmin(1)
+                d[part] = far[np.arange(len(part)), cell[part]]
+        more = [c for c in batch.schema.names if c != "v"]
+        yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int32)), pa.array(cell), pa.array(d), batch.column("v"), *(batch.column(c) for c in more)], ["size", "cell", "d", "v", *more])
+
+
+def _far(held, factor: float, batches):
+    """The other cells that each query (size, cell, v, bound) must see."""
+    for batch in batches:
+        queries, cells = [], []
+        size, own, bound = (np.asarray(batch.column(c)) for c in ("size", "cell", "bound"))
+        for n in set(size.tolist()) & set(held.value):
+            pivots, nearest, farthest = held.value[n]
+            rows = np.flatnonzero(size == n)
+            for i in range(0, len(rows), 4096):
+                part = rows[i : i + 4096]
+                d = distances(unit(_matrix(batch.column("v").take(pa.array(part)))), pivots)
+                go = np.maximum(nearest - d, d - farthest) <= factor * bound[part, None] + SLACK
+                go[np.arange(len(part)), own[part]] = False
+                q, c = np.nonzero(go)
+                queries.append(part[q]), cells.append(c)
+        q, c = np.concatenate([*queries, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*cells, np.zeros(0, np.int64)])
+        for i in range(0, len(q), 10_000):
+            at = pa.array(q[i : i + 10_000])
+            yield pa.RecordBatch.from_arrays([batch.column("size").take(at), pa.array(c[i : i + 10_000].astype(np.int32)), batch.column("v").take(at)], ["size", "cell", "v"])
+
+
+def _answers(tree: Tree, points: np.ndarray, ids: list[list[int]], asked: list[list[float]], most: int, factor: float) -> pa.RecordBatch:
+    weight = np.array([len(i) for i in ids])
+    owner, every = np.repeat(np.arange(len(ids)), weight), np.array([i for own in ids for i in own], np.int64)
+    ends = np.cumsum(weight)
+    out = []
+    vectors = np.array(asked, float)
+    for q, (_, at) in enumerate(tree.search(unit(vectors), weight, most, factor)):
+        score = cosine(points[at], np.broadcast_to(vectors[q], points[at].shape))
+        rows = np.concatenate([np.arange(ends[p] - weight[p], ends[p]) for p in at.tolist()])
+        of = dict(zip(at.tolist(), score.tolist()))
+        s = np.array([of[p] for p in owner[rows].tolist()])
+        first = np.lexsort((every[rows], -s))[:most]
+        out.append([{"vec_id": i, "score": x} for i, x in zip(every[rows[first]].tolist(), s[first].tolist())])
+    kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+    return pa.RecordBatch.from_arrays([pa.array(asked, pa.list_(pa.float64())), pa.array(out, kind)], ["query", "hits"])
+
+
+def _stream(most: int, factor: float, batches):
+    """Rows come by shard, a shard's vectors (with ids) before its queries (without)."""
+    now, vectors, ids, asked, tree, points = None, [], [], [], None, None
+
+    def answer():
+        nonlocal tree, points
+        if asked and vectors:
+            if tree is None:
+                points = np.array(vectors, float)
+                tree = Tree(unit(points))
+            yield _answers(tree, points, ids, asked, most, factor)
+        asked.clear()
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("size", "cell", "part", "slice"))))
+        for key, v, own in zip(keys, batch.column("v").to_pylist(), batch.column("ids").to_pylist()):
+            if key != now:
+                yield from answer()
+                now, vectors, ids, tree = key, [], [], None
+            if own is None:
+                asked.append(v)
+                if len(asked) == BLOCK:
+                    yield from answer()
+            else:
+                vectors.append(v), ids.append(own)
+    yield from answer()
+
+
+def _searched(candidates: DataFrame, parts: DataFrame, routed: DataFrame, most: int, factor: float) -> DataFrame:
+    """FOUND of the queries ``routed`` (size, cell, v) among the candidates of their cells.
+    ``parts``: (size, cell, parts), the shards of each cell."""
+    key = ["size", "cell"]
+    slices = cut(routed.groupBy(*key).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).join(parts, key))
+    deal = lambda c, n: F.pmod(F.xxhash64(F.lit(c), F.col("v")), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = candidates.join(slices, key).withColumn("part", deal("part", "parts")).withColumn("slice", all_of("slices")).select(*key, "part", "slice", "v", "ids")
+    right = routed.join(slices, key).withColumn("part", all_of("parts")).withColumn("slice", deal("slice", "slices")).select(*key, "part", "slice", "v", F.lit(None).cast("array<long>").alias("ids"))
+    place = [*key, "part", "slice"]
+    dealt = left.unionByName(right).repartition(*map(F.col, place)).sortWithinPartitions(*place, F.col("ids").isNull(), F.xxhash64("v"))
+    return dealt.mapInArrow(partial(_stream, most, factor), FOUND)
+
+
+def _best(found: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best hits of each query vector."""
+    each = found.select("query", F.explode("hits").alias("h")).select("query", "h.vec_id", "h.score")
+    ranked = each.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= most)
+    return ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("hits"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float = 1.0, vector: str = "embedding", shard: int = SHARD, cells: int = CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` to each of
     ``queries`` (both vec_id and the vector), by cosine, without rows of the query's id."""
     most = k + 1
-    candidates = cut(distinct_vectors(usable(vectors, vector), most))
+    distinct = cut(distinct_vectors(usable(vectors, vector), most).withColumn("size", F.size("v")))
     asking = cut(usable(queries, vector).distinct())
-    asked = cut(asking.select("v").distinct())
-    shards = max(1, math.ceil(candidates.count() / shard))
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    deal = lambda n: F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    size = F.size("v").alias("size")
-    left = candidates.select(size, deal(shards).alias("shard"), all_of(blocks).alias("block"), "v", "ids")
-    right = asked.select(size, all_of(shards).alias("shard"), deal(blocks).alias("block"), "v")
-    key = ["size", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _search(most, factor, a, b), FOUND)
-    # the best of all shards for each distinct query vector: most ids
-    each = found.select("query", "score", F.explode("hit_ids").alias("vec_id"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("hits"))
-    own = asking.join(top, asking["v"] == top["query"]).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("vec_id")), 1, k).alias("hits"))
-    return own.select("query_id", F.posexplode("hits").alias("at", "h")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "h.vec_id", "h.score")
+    # pivots for the sizes of over a shard of vectors: cells at most for all of them
+    total = distinct.count()
+    sizes = distinct.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") > shard)
+    share = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / shard), F.floor(F.col("n") * cells / total)))
+    ranked = distinct.join(F.broadcast(sizes.select("size", share.alias("share"))), "size").withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("v"), "v")))
+    chosen: dict[int, list] = {}
+    for r in ranked.where((F.col("rank") <= cells) & (F.col("rank") <= F.col("share"))).select("size", "v").collect():
+        chosen.setdefault(r["size"], []).append(r.v)
+    pivots = {n: unit(np.array(v, float)) for n, v in chosen.items()}
+    candidates = cut(distinct.select("v", "ids").mapInArrow(partial(_deal, pivots), DEALT + ", ids array<long>"))
+    stats = cut(candidates.groupBy("size", "cell").agg(F.min("d").alias("nearest"), F.max("d").alias("farthest"), F.ceil(F.count("*") / shard).cast("int").alias("parts")))
+    parts = stats.select("size", "cell", "parts")
+    routed = cut(asking.select("v").distinct().mapInArrow(partial(_deal, pivots), DEALT).select("size", "cell", "v"))
+    found = _searched(candidates, parts, routed, most, factor)
+    if pivots:
+        found = cut(found)
+        known: dict[int, tuple] = {n: (p, np.full(len(p), np.inf), np.full(len(p), -np.inf)) for n, p in pivots.items()}
+        for r in stats.where(F.col("size").isin([int(n) for n in pivots])).collect():
+            known[r["size"]][1][r.cell], known[r["size"]][2][r.cell] = r.nearest, r.farthest
+        own = _best(found, most).select("query", F.when(F.size("hits") >= most, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("hits", -1)["score"]))).alias("bound"))
+        bounded = routed.join(own, routed["v"] == own["query"], "left").select("size", "cell", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+        farther = cut(bounded.mapInArrow(partial(_far, vectors.sparkSession.sparkContext.broadcast(known), factor), "size int, cell int, v array<double>"))
+        found = found.unionByName(_searched(candidates, parts, farther, most, factor))
+    top = _best(found, most)
+    named = asking.join(top, asking["v"] == top["query"]).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("vec_id")), 1, k).alias("hits"))
+    return named.select("query_id", F.posexplode("hits").alias("at", "h")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "h.vec_id", "h.score")
 
 
 def neighbour_rows(vectors: DataFrame) -> DataFrame:
