@@ -2,6 +2,9 @@
 accuracy, and edge cases."""
 
 import json
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -13,10 +16,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orograph.llm import catalog, decontaminate, language, packing, secrets, simhash, toxicity, vptree, warc
+from orograph.llm import text as X
 from orograph.llm.components import components
 from tests.compare import duck, same
 from tests.conftest import SMALL
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -99,23 +104,72 @@ def test_fast_ids_are_the_tokenizers(spark):
         assert all(np.array(w.ids, "<u4").tobytes() == g for w, g in zip(want, got))
 
 
-def test_level_choice_is_the_least_sum_of_squares():
-    rng = np.random.default_rng(1)
-    level = packing.Level(32)
-    for n in rng.integers(1, 32, 2000).tolist():
-        before = level.count.copy()
+def brute_pack(sizes, window, most):
+    """(document, start, length, sequence, offset) by trying every level for each piece."""
+    opened, out, number = [], [], 0  # [sequence, fill, pieces], the last used at the end
 
-        def cost(at):
-            c = before.copy()  # noqa: B023
-            if at:
-                c[at] -= 1
-            if at + n < 32:  # noqa: B023
-                c[at + n] += 1  # noqa: B023
-            return int((c[1:32] ** 2).sum())
-
-        options = [0] + [h for h in range(1, 33 - n) if before[h]]
-        _, at, _ = level.place(n)
-        assert at in options and cost(at) == min(map(cost, options))
+    def lay(box):
+        at = 0
+        for d, s, n in box[2]:
+            out.append((d, s, n, box[0], at))
+            at += n
+
+    def place(d, s, n, opening):
+        nonlocal number
+        while n:
+            opens = opening or not opened
+            cutting = len(opened) > most or not opens
+            costs = {}
+            for fill in {f for _, f, _ in opened} | ({0} if opens else set()):
+                if fill + n > window and not (cutting and fill):
+                    continue
+                after = [f for _, f, _ in opened]
+                if fill:
+                    after.remove(fill)
+                if fill + n < window:
+                    after.append(fill + n)
+                costs[fill] = sum(after.count(f) ** 2 for f in set(after))
+            fill = max(f for f in costs if costs[f] == min(costs.values()))
+            if fill:
+                box = [b for b in opened if b[1] == fill][-1]
+                opened.remove(box)
+            else:
+                box, number = [number, 0, []], number + 1
+            part = min(n, window - fill)
+            box[2].append((d, s, part))
+            box[1] += part
+            s, n = s + part, n - part
+            if box[1] == window:
+                lay(box)
+            else:
+                opened.append(box)
+
+    for d, total in enumerate(sizes):
+        for s in range(0, total - total % window, window):
+            out.append((d, s, window, number, 0))
+            number += 1
+        place(d, total - total % window, total % window, True)
+    while opened:
+        least = min(f for _, f, _ in opened)
+        box = [b for b in opened if b[1] == least][-1]
+        opened.remove(box)
+        if not opened:
+            lay(box)
+            break
+        for d, s, n in box[2]:
+            place(d, s, n, False)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_packing_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(packing.Level.__init__, "__defaults__", (most,))
+    rng = np.random.default_rng(most)
+    sizes = np.concatenate((rng.integers(1, 90, 250), rng.integers(1, 9, 100))).tolist()
+    rng.shuffle(sizes)
+    docs = documents(spark, [(i, "a " * (n - 1)) for i, n in enumerate(sizes)]).coalesce(1)  # "a" is one token
+    got = sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in packing.pack(docs, window=32).collect())
+    assert got == brute_pack(sizes, 32, most)
 
 
 # --- 3 --------------------------------------------------------------------------------
@@ -156,9 +210,9 @@ def test_simhash_against_brute_force(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got.collect()} == {i: (f"{prints[i]:016x}", groups[i]) for i in prints}
 
 
-@pytest.mark.parametrize("crowd", [12, 2, 0])
-def test_links_find_all_components(spark, crowd):
-    """Dense groups, chains and lone fingerprints; with small crowds through one-bit points."""
+@pytest.mark.parametrize(("crowd", "bits"), [(12, None), (2, None), (0, None), (12, 2), (12, 1)])
+def test_links_find_all_components(spark, crowd, bits):
+    """Dense groups, chains and lone fingerprints; where few may meet, through finer segments."""
     rng = np.random.default_rng(crowd)
     prints = {int(x) for x in rng.integers(0, 1 << 64, 150, np.uint64)} | {0, (1 << 64) - 1, 1 << 63}
     for base in list(prints)[:6]:
@@ -172,12 +226,29 @@ def test_links_find_all_components(spark, crowd):
                 base = base2
     signed = {p: p - (1 << 64) if p >> 63 else p for p in prints}
     fps = spark.createDataFrame([(s,) for s in signed.values()], "fp long")
-    roots = {r.node: r.root for r in components(simhash.links(fps, crowd)).collect()}
+    roots = {r.node: r.root for r in components(simhash.links(fps, crowd, bits)).collect()}
     wanted = brute_components(sorted((s, p) for p, s in signed.items()))
     mine = {s: roots.get(s, s) for s in signed.values()}
     assert len({(mine[s], wanted[s]) for s in mine}) == len(set(mine.values())) == len(set(wanted.values()))
 
 
+def test_segments_by_size():
+    assert [simhash.first_segment(n) for n in (0, 10**6, 10**9, 10**11, 10**14)] == [4, 4, 2, 2, 1]
+
+
+@pytest.mark.parametrize("bits", [4, 2, 1])
+def test_fingerprints_two_bits_apart_meet(spark, bits):
+    rng = np.random.default_rng(bits)
+    rows = []
+    for x in [0, (1 << 64) - 1, *map(int, rng.integers(0, 1 << 64, 60, np.uint64))]:
+        a, b = rng.choice(64, 2, replace=False).tolist()
+        rows.append((x, x ^ (1 << a) ^ (1 << b)))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    pairs = spark.createDataFrame([tuple(map(signed, r)) for r in rows], "a long, b long")
+    own = pairs.select(simhash.segment_counts("a", bits).alias("a"), simhash.segment_counts("b", bits).alias("b"))
+    assert own.where(F.arrays_overlap(simhash.grid_points("a", bits), simhash.grid_points("b", bits))).count() == len(rows)
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(1000, 1001), (1001, 1000), (5, 5)], "a long, b long"))
@@ -228,6 +299,43 @@ def test_neighbours_against_brute_force(spark, shard):
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_parallel_and_extreme_vectors(spark):
+    """Ties by id among parallel vectors, tiny and huge components, repeated and clashing rows."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=6)
+    rows = [(i, (base * 2.0 ** (i % 9)).tolist()) for i in range(300)]
+    rows += [(i, (rng.normal(size=6) * scale).tolist()) for i, scale in zip(range(300, 420), [1e-200, 1e200, 1.0] * 40)]
+    rows += [(i, [1e-200, 1e200, 0.0, 1.0, 1e-300, 5e-324]) for i in (420, 421, 450)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + rows[:50] + [(None, rows[0][1])]], "vec_id long, embedding array<double>, ids string, cell int")
+    for shard in (50, 10_000):
+        got = {}
+        for r in vptree.nearest(df, df.where("vec_id % 50 = 0"), shard=shard).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        want = brute_neighbours(rows, 5, 50)
+        assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in got.items()} == want
+    tree = vptree.Tree(vptree.unit(np.array([v for _, v in rows[:300]])))
+    found = vptree._answers(tree, np.array([v for _, v in rows[:300]]), [[i] for i in range(300)], [rows[0][1]] * 3, 6, 1.0)
+    assert [len(h) for h in found.column("hits").to_pylist()] == [6, 6, 6]
+
+
+def test_cells_far_from_a_query_are_skipped(spark):
+    """Clustered vectors: most queries see their own cell only."""
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(20, 8)) * 10
+    rows = [(i, (centres[i % 20] + rng.normal(size=8) * 0.01).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = []
+    searched = vptree._searched
+    try:
+        vptree._searched = lambda c, p, routed, *a: (seen.append(routed.count()), searched(c, p, routed, *a))[1]
+        got = vptree.nearest(df, df.where("vec_id % 50 = 0"), shard=100)
+        want = brute_neighbours(rows, 5, 50)
+        assert {(r.query_id, r["rank"]): r.vec_id for r in got.collect()} == {(q, n + 1): i for q, v in want.items() for n, (i, _) in enumerate(v)}
+    finally:
+        vptree._searched = searched
+    assert seen[0] == 40 and seen[1] < 40 * 19 / 3
+
+
 def test_relaxed_search_still_finds_most():
     rng = np.random.default_rng(5)
     points = vptree.unit(rng.normal(size=(3000, 6)))
@@ -249,6 +357,21 @@ def test_decontamination_in_blocks(spark):
     assert key(some) == key(decontaminate.digest_rows(docs, bench))
 
 
+def test_decontamination_of_long_texts_and_colliding_hashes(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "short one")], "item_id long, text string")
+    long = "x y z " * 300 + item + " u v " * 300 + "Short; one " + "t " * 400
+    texts = [(1, long), (2, "short one"), (3, "x " * 5000)]
+    want = {r.doc_id: r for r in decontaminate.digest_rows(documents(spark, texts), bench).collect()}
+    assert (want[1].n_hit, want[1].n_items, want[2].n_hit, want[3].n_hit) == (32, 3, 2, 0)
+    mix = X.mix
+    monkeypatch.setattr(decontaminate, "BLOCK", 97)
+    monkeypatch.setattr(X, "mix", lambda x: mix(x) & np.uint64(0xF))
+    assert {r.doc_id: r for r in decontaminate.digest_rows(documents(spark, texts), bench).collect()} == want
+    several = decontaminate.find_hits(documents(spark, texts), bench, set_bytes=80)
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.judge(several).select("row.doc_id", "n_hit", "n_items").collect()} == {(i, w.n_hit, w.n_items) for i, w in want.items()}
+
+
 def test_decontamination_edges(spark):
     item = " ".join(f"w{i}" for i in range(15))
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "..."), (4, "short one"), (None, "a b c")], "item_id long, text string")
@@ -315,6 +438,33 @@ def test_repeated_ids_leave_no_language_out(spark):
     assert language.train(shared, 60).languages == one.languages
 
 
+def brute_language(model, text):
+    """Prediction word by word and gram by gram."""
+    raw = text.lower().encode()
+    words = regex.findall(rb"[A-Za-z\x80-\xff]+", raw)
+    total, n = np.zeros(len(model.languages)), 0
+    for w in words:
+        for size in language.SIZES:
+            for i in range(len(w) + 3 - size):
+                gram = (b" " + w + b" ")[i : i + size]
+                h = X.window_hash(X.byte_values()[np.frombuffer(gram, np.uint8)], size)[0]
+                total += model.table[:, int(h % np.uint64(language.BUCKETS))]
+                n += 1
+    p = language.softmax((total / max(1, n) + model.bias)[None] / model.temperature)[0]
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs)
+    texts = [(r.doc_id, r.text[:400]) for r in docs.collect() if r.text][:60] + [(9000, "Ünder ﬁ 1x2 ÀB"), (9001, "a")]
+    monkeypatch.setattr(language, "PART", 100)  # texts in several parts
+    got = {r.doc_id: r for r in language.predict(documents(spark, texts), model).select("row.doc_id", "lang_pred", "score").collect()}
+    for i, t in texts:
+        lang, score = brute_language(model, t)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-5
+
+
 def test_held_out_column(spark):
     from orograph.llm.common import held_out
 
@@ -340,6 +490,64 @@ def test_folding_and_exceptions():
     assert toxicity.signals(a, toxicity.fold(b"")) == (0.0, 0.0, 0)
 
 
+def brute_score(model, text):
+    """The score by looking for every entry at every place."""
+    t = toxicity.fold(text.encode())
+    gone = {i for p in model.exceptions for k in range(len(t)) if t.startswith(p, k) for i in range(k, k + len(p) - 1)}
+    total = 0.0
+    for k in range(len(t)):
+        total += max((w for e, w in model.weights.items() if k not in gone and t.startswith(e, k)), default=0.0)
+    z = np.log1p(total) * model.curve[0] + np.log1p(100 * total / max(1, len(t.split()))) * model.curve[1] + model.curve[2]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    plain = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows, labels = [], []
+    for i in range(900):
+        words = rng.choice(plain, 25).tolist()
+        kind = i % 3
+        if kind == 0:  # toxic
+            words[int(rng.integers(25))] = str(rng.choice(["k1ller", "vermin", "Killers"]))
+        elif kind == 1:  # clean, though with the word
+            words[int(rng.integers(24))] = "killer whale"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert " killer whale " in model.exceptions and any(e.startswith(" kill") for e in model.weights)
+    more = [(2000, "killer whale killer whale"), (2001, "A killer! whale"), (2002, ""), (2003, "vermin killer whale vermin " * 40)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows + more, "doc_id long, text string"), model).select("row.doc_id", "score", "predicted").collect()}
+    for i, t in rows[:120] + more:
+        assert abs(got[i].score - brute_score(model, t)) < 1e-9
+    wrong = sum(got[i].predicted != toxic for i, toxic in labels)
+    assert wrong == 0
+
+
+def test_a_shared_id_takes_no_more_of_the_sample(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 3).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert toxicity._sampled(docs, labels, 100).count() == 100
+
+
+def test_workers_need_no_package():
+    """With the repository on the driver's path only, op7 and op10 run."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from orograph.llm import catalog
+for name in ("op7_language", "op10_toxicity"):
+    assert catalog.QUERIES[name](spark, {SMALL!r}).count() == 200
+print("both ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.path.dirname(public_tokenizers.__file__) + "/.."}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", env=env, capture_output=True, text=True, timeout=300)
+    assert "both ran" in out.stdout, out.stderr[-2000:]
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, EDGES)
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
