@@ -85,11 +85,12 @@ def bilinear(grid: np.ndarray, fr: np.ndarray, fc: np.ndarray) -> np.ndarray:
     return grid[r, c] * (1 - dr) * (1 - dc) + grid[r, c1] * (1 - dr) * dc + grid[r1, c] * dr * (1 - dc) + grid[r1, c1] * dr * dc
 
 
-PATHS = "seed long, step int, r0 double, c0 double, r1 double, c1 double, h0 double, h1 double, gx double, gz double, cell long, to long"
+PATHS = "seed long, step int, cell long, to long, shown boolean, r0 double, c0 double, r1 double, c1 double, h0 double, h1 double, gx double, gz double"
 
 
-def _trace(meta: Meta, tile: int, stride: int, step: float, longest: int, table: pa.Table) -> pa.Table:
-    """Steepest descent from a tile's seeds, all at once: unit steps against the gradient."""
+def _trace(meta: Meta, tile: int, stride: int, step: float, longest: int, band, table: pa.Table) -> pa.Table:
+    """Steepest descent from a tile's seeds, all at once: unit steps against the gradient.
+    A row for each cell that a line reaches, with the step from there, if it takes one."""
     r_at, c_at, (h, ok) = _patch(table, "h", "valid")
     tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
     first = lambda t: -(-t * tile // stride) * stride
@@ -99,6 +100,12 @@ def _trace(meta: Meta, tile: int, stride: int, step: float, longest: int, table:
     near = lambda x: np.floor(x + 0.5).astype(np.int64)
     data = lambda r, c: ok[np.clip(r - r_at, 0, ok.shape[0] - 1), np.clip(c - c_at, 0, ok.shape[1] - 1)] & (r >= 0) & (c >= 0) & (r < meta.rows) & (c < meta.cols)
     height = lambda r, c: bilinear(h, r - r_at, c - c_at)
+    span = meta.max_z - meta.min_z
+
+    def in_range(v):
+        share = ((v - 0.5) * 100 * meta.elev_scale - meta.min_z) / span if span > 0 else np.zeros(len(v))
+        return (share >= band[0] / 100) & (share <= band[1] / 100)
+
     alive = np.flatnonzero(data(sr, sc))
     fr, fc = sr.astype(float), sc.astype(float)
     been = np.full((len(seed), longest + 1), -1, np.int64)
@@ -116,42 +123,56 @@ def _trace(meta: Meta, tile: int, stride: int, step: float, longest: int, table:
         been[alive, k] = cell
         gx, gz = height(r, c + eps) - height(r, c - eps), height(r + eps, c) - height(r - eps, c)
         size = np.sqrt(gx * gx + gz * gz)
-        steep = size >= 0.0005
-        alive, r, c, gx, gz, size, cell = (x[steep] for x in (alive, r, c, gx, gz, size, cell))
-        nr, nc = r - gz / size * step, c - gx / size * step
+        some = np.where(size > 0, size, 1.0)
+        nr, nc = r - gz / some * step, c - gx / some * step
         to = near(nr) * meta.cols + near(nc)
-        go = data(near(nr), near(nc)) & ~(been[alive, : k + 1] == to[:, None]).any(1)
-        alive, r, c, gx, gz, nr, nc, cell, to = (x[go] for x in (alive, r, c, gx, gz, nr, nc, cell, to))
-        rows.append((seed[alive], np.full(len(alive), k, np.int32), r, c, nr, nc, height(r, c), height(nr, nc), gx, gz, cell, to))
-        fr[alive], fc[alive] = nr, nc
-    kinds = [pa.int64(), pa.int32(), *[pa.float64()] * 8, pa.int64(), pa.int64()]
-    cols = [np.concatenate(x) for x in zip(*rows)] if rows else [np.zeros(0)] * 12
+        h0, h1 = height(r, c), height(nr, nc)
+        shown = in_range(h0), in_range(h1)
+        go = (size >= 0.0005) & data(near(nr), near(nc)) & ~(been[alive, : k + 1] == to[:, None]).any(1) & (shown[0] | shown[1])
+        rows.append((seed[alive], np.full(len(alive), k), cell, np.where(go, to, -1), shown[0] & shown[1] & go, r, c, nr, nc, h0, h1, gx, gz))
+        alive = alive[go]
+        fr[alive], fc[alive] = nr[go], nc[go]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 8]
+    cols = [np.concatenate(x) for x in zip(*rows)] if rows else [np.zeros(0)] * 13
     return pa.table([pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(cols, kinds)], [n.split()[0] for n in PATHS.split(", ")])
 
 
+def _ends(paths: DataFrame) -> DataFrame:
+    """(seed, end): the first step that a line can't take, since an earlier seed's line
+    has reached the cell; -1 if that is the seed itself.
+
+    Paths don't depend on each other, only where they end does. Lines are held between two
+    bounds: cells that earlier lines reach for sure end a line at the latest, and cells
+    that they may reach end it at the earliest. Both are found anew from each other's
+    bounds until they agree; each round settles at least the first line that isn't."""
+    never = 1 << 30
+    reached = paths.select("seed", "step", "cell")
+    asked = paths.where("to >= 0").select("seed", "step", F.col("to").alias("cell")).unionByName(paths.where("step = 0").select("seed", F.lit(-1).alias("step"), "cell"))
+    least = paths.select("seed").distinct().select("seed", F.lit(-1).alias("early"), F.lit(never).alias("late"))
+    while True:
+        # a line reaches what lies up to its end
+        held = reached.join(least, "seed").groupBy("cell").agg(F.min(F.when(F.col("step") <= F.col("early"), F.col("seed"))).alias("sure"), F.min(F.when(F.col("step") <= F.col("late"), F.col("seed"))).alias("maybe"))
+        met = asked.join(held, "cell").groupBy("seed").agg(
+            F.min(F.when(F.col("maybe") < F.col("seed"), F.col("step"))).alias("early"), F.min(F.when(F.col("sure") < F.col("seed"), F.col("step"))).alias("late")
+        )
+        least = cut(met.select("seed", F.coalesce("early", F.lit(never)).alias("early"), F.coalesce("late", F.lit(never)).alias("late")))
+        if least.where("early != late").isEmpty():
+            return least.select("seed", F.col("late").alias("end"))
+
+
 def flow_lines(t: Terrain, *, spacing: float = 10, step: float = 1, longest: int = 100, band=(0, 100), tile: int = 256) -> DataFrame:
-    """M7: lines of steepest descent from each step-th cell. Lines don't cross cells that
-    an earlier seed (in reading order) has: every seed is traced by itself, then each cell
-    goes to the first seed that reaches it, and lines end where they lose a cell. (Traced
-    one after the other, a line could go on through a cell whose owner was itself cut off
-    before it; that order can't be spread over tasks.)"""
+    """M7: lines of steepest descent from each step-th cell, as if drawn one after the
+    other: a line ends before a cell that an earlier one has reached, and a seed in such
+    a cell draws none. A line that leaves the elevation band ends."""
+    from orograph.operators.grid import world_x, world_z
     from orograph.operators.modes import _segment, step_of
 
     m, stride = t.meta, step_of(t, spacing)
     margin = math.ceil(longest * step) + 2
     patches = tiled(t.cells.where((F.col("r") < m.rows) & (F.col("c") < m.cols)), tile, margin, "h", "valid").where((F.col("tr") <= (m.rows - 1) // tile) & (F.col("tc") <= (m.cols - 1) // tile))
-    paths = cut(patches.groupBy("tr", "tc").applyInArrow(lambda table: _trace(m, tile, stride, step, longest, table), PATHS))
-    visits = paths.select("seed", F.col("cell").alias("at")).union(paths.select("seed", "to"))
-    owner = visits.groupBy("at").agg(F.min("seed").alias("owner"))
-    lost = (
-        paths.join(owner.select(F.col("at").alias("cell"), F.col("owner").alias("own_from")), "cell").join(owner.select(F.col("at").alias("to"), F.col("owner").alias("own_to")), "to")
-        .where((F.col("own_from") != F.col("seed")) | (F.col("own_to") != F.col("seed"))).groupBy("seed").agg(F.min("step").alias("end"))
-    )
-    kept = paths.join(lost, "seed", "left").where(F.col("end").isNull() | (F.col("step") < F.col("end")))
+    paths = cut(patches.groupBy("tr", "tc").applyInArrow(lambda table: _trace(m, tile, stride, step, longest, band, table), PATHS))
+    kept = paths.where("shown").join(_ends(paths), "seed").where(F.col("step") < F.col("end"))
     z = lambda h: (F.col(h) - 0.5) * 100 * m.elev_scale
-    from orograph.operators.grid import in_band, world_x, world_z
-
-    kept = kept.where(in_band(m, z("h0"), *band) & in_band(m, z("h1"), *band))
     size = F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz"))
     steep = F.least(F.lit(1.0), size / (m.max_slope or 0.02))
     ends = [world_x(m, "c0"), z("h0"), world_z(m, "r0"), world_x(m, "c1"), z("h1"), world_z(m, "r1")]
@@ -230,9 +251,8 @@ def erode(pixels: DataFrame, width: int, height: int, *, droplets: int = 50_000,
     p = EROSION | options
     margin = p["lifetime"] + p["radius"] + 2
     spark, now = pixels.sparkSession, pixels
-    each = max(1, droplets // batches)
     for b in range(batches):
-        drops = spark.range(each).select(
+        drops = spark.range(droplets // batches + (b < droplets % batches)).select(
             (F.pmod(F.xxhash64(F.lit(seed), F.lit(b), F.lit(0), "id"), F.lit(1 << 40)).cast("double") / float(1 << 40) * (width - 1)).alias("x"),
             (F.pmod(F.xxhash64(F.lit(seed), F.lit(b), F.lit(1), "id"), F.lit(1 << 40)).cast("double") / float(1 << 40) * (height - 1)).alias("y"), "id",
         )

@@ -154,6 +154,50 @@ def test_flow_lines_keep_to_their_cells(spark):
     assert one.where("y1 > y0 + 1e-9").count() <= one.count() * 0.2
 
 
+def brute_flow_lines(t, spacing, band=(0, 100), longest=100):
+    """Lines drawn one after the other over one mask of reached cells."""
+    m = t.meta
+    h, ok, reached = np.zeros((m.rows, m.cols)), np.zeros((m.rows, m.cols), bool), np.zeros((m.rows, m.cols), bool)
+    for x in t.cells.collect():
+        h[x.r, x.c], ok[x.r, x.c] = x.h, x.valid
+    near = lambda v: math.floor(v + 0.5)
+    height = lambda r, c: float(sequential.bilinear(h, np.array([r]), np.array([c]))[0])
+    shown = lambda v: band[0] / 100 <= (((v - 0.5) * 100 * m.elev_scale - m.min_z) / (m.max_z - m.min_z) if m.max_z > m.min_z else 0.0) <= band[1] / 100
+    out = []
+    for seed in ((r, c) for r in range(0, m.rows, spacing) for c in range(0, m.cols, spacing)):
+        if not ok[seed] or reached[seed]:
+            continue
+        r, c = map(float, seed)
+        for k in range(longest):
+            if not (0.5 <= r <= m.rows - 1.5 and 0.5 <= c <= m.cols - 1.5) or not ok[near(r), near(c)]:
+                break
+            reached[near(r), near(c)] = True
+            gx, gz = height(r, c + 0.5) - height(r, c - 0.5), height(r + 0.5, c) - height(r - 0.5, c)
+            size = math.sqrt(gx * gx + gz * gz)
+            if size < 0.0005:
+                break
+            nr, nc = r - gz / size, c - gx / size
+            if reached[near(nr), near(nc)] or not ok[near(nr), near(nc)]:
+                break
+            ends = shown(height(r, c)), shown(height(nr, nc))
+            if all(ends):
+                out.append((seed[0] * m.cols + seed[1], k))
+            elif not any(ends):
+                break
+            r, c = nr, nc
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("name", "spacing", "band"), [("E", 1, (0, 100)), ("E", 4, (0, 100)), ("N", 1, (0, 100)), ("N", 2, (20, 60)), ("P", 1, (0, 100)), ("P", 1, (30, 70)), ("P", 2, (0, 100))])
+def test_flow_lines_are_those_drawn_one_after_the_other(spark, name, spacing, band):
+    from orograph.plans.terrain import terrain as of_tables
+    from tests.conftest import SMALL
+
+    t = of_tables(spark, SMALL if name == "E" else "/root/testdata/sf0.01", name)
+    got = sorted((r.seed, r.step) for r in modes.flow_lines(t, spacing=spacing, band=band).select("seed", "step").collect())
+    assert got == brute_flow_lines(t, spacing, band) and len(got) > 50
+
+
 def test_mirrors_multiply_and_turn_faces(spark):
     t = terrain(spark, PEAK)
     s, signs = modes.ridgelines(t, spacing=1), mesh.octants(minus_x=True, minus_z=True)
@@ -202,6 +246,75 @@ def test_erosion(spark):
     assert sum(w for *_, w in sequential.erosion_brush(3)) == pytest.approx(1)
 
 
+def brute_droplet(h, x, y, p):
+    """One droplet over a map that it doesn't change: the change that it makes."""
+    change = np.zeros_like(h)
+    rows, cols = h.shape
+    dx = dy = load = 0.0
+    speed = water = 1.0
+
+    def look(x, y):
+        j, i = math.floor(x), math.floor(y)
+        u, v = x - j, y - i
+        a, b, c, d = h[i, j], h[i, j + 1], h[i + 1, j], h[i + 1, j + 1]
+        return a * (1 - u) * (1 - v) + b * u * (1 - v) + c * (1 - u) * v + d * u * v, (b - a) * (1 - v) + (d - c) * v, (c - a) * (1 - u) + (d - b) * u
+
+    def settle(x, y, amount):
+        j, i = math.floor(x), math.floor(y)
+        u, v = x - j, y - i
+        for di, dj, w in ((0, 0, (1 - u) * (1 - v)), (0, 1, u * (1 - v)), (1, 0, (1 - u) * v), (1, 1, u * v)):
+            change[i + di, j + dj] += amount * w
+
+    for _ in range(p["lifetime"]):
+        old, gx, gy = look(x, y)
+        dx, dy = dx * p["inertia"] - gx * (1 - p["inertia"]), dy * p["inertia"] - gy * (1 - p["inertia"])
+        size = math.hypot(dx, dy)
+        if size:
+            dx, dy = dx / size, dy / size
+        nx, ny = x + dx, y + dy
+        if not (0 <= nx < cols - 1 and 0 <= ny < rows - 1):
+            settle(x, y, load)
+            break
+        rise = look(nx, ny)[0] - old
+        room = max(-rise, p["least_capacity"]) * speed * water * p["capacity"]
+        if load > room or rise > 0:
+            amount = min(rise, load) if rise > 0 else (load - room) * p["deposit"]
+            load -= amount
+            settle(x, y, amount)
+        else:
+            amount = min((room - load) * p["erode"], -rise)
+            for di, dj, w in sequential.erosion_brush(p["radius"]):
+                i, j = math.floor(y) + di, math.floor(x) + dj
+                if 0 <= i < rows and 0 <= j < cols:
+                    change[i, j] -= amount * w
+            load += amount
+        speed = math.sqrt(max(0.0, speed * speed + rise * p["gravity"]))
+        water *= 1 - p["evaporate"]
+        x, y = nx, ny
+    return change
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_droplet_against_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    a = np.add.outer(np.linspace(0.8, 0.2, 24), np.linspace(0.1, 0, 20)) + rng.random((24, 20)) * 0.05
+    u = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(0), F.lit(k), "id"), F.lit(1 << 40)).cast("double") for k in (0, 1)]).first()
+    x, y = u[0] / (1 << 40) * 19, u[1] / (1 << 40) * 23
+    wanted = np.clip(a + brute_droplet(a, x, y, sequential.EROSION), 0, 1)
+    got = {(r.r, r.c): r.raw for r in sequential.erode(pixels(spark, a), 20, 24, droplets=1, batches=1, seed=seed, tile=9).collect()}
+    assert max(abs(got[r, c] - wanted[r, c]) for r in range(24) for c in range(20)) < 1e-12
+
+
+def test_all_droplets_fall(spark, monkeypatch):
+    asked = []
+    real = type(spark).range
+    monkeypatch.setattr(type(spark), "range", lambda self, n, *a: (asked.append(n), real(self, n, *a))[1])
+    px = pixels(spark, np.random.default_rng(1).random((6, 6)))
+    for droplets in (7, 3):
+        asked.clear()
+        assert sequential.erode(px, 6, 6, droplets=droplets, batches=5).count() == 36 and sum(asked) == droplets
+
+
 def test_erosion_query_runs_the_whole_job(spark, monkeypatch):
     import __spark_entry__ as entry
     from tests.conftest import SMALL
