@@ -3,8 +3,10 @@
 Pixels are (r, c, raw, valid), one row for each place of a dense raster, raw from 0 to 1.
 Cells are (r, c, h, valid, slope). Places without data stay as rows with h = 0, since
 neighbourhood operators read them. Neighbours come from windows over rows and over
-columns: two shuffles, whatever the number of operators on top. What describes the whole
-terrain is one row; it is computed once and goes into later plans as literals.
+columns, in blocks of BLOCK cells that overlap as far as an operator looks: two shuffles,
+whatever the number of operators on top, and no group that grows with the raster. A
+terrain's cells are written once. What describes all of it is one row; it is computed
+once and goes into later plans as literals.
 """
 
 from __future__ import annotations
@@ -16,14 +18,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orograph.functions.numeric import half_up, value_noise
+from orograph.shared import cut
 
 
-def along_row():
-    return Window.partitionBy("r").orderBy("c")
+#: Cells of a row or column that a window's group has, beside its overlap.
+BLOCK = 2048
 
 
-def along_column():
-    return Window.partitionBy("c").orderBy("r")
+def along(df: DataFrame, axis: str, made, reach: int = 1) -> DataFrame:
+    """What ``made`` (of a frame and a window) makes of ``df``, with windows along rows (axis
+    c) or columns (axis r) that see ``reach`` cells to either side."""
+    block = lambda x: F.floor(x / BLOCK).cast("int")
+    dealt = df.withColumn("_b", F.explode(F.sequence(block(F.col(axis) - reach), block(F.col(axis) + reach))))
+    window = Window.partitionBy("r" if axis == "c" else "c", "_b").orderBy(axis)
+    return made(dealt, window).where(block(F.col(axis)) == F.col("_b")).drop("_b")
 
 
 @dataclass(frozen=True)
@@ -53,18 +61,21 @@ def box_blur(df: DataFrame, value: str, radius: float, out: str) -> DataFrame:
     if radius <= 0 or k == 0:
         return df.withColumn(out, F.col(value))
 
-    def pass_(df: DataFrame, window, order: str, names: list[str]) -> DataFrame:
+    names = ["_s", "_n"]
+
+    def sums(df: DataFrame, window, order: str) -> DataFrame:
         so_far = window.rowsBetween(Window.unboundedPreceding, 0)
-        sums = df.withColumns({f"_p{n}": F.sum(n).over(so_far) for n in names})
+        summed = df.withColumns({f"_p{n}": F.sum(n).over(so_far) for n in names})
         # the prefix k places on (or the last there is) less the one k + 1 places back
         whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        ends = sums.withColumns({f"_t{n}": F.max(F.struct(order, f"_p{n}")).over(whole)[f"_p{n}"] for n in names})
+        ends = summed.withColumns({f"_t{n}": F.max(F.struct(order, f"_p{n}")).over(whole)[f"_p{n}"] for n in names})
         reach = {n: F.coalesce(F.lead(f"_p{n}", k).over(window), F.col(f"_t{n}")) - F.coalesce(F.lag(f"_p{n}", k + 1).over(window), F.lit(0)) for n in names}
         return ends.withColumns(reach).drop(*[f"_{x}{n}" for n in names for x in "pt"])
 
-    one = df.withColumns({"_s": F.col(value).cast("double"), "_n": F.lit(1).cast("long")})
-    summed = pass_(pass_(one, along_row(), "c", ["_s", "_n"]), along_column(), "r", ["_s", "_n"])
-    return summed.withColumn(out, (F.col("_s") / F.col("_n")).cast("float").cast("double")).drop("_s", "_n")
+    summed = df.withColumns({"_s": F.col(value).cast("double"), "_n": F.lit(1).cast("long")})
+    for axis in "cr":
+        summed = along(summed, axis, lambda d, w, order=axis: sums(d, w, order), k)
+    return summed.withColumn(out, (F.col("_s") / F.col("_n")).cast("float").cast("double")).drop(*names)
 
 
 def stride_sample(pixels: DataFrame, width: int, height: int, scl: int = 1, off_x: float = 0, off_y: float = 0):
@@ -90,7 +101,7 @@ def with_slope(cells: DataFrame) -> DataFrame:
     def ahead(window):
         return F.coalesce(F.when(F.lead("valid").over(window), F.lead("h").over(window)), F.col("h"))
 
-    seen = cells.withColumn("_e", ahead(along_row())).withColumn("_s", ahead(along_column()))
+    seen = along(along(cells, "c", lambda d, w: d.withColumn("_e", ahead(w))), "r", lambda d, w: d.withColumn("_s", ahead(w)))
     dx, dy = F.col("_e") - F.col("h"), F.col("_s") - F.col("h")
     return seen.withColumn("slope", F.when(F.col("valid"), F.sqrt(dx * dx + dy * dy)).otherwise(0.0)).drop("_e", "_s")
 
@@ -104,7 +115,7 @@ def build_terrain(pixels: DataFrame, width: int, height: int, *, resolution: int
     sampled, rows, cols = stride_sample(blurred, width, height, resolution, off_x, off_y)
     norm = levels(F.col("raw").cast("double"), black, white)
     cells = sampled.select("r", "c", F.when(F.col("valid"), norm).alias("norm"), "valid")
-    cells = with_slope(cells.withColumn("h", F.coalesce(F.col("norm"), F.lit(0.0)).cast("float").cast("double")))
+    cells = cut(with_slope(cells.withColumn("h", F.coalesce(F.col("norm"), F.lit(0.0)).cast("float").cast("double"))))
     m = cells.where("valid").agg(*[F.min(x).alias(f"lo_{x}") for x in ("norm", "c", "r")], *[F.max(x).alias(f"hi_{x}") for x in ("norm", "c", "r", "slope")]).first()
     some = m.lo_norm is not None
     z = lambda b: (b - 0.5) * 100 * elev_scale
@@ -147,13 +158,21 @@ def neighbours(df: DataFrame, *names: str) -> DataFrame:
     """Adds the eight neighbours as structs of ``names``: nw n ne w e sw s se; null
     outside the raster."""
     own = F.struct(*names)
-    row = df.withColumns({"_w": F.lag(own).over(along_row()), "_e": F.lead(own).over(along_row())})
+    row = along(df, "c", lambda d, w: d.withColumns({"_w": F.lag(own).over(w), "_e": F.lead(own).over(w)}))
     three = F.struct(F.col("_w").alias("w"), own.alias("m"), F.col("_e").alias("e"))
-    both = row.withColumns({"_n": F.lag(three).over(along_column()), "_s": F.lead(three).over(along_column())})
+    both = along(row, "r", lambda d, w: d.withColumns({"_n": F.lag(three).over(w), "_s": F.lead(three).over(w)}))
     place = {"nw": "_n.w", "n": "_n.m", "ne": "_n.e", "w": "_w", "e": "_e", "sw": "_s.w", "s": "_s.m", "se": "_s.e"}
     return both.select(*df.columns, *[F.col(v).alias(k) for k, v in place.items()])
 
 
+def squares(cells: DataFrame, corner: Column) -> DataFrame:
+    """Adds to each cell the corners (``corner`` of a cell) of the square that it begins: tl,
+    tr, bl, br; null outside the raster."""
+    right = along(cells.withColumn("tl", corner), "c", lambda d, w: d.withColumn("tr", F.lead("tl").over(w)))
+    low = along(right, "r", lambda d, w: d.withColumn("_low", F.lead(F.struct("tl", "tr")).over(w)))
+    return low.withColumns({"bl": F.col("_low.tl"), "br": F.col("_low.tr")}).drop("_low")
+
+
 def mirror_raster(pixels: DataFrame, size: int, axis: str) -> DataFrame:
     """A raster twice as wide (axis c) or high (axis r): its mirror image, then itself."""
     return pixels.withColumn(axis, F.lit(size - 1) - F.col(axis)).unionByName(pixels.withColumn(axis, F.col(axis) + size)).withColumn(axis, F.col(axis).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orograph.operators.grid import Terrain, along_column, along_row, elevation, world_x, world_z
+from orograph.operators.grid import Terrain, elevation, squares, world_x, world_z
 
 ABYSS = -10000.0
 
@@ -77,9 +77,8 @@ def triangles(t: Terrain, jitter: float = 0) -> DataFrame:
     corner = F.struct(
         (F.col("r").cast("long") * m.cols + F.col("c")).alias("vid"), world_x(m, "c").alias("x"), elevation(t, jitter=jitter).alias("y"), world_z(m, "r").alias("z"), F.col("h"), F.col("valid")
     )
-    squares = t.cells.select("r", "c", corner.alias("tl")).withColumn("tr", F.lead("tl").over(along_row())).withColumn("low", F.lead(F.struct("tl", "tr")).over(along_column()))
-    whole = squares.where("tl.valid and tr.valid and low.tl.valid and low.tr.valid")
-    faces = F.array(F.struct(F.col("tl").alias("a"), F.col("low.tl").alias("b"), F.col("tr").alias("c")), F.struct(F.col("tr").alias("a"), F.col("low.tl").alias("b"), F.col("low.tr").alias("c")))
+    whole = squares(t.cells, corner).where("tl.valid and tr.valid and bl.valid and br.valid")
+    faces = F.array(F.struct(F.col("tl").alias("a"), F.col("bl").alias("b"), F.col("tr").alias("c")), F.struct(F.col("tr").alias("a"), F.col("bl").alias("b"), F.col("br").alias("c")))
     return whole.select("r", F.col("c").alias("col"), F.posexplode(faces).alias("part", "f")).select("r", "col", "part", "f.a", "f.b", "f.c")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions.color import vertex_color
 from orograph.functions.numeric import half_up, uniform
-from orograph.operators.grid import Terrain, along_column, along_row, box_blur, elevation, in_band, neighbours, norm_elevation, world_x, world_z
+from orograph.operators.grid import Terrain, along, box_blur, elevation, in_band, neighbours, norm_elevation, squares, world_x, world_z
 
 POINTS = ["x0", "y0", "z0", "x1", "y1", "z1"]
 BAND = (0, 100)
@@ -43,9 +43,9 @@ def ridgelines(t: Terrain, *, along_columns: bool = False, spacing: float = 4, s
     """M1, M2: every step-th row (or column) as a line through consecutive cells with
     data in the band."""
     step = step_of(t, spacing)
-    outer, window = ("c", along_column()) if along_columns else ("r", along_row())
-    ahead = F.lead(F.struct("r", "c", "h", "valid", "slope")).over(window)
-    lines = t.cells.where(every(outer, step, int(shift) % step)).withColumn("b", ahead).where(F.col("valid") & F.col("b.valid"))
+    outer, inner = ("c", "r") if along_columns else ("r", "c")
+    ahead = F.struct("r", "c", "h", "valid", "slope")
+    lines = along(t.cells.where(every(outer, step, int(shift) % step)), inner, lambda d, w: d.withColumn("b", F.lead(ahead).over(w))).where(F.col("valid") & F.col("b.valid"))
     e0, e1 = elevation(t, jitter=jitter), elevation(t, "b.h", "b.r", "b.c", jitter)
     kept = lines.where(in_band(t.meta, e0, *band) & in_band(t.meta, e1, *band))
     ends = [world_x(t.meta, "c"), e0, world_z(t.meta, "r"), world_x(t.meta, "b.c"), e1, world_z(t.meta, "b.r")]
@@ -121,13 +121,8 @@ def contour_crossings(t: Terrain, *, interval: float = 4, band=BAND) -> DataFram
     m = t.meta
     first = math.ceil((m.min_z - 1e-7) / interval) * interval
     count = max(0, math.floor((math.ceil(m.max_z / interval) * interval - first) / interval) + 1)
-    corner = F.struct("h", "valid")
-    right = t.cells.withColumn("tl", corner).withColumn("tr", F.lead(corner).over(along_row()))
-    squares = (
-        right.withColumn("low", F.lead(F.struct("tl", "tr")).over(along_column()))
-        .select("r", "c", "tl", "tr", F.col("low.tl").alias("bl"), F.col("low.tr").alias("br"))
-        .where(F.col("br").isNotNull() & (F.col("tl.valid") | F.col("tr.valid") | F.col("bl.valid") | F.col("br.valid")))
-    )
+    some = F.col("br").isNotNull() & (F.col("tl.valid") | F.col("tr.valid") | F.col("bl.valid") | F.col("br.valid"))
+    corners = squares(t.cells, F.struct("h", "valid")).select("r", "c", "tl", "tr", "bl", "br").where(some)
     names = ["tl", "tr", "br", "bl"]
     z = lambda h: (h - 0.5) * 100 * m.elev_scale
     heights = [F.when(F.col(f"{n}.valid"), F.col(f"{n}.h")) for n in names]
@@ -135,7 +130,7 @@ def contour_crossings(t: Terrain, *, interval: float = 4, band=BAND) -> DataFram
     # one level more on either side; the corners decide
     low = F.when(whole, F.greatest(F.lit(0), F.floor((z(F.least(*heights)) - first) / interval) - 1)).otherwise(0)
     high = F.least(F.lit(count - 1), F.ceil((z(F.greatest(*heights)) - first) / interval) + 1)
-    met = squares.withColumns({"lo": low.cast("int"), "hi": high.cast("int")}).where("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
+    met = corners.withColumns({"lo": low.cast("int"), "hi": high.cast("int")}).where("lo <= hi").withColumn("i", F.explode(F.sequence("lo", "hi")))
     elev = F.lit(float(first)) + F.col("i") * F.lit(float(interval))
     leveled = met.withColumn("elev", elev).where(in_band(m, F.col("elev"), *band)).withColumn("level", F.col("elev") / (100 * m.elev_scale) + 0.5)
     value = {n: F.when(F.col(f"{n}.valid"), F.col(f"{n}.h")).otherwise(F.col("level") - BELOW) for n in names}

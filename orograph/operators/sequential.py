@@ -17,20 +17,57 @@ from orograph.operators.grid import Meta, Terrain
 from orograph.shared import cut
 
 
-def stream_order(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+#: Orders up to which functions of an order are tabled: a cell of order k has 2^(k - 1)
+#: sources above it.
+ORDERS = 48
+
+
+def stream_order(edges: DataFrame) -> DataFrame:
     """Strahler order (r, c, ord) of the cells of a drainage (r, c, dr, dc): 1 at a
-    source; else the highest order that flows in, one more if it does so twice. All start
-    at 1; after as many rounds as the longest path has cells, nothing changes. A cell has
-    eight inflows at most."""
-    now = cut(edges.select("r", "c", "dr", "dc", F.lit(1).alias("ord"), F.lit(True).alias("changed")))
-    for _ in range(most_rounds):
-        flows = now.groupBy(F.col("dr").alias("r"), F.col("dc").alias("c")).agg(F.sort_array(F.collect_list("ord"), False).alias("o"))
-        top = F.col("o")[0] + F.when((F.size("o") > 1) & (F.get("o", F.lit(1)) == F.col("o")[0]), 1).otherwise(0)
-        new = F.coalesce(top, F.lit(1))
-        now = cut(now.join(flows, ["r", "c"], "left").select("r", "c", "dr", "dc", new.alias("ord"), (new != F.col("ord")).alias("changed")))
-        if now.where("changed").isEmpty():
-            return now.select("r", "c", "ord")
-    raise RuntimeError("the drainage has a cycle")
+    source; else the highest order that flows in, one more if it does so twice.
+
+    Cells wait for their inflows. In each round those with all inflows known are settled.
+    A cell with one unknown inflow is a function of that one's order, kept as a table of
+    ORDERS values with a pointer to it; pointers jump over others of the kind, whose
+    functions they take in, so a path of any length is settled in rounds that go with its
+    logarithm. Only cells that aren't settled go on."""
+    place = lambda r, c: F.shiftleft(F.col(r).cast("long"), 32).bitwiseOR(F.col(c).cast("long"))
+    cells = cut(edges.select(place("r", "c").alias("id"), place("dr", "dc").alias("out")))
+    inflows = cells.groupBy("out").agg(F.count("*").cast("int").alias("wait"))
+    begun = cells.join(inflows.withColumnRenamed("out", "id"), "id", "left")
+    new = cut(begun.where("wait is null").select("id", "out", F.lit(1).alias("ord")))
+    left = cut(begun.where("wait is not null").select("id", "out", F.lit(0).alias("top"), F.lit(0).alias("same"), "wait", F.lit(None).cast("long").alias("ptr"), F.lit(None).cast("array<int>").alias("f")))
+    settled = [new]
+    while not left.isEmpty():
+        if new.isEmpty():
+            raise ValueError("the drainage has a cycle")
+        by_order = new.groupBy("out", "ord").agg(F.count("*").cast("int").alias("n")).groupBy("out").agg(F.max(F.struct("ord", "n")).alias("m"), F.sum("n").cast("int").alias("all"))
+        come = by_order.select(F.col("out").alias("id"), F.col("m.ord").alias("o"), F.col("m.n").alias("n"), "all")
+        met = left.join(come, "id", "left").select(
+            "id", "out", F.greatest("top", F.coalesce("o", F.lit(0))).alias("top"),
+            F.when(F.col("o") > F.col("top"), F.col("n")).when(F.col("o") == F.col("top"), F.col("same") + F.col("n")).otherwise(F.col("same")).alias("same"),
+            (F.col("wait") - F.coalesce("all", F.lit(0))).alias("wait"), "ptr", "f",
+        )
+        own = F.col("top") + F.when(F.col("same") > 1, 1).otherwise(0)
+        met = cut(met.withColumn("ord", F.when(F.col("wait") == 0, own)))
+        # cells that now have one unknown inflow begin to point to it
+        child = met.select(F.col("out").alias("id"), F.col("id").alias("child"))
+        table = F.transform(F.sequence(F.lit(1), F.lit(ORDERS)), lambda x: F.when(x > F.col("top"), x).when(x == F.col("top"), x + 1).otherwise(own))
+        single = met.where("wait = 1 and ptr is null").join(child, "id").select(*met.columns, F.col("child").alias("p"), table.alias("t"))
+        rest = met.where("wait != 1 or ptr is not null").select(*met.columns, F.col("ptr").alias("p"), F.col("f").alias("t"))
+        pointed = single.unionByName(rest).drop("ptr", "f").withColumnsRenamed({"p": "ptr", "t": "f"})
+        known = new.select(F.col("id").alias("ptr"), F.col("ord").alias("k")).unionByName(met.where("ord is not null").select(F.col("id").alias("ptr"), F.col("ord").alias("k")))
+        seen = cut(pointed.join(known, "ptr", "left").withColumn("ord", F.coalesce("ord", F.when(F.col("k").isNotNull(), F.element_at("f", F.col("k"))))).drop("k"))
+        new = seen.where("ord is not null").select("id", "out", "ord")
+        settled.append(new)
+        further = seen.where("ord is null and ptr is not null").select(F.col("id").alias("ptr"), F.col("ptr").alias("p"), F.col("f").alias("g"))
+        open_ = seen.where("ord is null").join(further, "ptr", "left")
+        both = F.transform("g", lambda x: F.element_at("f", F.least(x, F.lit(ORDERS))))
+        left = cut(open_.select("id", "out", "top", "same", "wait", F.coalesce("p", "ptr").alias("ptr"), F.when(F.col("p").isNotNull(), both).otherwise(F.col("f")).alias("f")))
+    every = settled[0]
+    for s in settled[1:]:
+        every = every.unionByName(s)
+    return every.select(F.shiftright("id", 32).cast("int").alias("r"), F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("c"), "ord")
 
 
 def close_rings(crossings: DataFrame, rows: int, cols: int) -> DataFrame:

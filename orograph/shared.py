@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names. One of our own only where it is unset and
+    Spark runs in one process; elsewhere executors couldn't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="orograph-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -19,18 +25,55 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Makes Spark drop the shuffle files of a query once it has ended.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writers = threading.Lock(), {"n": 0, "before": "false"}
+
+
+class _dropping_shuffles:
+    """Sets the option while any thread writes, and puts it back after the last."""
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self):
+        with _lock:
+            if not _writers["n"]:
+                _writers["before"] = self.conf.get(_DROP_SHUFFLES, "false")
+                self.conf.set(_DROP_SHUFFLES, "true")
+            _writers["n"] += 1
+
+    def __exit__(self, *error):
+        with _lock:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                self.conf.set(_DROP_SHUFFLES, _writers["before"])
+
+
+_written: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder and read from there: later stages don't depend
     on executors that computed it, nothing is computed twice, and the shuffle files behind
-    it go as soon as it is written."""
+    it go as soon as it is written. The table goes when the driver ends, or with ``clear``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/orograph-{uuid.uuid4().hex}"
-    before = spark.conf.get(_DROP_SHUFFLES, "false")
-    spark.conf.set(_DROP_SHUFFLES, "true")
-    try:
+    if not _written:
+        atexit.register(_at_exit)
+    _written.append(path)
+    with _dropping_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut`` wrote so far. What reads them can't be used after."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear(spark)
