@@ -109,6 +109,32 @@ def g16(spark, sf_dir):
     return grid.histogram(raster(spark, sf_dir, "N").pixels)
 
 
+@query(
+    "G12_scalars",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS name, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CAST(least(20, greatest(1, ceil(greatest(width, height) / CAST(64 AS DOUBLE)))) AS INTEGER) AS auto_resolution,
+CAST(greatest(2, ceil(greatest(width, height) / CAST(20 AS DOUBLE))) AS INTEGER) AS safe_resolution, {D.r6('least(4, greatest(CAST(0.05 AS DOUBLE), CAST(500 AS DOUBLE) / greatest(width, height)))')} AS auto_zoom,
+{D.r6('least(50, greatest(CAST(0.1 AS DOUBLE), floor((hi - lo) / (CAST(30 AS DOUBLE) * 100) * 100 + 0.5) / 100))')} AS scale FROM (WITH {D.pixels(n)} SELECT * FROM lim)"""
+        for n in "ENP"
+    ),
+)
+def g12(spark, sf_dir):
+    """Automatic resolution, zoom and vertical scale of each raster."""
+    rows = []
+    for n in "ENP":
+        r = raster(spark, sf_dir, n)
+        rows.append((n, r.width, r.height, grid.auto_resolution(r.width, r.height, 64), grid.safe_resolution(2, r.width, r.height, 20), grid.auto_zoom(r.width, r.height), grid.suggested_scale(r.high - r.low, 30)))
+    return tidy(spark.createDataFrame(rows, "name string, width int, height int, auto_resolution int, safe_resolution int, auto_zoom double, scale double"))
+
+
+@query("G17_cut_labels", f"WITH {D.pixels('N')} SELECT r, c, {D.r6('lo + (hi - lo) * (raw * 100) / 100')} AS metres, {D.r6('(lo + (hi - lo) * (raw * 100) / 100 - lo) / (hi - lo) * 100')} AS percent FROM px, lim WHERE valid")
+def g17(spark, sf_dir):
+    """Heights in metres, and those in hundredths of the range."""
+    x = raster(spark, sf_dir, "N")
+    metres = grid.percent_to_metres(F.col("raw") * 100, x.low, x.high)
+    return tidy(x.pixels.where("valid").select("r", "c", metres.alias("metres")).withColumn("percent", grid.metres_to_percent(F.col("metres"), x.low, x.high)))
+
+
 # --- modes ----------------------------------------------------------------------------
 
 
@@ -275,6 +301,12 @@ def m7(spark, sf_dir):
     return ends_of(modes.flow_lines(terrain(spark, sf_dir, "E"), spacing=5), "seed", "step")
 
 
+@query("M7_flow_lines_dense")
+def m7_dense(spark, sf_dir):
+    """A seed in every cell, so that most lines end at an earlier one."""
+    return ends_of(modes.flow_lines(terrain(spark, sf_dir, "P"), spacing=1, band=(10, 90)), "seed", "step")
+
+
 _D8 = """d8 AS (SELECT a.r, a.c, a.h, a.slope, b.r AS dr, b.c AS dc, b.h AS dh FROM cells a JOIN cells b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1
   WHERE a.valid AND b.valid AND b.h < a.h QUALIFY row_number() OVER (PARTITION BY a.r, a.c ORDER BY b.h, b.r, b.c) = 1)"""
 #: Strahler orders by rounds that carry all edges along; the last round has the result.
@@ -405,6 +437,25 @@ def f8(spark, sf_dir):
     return spark.createDataFrame([(n, i, float(p), c) for n, s in GRADIENTS.items() for i, (p, c) in enumerate(s)], "name string, i int, pos double, color string")
 
 
+@query(
+    "F9_gradient_edit",
+    f"""WITH g AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {i}, CAST({float(p)!r} AS DOUBLE), '{c}')" for n, s in GRADIENTS.items() for i, (p, c) in enumerate(s))}) t(name, i, pos, color)),
+made AS (SELECT 'add' AS edit, name, pos, color FROM g UNION ALL SELECT DISTINCT 'add', name, CAST(0.31 AS DOUBLE), '#123456' FROM g WHERE name NOT IN (SELECT name FROM g WHERE abs(pos - CAST(0.31 AS DOUBLE)) < CAST(0.02 AS DOUBLE))
+  UNION ALL SELECT 'remove', name, pos, color FROM g WHERE i <> 1 OR pos IN (0, 1)
+  UNION ALL SELECT 'remove first', name, pos, color FROM g WHERE i <> 0 OR pos IN (0, 1)
+  UNION ALL SELECT 'move', name, CASE WHEN i = 1 AND pos NOT IN (0, 1) THEN CAST(0.99 AS DOUBLE) ELSE pos END, color FROM g)
+SELECT edit, name, CAST(row_number() OVER (PARTITION BY edit, name ORDER BY pos, color) - 1 AS INTEGER) AS i, pos, color FROM made""",
+)
+def f9(spark, sf_dir):
+    """Stops added, removed and moved in every gradient; the ends stay."""
+    from orograph.functions.color import edit_gradient
+
+    rows = spark.createDataFrame([(n, [(float(p), c) for p, c in s]) for n, s in GRADIENTS.items()], "name string, stops array<struct<pos: double, color: string>>")
+    edits = {"add": {"add": (0.31, "#123456")}, "remove": {"remove": 1}, "remove first": {"remove": 0}, "move": {"move": (1, 5.0)}}
+    made = rows.select("name", F.explode(F.create_map(*[x for k, e in edits.items() for x in (F.lit(k), edit_gradient(F.col("stops"), **e))])).alias("edit", "stops"))
+    return made.select("edit", "name", F.posexplode(F.array_sort("stops")).alias("i", "s")).select("edit", "name", "i", "s.pos", "s.color")
+
+
 _HEX_ROWS = sorted({c for g in GRADIENTS.values() for _, c in g})
 _PART = "CAST(CAST('0x' || substr(color, {0}, 2) AS INTEGER) AS DOUBLE) / 255"
 
@@ -506,6 +557,35 @@ def k3(spark, sf_dir):
     return mesh.with_normal(mesh.solid(terrain(spark, sf_dir, "P"))).groupBy("kind").agg(F.count("*").alias("triangles"))
 
 
+def _normal_of(a: str, b: str, c: str) -> list[str]:
+    """The cross product of a face's edges."""
+    e = {k: f"({b}{k} - {a}{k})" for k in "xyz"}
+    f = {k: f"({c}{k} - {a}{k})" for k in "xyz"}
+    return [f"({e['y']} * {f['z']} - {e['z']} * {f['y']})", f"({e['z']} * {f['x']} - {e['x']} * {f['z']})", f"({e['x']} * {f['y']} - {e['y']} * {f['x']})"]
+
+
+_N3 = _normal_of("p", "q", "w")
+_N3_SIZE = f"sqrt({' + '.join(f'{n} * {n}' for n in _N3)})"
+
+
+@query(
+    "K3_solid_faces",
+    f"""WITH {mesh_sql('P')}, bv AS (SELECT r, c, x, -z AS y, CASE WHEN valid THEN y ELSE CAST(-10000 AS DOUBLE) END AS z FROM v), plate AS (SELECT min(z) - 2 AS low FROM bv),
+rim AS (SELECT CASE WHEN r = 0 THEN c WHEN c = m.cols - 1 THEN m.cols - 1 + r WHEN r = m.rows - 1 THEN 2 * (m.cols - 1) + m.rows - 1 - c ELSE 2 * (m.cols - 1) + 2 * (m.rows - 1) - r END AS k, x, y, z
+  FROM bv, m WHERE r IN (0, m.rows - 1) OR c IN (0, m.cols - 1)),
+side AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, low FROM rim a JOIN rim b ON b.k = (a.k + 1) % (SELECT 2 * (rows + cols) - 4 FROM m), plate),
+face AS (SELECT 'surface' AS kind, a.x AS px, -a.z AS py, a.y AS pz, b.x AS qx, -b.z AS qy, b.y AS qz, c3.x AS wx, -c3.z AS wy, c3.y AS wz FROM tri
+  UNION ALL SELECT 'wall', ax, ay, az, bx, by_, bz, ax, ay, low FROM side UNION ALL SELECT 'wall', bx, by_, bz, bx, by_, low, ax, ay, low FROM side
+  UNION ALL SELECT 'base', 0, 0, low, ax, ay, low, bx, by_, low FROM side)
+SELECT kind, {', '.join(f'{D.r6(k + a)} AS {k}{a}' for k in 'pqw' for a in 'xyz')}, {', '.join(f'round(CASE WHEN {_N3_SIZE} > 0 THEN {n} / {_N3_SIZE} ELSE {n} END, 4) + 0.0 AS n{k}' for k, n in zip('xyz', _N3))} FROM face""",
+)
+def k3_faces(spark, sf_dir):
+    """K3: corners and normals of the printable solid."""
+    f = mesh.with_normal(mesh.solid(terrain(spark, sf_dir, "P")))
+    corners = f.select("kind", *[F.col(f"{k}.{a}").alias(f"{n}{a}") for k, n in zip("abc", "pqw") for a in "xyz"], *[(F.round(f"n{k}", 4) + 0.0).alias(f"n{k}") for k in "xyz"])
+    return tidy(corners, "nx", "ny", "nz")
+
+
 @query("K4_heightmap", f"WITH {D.terrain('N')}, b AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM cells WHERE h > 0) SELECT r - r0 AS r, c - c0 AS c, CAST(floor(h * 255 + 0.5) AS INTEGER) AS v FROM cells, b WHERE r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")
 def k4(spark, sf_dir):
     from orograph.sources.sinks import heightmap_pixels
@@ -575,6 +655,13 @@ def h8(spark, sf_dir):
     return _rough(s.withColumn("k", shade.slope_shade(shade.rgb((1, 1, 1)), F.col("ny"))), "k")
 
 
+@query("H2_modes", f"{_SHADE_BASE} SELECT vid, round(b, 4) + 0.0 AS elevation, round(least(1, greatest(0, 1 - ny)), 4) + 0.0 AS slope, round(atan2(nz, nx) / CAST({shade.PI!r} AS DOUBLE) * 0.5 + 0.5, 4) + 0.0 AS aspect FROM shaded WHERE abs(nx) + abs(nz) > 1e-6")
+def h2(spark, sf_dir):
+    """What the gradient is looked up by in each colour mode, where the aspect is defined."""
+    s = _shaded(spark, sf_dir).where(F.abs("nx") + F.abs("nz") > 1e-6)
+    return s.select("vid", *[(F.round(shade.mode_value(F.col("b"), F.col("nx"), F.col("ny"), F.col("nz"), m), 4) + 0.0).alias(m) for m in ("elevation", "slope", "aspect")])
+
+
 @query("H1_brightness_cut", f"WITH {D.terrain('N')} SELECT r, c, {D.r6('h')} AS h FROM cells WHERE valid AND h BETWEEN CAST(0.2 AS DOUBLE) AND CAST(0.8 AS DOUBLE)")
 def h1(spark, sf_dir):
     return tidy(terrain(spark, sf_dir, "N").cells.where("valid").where(shade.brightness_cut(F.col("h"), 20, 80)).select("r", "c", "h"))
@@ -717,7 +804,7 @@ lines AS (SELECT *, unnest(range(CAST(greatest(0, ceil(y0)) AS INTEGER), CAST(le
 ed AS (SELECT py, {_along_sql(0, 2, 'x')} AS lx, {_along_sql(0, 2, 'd')} AS ld, CASE WHEN py <= y1 THEN {_along_sql(0, 1, 'x')} ELSE {_along_sql(1, 2, 'x')} END AS rx, CASE WHEN py <= y1 THEN {_along_sql(0, 1, 'd')} ELSE {_along_sql(1, 2, 'd')} END AS rd FROM lines),
 sp AS (SELECT py, least(lx, rx) AS xl, greatest(lx, rx) AS xr, CASE WHEN lx <= rx THEN ld ELSE rd END AS dl, CASE WHEN lx <= rx THEN rd ELSE ld END AS dr FROM ed),
 pxs AS (SELECT *, unnest(range(CAST(greatest(0, ceil(xl)) AS INTEGER), CAST(least({CAMERA.width - 1}, floor(xr)) AS INTEGER) + 1)) AS px FROM sp),
-zb AS (SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, max(dl + (dr - dl) * (CASE WHEN xr - xl > 0 THEN (px - xl) / (xr - xl) ELSE 0 END)) AS inv FROM pxs GROUP BY ALL)"""
+zb AS MATERIALIZED (SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, max(dl + (dr - dl) * (CASE WHEN xr - xl > 0 THEN (px - xl) / (xr - xl) ELSE 0 END)) AS inv FROM pxs GROUP BY ALL)"""
 
 
 @query("V4_depth_buffer", f"WITH {_project_cte('P')}, {ZBUFFER} SELECT px, py, {D.r6('inv * 1000')} AS inv FROM zb")
@@ -727,9 +814,9 @@ def v4(spark, sf_dir):
 
 _F = "(CAST(t AS DOUBLE) / 64)"
 _PROBE = project_sql(*[f"{k}0 + ({k}1 - {k}0) * {_F}" for k in "xyz"])
-_RUNS = f"""ln AS (SELECT row_number() OVER () AS seg, * FROM ({_ridge_sql('P', False, 8)})),
+_RUNS = f"""ln AS MATERIALIZED (SELECT row_number() OVER () AS seg, * FROM ({_ridge_sql('P', False, 8)})),
 pr AS (SELECT seg, t, {_PROBE[0]} AS sx, {_PROBE[1]} AS sy, {_PROBE[2]} AS sz FROM ln, range(65) g(t)),
-vis AS (SELECT pr.*, inv IS NULL OR sz >= -1 / inv - 1 AS visible FROM pr LEFT JOIN zb ON px = CAST(greatest(0, least({CAMERA.width - 1}, floor(sx + 0.5))) AS INTEGER) AND py = CAST(greatest(0, least({CAMERA.height - 1}, floor(sy + 0.5))) AS INTEGER)),
+vis AS MATERIALIZED (SELECT pr.*, inv IS NULL OR sz >= -1 / inv - 1 AS visible FROM pr LEFT JOIN zb ON px = CAST(greatest(0, least({CAMERA.width - 1}, floor(sx + 0.5))) AS INTEGER) AND py = CAST(greatest(0, least({CAMERA.height - 1}, floor(sy + 0.5))) AS INTEGER)),
 isl AS (SELECT *, sum(CASE WHEN visible = prev THEN 0 ELSE 1 END) OVER (PARTITION BY seg ORDER BY t) AS run FROM (SELECT *, lag(visible, 1, visible) OVER (PARTITION BY seg ORDER BY t) AS prev FROM vis)),
 runs AS (SELECT seg, run, any_value(visible) AS visible, arg_min(sx, t) AS x0, arg_min(sy, t) AS y0, max(t) AS last_t FROM isl GROUP BY seg, run),
 cutt AS (SELECT runs.*, e.sx AS x1, e.sy AS y1 FROM runs JOIN vis e ON e.seg = runs.seg AND e.t = least(64, last_t + 1)),
@@ -763,11 +850,38 @@ def v10(spark, sf_dir):
     return tidy(view.bounds(view.visible_runs(s, CAMERA, depth, keep=())))
 
 
-@query("K1_svg")
+_ONE = lambda v, n=1: f"printf('%.{n}f', floor(({v}) * {10**n} + 0.5) / {10**n})"
+_SVG_COLOR = " || ',' || ".join(f"CAST(CAST(floor(({x}) * 255 + 0.5) AS BIGINT) AS VARCHAR)" for x in D.gradient(_TOPO, "pg.b"))
+_SVG_SQL = f"""WITH {_project_cte('P')}, {ZBUFFER}, {_RUNS.replace(_ridge_sql('P', False, 8), _ridge_sql('P', False, 8).replace('0.05', '0.0').replace('0.95', '1.0'))},
+shown AS MATERIALIZED (SELECT CAST(visible AS BOOLEAN) AS visible, x0, y0, x1, y1 FROM kept),
+pg AS MATERIALIZED (SELECT (a.h + b.h + c3.h) / 3 AS b, sa.sx AS xa, sa.sy AS ya, sb.sx AS xb, sb.sy AS yb, sc.sx AS xc, sc.sy AS yc, (sa.sz + sb.sz + sc.sz) / 3 AS depth
+  FROM tri JOIN s sa ON sa.vid = a.vid JOIN s sb ON sb.vid = b.vid JOIN s sc ON sc.vid = c3.vid WHERE (a.h + b.h + c3.h) / 3 BETWEEN CAST(0.1 AS DOUBLE) AND CAST(0.9 AS DOUBLE)),
+ci AS MATERIALIZED (SELECT sx AS cx, sy AS cy, 1200 / -sz * 0.5 AS radius, inv IS NULL OR sz >= -1 / inv - 1 AS visible FROM s
+  LEFT JOIN zb ON px = CAST(greatest(0, least({CAMERA.width - 1}, floor(sx + 0.5))) AS INTEGER) AND py = CAST(greatest(0, least({CAMERA.height - 1}, floor(sy + 0.5))) AS INTEGER) WHERE valid AND sz < 0 AND r % 5 = 0),
+ends AS (SELECT x0, y0, x1, y1 FROM shown UNION ALL SELECT cx - radius, cy - radius, cx + radius, cy + radius FROM ci),
+box AS MATERIALIZED (SELECT min(least(x0, x1)) - 20 AS vx, min(least(y0, y1)) - 20 AS vy FROM ends),
+used AS (SELECT DISTINCT visible FROM shown)
+SELECT 1 AS section, 5 AS part, {D.r6('depth')} AS place, CAST(NULL AS VARCHAR) AS layer, FALSE AS ghost, '<polygon points="' || {" || ' ' || ".join(f"{_ONE(f'x{k} - vx')} || ',' || {_ONE(f'y{k} - vy')}" for k in 'abc')} || '" fill="rgb(' || {_SVG_COLOR} || ')" stroke="none"/>' AS element FROM pg, box
+UNION ALL SELECT * FROM (VALUES (1, 0, CAST(0 AS DOUBLE), NULL, FALSE, '<g>'), (1, 7, 0, NULL, FALSE, '</g>'), (3, 0, 0, NULL, FALSE, '<g stroke="none">'), (3, 7, 0, NULL, FALSE, '</g>'))
+UNION ALL SELECT 2, CASE WHEN visible THEN 5 ELSE 2 END, 0, 'X', NOT visible, '<line x1="' || {_ONE('x0 - vx')} || '" y1="' || {_ONE('y0 - vy')} || '" x2="' || {_ONE('x1 - vx')} || '" y2="' || {_ONE('y1 - vy')} || '" stroke="' || CASE WHEN visible THEN 'rgb(0,0,0)' ELSE '#a80000' END || '"/>' FROM shown, box
+UNION ALL SELECT 2, CASE WHEN visible THEN 4 ELSE 1 END, 0, 'X', NOT visible, '<g stroke-width="1.000" stroke-dasharray="3 2" opacity="' || CASE WHEN visible THEN '0.800' ELSE '0.200' END || '" stroke-linecap="round" stroke-linejoin="round">' FROM used
+UNION ALL SELECT 2, CASE WHEN visible THEN 6 ELSE 3 END, 0, 'X', NOT visible, '</g>' FROM used
+UNION ALL SELECT 2, 0, 0, 'X', FALSE, '<g id="layer-X" inkscape:groupmode="layer" inkscape:label="X">' FROM (SELECT 1 FROM shown LIMIT 1)
+UNION ALL SELECT 2, 7, 0, 'X', FALSE, '</g>' FROM (SELECT 1 FROM shown LIMIT 1)
+UNION ALL SELECT 3, 5, 0, NULL, NOT visible, '<circle cx="' || {_ONE('cx - vx')} || '" cy="' || {_ONE('cy - vy')} || '" r="' || {_ONE('radius', 2)} || '" fill="' || CASE WHEN visible THEN '#000000' ELSE '#a80000' END || '" opacity="' || CASE WHEN visible THEN '1.000' ELSE '0.250' END || '"/>' FROM ci, box"""
+
+
+@query("K1_svg", _SVG_SQL)
 def k1(spark, sf_dir):
+    """Fill polygons, lines in their layer's groups and circles."""
     from orograph.sources.sinks import svg_elements
 
     t = terrain(spark, sf_dir, "P")
-    depth = view.depth_buffer(_seen(t), CAMERA)
+    faces = mesh.triangles(t)
+    depth = view.depth_buffer(view.project_triangles(faces, CAMERA), CAMERA)
     s = modes.colored(modes.draw(t, {"X": {"spacing": 8}}))
-    return svg_elements(view.visible_runs(s, CAMERA, depth, keep=("layer", "color0")), CAMERA)
+    s = s.select("layer", "color0", *[micro(F.col(p)).alias(p) for p in POINTS])
+    runs = view.visible_runs(s, CAMERA, depth, ghosts=True, keep=("layer", "color0"))
+    dots = view.particle_circles(points.all_points(t).where("r % 5 = 0"), CAMERA, depth, ghosts=True)
+    made = svg_elements(runs, CAMERA, weights={"X": 2}, dashes={"X": "dashed"}, opacities={"X": 0.8}, ghost_opacity=0.25, polygons=view.fill_polygons(faces, CAMERA, low=10, high=90), stops=_TOPO, circles=dots)
+    return tidy(made.select("section", "part", "place", "layer", "ghost", "element"))

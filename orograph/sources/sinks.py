@@ -5,11 +5,13 @@ from __future__ import annotations
 import struct
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orograph.functions.color import DASH_SVG
+from orograph.functions.color import DASH_SVG, gradient
+from orograph.functions.numeric import half_up
 from orograph.operators.grid import Terrain
+from orograph.operators.modes import MODES
 from orograph.operators.view import Camera, bounds
 
 #: Most pixels or triangles that one file's bytes are put together from.
@@ -68,30 +70,99 @@ def stl_bytes(faces: DataFrame, title: str = "terrain", bound: int = BOUND) -> b
     return title.encode()[:80].ljust(80, b"\0") + struct.pack("<I", n) + body
 
 
-def svg_elements(runs: DataFrame, camera: Camera, *, weights: dict[str, float] | None = None, dashes: dict[str, str] | None = None, hidden: str = "#a80000") -> DataFrame:
-    """K1: (layer, ghost, element) of visible runs (layer, color0 and ends on the screen):
-    a line for each; ghosts are painted first."""
-    box = bounds(runs)  # one row
-    at = lambda a, v: F.format_string("%.1f", F.col(a) - F.col(v))
-    level = lambda k: F.floor(F.col(f"color0.{k}") * 255 + 0.5).cast("string")
-    stroke = F.when(F.col("visible"), F.concat(F.lit("rgb("), F.concat_ws(",", level("r"), level("g"), level("b")), F.lit(")"))).otherwise(hidden)
-    width = F.coalesce(F.create_map(*[F.lit(x) for layer, w in weights.items() for x in (layer, float(w))])[F.col("layer")], F.lit(1.0)) if weights else F.lit(1.0)
-    marks = {k: DASH_SVG[v] for k, v in (dashes or {}).items() if DASH_SVG[v]}
-    dash = F.coalesce(F.concat(F.lit(' stroke-dasharray="'), F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])[F.col("layer")], F.lit('"')), F.lit("")) if marks else F.lit("")
-    line = F.concat(
-        F.lit('<line x1="'), at("x0", "vx"), F.lit('" y1="'), at("y0", "vy"), F.lit('" x2="'), at("x1", "vx"), F.lit('" y2="'), at("y1", "vy"), F.lit('" stroke="'), stroke,
-        F.lit('" stroke-width="'), F.format_string("%.3f", width * 0.5), F.lit('"'), dash, F.lit("/>"),
-    )
-    return runs.crossJoin(F.broadcast(box)).select("layer", (~F.col("visible")).alias("ghost"), line.alias("element"))
+#: Layers in drawing order; any others come last.
+LAYERS = [x for mode in MODES for x in (("Contours-Minor", "Contours-Major") if mode == "Contours" else (mode,))]
+
+
+def svg_box(runs: DataFrame, circles: DataFrame | None = None) -> DataFrame:
+    """One row, the box of lines and circles with a margin: vx, vy, vw, vh."""
+    ends = runs.select("x0", "y0", "x1", "y1")
+    if circles is not None:
+        r = F.col("radius")
+        ends = ends.unionByName(circles.select((F.col("cx") - r).alias("x0"), (F.col("cy") - r).alias("y0"), (F.col("cx") + r).alias("x1"), (F.col("cy") + r).alias("y1")))
+    return bounds(ends)
+
+
+def _of_layer(values: dict[str, object] | None, default) -> Column:
+    """A layer's own value, or the default."""
+    given = {k: v for k, v in (values or {}).items() if v is not None}
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col("layer")], F.lit(default)) if given else F.lit(default)
+
 
+def _fixed(v: Column, places: int) -> Column:
+    ten = 10**places
+    return F.format_string(f"%.{places}f", F.floor(v * ten + 0.5) / ten)
 
-def write_svg(elements: DataFrame, box: DataFrame, path: str, parts: int = 8, background: str = "#ffffff") -> None:
+
+def _channels(c: str) -> Column:
+    return F.concat(F.lit("rgb("), F.concat_ws(",", *[F.floor(F.col(f"{c}.{k}") * 255 + 0.5).cast("string") for k in "rgb"]), F.lit(")"))
+
+
+def svg_elements(
+    runs: DataFrame, camera: Camera, *, weights: dict[str, float] | None = None, dashes: dict[str, str] | None = None, opacities: dict[str, float] | None = None, hidden: str = "#a80000", ghost_opacity: float = 1.0,
+    polygons: DataFrame | None = None, stops=None, circles: DataFrame | None = None, point_color: str = "#000000",
+) -> DataFrame:
+    """(section, rank, part, place, layer, ghost, element), in whose order the
+    elements are painted: fill polygons (1; ``stops`` colour them by brightness), the
+    farthest first; a group for each layer (2) with its hidden lines (part 2) in front of
+    the visible ones (5), each group with its width, opacity and dash; circles (3)."""
+    box = svg_box(runs, circles)  # one row
+    on = lambda df: df.crossJoin(F.broadcast(box))
+    at = lambda a, v: _fixed(F.col(a) - F.col(v), 1)
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    def rows(df: DataFrame, section: int, rank, part, place, layer, ghost, element) -> DataFrame:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        named = {"section": F.lit(section), "rank": lit(rank).cast("int"), "part": lit(part).cast("int"), "place": lit(place).cast("double"), "layer": lit(layer).cast("string"), "ghost": lit(ghost), "element": lit(element)}
+        return df.select(*[v.alias(k) for k, v in named.items()])
+
+    rank = _of_layer({k: i for i, k in enumerate(LAYERS)}, len(LAYERS))
+    ghost = ~F.col("visible")
+    stroke = F.when(F.col("visible"), _channels("color0")).otherwise(hidden)
+    line = text('<line x1="', at("x0", "vx"), '" y1="', at("y0", "vy"), '" x2="', at("x1", "vx"), '" y2="', at("y1", "vy"), '" stroke="', stroke, '"/>')
+    made = [rows(on(runs), 2, rank, F.when(ghost, 2).otherwise(5), 0.0, F.col("layer"), ghost, line)]
+    used = runs.select("layer", "visible").distinct()  # two rows a layer
+    mark = _of_layer({k: DASH_SVG[v] for k, v in (dashes or {}).items() if DASH_SVG[v]}, "")
+    opacity = _of_layer({k: float(v) for k, v in (opacities or {}).items()}, 1.0) * F.when(ghost, float(ghost_opacity)).otherwise(1.0)
+    style = text(
+        '<g stroke-width="', _fixed(_of_layer({k: float(v) for k, v in (weights or {}).items()}, 1.0) * 0.5, 3), '"', F.when(mark != "", text(' stroke-dasharray="', mark, '"')).otherwise(""),
+        ' opacity="', _fixed(opacity, 3), '" stroke-linecap="round" stroke-linejoin="round">',
+    )
+    label = F.trim(F.regexp_replace("layer", "([A-Z])", " $1"))
+    whole = used.select("layer").distinct()
+    made.append(rows(used, 2, rank, F.when(ghost, 1).otherwise(4), 0.0, F.col("layer"), ghost, style))
+    made.append(rows(used, 2, rank, F.when(ghost, 3).otherwise(6), 0.0, F.col("layer"), ghost, "</g>"))
+    made.append(rows(whole, 2, rank, 0, 0.0, F.col("layer"), False, text('<g id="layer-', F.col("layer"), '" inkscape:groupmode="layer" inkscape:label="', label, '">')))
+    made.append(rows(whole, 2, rank, 7, 0.0, F.col("layer"), False, "</g>"))
+    one = runs.sparkSession.range(1)
+    if polygons is not None:
+        corners = F.concat_ws(" ", *[text(at(f"sx_{k}", "vx"), ",", at(f"sy_{k}", "vy")) for k in "abc"])
+        filled = on(polygons).withColumn("k", gradient(stops, F.col("b"))) if stops else on(polygons)
+        made.append(rows(filled, 1, 0, 5, F.col("depth"), None, False, text('<polygon points="', corners, '" fill="', _channels("k") if stops else F.lit("#ffffff"), '" stroke="none"/>')))
+        made += [rows(one, 1, 0, 0, 0.0, None, False, "<g>"), rows(one, 1, 0, 7, 0.0, None, False, "</g>")]
+    if circles is not None:
+        fill = F.when(F.col("visible"), point_color).otherwise(hidden)
+        circle = text('<circle cx="', at("cx", "vx"), '" cy="', at("cy", "vy"), '" r="', _fixed(F.col("radius"), 2), '" fill="', fill, '" opacity="', _fixed(F.when(F.col("visible"), 1.0).otherwise(float(ghost_opacity)), 3), '"/>')
+        made.append(rows(on(circles), 3, 0, 5, 0.0, None, ghost, circle))
+        made += [rows(one, 3, 0, 0, 0.0, None, False, '<g stroke="none">'), rows(one, 3, 0, 7, 0.0, None, False, "</g>")]
+    every = made[0]
+    for m in made[1:]:
+        every = every.unionByName(m)
+    return every
+
+
+def write_svg(elements: DataFrame, box: DataFrame, path: str, parts: int = 8, background: str = "#ffffff", background_stops=None) -> None:
     """An SVG as text files which, put one after the other by name, are the document:
-    header, ghosts, lines, end. No task holds it whole."""
+    header, elements in order, end. No task holds it whole."""
     b = box.first()
     spark = elements.sparkSession
-    size = f'viewBox="0 0 {b.vw:.1f} {b.vh:.1f}" width="{b.vw:.1f}" height="{b.vh:.1f}"'
-    ends = spark.createDataFrame([(0, f'<svg xmlns="http://www.w3.org/2000/svg" {size}><rect width="100%" height="100%" fill="{background}"/>'), (3, "</svg>")], "place int, value string")
-    body = elements.select(F.when(F.col("ghost"), 1).otherwise(2).alias("place"), F.col("element").alias("value"))
-    every = ends.unionByName(body)
-    every.repartitionByRange(parts, "place", F.xxhash64("value")).sortWithinPartitions("place", F.xxhash64("value")).select("value").write.text(path)
+    size = f'viewBox="0 0 {b.vw:.1f} {b.vh:.1f}" width="{b.vw:.0f}" height="{b.vh:.0f}"'
+    names = 'xmlns="http://www.w3.org/2000/svg" xmlns:inkscape="http://www.inkscape.org/namespaces/inkscape"'
+    defs = ""
+    if background_stops and len(background_stops) > 1:
+        stops = "".join(f'<stop offset="{half_up(pos * 100)}%" stop-color="{color}"/>' for pos, color in background_stops)
+        defs, background = f'<defs><linearGradient id="bg-grad" x1="0" y1="0" x2="0" y2="1">{stops}</linearGradient></defs>', "url(#bg-grad)"
+    ends = spark.createDataFrame([(0, f'<svg {names} {size}>{defs}<rect width="100%" height="100%" fill="{background}"/>'), (4, "</svg>")], "section int, value string")
+    every = ends.selectExpr("section", "0 rank", "0 part", "0D place", "value").unionByName(elements.select("section", "rank", "part", "place", F.col("element").alias("value")))
+    order = ["section", "rank", "part", "place", F.xxhash64("value")]
+    every.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("value").write.text(path)
