@@ -17,6 +17,8 @@ than the named and numeric ones of ENTITIES stay as they are.
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ STEPS = [
     (r"<[/!?]?[A-Za-z][^>]*>", ""),
 ]
 SPACES = [(r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+#: The same, passing over what stays as it is.
+CHANGED_SPACES = [(r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), (r" \n[ \n]*|\n[ \n]+", "\n"), SPACES[2]]
 TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title"
 LINK = r"(?i)<a\s[^>]*href\s*="
 _END = "\r\n"
@@ -40,16 +44,44 @@ _END = "\r\n"
 
 def plain_text(html: Column) -> Column:
     """The text of a page, a line for each block."""
-    text = html
-    for pattern, to in STEPS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
+    text = _without(html, "<!--", "-->", *STEPS[0])
+    for tag, (pattern, to) in zip(HIDDEN, STEPS[1:]):
+        text = _without(text, f"<{tag}", f"</{tag}", pattern, to)
+    for pattern, to in STEPS[len(HIDDEN) + 1 :]:
+        text = _without(text, "<", ">", pattern, to)
     return _tidy(text)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _without(text: Column, opening: str, closing: str, pattern: str, to: str) -> Column:
+    """Replaces what lies between openings and closings. From an opening without a closing
+    a pattern would look through all that follows, again and again; so where the last
+    closing has an opening behind it, only what comes before is gone through."""
+    done = lambda t: F.regexp_replace(t, F.lit(pattern), F.lit(to))
+
+    def of(t: Column, tail: Column) -> Column:
+        # the closing's own end (spaces, a bracket) lies behind it
+        cut = F.char_length(t) - F.char_length(tail) + F.char_length(F.regexp_extract(tail, r"^\s*>?", 0))
+        return F.concat(done(F.substring(t, F.lit(1), cut)), F.substring(t, cut + 1, F.char_length(t)))
+
+    def step(t: Column) -> Column:
+        low = F.lower(t) if opening.upper() != opening else t
+        tail = F.substring_index(low, closing, -1)
+        # lower case may be longer: then places in it aren't those in the text
+        open_end = (F.instr(tail, F.lit(opening)) > 0) & (F.char_length(low) == F.char_length(t))
+        return F.when(open_end, of(t, tail)).otherwise(done(t))
+
+    return _let(text, step)
+
+
 def _tidy(text: Column) -> Column:
     for entity, to in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(to))
-    for pattern, to in SPACES:
+    for pattern, to in CHANGED_SPACES:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
     return text
 
@@ -77,6 +109,18 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
 
 
+def split_responses(records: DataFrame) -> DataFrame:
+    """Response records of ``read_warc`` as ``derive`` takes them: a block is its HTTP head
+    up to the first empty line, and the payload (UTF-8). The digest is of the payload."""
+    block = F.col("block").cast("string")
+    end = F.instr(block, F.lit(_END * 2))
+    payload = F.when(end > 0, F.substring(block, end + 4, F.char_length(block))).otherwise("")
+    return records.where("record_type = 'response'").select(
+        F.lit(None).cast("long").alias("key"), "record_id", "target_uri", "warc_date",
+        F.when(end > 0, F.substring(block, F.lit(1), end - 1)).otherwise(block).alias("http_headers"), payload.alias("payload"), digest(payload).alias("payload_digest"),
+    )
+
+
 def derive(source: DataFrame) -> DataFrame:
     """Two records for each response: key, record_type, record_id, refers_to, linked_to,
     target_uri, warc_date, content_type, source_headers, source_digest, block,
@@ -111,9 +155,9 @@ def serialised(records: DataFrame) -> DataFrame:
     header = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(_END))).otherwise("")
     named = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "linked_to"), ("WARC-Target-URI", "target_uri"),
-        ("WARC-Date", "warc_date"), ("Content-Type", "content_type"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"),
+        ("WARC-Date", "warc_date"), ("Content-Type", "content_type"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Source-HTTP-Headers", "one_line"),
     ]
-    return records.select(F.concat(F.lit(f"WARC/1.1{_END}"), *[header(n, F.col(c)) for n, c in named], header("Content-Length", F.col("content_length").cast("string")), F.lit(_END), F.col("block")).alias("value"))
+    return records.withColumn("one_line", F.regexp_replace("source_headers", "[\r\n]+", " | ")).select(F.concat(F.lit(f"WARC/1.1{_END}"), *[header(n, F.col(c)) for n, c in named], header("Content-Length", F.col("content_length").cast("string")), F.lit(_END), F.col("block")).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -121,14 +165,31 @@ def write_warc(records: DataFrame, path: str) -> None:
     serialised(records).write.option("lineSep", _END + _END).text(path)
 
 
+def _inflated(data: bytes) -> bytes:
+    """The members of a gzip file, up to where it is cut off."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+        try:
+            out.append(stream.decompress(data))
+        except zlib.error:
+            break
+        data = stream.unused_data
+    return b"".join(out)
+
+
 def _parsed(batches):
     for batch in batches:
         for data in batch.column("content").to_pylist():
             rows, at = [], 0
+            if data[:2] == b"\x1f\x8b":
+                data = _inflated(data)
             while (at := data.find(b"WARC/1.", at)) >= 0:
-                head_end = data.index(b"\r\n\r\n", at)
-                head = dict(line.split(": ", 1) for line in data[at:head_end].decode().split("\r\n")[1:] if ": " in line)
-                size = int(head["Content-Length"])
+                head_end = data.find(b"\r\n\r\n", at)
+                head = dict(line.split(": ", 1) for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
+                size = int(head["Content-Length"]) if head.get("Content-Length", "").isdigit() else -1
+                if head_end < 0 or size < 0 or head_end + 4 + size > len(data):
+                    break  # the file is cut off here
                 block = data[head_end + 4 : head_end + 4 + size]
                 rows.append((head, block))
                 at = head_end + 4 + size
@@ -143,7 +204,8 @@ READ = "record_type string, record_id string, refers_to string, linked_to string
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files; a file is read by one task."""
+    """Records of WARC files, gzipped (by record or whole) or not. A file is read by one
+    task; where it is cut off, the whole records before that are read."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, READ)
 
 
