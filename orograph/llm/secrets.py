@@ -68,24 +68,50 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
+#: Items of an array that are gone through at once: state that grows by an item a step is
+#: copied a block at most, so long texts with many matches don't take their square.
+BLOCK = 256
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items."""
+    last = F.ceil(F.size(items) / BLOCK).cast("int") - 1
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.filter(cut, lambda b: F.size(b) > 0)
+
+
+def _scan(items: Column, value, combine) -> Column:
+    """Each item with what ``value`` (a whole number of 0 or more) of all before it combines to."""
+    blocks = _blocks(items)
+    total = F.transform(blocks, lambda b: F.aggregate(b, _long(0), lambda a, x: combine(a, value(x))))
+    none = F.array().cast("array<long>")
+    starts = F.aggregate(total, F.struct(_long(0).alias("now"), none.alias("out")), lambda a, t: F.struct(combine(a["now"], t).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")), lambda a: a["out"])
+
+    def within(b, start):
+        befores = F.aggregate(b, F.struct(start.alias("now"), none.alias("out")), lambda a, x: F.struct(combine(a["now"], value(x)).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")), lambda a: a["out"])
+        return F.zip_with(b, befores, lambda x, n: F.struct(x.alias("item"), n.alias("before")))
+
+    return F.flatten(F.zip_with(blocks, starts, within))
+
+
 def _places(text: Column, pattern: str, keep, kind: int) -> Column:
     """Spans of the matches of a pattern that ``keep`` (a condition on the match) keeps."""
-    between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ends = F.aggregate(
-        F.zip_with(F.transform(between, lambda b: F.length(b).cast("long")), found, lambda b, m: F.struct(b.alias("gap"), m.alias("m"))),
-        F.struct(_long(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.coalesce(x["gap"], _long(0)) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(
-                keep(x["m"]),
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("order"), (a["at"] + x["gap"] + F.length(x["m"])).alias("stop")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    none = F.array().cast(f"array<{_SPAN}>")
-    return F.when(text.rlike(pattern), ends).otherwise(none)
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda b: F.length(b).cast("long")), F.lit(1), F.size(found))
+    items = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    placed = _scan(items, lambda x: x["gap"] + F.length(x["m"]), lambda a, n: a + n)
+    start = lambda x: x["before"] + x["item"]["gap"]
+    spans = F.transform(
+        F.filter(placed, lambda x: keep(x["item"]["m"])), lambda x: F.struct(start(x).alias("start"), F.lit(kind).alias("order"), (start(x) + F.length(x["item"]["m"])).alias("stop"))
+    )
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base`` (by start); whole blocks of it are passed over."""
+    hit = lambda m, b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])
+    ranges = F.transform(_blocks(base), lambda b: F.struct(F.element_at(b, 1)["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["stop"])).alias("stop"), b.alias("b")))
+    return F.filter(spans, lambda m: ~F.exists(ranges, lambda r: F.when(hit(m, r), F.exists(r["b"], lambda b: hit(m, b))).otherwise(False)))
 
 
 def _most_entropy(s: Column) -> Column:
@@ -154,7 +180,7 @@ def find_secrets(docs: DataFrame, whole: bool = False) -> DataFrame:
     more = base.select("row", "base", _places(text, CANDIDATE, lambda m: m.isNotNull() & secret(m), 3).alias("more"))
     if whole:
         return more.select("row", "base", F.array_sort(F.concat("base", "more")).alias("found"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+    apart = F.when(F.size("base") == 0, F.col("more")).otherwise(_apart(F.col("more"), F.col("base")))
     return more.select("row", "base", F.array_sort(F.concat("base", apart)).alias("found"))
 
 
@@ -176,16 +202,11 @@ def redact(docs: DataFrame, replacement: str = REPLACEMENT) -> DataFrame:
     found = find_secrets(docs, whole=True)
     text = F.col("row.text").cast("string")
     piece = lambda a, to: F.substring(text, (a + 1).cast("int"), F.greatest(to - a, _long(0)).cast("int"))
-    cleaned = F.aggregate(
-        "found",
-        F.struct(_long(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["stop"]).alias("at"),
-            # a span that begins inside the last one adds nothing of its own
-            F.when((s["start"] < a["at"]), a["out"]).otherwise(F.concat(a["out"], piece(a["at"], s["start"]), F.lit(replacement))).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], piece(a["at"], F.length(text).cast("long"))),
-    )
+    # a span that begins inside those before it adds nothing of its own
+    placed = F.filter(_scan(F.col("found"), lambda x: x["stop"], F.greatest), lambda x: (x["item"]["start"] >= x["before"]))
+    parts = F.transform(placed, lambda x: F.concat(piece(x["before"], x["item"]["start"]), F.lit(replacement)))
+    last = F.array_max(F.transform("found", lambda x: x["stop"]))
+    cleaned = F.concat(F.array_join(parts, ""), piece(last, F.length(text).cast("long")))
     changed = found.withColumn("new", F.when(F.size("found") > 0, cleaned).otherwise(text))
     size = {"n_chars": F.when(F.size("found") > 0, F.length("new")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {}
     kinds = dict(docs.dtypes)
