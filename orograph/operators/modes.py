@@ -276,6 +276,19 @@ def colored(segments: DataFrame, **style) -> DataFrame:
     return segments.withColumns({f"color{k}": vertex_color(F.col(f"n{k}"), F.col(f"s{k}"), F.col("aspect"), **style) for k in (0, 1)})
 
 
+def colored_layers(segments: DataFrame, coloring: dict[str, dict]) -> DataFrame:
+    """The same for segments of several layers, each with the style of its mode."""
+    mode = F.regexp_extract("layer", "^[^-]*", 0)  # the contours' two layers have one style
+
+    def color(k: int) -> Column:
+        out = F.lit(None)
+        for name, style in coloring.items():
+            out = F.when(mode == name, vertex_color(F.col(f"n{k}"), F.col(f"s{k}"), F.col("aspect"), **style)).otherwise(out)
+        return out
+
+    return segments.withColumns({f"color{k}": color(k) for k in (0, 1)})
+
+
 def flow_lines(t: Terrain, **options) -> DataFrame:
     """M7: see ``sequential.flow_lines``."""
     from orograph.operators.sequential import flow_lines as traced

@@ -8,6 +8,7 @@ from orograph.functions.color import GRADIENTS
 TERRAIN = {"resolution": 2, "elevScale": 0, "blurRadius": 0, "gridOffsetX": 0, "gridOffsetY": 0, "elevMinCut": 0, "elevMaxCut": 100, "blackPoint": 0, "whitePoint": 255, "jitterAmt": 0}
 POINTS = {"showPoints": False, "pointColor": "#000000", "pointSize": 4, "particlePeaksOnly": False, "animateParticles": False, "particleNoise": 1, "particleDamping": 0.92, "particleGravity": False, "particleGravityStr": 1}
 VIEW = {"tilt": 40, "rotation": 0, "zoom": 1, "fov": 60, "orthographic": False, "panX": 0, "panY": 0, "autoRotate": False, "autoRotateSpeed": 0.2, "autoRotateAxis": "Y", "autoRotateDir": 1, "showGuides": False, "showRawTerrain": False}
+# What the surface and the modes have; of each mode what is its own.
 SURFACE = {
     "showFill": False, "fillColor": "#ffffff", "fillHypsometric": False, "fillBanded": False, "fillHypsoInterval": 10, "fillHypsoWeight": 1.5, "fillHypsoMode": "elevation",
     "showMesh": False, "meshColor": "#888888", "bgColor": "#ffffff", "bgGradient": False, "depthOcclusion": True, "occlusionBias": 1.0, "occlusionColor": "#a80000", "occlusionOpacity": 0.0,
@@ -24,6 +25,7 @@ MODES = {
     "Flow": {"spacing": 10, "step": 1, "maxLen": 100}, "Dag": {"threshold": 2}, "Pencil": {"spacing": 4, "threshold": 0.5}, "Ridge": {"spacing": 1, "radius": 1, "threshold": 0.1},
     "Valley": {"spacing": 2, "radius": 2, "threshold": 0.5}, "Stipple": {"spacing": 0.5, "weight": 4, "opacity": 0.85, "color": "#1a1a1a"},
 }
+# Parameters of modes under names of their own.
 _WHOLE = {"pillarGap": 0, "pillarDepth": 0, "pillarStyle": "line", "pillarSize": 0.8, "pillarSegments": 8, "pillarLidColor": "#ffffff", "stippleDensityMode": "slope", "stippleGamma": 1.2, "stippleJitter": 0.8}
 
 
@@ -55,8 +57,21 @@ def validated(terrain: dict) -> dict:
     return p
 
 
-def drawing(style: dict) -> dict[str, dict]:
-    """From flat style parameters to options of ``modes.draw`` for the enabled modes."""
+def terrain_options(terrain: dict, base_scale: float = 1.0) -> dict:
+    """From terrain parameters to options of ``build_terrain``. The vertical scale is an
+    offset to that of the raster (``base_scale``)."""
+    p = validated(terrain)
+    names = {"resolution": "resolution", "blurRadius": "blur", "gridOffsetX": "off_x", "gridOffsetY": "off_y", "blackPoint": "black", "whitePoint": "white"}
+    return {names[k]: p[k] for k in names} | {"elev_scale": base_scale + p["elevScale"]}
+
+
+#: Modes whose places may be moved up and down by noise.
+JITTERED = ("X", "Y", "Cross", "Pillars", "Hachure", "Pencil", "Ridge", "Valley", "Stipple")
+
+
+def drawing(style: dict, terrain: dict | None = None) -> dict[str, dict]:
+    """From flat style parameters to options of ``modes.draw`` for the enabled modes; with
+    terrain parameters also the elevation band and the jitter."""
     names = {
         "spacing": "spacing", "shift": "shift", "interval": "interval", "majorInterval": "major", "majorOffset": "offset", "closeRings": "close", "length": "length",
         "step": "step", "maxLen": "longest", "threshold": "threshold", "radius": "radius",
@@ -70,9 +85,24 @@ def drawing(style: dict) -> dict[str, dict]:
         out["Pillars"] |= {"gap": p["pillarGap"], "depth": p["pillarDepth"], "style": p["pillarStyle"], "size": p["pillarSize"], "sides": p["pillarSegments"]}
     if "Stipple" in out:
         out["Stipple"] |= {"density": p["stippleDensityMode"], "gamma": p["stippleGamma"], "scatter": p["stippleJitter"]}
+    if terrain is not None:
+        t = TERRAIN | terrain
+        for mode, options in out.items():
+            options["band"] = (t["elevMinCut"], t["elevMaxCut"])
+            if mode in JITTERED:
+                options["jitter"] = t["jitterAmt"]
     return out
 
 
+def coloring(style: dict) -> dict[str, dict]:
+    """Of each mode, the options of ``color.vertex_color``."""
+    p = style_defaults() | style
+    return {
+        mode: {"color": p[f"color{mode}"], "hypsometric": p[f"hypso{mode}"], "mode": p[f"hypsoMode{mode}"], "banded": p[f"hypsoBanded{mode}"], "interval": p[f"hypsoInterval{mode}"], "stops": p["gradientStops"]}
+        for mode in MODES
+    }
+
+
 def layer_styles(style: dict) -> list[tuple[str, float, float, str]]:
     """(layer, weight, opacity, dash) of each mode; contours have two layers."""
     p = style_defaults() | style

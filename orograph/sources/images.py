@@ -1,7 +1,8 @@
-"""Raster files: PNG images and GeoTIFF grids, decoded in tasks, a file at a time.
+"""Raster files: PNG and JPEG images and GeoTIFF grids, decoded in tasks, a file at a time.
 
-Both formats are compressed streams; Spark's binary reader bounds a file to 2 GB. Many
-files are read in parallel, and a file's pixels leave its task in batches of rows.
+The formats are compressed streams; Spark's binary reader bounds a file to 2 GB. Many
+files are read in parallel, and a file's pixels leave its task in batches of rows. JPEG
+images and textures come through Spark's own image source.
 """
 
 from __future__ import annotations
@@ -81,9 +82,56 @@ _FIELD = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (
 _TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "samples", 278: "rows", 279: "counts", 284: "planar", 317: "predictor", 322: "tile_w", 323: "tile_h", 324: "offsets", 325: "counts", 339: "format", 33550: "scale", 42113: "nodata"}
 
 
+def unpack_bits(data: bytes) -> bytes:
+    """Runs and literals: a count from 0 on announces literals, a negative one a run."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += 2 + n
+        elif n > 128:
+            out.append(data[at + 1 : at + 2] * (257 - n))
+            at += 2
+        else:
+            at += 1
+    return b"".join(out)
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first, that grow an entry early; 256 begins a new
+    table, 257 ends."""
+    bits, held, at = 0, 0, 0
+    table: list[bytes] = []
+    out, last, width = [], b"", 9
+    while True:
+        while bits < width and at < len(data):
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFFFF, bits + 8, at + 1
+        if bits < width:
+            break
+        code = held >> (bits - width) & ((1 << width) - 1)
+        bits -= width
+        if code == 257:
+            break
+        if code == 256:
+            table, last, width = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+#: How the strips of each kind of compression are read.
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
+
+
 def read_tiff(data: bytes) -> tuple[np.ndarray, float | None, float | None]:
-    """Band 0 of the first image, the declared NoData value and the pixel's width. Not
-    compressed or deflated strips or tiles."""
+    """Band 0 of the first image, the declared NoData value and the pixel's width. Strips
+    or tiles that are not compressed, deflated, or packed by LZW or PackBits."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     at = struct.unpack(order + "I", data[4:8])[0]
     tags: dict = {}
@@ -101,8 +149,8 @@ def read_tiff(data: bytes) -> tuple[np.ndarray, float | None, float | None]:
         raise TooLarge("the raster is too large for one task")
     kind = {1: "u", 2: "i", 3: "f"}[tags.get("format", [1])[0]] + str(tags.get("bits", [8])[0] // 8)
     compression, predictor = tags.get("compression", [1])[0], tags.get("predictor", [1])[0]
-    if compression not in (1, 8, 32946) or predictor not in (1, 2):
-        raise ValueError("only uncompressed and deflated rasters")
+    if compression not in UNPACK or predictor not in (1, 2):
+        raise ValueError("a kind of compression that isn't known")
     bands = samples if tags.get("planar", [1])[0] == 1 else 1
     w, h = (tags["tile_w"][0], tags["tile_h"][0]) if "tile_w" in tags else (width, tags.get("rows", [height])[0])
     across = -(-width // w)
@@ -112,7 +160,7 @@ def read_tiff(data: bytes) -> tuple[np.ndarray, float | None, float | None]:
         if top >= height:
             break  # further bands
         part = data[offset : offset + count]
-        block = np.frombuffer(zlib.decompress(part) if compression != 1 else part, order + kind)
+        block = np.frombuffer(UNPACK[compression](part), order + kind)
         block = block[: len(block) // (w * bands) * w * bands].reshape(-1, w, bands)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)
@@ -161,18 +209,72 @@ def tiff_values(spark: SparkSession, path: str, pattern: str = "*.{tif,tiff,geot
     return _files(spark, path, pattern).mapInArrow(_tiffs, PIXELS)
 
 
-def image_raster(spark: SparkSession, path: str) -> Raster:
-    """One PNG as a raster."""
-    px = png_pixels(spark, path)
-    size = px.agg((F.max("c") + 1).alias("w"), (F.max("r") + 1).alias("h")).first()
+def _decoded(batches):
+    """Colours of Spark's image rows, which are stored blue first."""
+    for batch in batches:
+        for x in batch.column("image").to_pylist():
+            px = np.frombuffer(x["data"], np.uint8).reshape(x["height"], x["width"], x["nChannels"])
+            px = np.repeat(px, 3, axis=2) if x["nChannels"] == 1 else px
+            alpha = px[..., 3:] if px.shape[2] == 4 else np.full((*px.shape[:2], 1), 255, np.uint8)
+            colors = np.concatenate([px[..., 2::-1], alpha], axis=2) / 255
+            for top in range(0, px.shape[0], ROWS_AT_ONCE):
+                part = colors[top : top + ROWS_AT_ONCE]
+                r, c = np.indices(part.shape[:2])
+                columns = [pa.array((r + top).ravel().astype(np.int32)), pa.array(c.ravel().astype(np.int32)), *(pa.array(part[..., k].ravel()) for k in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array([x["origin"]] * len(columns[0])), *columns], ["path", "r", "c", "red", "green", "blue", "alpha"])
+
+
+def colored_pixels(spark: SparkSession, path: str, pattern: str = "*.{png,jpg,jpeg}") -> DataFrame:
+    """(path, r, c, red, green, blue, alpha), each from 0 to 1, of images."""
+    images = spark.read.format("image").option("pathGlobFilter", pattern).load(path)
+    return images.mapInArrow(_decoded, "path string, r int, c int, red double, green double, blue double, alpha double")
+
+
+def jpeg_pixels(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg}") -> DataFrame:
+    """(path, r, c, v, valid) of JPEG images, as of PNG ones."""
+    px = colored_pixels(spark, path, pattern)
+    return px.select("path", "r", "c", ((F.col("red") + F.col("green") + F.col("blue")) / 3).alias("v"), (F.col("alpha") >= 128 / 255).alias("valid"))
+
+
+def embedded_pixels(presets: DataFrame, key: str = "heightmapDataURL") -> DataFrame:
+    """The pixels of the PNG that a preset (name, document) carries; path is its name."""
+    url = F.get_json_object("document", f"$.{key}")
+    held = presets.where(url.startswith("data:image/png;base64,")).select(F.col("name").alias("path"), F.unbase64(F.substring_index(url, ",", -1)).alias("content"))
+    return held.mapInArrow(_pngs, PIXELS)
+
+
+def raster_of(px: DataFrame) -> Raster:
+    """The pixels (path, r, c, v, valid) of one image as a raster; those of several are
+    refused, since they would lie on each other."""
+    size = px.agg((F.max("c") + 1).alias("w"), (F.max("r") + 1).alias("h"), F.min("path").alias("a"), F.max("path").alias("b")).first()
     if size.w is None:
         raise NoElevation("no image")
+    if size.a != size.b:
+        raise ValueError("more than one image")
     return Raster(px.select("r", "c", F.col("v").alias("raw"), "valid"), size.w, size.h)
 
 
+def image_raster(spark: SparkSession, path: str) -> Raster:
+    """One PNG or JPEG as a raster."""
+    return raster_of(png_pixels(spark, path).unionByName(jpeg_pixels(spark, path)))
+
+
+def textured(vertices: DataFrame, pixels: DataFrame, width: int, height: int, scale: float = 1, shift_x: float = 0, shift_y: float = 0) -> DataFrame:
+    """``vertices`` (with u, v from 0 to 1) with the struct texture (r, g, b) and its alpha:
+    the pixel of an image (r, c, red, green, blue, alpha) there. The image is repeated;
+    a larger scale draws it larger; v runs up."""
+    turn = lambda x, shift: F.pmod(F.col(x) / float(scale or 1) + float(shift), F.lit(1.0))
+    at = lambda x, n: F.least(F.lit(n - 1), F.floor(x * n)).cast("int")
+    placed = vertices.withColumns({"_c": at(turn("u", shift_x), width), "_r": height - 1 - at(turn("v", shift_y), height)})
+    image = pixels.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.struct(F.col("red").alias("r"), F.col("green").alias("g"), F.col("blue").alias("b")).alias("texture"), "alpha")
+    return placed.join(image, ["_r", "_c"]).drop("_r", "_c")
+
+
 def elevation_raster(spark: SparkSession, path: str) -> tuple[Raster, float | None]:
     """One GeoTIFF as a raster, and a suggested vertical scale."""
     values = tiff_values(spark, path)
+    if values.select("path").distinct().count() > 1:
+        raise ValueError("more than one raster")
     r = normalised(spark, values.select("r", "c", F.when(F.col("valid") & ~is_nodata(F.col("v")), F.col("v")).alias("v")))
     width = _files(spark, path, "*.{tif,tiff,geotiff}").mapInArrow(_scales, "w double").first()
     return r, suggested_scale(r.high - r.low, width.w if width else None)

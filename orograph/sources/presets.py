@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orograph import params
+from orograph.operators import modes
+from orograph.operators.grid import Terrain, build_terrain
+from orograph.sources.rasters import Raster
 
 PARTS = {"terrain": params.TERRAIN, "style": None, "points": params.POINTS, "view": params.VIEW}
 EMBEDDED = "heightmapDataURL"
@@ -51,7 +54,15 @@ def preset(p: dict, image_url: str | None = None) -> str:
 
 def migrated(presets: DataFrame) -> DataFrame:
     """K7: presets with what they lack filled in and no embedded image."""
-    return presets.select("name", F.udf(lambda d: preset(merged(d)), "string")("document").alias("document"))
+    made = F.pandas_udf(lambda documents: documents.map(lambda d: preset(merged(d))), "string")
+    return presets.select("name", made("document").alias("document"))
+
+
+def drawn(p: dict, raster: Raster, base_scale: float = 1.0) -> tuple[Terrain, DataFrame]:
+    """The terrain and the coloured segments that a preset (as of ``merged``) makes of a
+    raster: its levels, blur, scale, elevation band, jitter, modes and colours."""
+    t = build_terrain(raster.pixels, raster.width, raster.height, **params.terrain_options(p["terrain"], base_scale))
+    return t, modes.colored_layers(modes.draw(t, params.drawing(p["style"], p["terrain"])), params.coloring(p["style"]))
 
 
 def write_presets(presets: DataFrame, folder: str) -> None:

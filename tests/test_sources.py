@@ -73,6 +73,79 @@ def test_tiff(spark, tmp_path, deflate):
     assert not any(got[k][1] for k in ((2, 3), (0, 0), (4, 5))) and got[0, 1] == (0.0, True) and got[4, 4] == (1.0, True)
 
 
+def pack_lzw(data: bytes) -> bytes:
+    table, codes, width = {bytes([i]): i for i in range(256)}, [(256, 9)], 9
+    after, have = 258, b""
+    for k in range(len(data)):
+        more = have + data[k : k + 1]
+        if more in table:
+            have = more
+            continue
+        codes.append((table[have], width))
+        table[more], after = after, after + 1
+        if after + 1 > 4095:
+            codes.append((256, width))
+            table, after, width = {bytes([i]): i for i in range(256)}, 258, 9
+        else:
+            width = max(9, after.bit_length())
+        have = data[k : k + 1]
+    codes += [(table[have], width), (257, max(9, (after + 1).bit_length()))]
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_packed_strips():
+    rng = np.random.default_rng(2)
+    for data in (b"", b"a", b"aaaa" * 900, bytes(rng.integers(0, 3, 20_000, np.uint8)), bytes(rng.integers(0, 256, 9_000, np.uint8))):
+        if data:
+            assert images.unpack_lzw(pack_lzw(data)) == data
+    assert images.unpack_bits(bytes([2, 1, 2, 3, 253, 9, 128, 0, 7])) == bytes([1, 2, 3, 9, 9, 9, 9, 7])
+
+
+def test_jpeg_texture_and_several_images(spark, tmp_path):
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(8, 6, jvm.java.awt.image.BufferedImage.TYPE_INT_RGB)
+    for r in range(6):
+        for c in range(8):
+            image.setRGB(c, r, 0x404040 if c < 4 else 0xC0C0C0)
+    (tmp_path / "a").mkdir()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(str(tmp_path / "a" / "x.jpg")))
+    raster = images.image_raster(spark, str(tmp_path / "a"))
+    got = {(p.r, p.c): p.raw for p in raster.pixels.collect()}
+    assert (raster.width, raster.height, len(got)) == (8, 6, 48) and all(abs(v - (0x40 if c < 4 else 0xC0) / 255) < 0.05 for (_, c), v in got.items())
+    px = np.zeros((2, 4, 4), int)
+    px[..., 0], px[1, :, 1], px[..., 3] = np.arange(4) * 60, 200, 255
+    (tmp_path / "a" / "y.png").write_bytes(png(px, [0]))
+    with pytest.raises(ValueError):
+        images.image_raster(spark, str(tmp_path / "a"))
+    places = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.3, 0.9), (2, 1.0, 1.0), (3, 0.99, 0.4)], "vid int, u double, v double")
+    seen = {r.vid: r for r in images.textured(places, images.colored_pixels(spark, str(tmp_path / "a"), "*.png"), 4, 2).collect()}
+    assert seen[0].texture.r == 0 and seen[0].texture.g == 200 / 255 and seen[1].texture.r == 60 / 255 and seen[1].texture.g == 0
+    # the image repeats from one on
+    assert seen[2].texture == seen[0].texture and seen[3].texture.r == 180 / 255 and seen[3].texture.g == 200 / 255
+    half = {r.vid: r.texture.r for r in images.textured(places, images.colored_pixels(spark, str(tmp_path / "a"), "*.png"), 4, 2, scale=2, shift_x=0.5).collect()}
+    assert half[0] == 120 / 255 and half[2] == 0
+
+
+def test_a_preset_draws_its_raster(spark):
+    import base64
+
+    rng = np.random.default_rng(3)
+    px = np.full((12, 10, 4), 255)
+    px[..., :3] = rng.integers(0, 256, (12, 10, 1))
+    url = "data:image/png;base64," + base64.b64encode(png(px, [0, 1])).decode()
+    document = json.dumps({"terrain": {"resolution": 1, "elevScale": 0.5, "elevMinCut": 20, "elevMaxCut": 70, "jitterAmt": 2}, "style": {"enabledX": True, "spacingX": 2, "enabledContours": True, "intervalContours": 10, "hypsoX": True, "colorContours": "#ff0000"}, presets.EMBEDDED: url})
+    raster = images.raster_of(images.embedded_pixels(spark.createDataFrame([("a", document), ("b", "{}")], "name string, document string")))
+    assert (raster.width, raster.height) == (10, 12)
+    p = presets.merged(document)
+    t, s = presets.drawn(p, raster)
+    assert t.meta.elev_scale == 1.5
+    plain = modes.colored(modes.ridgelines(t, spacing=2, band=(20, 70), jitter=2), hypsometric=True, stops=p["style"]["gradientStops"])
+    key = lambda d: sorted((round(r.x0, 6), round(r.y0, 6), round(r.z0, 6), round(r.color0.r, 6), round(r.color1.b, 6)) for r in d.collect())
+    assert key(s.where("layer = 'X'")) == key(plain) != []
+    assert {tuple(r.color0) for r in s.where("layer like 'Contours%'").collect()} == {(1.0, 0.0, 0.0)}
+
+
 def test_load_errors():
     assert "large" in images.explain(MemoryError()) and "no elevations" in images.explain(images.NoElevation("x"))
     with pytest.raises(ValueError):
