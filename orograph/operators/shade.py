@@ -42,7 +42,8 @@ def mode_value(b: Column, nx: Column, ny: Column, nz: Column, mode: str = "eleva
 
 
 def banded(value: Column, b: Column, mode: str = "elevation", interval: float = 10, elev_scale: float = 1) -> Column:
-    """H3: the value at the lower end of its band."""
+    """H3, H9: the value at the lower end of its band. A scale of 0 means 1."""
+    elev_scale = elev_scale or 1
     if mode == "elevation":
         e = (b - 0.5) * 100.0 * elev_scale
         return clamp(F.floor(e / float(interval)) * float(interval) / (100.0 * elev_scale) + 0.5)

@@ -306,63 +306,85 @@ def test_erosion(spark):
     assert sum(w for *_, w in sequential.erosion_brush(3)) == pytest.approx(1)
 
 
-def brute_droplet(h, x, y, p):
-    """One droplet over a map that it doesn't change: the change that it makes."""
-    change = np.zeros_like(h)
+def brute_droplets(h, drops, p):
+    """Droplets one after the other, each over the map that the ones before it left."""
+    h = h.copy()
     rows, cols = h.shape
-    dx = dy = load = 0.0
-    speed = water = 1.0
 
-    def look(x, y):
+    def corners(x, y):
         j, i = math.floor(x), math.floor(y)
         u, v = x - j, y - i
-        a, b, c, d = h[i, j], h[i, j + 1], h[i + 1, j], h[i + 1, j + 1]
-        return a * (1 - u) * (1 - v) + b * u * (1 - v) + c * (1 - u) * v + d * u * v, (b - a) * (1 - v) + (d - c) * v, (c - a) * (1 - u) + (d - b) * u
+        return ((i, j, (1 - u) * (1 - v)), (i, j + 1, u * (1 - v)), (i + 1, j, (1 - u) * v), (i + 1, j + 1, u * v)), u, v
+
+    def look(x, y):
+        places, u, v = corners(x, y)
+        a, b, c, d = (h[i, j] for i, j, _ in places)
+        return sum(h[i, j] * w for i, j, w in places), (b - a) * (1 - v) + (d - c) * v, (c - a) * (1 - u) + (d - b) * u
 
     def settle(x, y, amount):
-        j, i = math.floor(x), math.floor(y)
-        u, v = x - j, y - i
-        for di, dj, w in ((0, 0, (1 - u) * (1 - v)), (0, 1, u * (1 - v)), (1, 0, (1 - u) * v), (1, 1, u * v)):
-            change[i + di, j + dj] += amount * w
-
-    for _ in range(p["lifetime"]):
-        old, gx, gy = look(x, y)
-        dx, dy = dx * p["inertia"] - gx * (1 - p["inertia"]), dy * p["inertia"] - gy * (1 - p["inertia"])
-        size = math.hypot(dx, dy)
-        if size:
-            dx, dy = dx / size, dy / size
-        nx, ny = x + dx, y + dy
-        if not (0 <= nx < cols - 1 and 0 <= ny < rows - 1):
-            settle(x, y, load)
-            break
-        rise = look(nx, ny)[0] - old
-        room = max(-rise, p["least_capacity"]) * speed * water * p["capacity"]
-        if load > room or rise > 0:
-            amount = min(rise, load) if rise > 0 else (load - room) * p["deposit"]
-            load -= amount
-            settle(x, y, amount)
-        else:
-            amount = min((room - load) * p["erode"], -rise)
-            for di, dj, w in sequential.erosion_brush(p["radius"]):
-                i, j = math.floor(y) + di, math.floor(x) + dj
-                if 0 <= i < rows and 0 <= j < cols:
-                    change[i, j] -= amount * w
-            load += amount
-        speed = math.sqrt(max(0.0, speed * speed + rise * p["gravity"]))
-        water *= 1 - p["evaporate"]
-        x, y = nx, ny
-    return change
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_one_droplet_against_brute_force(spark, seed):
+        for i, j, w in corners(x, y)[0]:
+            h[i, j] += amount * w
+
+    for x, y in drops:
+        dx = dy = load = 0.0
+        speed = water = 1.0
+        for _ in range(p["lifetime"]):
+            old, gx, gy = look(x, y)
+            dx, dy = dx * p["inertia"] - gx * (1 - p["inertia"]), dy * p["inertia"] - gy * (1 - p["inertia"])
+            size = math.hypot(dx, dy)
+            if size:
+                dx, dy = dx / size, dy / size
+            nx, ny = x + dx, y + dy
+            if not (0 <= nx < cols - 1 and 0 <= ny < rows - 1):
+                settle(x, y, load)
+                break
+            rise = look(nx, ny)[0] - old
+            room = max(-rise, p["least_capacity"]) * speed * water * p["capacity"]
+            if load > room or rise > 0:
+                amount = min(rise, load) if rise > 0 else (load - room) * p["deposit"]
+                load -= amount
+                settle(x, y, amount)
+            else:
+                amount = min((room - load) * p["erode"], -rise)
+                for di, dj, w in sequential.erosion_brush(p["radius"]):
+                    i, j = math.floor(y) + di, math.floor(x) + dj
+                    if 0 <= i < rows and 0 <= j < cols:
+                        h[i, j] -= min(h[i, j], amount * w)
+                load += amount
+            speed = math.sqrt(max(0.0, speed * speed + rise * p["gravity"]))
+            water *= 1 - p["evaporate"]
+            x, y = nx, ny
+    return np.clip(h, 0, 1)
+
+
+def fallen(spark, seed, n, width, height):
+    """Where a first batch's droplets fall."""
+    u = spark.range(n).select(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(0), F.lit(k), "id"), F.lit(1 << 40)).cast("double") for k in (0, 1)], "id").orderBy("id").collect()
+    return [(r[0] / (1 << 40) * (width - 1), r[1] / (1 << 40) * (height - 1)) for r in u]
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 1), (2, 1), (3, 40)])
+def test_droplets_against_brute_force(spark, seed, n, monkeypatch):
+    monkeypatch.setattr(sequential, "CELLS_A_DROPLET", 10_000)  # one at a time
     rng = np.random.default_rng(seed)
     a = np.add.outer(np.linspace(0.8, 0.2, 24), np.linspace(0.1, 0, 20)) + rng.random((24, 20)) * 0.05
-    u = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(0), F.lit(k), "id"), F.lit(1 << 40)).cast("double") for k in (0, 1)]).first()
-    x, y = u[0] / (1 << 40) * 19, u[1] / (1 << 40) * 23
-    wanted = np.clip(a + brute_droplet(a, x, y, sequential.EROSION), 0, 1)
-    got = {(r.r, r.c): r.raw for r in sequential.erode(pixels(spark, a), 20, 24, droplets=1, batches=1, seed=seed, tile=9).collect()}
-    assert max(abs(got[r, c] - wanted[r, c]) for r in range(24) for c in range(20)) < 1e-12
+    wanted = brute_droplets(a, fallen(spark, seed, n, 20, 24), sequential.EROSION)
+    got = {(r.r, r.c): r.raw for r in sequential.erode(pixels(spark, a), 20, 24, droplets=n, batches=1, seed=seed, tile=9).collect()}
+    assert max(abs(got[r, c] - wanted[r, c]) for r in range(24) for c in range(20)) < 1e-9
+
+
+def test_tiles_of_droplets_run_as_if_one_by_one(spark, monkeypatch):
+    """Over several tiles: the same as one by one, colour by colour and tile by tile."""
+    monkeypatch.setattr(sequential, "CELLS_A_DROPLET", 10**9)
+    rng = np.random.default_rng(4)
+    options = {"lifetime": 6, "radius": 2}
+    a = rng.random((50, 45)) * 0.3 + 0.4
+    drops = fallen(spark, 5, 300, 45, 50)
+    tile = 20  # twice the margin
+    order = sorted(range(300), key=lambda k: ((drops[k][1] // tile) % 2, (drops[k][0] // tile) % 2, k))
+    wanted = brute_droplets(a, [drops[k] for k in order], sequential.EROSION | options)
+    got = {(r.r, r.c): r.raw for r in sequential.erode(pixels(spark, a), 45, 50, droplets=300, batches=1, seed=5, tile=1, **options).collect()}
+    assert max(abs(got[r, c] - wanted[r, c]) for r in range(50) for c in range(45)) < 1e-9
 
 
 def test_all_droplets_fall(spark, monkeypatch):
@@ -372,7 +394,9 @@ def test_all_droplets_fall(spark, monkeypatch):
     px = pixels(spark, np.random.default_rng(1).random((6, 6)))
     for droplets in (7, 3):
         asked.clear()
-        assert sequential.erode(px, 6, 6, droplets=droplets, batches=5).count() == 36 and sum(asked) == droplets
+        done = []
+        assert sequential.erode(px, 6, 6, droplets=droplets, batches=5, progress=done.append).count() == 36 and sum(asked) == droplets
+        assert done == [20, 40, 60, 80, 100]
 
 
 def test_erosion_query_runs_the_whole_job(spark, monkeypatch):
