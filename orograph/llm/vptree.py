@@ -54,7 +54,7 @@ SHARD = 16_384
 CELLS = 4_096
 LEAF = 128
 #: Queries that a task searches at once, and most that one task gets of a shard.
-BLOCK, SLICE = 256, 65_536
+BLOCK, SLICE = 512, 65_536
 FOUND = "query array<double>, hits array<struct<vec_id: long, score: double>>"
 DEALT = "size int, cell int, d double, v array<double>"
 
@@ -107,18 +107,18 @@ class Tree:
                 return
             if isinstance(node, np.ndarray):
                 d = distances(queries[rows], self.points[node])
-                for r, row in zip(rows, d):
-                    keep = row <= bound[r] + SLACK
-                    if keep.any():
-                        dist, at = np.concatenate((best[r][0], row[keep])), np.concatenate((best[r][1], node[keep]))
-                        order = np.argsort(dist, kind="stable")
-                        dist, at = dist[order], at[order]
-                        full = np.searchsorted(np.cumsum(weight[at]), k)
-                        if full < len(dist):
-                            bound[r] = dist[full]
-                            last = np.searchsorted(dist, dist[full] + SLACK, "right")
-                            dist, at = dist[:last], at[:last]
-                        best[r] = (dist, at)
+                near_enough = d <= bound[rows, None] + SLACK
+                for i in np.flatnonzero(near_enough.any(1)).tolist():
+                    r, keep = rows[i], near_enough[i]
+                    dist, at = np.concatenate((best[r][0], d[i][keep])), np.concatenate((best[r][1], node[keep]))
+                    order = np.argsort(dist, kind="stable")
+                    dist, at = dist[order], at[order]
+                    full = np.searchsorted(np.cumsum(weight[at]), k)
+                    if full < len(dist):
+                        bound[r] = dist[full]
+                        last = np.searchsorted(dist, dist[full] + SLACK, "right")
+                        dist, at = dist[:last], at[:last]
+                    best[r] = (dist, at)
                 return
             vantage, near, far = node
             d = distances(queries[rows], self.points[vantage : vantage + 1])[:, 0]
