@@ -31,6 +31,11 @@ def held_out(col) -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string")) % 3 == 1, F.lit(False))
 
 
+def let(value: F.Column, body) -> F.Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null as empty."""
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]

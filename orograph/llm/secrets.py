@@ -27,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orograph.llm.common import let
+
 # The patterns of the contract. Kinds in the order of listing.
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 _EITHER_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in _KEYWORDS)
@@ -75,30 +77,40 @@ BLOCK = 256
 
 def _blocks(items: Column) -> Column:
     """An array cut into arrays of BLOCK items."""
-    last = F.ceil(F.size(items) / BLOCK).cast("int") - 1
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
-    return F.filter(cut, lambda b: F.size(b) > 0)
+
+    def cut(v):
+        last = F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.filter(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK))), lambda b: F.size(b) > 0)
+
+    return let(items, cut)
 
 
 def _scan(items: Column, value, combine) -> Column:
     """Each item with what ``value`` (a whole number of 0 or more) of all before it combines to."""
-    blocks = _blocks(items)
-    total = F.transform(blocks, lambda b: F.aggregate(b, _long(0), lambda a, x: combine(a, value(x))))
     none = F.array().cast("array<long>")
-    starts = F.aggregate(total, F.struct(_long(0).alias("now"), none.alias("out")), lambda a, t: F.struct(combine(a["now"], t).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")), lambda a: a["out"])
+
+    def befores(values, start, of):
+        step = lambda a, x: F.struct(combine(a["now"], of(x)).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("now"), none.alias("out")), step, lambda a: a["out"])
 
     def within(b, start):
-        befores = F.aggregate(b, F.struct(start.alias("now"), none.alias("out")), lambda a, x: F.struct(combine(a["now"], value(x)).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")), lambda a: a["out"])
-        return F.zip_with(b, befores, lambda x, n: F.struct(x.alias("item"), n.alias("before")))
+        return F.zip_with(b, befores(b, start, value), lambda x, n: F.struct(x.alias("item"), n.alias("before")))
+
+    def whole(v):
+        def many(blocks):
+            totals = F.transform(blocks, lambda b: F.aggregate(b, _long(0), lambda a, x: combine(a, value(x))))
+            return F.flatten(F.zip_with(blocks, befores(totals, _long(0), lambda t: t), within))
+
+        return F.when(F.size(v) <= BLOCK, within(v, _long(0))).otherwise(let(_blocks(v), many))
 
-    return F.flatten(F.zip_with(blocks, starts, within))
+    return let(items, whole)
 
 
 def _places(text: Column, pattern: str, keep, kind: int) -> Column:
     """Spans of the matches of a pattern that ``keep`` (a condition on the match) keeps."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda b: F.length(b).cast("long")), F.lit(1), F.size(found))
-    items = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    gaps = F.transform(F.split(text, pattern, -1), lambda b: F.length(b).cast("long"))
+    paired = lambda found: F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    items = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
     placed = _scan(items, lambda x: x["gap"] + F.length(x["m"]), lambda a, n: a + n)
     start = lambda x: x["before"] + x["item"]["gap"]
     spans = F.transform(
@@ -111,7 +123,8 @@ def _apart(spans: Column, base: Column) -> Column:
     """The spans that overlap none of ``base`` (by start); whole blocks of it are passed over."""
     hit = lambda m, b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])
     ranges = F.transform(_blocks(base), lambda b: F.struct(F.element_at(b, 1)["start"].alias("start"), F.array_max(F.transform(b, lambda x: x["stop"])).alias("stop"), b.alias("b")))
-    return F.filter(spans, lambda m: ~F.exists(ranges, lambda r: F.when(hit(m, r), F.exists(r["b"], lambda b: hit(m, b))).otherwise(False)))
+    apart = lambda rs: F.filter(spans, lambda m: ~F.exists(rs, lambda r: F.when(hit(m, r), F.exists(r["b"], lambda b: hit(m, b))).otherwise(False)))
+    return let(ranges, apart)
 
 
 def _most_entropy(s: Column) -> Column:

@@ -35,8 +35,6 @@ STEPS = [
     (r"<[/!?]?[A-Za-z][^>]*>", ""),
 ]
 SPACES = [(r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
-#: The same, passing over what stays as it is.
-CHANGED_SPACES = [(r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), (r" \n[ \n]*|\n[ \n]+", "\n"), SPACES[2]]
 TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title"
 LINK = r"(?i)<a\s[^>]*href\s*="
 _END = "\r\n"
@@ -44,44 +42,16 @@ _END = "\r\n"
 
 def plain_text(html: Column) -> Column:
     """The text of a page, a line for each block."""
-    text = _without(html, "<!--", "-->", *STEPS[0])
-    for tag, (pattern, to) in zip(HIDDEN, STEPS[1:]):
-        text = _without(text, f"<{tag}", f"</{tag}", pattern, to)
-    for pattern, to in STEPS[len(HIDDEN) + 1 :]:
-        text = _without(text, "<", ">", pattern, to)
+    text = html
+    for pattern, to in STEPS:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
     return _tidy(text)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _without(text: Column, opening: str, closing: str, pattern: str, to: str) -> Column:
-    """Replaces what lies between openings and closings. From an opening without a closing
-    a pattern would look through all that follows, again and again; so where the last
-    closing has an opening behind it, only what comes before is gone through."""
-    done = lambda t: F.regexp_replace(t, F.lit(pattern), F.lit(to))
-
-    def of(t: Column, tail: Column) -> Column:
-        # the closing's own end (spaces, a bracket) lies behind it
-        cut = F.char_length(t) - F.char_length(tail) + F.char_length(F.regexp_extract(tail, r"^\s*>?", 0))
-        return F.concat(done(F.substring(t, F.lit(1), cut)), F.substring(t, cut + 1, F.char_length(t)))
-
-    def step(t: Column) -> Column:
-        low = F.lower(t) if opening.upper() != opening else t
-        tail = F.substring_index(low, closing, -1)
-        # lower case may be longer: then places in it aren't those in the text
-        open_end = (F.instr(tail, F.lit(opening)) > 0) & (F.char_length(low) == F.char_length(t))
-        return F.when(open_end, of(t, tail)).otherwise(done(t))
-
-    return _let(text, step)
-
-
 def _tidy(text: Column) -> Column:
     for entity, to in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(to))
-    for pattern, to in CHANGED_SPACES:
+    for pattern, to in SPACES:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
     return text
 
