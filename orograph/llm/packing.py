@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from orograph.llm.common import per_worker, raw_texts
+from orograph.llm import text as X
+from orograph.llm.common import per_worker, raw_texts, spans
 
 WINDOW = 2048
 END_ID = 1
 #: Partially filled windows of a task, from which on documents may be cut to fill one up.
 OPEN = 64
+#: Bytes of text that are turned into ids at once.
+PART = 2 << 20
 #: Entries of a worker's cache of chunks; emptied when full.
 CACHE = 1_500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -209,6 +212,13 @@ class Level:
                 yield from self.place(p, opening=False)
 
 
+def _whole_ids(ids: Ids, raw: list[bytes]) -> list[bytes]:
+    """Ids of texts; those of a long one part by part, since no token crosses white space."""
+    if len(raw) > 1 or len(raw[0]) <= PART:
+        return ids.of(raw)
+    return [b"".join(ids.of([p])[0] for p in X.pieces(raw[0], PART))]
+
+
 def _pack(path: str, ranks, window: int, end_id: int, batches):
     task = TaskContext.get()
     base = (task.partitionId() if task else 0) << 36
@@ -222,8 +232,8 @@ def _pack(path: str, ranks, window: int, end_id: int, batches):
     made: list[tuple] = []
     for batch in batches:
         raw, doc_ids = raw_texts(batch), batch.column("doc_id").to_pylist()
-        for i in range(0, len(raw), 500):
-            for doc_id, b in zip(doc_ids[i : i + 500], ids.of(raw[i : i + 500])):
+        for i, j in spans([len(t) for t in raw], PART):
+            for doc_id, b in zip(doc_ids[i:j], _whole_ids(ids, raw[i:j])):
                 b += end
                 total = len(b) // 4
                 full = total - total % window
