@@ -104,6 +104,19 @@ def test_fast_ids_are_the_tokenizers(spark):
         assert all(np.array(w.ids, "<u4").tobytes() == g for w, g in zip(want, got))
 
 
+def test_long_texts_part_by_part(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["Don't", "stop-", "x" * 50, "é\u0130", "日本"], n)).encode() for n in (0, 1, 2, 3, 4, 300)]
+    prints = simhash.fingerprints(texts)
+    ids = packing.Ids(TOKENIZER, None)
+    whole = ids.of(texts)
+    for part in (1, 7, 60, 400):
+        monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(packing, "PART", part)
+        assert [int(x) for t in texts for x in simhash.fingerprints([t])] == [int(x) for x in prints]
+        assert [packing._whole_ids(ids, [t])[0] for t in texts] == whole
+
+
 def brute_pack(sizes, window, most):
     """(document, start, length, sequence, offset) by trying every level for each piece."""
     opened, out, number = [], [], 0  # [sequence, fill, pieces], the last used at the end
