@@ -25,7 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Makes Spark drop the shuffle files of a query once it has ended.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_lock, _writers = threading.Lock(), {"n": 0, "before": "false"}
+
+
+class _State:
+    """What the driver remembers. A copy that travels to a task is empty."""
+
+    def __init__(self):
+        self.lock, self.writers, self.before = threading.Lock(), 0, "false"
+        self.written: list[str] = []
+
+    def __reduce__(self):
+        return _State, ()
+
+
+_state = _State()
 
 
 class _dropping_shuffles:
@@ -35,20 +48,17 @@ class _dropping_shuffles:
         self.conf = spark.conf
 
     def __enter__(self):
-        with _lock:
-            if not _writers["n"]:
-                _writers["before"] = self.conf.get(_DROP_SHUFFLES, "false")
+        with _state.lock:
+            if not _state.writers:
+                _state.before = self.conf.get(_DROP_SHUFFLES, "false")
                 self.conf.set(_DROP_SHUFFLES, "true")
-            _writers["n"] += 1
+            _state.writers += 1
 
     def __exit__(self, *error):
-        with _lock:
-            _writers["n"] -= 1
-            if not _writers["n"]:
-                self.conf.set(_DROP_SHUFFLES, _writers["before"])
-
-
-_written: list[str] = []
+        with _state.lock:
+            _state.writers -= 1
+            if not _state.writers:
+                self.conf.set(_DROP_SHUFFLES, _state.before)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -57,9 +67,9 @@ def cut(df: DataFrame) -> DataFrame:
     it go as soon as it is written. The table goes when the driver ends, or with ``clear``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/orograph-{uuid.uuid4().hex}"
-    if not _written:
+    if not _state.written:
         atexit.register(_at_exit)
-    _written.append(path)
+    _state.written.append(path)
     with _dropping_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -68,8 +78,8 @@ def cut(df: DataFrame) -> DataFrame:
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that ``cut`` wrote so far. What reads them can't be used after."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while _state.written:
+        path = jvm.org.apache.hadoop.fs.Path(_state.written.pop())
         path.getFileSystem(conf).delete(path, True)
 
 

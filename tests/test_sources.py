@@ -238,3 +238,33 @@ def test_stream_equals_batch(spark, tmp_path):
     e = events.withColumn("c", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")))
     wanted = {(r.user_id, r.c): r.v for r in e.groupBy("user_id", "c").agg((F.sum(F.floor(F.col("value") * 100 + 0.5)).cast("double") / F.count("*")).alias("v")).collect()}
     assert got == wanted
+
+
+def test_shared_tables(spark, monkeypatch):
+    import os
+
+    from pyspark import cloudpickle
+
+    from orograph import shared
+
+    kept = shared.cut(spark.range(5).groupBy((F.col("id") % 2).alias("k")).count())
+    path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 2 and os.path.exists(path)
+    assert spark.conf.get(shared._DROP_SHUFFLES, "false") == shared._state.before
+    # functions that name the module's state go to tasks without it
+    cloudpickle.dumps(shared)
+    here, shared._state.written = shared._state.written, [shared._state.written[-1]]
+    shared.clear(spark)
+    assert not os.path.exists(path)
+    shared._state.written = here
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://a"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Cluster)
