@@ -47,4 +47,4 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_substring, op2_packing, op3_simhash, op4_neighbours, op5_decontamination, op6_warc, op7_language, op8_secrets, op9_suffixes, op10_toxicity)}
-ORACLES = {"op5_decontamination": decontaminate.ORACLE, "op4_neighbours": vptree.ORACLE, "op6_warc": warc.ORACLE, "op8_secrets": secrets.ORACLE}
+ORACLES = {"op1_substring": substring_dedup.ORACLE, "op9_suffixes": suffix_dedup.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op4_neighbours": vptree.ORACLE, "op6_warc": warc.ORACLE, "op8_secrets": secrets.ORACLE}

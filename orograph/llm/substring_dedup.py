@@ -35,6 +35,7 @@ from orograph.llm import recurring as R
 from orograph.llm import text as X
 from orograph.llm.common import cut, keyed, raw_texts
 
+WINDOW = 20
 CHUNK_BYTES = 1 << 20
 KEPT = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
 #: Digits of a word's number: two or more characters, so that no node of an automaton has
@@ -156,7 +157,7 @@ def _kept(with_text: bool, batches):
         ).select(KEPT[: 5 if with_text else 4])
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 6, with_text: bool = True) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = 6, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (words left, joined by a space)
     for each row of ``docs`` (doc_id, text). A word goes if it lies in a window of
     ``window`` words whose word sequence also starts earlier: in a smaller doc_id, or
@@ -166,3 +167,16 @@ def remove_repeated_passages(docs: DataFrame, window: int = 20, gram: int = 6, w
     cuts = R.by_document([_streamed(part, window) for part in segments])
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+
+
+#: DuckDB: all windows by their text, and the words of those that aren't the first.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+dup AS (SELECT g, min({{'doc_id': doc_id, 'i': i}}) AS lo FROM win GROUP BY g HAVING count(*) > 1),
+later AS (SELECT doc_id, i FROM win JOIN dup USING (g) WHERE {{'doc_id': doc_id, 'i': i}} <> lo),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM later)),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

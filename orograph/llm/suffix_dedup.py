@@ -34,6 +34,7 @@ from orograph.llm import recurring as R
 from orograph.llm import text as X
 from orograph.llm.common import cut, keyed, raw_texts
 
+DEPTH = 200
 CHUNK_BYTES = 1 << 20
 DIGIT = 8
 KEPT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -127,7 +128,7 @@ def _kept(with_text: bool, batches):
         ).select(KEPT[: 6 if with_text else 5])
 
 
-def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32, with_text: bool = True) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, depth: int = DEPTH, gram: int = 32, with_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept
     (bytes left) for each row of ``docs`` (doc_id, text). A byte goes if it lies in a
     string of ``depth`` bytes that also starts anywhere else, in any document."""
@@ -136,3 +137,20 @@ def remove_repeated_bytes(docs: DataFrame, depth: int = 200, gram: int = 32, wit
     cuts = R.by_document([_sorted(part, depth) for part in segments])
     joined = docs.join(cuts, ["dkey", "tkey"], "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(partial(_kept, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+
+
+#: DuckDB: bytes as two hex digits each, cut into overlapping parts that substr() goes
+#: through fast; all windows by their digest; maximal runs, and what lies between them.
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2 * {499 + DEPTH}) AS b FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {DEPTH - 1}, 500)) AS j FROM d WHERE len(h) >= {2 * DEPTH})),
+win AS MATERIALIZED (SELECT doc_id, j + k AS i, md5(substr(b, 2 * k + 1, {2 * DEPTH})) AS g FROM (SELECT doc_id, j, b, unnest(range(0, len(b) // 2 - {DEPTH - 1})) AS k FROM part)),
+dup AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win SEMI JOIN dup USING (g)),
+isl AS (SELECT doc_id, i, sum(CASE WHEN i <= before + {DEPTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit),
+runs AS MATERIALIZED (SELECT doc_id, run, min(i) AS a, max(i) + {DEPTH} AS b FROM isl GROUP BY doc_id, run),
+parts AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM runs),
+cut_ AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last_b, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS k FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k || substr(h, 2 * last_b + 1), h))) AS kept_sha256 FROM d LEFT JOIN cut_ USING (doc_id)
+"""
