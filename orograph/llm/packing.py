@@ -37,7 +37,7 @@ from orograph.llm.common import per_worker, raw_texts, spans
 WINDOW = 2048
 END_ID = 1
 #: Partially filled windows of a task, from which on documents may be cut to fill one up.
-OPEN = 64
+OPEN = 256
 #: Bytes of text that are turned into ids at once.
 PART = 2 << 20
 #: Entries of a worker's cache of chunks; emptied when full.
