@@ -229,7 +229,7 @@ EROSION = {"radius": 3, "inertia": 0.05, "capacity": 4.0, "least_capacity": 0.01
 
 
 #: Cells of a tile for each droplet that runs at the same time as others.
-CELLS_A_DROPLET = 512
+CELLS_A_DROPLET = 128
 
 
 def _rain(width: int, height: int, tile: int, p: dict, table: pa.Table) -> pa.Table:
