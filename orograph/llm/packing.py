@@ -39,7 +39,7 @@ END_ID = 1
 #: Partially filled windows of a task, from which on documents may be cut to fill one up.
 OPEN = 256
 #: Bytes of text that are turned into ids at once.
-PART = 2 << 20
+PART = 1 << 19
 #: Entries of a worker's cache of chunks; emptied when full.
 CACHE = 1_500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
