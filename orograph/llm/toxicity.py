@@ -40,6 +40,8 @@ from orograph.llm.common import annotate, cut, held_out, raw_texts
 
 #: Most labelled documents that a model is learned from.
 SAMPLE = 20_000
+#: Texts whose entries are counted at once.
+FEW = 128
 THRESHOLD = 0.7
 #: Least log odds of a lexicon's entries, and of candidates before exceptions are known.
 ODDS, CANDIDATE_ODDS = 3.0, 0.5
@@ -152,6 +154,13 @@ def _starts(text: str) -> set[str]:
     return out
 
 
+def _few(batches):
+    """Batches of few texts, whose entries make no large dictionary."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, FEW):
+            yield batch.slice(i, FEW)
+
+
 def _counted(seen: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()), pa.array(seen.values(), pa.int64())], ["entry", "toxic", "docs"])
 
@@ -160,7 +169,7 @@ def _entry_rows(held, batches):
     """(entry, toxic, documents) of each batch: all entries, or those of the model in
     ``held`` that match outside its exceptions."""
     automaton = Model(**held.value).automaton() if held else None
-    for batch in batches:
+    for batch in _few(batches):
         seen: dict[tuple, int] = {}
         for raw, toxic in zip(raw_texts(batch), batch.column("toxic").to_pylist()):
             text = fold(raw)
@@ -174,7 +183,7 @@ def _phrase_rows(held, good, batches):
     with the word after it. With ``good`` (phrase to clean documents), a match counts for
     the phrase with the most of them only."""
     automaton = Model(**held.value).automaton()
-    for batch in batches:
+    for batch in _few(batches):
         seen: dict[tuple, int] = {}
         for raw, toxic in zip(raw_texts(batch), batch.column("toxic").to_pylist()):
             text, phrases = fold(raw), set()
