@@ -36,9 +36,9 @@ def space_table() -> np.ndarray:
 
 class Words:
     """Words of several texts: byte spans in ``buf``, 64-bit hashes, and for each text
-    the range [ptr[i], ptr[i+1]) of its words."""
+    the range [ptr[i], ptr[i+1]) of its words. ``hashed``: with hashes."""
 
-    def __init__(self, raw: list[bytes], table: np.ndarray):
+    def __init__(self, raw: list[bytes], table: np.ndarray, hashed: bool = True):
         sep = bytes([int(np.flatnonzero(~table)[0])])
         self.buf = sep.join(raw) + sep
         data = np.frombuffer(self.buf, np.uint8)
@@ -51,7 +51,7 @@ class Words:
         self.ptr = np.searchsorted(self.start, np.concatenate(([0], np.cumsum(sizes))))
         n = self.end - self.start
         self.hash = np.zeros(len(n), np.uint64)
-        if len(n):
+        if len(n) and hashed:
             power = np.ones(int(n.max()), np.uint64)
             power[1:] = np.uint64(_P)
             power = np.cumprod(power)
