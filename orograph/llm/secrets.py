@@ -53,6 +53,9 @@ ALLOWED = [
     r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Cc][Hh][Aa][Nn][Gg][Ee][Mm][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]",
     r"[Aa][Bb][Cc][Dd][Ee][Ff]|0123456789|1234567890",
 ]
+#: The same as the first two, as (match, no match): Java's regular expressions take a frame
+#: of their stack for each repetition of a group, so a long candidate would end the task.
+_WITHOUT_GROUPS = [("^[A-Z]?[a-z][A-Za-z_/=-]*$", "[A-Za-z][A-Z]"), ("^[A-Z][A-Z_/=-]*$", "[a-z]")]
 #: Those that match inside a candidate, and pieces of candidates that hold one.
 _INSIDE = "|".join(f"(?:{p})" for p in ALLOWED if not p.startswith("^"))
 _EXCUSED = f"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?:{_INSIDE})[A-Za-z0-9+]*"
@@ -127,30 +130,43 @@ def _apart(spans: Column, base: Column) -> Column:
     return let(ranges, apart)
 
 
+#: Counts are at most WINDOW, so _BITS hold one and a long holds _COUNTS of them.
+_BITS = WINDOW.bit_length()
+_COUNTS = 62 // _BITS
+
+
 def _most_entropy(s: Column) -> Column:
-    """The least sum of c * log2(c) over the windows of a candidate, in millionths."""
-    sums = F.array(*[_long(v) for v in _SUMS])
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))  # noqa: E731  from 1
-    n = lambda counts, c: F.element_at(counts, c)
-    f = lambda v: F.element_at(sums, v + 1)
+    """The least sum of c * log2(c) over the windows of a candidate, in millionths. Its
+    characters are taken once, so that a step finds its own at once."""
+    return let(F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c)), _least_sum)
+
+
+def _least_sum(codes: Column) -> Column:
+    table = lambda of: F.array(*[F.lit(of(k)).cast("long") for k in range(len(ALPHABET))])
+    at = F.array(*[F.lit(k // _COUNTS) for k in range(len(ALPHABET))])
+    bits = F.array(*[F.lit(k % _COUNTS * _BITS) for k in range(len(ALPHABET))])
+    one = table(lambda k: 1 << k % _COUNTS * _BITS)
+    #: what one more of c of a kind adds to the sum
+    more = F.array(*[_long(b - a) for a, b in zip(_SUMS, _SUMS[1:])])
 
-    def put(counts, c, by):
-        return F.concat(F.slice(counts, F.lit(1), c - 1), F.array(n(counts, c) + by), F.slice(counts, c + 1, F.lit(len(ALPHABET))))
+    def count(a, c):
+        packed = F.get(a["counts"], F.element_at(at, c))
+        return F.call_function("shiftright", packed, F.element_at(bits, c)).bitwiseAND(_long((1 << _BITS) - 1)).cast("int")
 
     def step(a, i):
-        # one character in, and once the window is full, one out
-        new, old = code(i), code(F.greatest(i - WINDOW, F.lit(1)))
-        full = i > WINDOW
-        less = F.when(full, put(a["counts"], old, -1)).otherwise(a["counts"])
-        freed = a["sum"] - F.when(full, f(n(a["counts"], old)) - f(n(a["counts"], old) - 1)).otherwise(_long(0))
-        total = freed + f(n(less, new) + 1) - f(n(less, new))
+        # one character in, and once the window is full, one out; equal ones change nothing
+        new, old = F.element_at(codes, i), F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))
+        full, same = i > WINDOW, (i > WINDOW) & (new == old)
+        put = lambda w, k: w + F.when(F.element_at(at, new) == k, F.element_at(one, new)).otherwise(_long(0)) - F.when(full & (F.element_at(at, old) == k), F.element_at(one, old)).otherwise(_long(0))
+        gain = F.element_at(more, count(a, new) + 1) - F.when(full, F.element_at(more, F.greatest(count(a, old), F.lit(1)))).otherwise(_long(0))
         return F.struct(
-            put(less, new, 1).alias("counts"), total.alias("sum"),
-            F.when(i >= WINDOW, F.least(a["best"], total)).otherwise(a["best"]).alias("best"),
+            F.when(same, a["counts"]).otherwise(F.transform(a["counts"], put)).alias("counts"),
+            (a["sum"] + F.when(same, _long(0)).otherwise(gain)).alias("sum"),
+            F.when(full, F.least(a["best"], a["sum"])).otherwise(a["best"]).alias("best"),  # of the windows before
         )
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), _long(0).alias("sum"), _long(1 << 40).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"])
+    start = F.struct(F.array_repeat(_long(0), -(-len(ALPHABET) // _COUNTS)).alias("counts"), _long(0).alias("sum"), _long(1 << 40).alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step, lambda a: F.least(a["best"], a["sum"]))
 
 
 def _secret(s: Column) -> Column:
@@ -161,7 +177,9 @@ def _secret(s: Column) -> Column:
         .otherwise(_long(_MOST["mixed"]))
     )
     allowed = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern, never in _WITHOUT_GROUPS:
+        allowed = allowed | (s.rlike(pattern) & ~s.rlike(never))
+    for pattern in ALLOWED[2:]:
         allowed = allowed | s.rlike(pattern)
     return F.when((F.length(s) < WINDOW) | allowed, False).otherwise(_most_entropy(s) <= most)
 

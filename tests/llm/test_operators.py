@@ -5,6 +5,7 @@ import json
 import os
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -572,6 +573,7 @@ def test_workers_need_no_package():
     """With the repository on the driver's path only, op7 and op10 run."""
     code = f"""
 import sys
+import time
 sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
@@ -658,3 +660,16 @@ def test_base_positions_against_regex(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secrets.find_secrets(docs).select("row.doc_id", secrets._named("base").alias("spans")).collect()}
     assert got == wanted and json.dumps(got)
+
+
+def test_one_very_long_candidate(spark):
+    """A megabyte of base64, of words and of separators: time and stack go with the length."""
+    rng = np.random.default_rng(4)
+    key = "".join(rng.choice(list(secrets.ALPHABET[:64]), 1_000_000))
+    texts = [(1, key), (2, "Ab-" * 350_000), (3, "AB_" * 350_000), (4, "aB-" * 350_000), (5, "x " + "Ab-" * 20_000 + "9f3B7c1De04a8256Qz9K")]
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in secrets.scan_rows(documents(spark, texts)).collect()}
+    assert got[1] == f"entropy:0:{len(key)}" and got[2] == got[3] == got[4] == "" and got[5] == "entropy:2:60022"
+    clean = {r.doc_id: r.text for r in secrets.redact(documents(spark, texts)).collect()}
+    assert clean[1] == "[secret]" and clean[2] == texts[1][1] and clean[5] == "x [secret]"
+    assert time.perf_counter() - began < 40
