@@ -10,7 +10,8 @@ so a repeated run gives the same records. DataFrame functions do all the work; s
 records are written as text files whose line separator is the end of a record.
 
 Defined results: null html gives an empty block; null urls and ids count as empty strings
-in record ids and the URI header is left out; repeated rows give repeated records with
+in record ids and the URI header is left out; comments, elements and tags that are never
+closed stay as they are, and take no more time than others; repeated rows give repeated records with
 the same ids; an empty table gives no rows; other columns are ignored. Entities other
 than the named and numeric ones of ENTITIES stay as they are.
 """
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orograph.llm.common import let
+
 DATE = "2024-01-01T00:00:00Z"
 # Tags whose content isn't text, tags that break lines, entities.
 HIDDEN = ("script", "style", "noscript", "template", "svg")
@@ -40,12 +43,84 @@ LINK = r"(?i)<a\s[^>]*href\s*="
 _END = "\r\n"
 
 
+def _upto(text: Column, last: str) -> tuple[Column, Column]:
+    """A text up to its last ``last`` (all of it, if there is none: nothing), and the rest."""
+    rest = F.substring_index(text, last, -1)
+    found = F.char_length(text) - F.char_length(rest)
+    return F.substring(text, F.lit(1), found), rest
+
+
+def _without_comments(text: Column) -> Column:
+    def cut(t):
+        head, rest = _upto(t, "-->")
+        return F.concat(F.regexp_replace(head, F.lit(STEPS[0][0]), F.lit(STEPS[0][1])), rest)
+
+    return F.when(text.contains("<!--"), let(text, cut)).otherwise(text)
+
+
+def _without_hidden(text: Column, tag: str, pattern: str, to: str) -> Column:
+    """Elements of a tag taken out. An opening counts that is complete in front of the last
+    closing: up to the last > before that (head) each one has its closing, and what follows
+    it (tail) can only go with an element that the last closing ends."""
+
+    def cut(m):
+        before, close = m["before"], m["close"]
+        tail = F.substring_index(before, ">", -1)
+        head = F.substring(before, F.lit(1), F.char_length(before) - F.char_length(tail))
+
+        def put(x):
+            done, tail, close = x["done"], x["tail"], x["close"]
+            left = F.concat(F.substring(done, F.lit(1), F.char_length(done) - F.char_length(close)), tail, close)
+            return F.concat(F.when(F.endswith(done, close), left).otherwise(done), m["rest"])
+
+        return let(F.struct(F.regexp_replace(F.concat(head, close), F.lit(pattern), F.lit(to)).alias("done"), tail.alias("tail"), close.alias("close")), put)
+
+    last = rf"(?is)^(.*)(</{tag}\s*>)"
+    parts = lambda t: let(F.struct(F.regexp_extract(t, last, 1).alias("before"), F.regexp_extract(t, last, 2).alias("close"), t.alias("t")), lambda x: F.struct(x["before"].alias("before"), x["close"].alias("close"), F.substring(x["t"], F.char_length(x["before"]) + F.char_length(x["close"]) + 1, F.char_length(x["t"])).alias("rest")))
+    return F.when(text.rlike(rf"(?i)</{tag}\s*>"), let(text, lambda t: let(parts(t), cut))).otherwise(text)
+
+
+def _without_tags(text: Column, pattern: str, to: str) -> Column:
+    def cut(t):
+        head, rest = _upto(t, ">")
+        return F.concat(F.regexp_replace(head, F.lit(pattern), F.lit(to)), rest)
+
+    return let(text, cut)
+
+
 def plain_text(html: Column) -> Column:
-    """The text of a page, a line for each block."""
-    text = html
-    for pattern, to in STEPS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
-    return _tidy(text)
+    """The text of a page, a line for each block: what STEPS and SPACES say, in time that
+    goes with its length. An opening without a closing would be looked for to the end of the
+    page, so each step sees the part only in which all openings are closed."""
+    comments, *hidden, breaks, tags = STEPS
+    text = _without_comments(html)
+    common, rare = list(zip(HIDDEN, hidden))[:2], list(zip(HIDDEN, hidden))[2:]
+    for tag, (pattern, to) in common:
+        text = _without_hidden(text, tag, pattern, to)
+
+    def others(t):
+        out = t
+        for tag, (pattern, to) in rare:
+            out = _without_hidden(out, tag, pattern, to)
+        return F.when(t.rlike(f"(?i)</(?:{'|'.join(tag for tag, _ in rare)})"), out).otherwise(t)
+
+    return _tidy(_without_tags(_without_tags(let(text, others), *breaks), *tags))
+
+
+def title_of(html: Column) -> Column:
+    """What TITLE finds first; openings are looked at only in front of the last closing."""
+
+    def find(before):
+        head, _ = _upto(before, ">")
+        return F.when(head.rlike("(?i)<title[^>]*>"), F.regexp_extract(F.concat(before, F.lit("</title")), TITLE, 1)).otherwise("")
+
+    return F.when(html.rlike("(?i)</title"), let(F.regexp_extract(html, "(?is)^(.*)</title", 1), find)).otherwise("")
+
+
+def links_of(html: Column) -> Column:
+    """How often LINK matches: at most once between two >, from the first opening there to
+    the last href, so no opening is tried again."""
+    return F.size(F.filter(F.split(html, ">"), lambda s: s.contains("<") & s.rlike(r"(?is)^(?>.*?<a\s).*href\s*=")))
 
 
 def _tidy(text: Column) -> Column:
@@ -80,25 +155,30 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def split_responses(records: DataFrame) -> DataFrame:
-    """Response records of ``read_warc`` as ``derive`` takes them: a block is its HTTP head
-    up to the first empty line, and the payload (UTF-8). The digest is of the payload."""
+    """Whole response records of ``read_warc`` as ``derive`` takes them: a block is its HTTP
+    head up to the first empty line, and the payload (UTF-8). The digest is the source's own
+    where it has one, else of the payload. ``is_text``: the head names a kind of text (or
+    none), neither compressed nor in chunks; others have no conversion record."""
     block = F.col("block").cast("string")
     end = F.instr(block, F.lit(_END * 2))
     payload = F.when(end > 0, F.substring(block, end + 4, F.char_length(block))).otherwise("")
-    return records.where("record_type = 'response'").select(
+    head = F.when(end > 0, F.substring(block, F.lit(1), end - 1)).otherwise(block)
+    field = lambda name: F.lower(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1))
+    is_text = field("Content-Type").rlike("^$|^text/|html|xml|json") & field("Content-Encoding").rlike("^(identity)?$") & ~field("Transfer-Encoding").contains("chunked")
+    return records.where("record_type = 'response' and problem is null").select(
         F.lit(None).cast("long").alias("key"), "record_id", "target_uri", "warc_date",
-        F.when(end > 0, F.substring(block, F.lit(1), end - 1)).otherwise(block).alias("http_headers"), payload.alias("payload"), digest(payload).alias("payload_digest"),
+        head.alias("http_headers"), payload.alias("payload"), F.coalesce("payload_digest", digest(payload)).alias("payload_digest"), is_text.alias("is_text"),
     )
 
 
 def derive(source: DataFrame) -> DataFrame:
-    """Two records for each response: key, record_type, record_id, refers_to, linked_to,
+    """Two records for each response (one, where a column is_text says false): key, record_type, record_id, refers_to, linked_to,
     target_uri, warc_date, content_type, source_headers, source_digest, block,
     block_digest, content_length (octets)."""
     s = source.select(
         "*", urn(F.lit("metadata"), F.col("record_id")).alias("meta_id"), urn(F.lit("conversion"), F.col("record_id")).alias("text_id"),
-        F.regexp_replace(_tidy(F.regexp_extract("payload", TITLE, 1)), "\n", " ").alias("title"),
-        F.regexp_count("payload", F.lit(LINK)).alias("links"),
+        F.regexp_replace(_tidy(title_of(F.col("payload"))), "\n", " ").alias("title"),
+        links_of(F.col("payload")).alias("links"),
     )
     fields = F.concat(
         F.lit("sourcePayloadDigest: "), F.col("payload_digest"), F.lit(_END), F.lit("title: "), F.col("title"), F.lit(_END),
@@ -107,12 +187,16 @@ def derive(source: DataFrame) -> DataFrame:
     made = lambda kind, own, other, content, block: F.struct(
         F.lit(kind).alias("record_type"), F.col(own).alias("record_id"), F.col(other).alias("linked_to"), F.lit(content).alias("content_type"), block.alias("block")
     )
+    pair = F.array(
+        made("metadata", "meta_id", "text_id", "application/warc-fields", fields),
+        made("conversion", "text_id", "meta_id", "text/plain", plain_text(F.col("payload"))),
+    )
+    if "is_text" in source.columns:
+        alone = F.array(made("metadata", "meta_id", "meta_id", "application/warc-fields", fields).withField("linked_to", F.lit(None).cast("string")))
+        pair = F.when(F.col("is_text"), pair).otherwise(alone)
     both = s.select(
         "key", F.col("record_id").alias("refers_to"), "target_uri", "warc_date", F.col("http_headers").alias("source_headers"), F.col("payload_digest").alias("source_digest"),
-        F.explode(F.array(
-            made("metadata", "meta_id", "text_id", "application/warc-fields", fields),
-            made("conversion", "text_id", "meta_id", "text/plain", plain_text(F.col("payload"))),
-        )).alias("r"),
+        F.explode(pair).alias("r"),
     )
     return both.select(
         "key", "r.record_type", "r.record_id", "refers_to", "r.linked_to", "target_uri", "warc_date", "r.content_type",
@@ -148,34 +232,61 @@ def _inflated(data: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Columns of records and the headers they come from.
+_HEADERS = {
+    "record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "linked_to": "WARC-Concurrent-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date",
+    "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "source_digest": "WARC-Source-Payload-Digest",
+}
+READ = ", ".join(f"{c} string" for c in _HEADERS) + ", problem string, block binary"
+#: Bytes of blocks that leave a task in one batch.
+_BATCH = 32 << 20
+
+
+def _records(data: bytes):
+    """(headers by lower-case name, problem, block) of each record of a file. A record whose
+    head or length is damaged has no block; the next one is looked for behind its head."""
+    at = data.find(b"WARC/1.")
+    while at >= 0:
+        head_end = data.find(b"\r\n\r\n", at)
+        lines = data[at : head_end if head_end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
+        head = {name.strip().lower(): value.strip() for name, colon, value in (line.partition(":") for line in lines) if colon}
+        length = head.get("content-length", "")
+        begin = head_end + 4
+        end = begin + int(length) if length.isascii() and length.isdigit() else -1
+        if head_end < 0:
+            yield head, "cut off", None
+            return
+        if begin <= end <= len(data) and (end == len(data) or data[end : end + 2] == b"\r\n"):
+            yield head, None, data[begin:end]
+        else:
+            yield head, "cut off" if end > len(data) else "length", None
+            end = begin
+        at = data.find(b"WARC/1.", end)
+
+
 def _parsed(batches):
     for batch in batches:
         for data in batch.column("content").to_pylist():
-            rows, at = [], 0
-            if data[:2] == b"\x1f\x8b":
-                data = _inflated(data)
-            while (at := data.find(b"WARC/1.", at)) >= 0:
-                head_end = data.find(b"\r\n\r\n", at)
-                head = dict(line.split(": ", 1) for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-                size = int(head["Content-Length"]) if head.get("Content-Length", "").isdigit() else -1
-                if head_end < 0 or size < 0 or head_end + 4 + size > len(data):
-                    break  # the file is cut off here
-                block = data[head_end + 4 : head_end + 4 + size]
-                rows.append((head, block))
-                at = head_end + 4 + size
-            get = lambda n: pa.array([h.get(n) for h, _ in rows], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Concurrent-To"), get("WARC-Target-URI"), get("WARC-Date"), get("Content-Type"), get("WARC-Block-Digest"), get("WARC-Source-Payload-Digest"), pa.array([b for _, b in rows], pa.binary())],
-                READ.replace(" string", "").replace(" binary", "").split(", "),
-            )
-
-
-READ = "record_type string, record_id string, refers_to string, linked_to string, target_uri string, warc_date string, content_type string, block_digest string, source_digest string, block binary"
+            rows, size = [], 0
+            for row in _records(_inflated(data) if data[:2] == b"\x1f\x8b" else data):
+                rows.append(row)
+                size += len(row[2] or b"")
+                if size > _BATCH:
+                    yield _record_batch(rows)
+                    rows, size = [], 0
+            yield _record_batch(rows)
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    named = [pa.array([h.get(n.lower()) for h, _, _ in rows], pa.string()) for n in _HEADERS.values()]
+    return pa.RecordBatch.from_arrays([*named, pa.array([p for _, p, _ in rows], pa.string()), pa.array([b for *_, b in rows], pa.binary())], [*_HEADERS, "problem", "block"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files, gzipped (by record or whole) or not. A file is read by one
-    task; where it is cut off, the whole records before that are read."""
+    task. ``problem`` is null for whole records; a damaged one ('cut off' by the end of the
+    file, or of a wrong 'length') is a row without a block, so that it can be counted, and
+    the records behind it are read."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, READ)
 
 

@@ -429,7 +429,46 @@ def test_warc_files_cut_off_and_gzipped(spark, tmp_path):
     (tmp_path / "in" / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (one, one)) + gzip.compress(one)[:40])
     (tmp_path / "in" / "c.warc").write_bytes(b"")
     (tmp_path / "in" / "d.warc").write_bytes(b"WARC/1.1\r\nContent-Le")
-    assert warc.read_warc(spark, str(tmp_path / "in")).count() == 1 + 4
+    read = warc.read_warc(spark, str(tmp_path / "in"))
+    assert read.where("problem is null").count() == 1 + 4
+    assert read.where("problem = 'cut off'").count() == 2 and read.where("problem is not null and block is not null").count() == 0
+
+
+def test_damaged_records_and_headers_in_any_case(spark, tmp_path):
+    """A wrong length costs its record only; digests of the source stay; what isn't text has
+    no conversion."""
+    record = lambda i, length, block, more=b"": b"WARC/1.1\r\nwarc-type: response\r\nWARC-record-ID:<urn:%d>\r\n%sCONTENT-LENGTH: %s\r\n\r\n%s\r\n\r\n" % (i, more, length, block)
+    ok = lambda kind: b"HTTP/1.1 200 OK\r\ncontent-type: %s\r\n\r\n<p>x</p>" % kind
+    texts = [ok(b"text/html; charset=utf-8"), ok(b"image/png"), ok(b"text/html\r\ncontent-encoding: gzip"), ok(b"TEXT/plain\r\nTransfer-Encoding: chunked"), b"HTTP/1.1 200 OK\r\n\r\ny"]
+    rows = [record(i, b"%d" % len(t), t, b"warc-payload-digest: sha1:ABC\r\n") for i, t in enumerate(texts)]
+    rows.insert(2, record(90, b"3", texts[0])), rows.insert(1, record(91, b"x1", texts[0])), rows.insert(0, record(92, b"", texts[0]))
+    (tmp_path / "r.warc").write_bytes(b"".join(rows) + record(93, b"999", b"tail"))
+    read = warc.read_warc(spark, str(tmp_path / "r.warc"))
+    assert sorted((r.record_id, r.problem) for r in read.where("problem is not null").collect()) == [("<urn:90>", "length"), ("<urn:91>", "length"), ("<urn:92>", "length"), ("<urn:93>", "cut off")]
+    made = warc.derive(warc.split_responses(read)).collect()
+    assert sorted((r.refers_to, r.record_type) for r in made) == sorted([(f"<urn:{i}>", "metadata") for i in range(5)] + [("<urn:0>", "conversion"), ("<urn:4>", "conversion")])
+    assert all(r.source_digest == "sha1:ABC" and (r.linked_to is None) == (r.refers_to in ("<urn:1>", "<urn:2>", "<urn:3>")) for r in made)
+
+
+@pytest.mark.parametrize("part", ["<!--", "<script>", "<script ", "<p ", "<a ", "<title>", "<title ", "<x <p>"])
+def test_unclosed_pages_take_linear_time(spark, part):
+    pages = spark.createDataFrame([(i, "u", part * (1_000_000 // len(part)) + end, "b") for i, end in enumerate(["", "</script>", "-->", ">", "</title>"])], "page_id long, url string, html string, block string")
+    began = time.perf_counter()
+    assert warc.derivative_rows(pages).count() == 10
+    assert warc.derivative_rows(pages).agg(F.sum("content_length")).first()[0] > 0
+    assert time.perf_counter() - began < 60
+
+
+def test_guarded_steps_are_the_plain_ones(spark):
+    """On pages put together from openings and closings at random."""
+    rng = np.random.default_rng(6)
+    parts = ["<!--", "-->", "<script>", "<script x", "</script>", "</SCRIPT >", "<style>", "</style>", "<svg ", "</svg>", "<noscript>", "</noscript>", ">", "<p ", "<p>", "</p>", " a ", "<", "&amp;", "<title>", "</title>", "<title x", "<a href=", "<a ", "href = 'x'", "<template>", "</template\n>"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts, rng.integers(0, 40))),) for _ in range(3000)], "h string")
+    h, plain = F.col("h"), F.col("h")
+    for pattern, to in warc.STEPS:
+        plain = F.regexp_replace(plain, F.lit(pattern), F.lit(to))
+    same = (warc.plain_text(h) == warc._tidy(plain)) & (warc.title_of(h) == F.regexp_extract(h, warc.TITLE, 1)) & (warc.links_of(h) == F.regexp_count(h, F.lit(warc.LINK)))
+    assert rows.where(~same).count() == 0
 
 
 def test_responses_of_files(spark, tmp_path):
