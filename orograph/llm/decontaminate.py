@@ -99,7 +99,7 @@ def _blocks(raw: list[bytes], overlap: int):
             w = X.Words([tail + piece.lower()], word_table())
             yield i, base, w
             step = max(0, len(w.start) - overlap)
-            tail = w.buf[w.start[step] :] if len(w.start) else b""
+            tail = w.buf[w.start[step] :] if step < len(w.start) else b""
             base += step
 
 

@@ -11,7 +11,7 @@ that a task pads one sequence at most.
 
 Ids come from a tokenizer file (``Tokenizer.from_file``), special tokens not added, and
 an end id. Tokens never cross ASCII white space, so ids are looked up by white-space
-separated chunk in a bounded cache; new chunks are merged by tiktoken with the same
+separated chunk in a cache of bounded bytes; new chunks are merged by tiktoken with the same
 vocabulary where ``ranks_of`` shows that this gives the same ids, else by the tokenizer.
 
 Defined results: null and empty texts have the end id only; repeated rows and null ids
@@ -40,8 +40,11 @@ END_ID = 1
 OPEN = 256
 #: Bytes of text that are turned into ids at once.
 PART = 1 << 19
-#: Entries of a worker's cache of chunks; emptied when full.
-CACHE = 1_500_000
+#: Bytes of a worker's cache of chunks, as the interpreter counts them; emptied when full.
+#: Chunks of more than KEEP bytes aren't kept beyond the texts that have them.
+CACHE, KEEP = 128 << 20, 64
+#: What an entry takes beside its bytes: two headers and its place in the table.
+ENTRY = 170
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -104,14 +107,16 @@ class Ids:
         self.slow = Tokenizer.from_file(path).encode_batch_fast
         self.fast = None
         self.chunks: dict[bytes, bytes] = {}
+        self.held = 0
         if ranks:
             import tiktoken
 
             self.fast = tiktoken.Encoding("words", pat_str=r"[^\n]+\n|\n", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
             self.feed = ranks[b"\n"]
 
-    def learn(self, new: list[bytes]) -> None:
-        known, rest = self.chunks, new
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks."""
+        known, rest = {}, new
         if self.fast:
             lines = b"\n".join(new).decode("utf-8", "replace")
             rest = [x.encode() for x in ODD.findall(lines)]
@@ -129,11 +134,13 @@ class Ids:
         if rest:
             for w, e in zip(rest, self.slow([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
                 known[w] = array.array("I", e.ids).tobytes()
+        return known
 
     def of(self, raw: list[bytes]) -> list[bytes]:
         known, join = self.chunks, b"".join
-        if len(known) > CACHE:
+        if self.held > CACHE:
             known.clear()
+            self.held = 0
         get = known.get
         out, left = [], []
         for i, t in enumerate(raw):
@@ -144,10 +151,16 @@ class Ids:
                 out.append(b"")
                 left.append((i, words))
         new = list({w for _, words in left for w in words if w not in known})
-        for i in range(0, len(new), 50_000):
-            self.learn(new[i : i + 50_000])
+        long: dict[bytes, bytes] = {}  # texts come in parts of bounded size, so these are bounded, too
+        for i, j in spans([len(w) for w in new], PART):
+            for w, ids in self.learn(new[i:j]).items():
+                if len(w) > KEEP:
+                    long[w] = ids
+                else:
+                    known[w] = ids
+                    self.held += ENTRY + len(w) + len(ids)
         for i, words in left:
-            out[i] = join(map(get, words))
+            out[i] = join(long[w] if len(w) > KEEP else known[w] for w in words) if long else join(map(get, words))
         return out
 
 

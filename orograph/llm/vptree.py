@@ -55,6 +55,8 @@ CELLS = 4_096
 LEAF = 128
 #: Queries that a task searches at once, and most that one task gets of a shard.
 BLOCK, SLICE = 512, 65_536
+#: Bytes of vectors that a shard, all pivots, and a step's distances to cells may take.
+SHARD_BYTES, PIVOT_BYTES, STEP_BYTES = 64 << 20, 64 << 20, 32 << 20
 FOUND = "query array<double>, hits array<struct<vec_id: long, score: double>>"
 DEALT = "size int, cell int, d double, v array<double>"
 
@@ -183,69 +185,64 @@ def _deal(pivots: dict[int, np.ndarray], batches):
 
 
 def _far(held, factor: float, batches):
-    """The other cells that each query (size, cell, v, bound) must see."""
+    """The other cells that each query (size, cell, v, bound) must see, a few queries at a
+    time: where little can be skipped, pairs are many."""
     for batch in batches:
-        queries, cells = [], []
         size, own, bound = (np.asarray(batch.column(c)) for c in ("size", "cell", "bound"))
         for n in set(size.tolist()) & set(held.value):
             pivots, nearest, farthest = held.value[n]
-            rows = np.flatnonzero(size == n)
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
+            rows, step = np.flatnonzero(size == n), max(1, STEP_BYTES // (8 * len(pivots)))
+            for i in range(0, len(rows), step):
+                part = rows[i : i + step]
                 d = distances(unit(_matrix(batch.column("v").take(pa.array(part)))), pivots)
                 go = np.maximum(nearest - d, d - farthest) <= factor * bound[part, None] + SLACK
                 go[np.arange(len(part)), own[part]] = False
                 q, c = np.nonzero(go)
-                queries.append(part[q]), cells.append(c)
-        q, c = np.concatenate([*queries, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*cells, np.zeros(0, np.int64)])
-        for i in range(0, len(q), 10_000):
-            at = pa.array(q[i : i + 10_000])
-            yield pa.RecordBatch.from_arrays([batch.column("size").take(at), pa.array(c[i : i + 10_000].astype(np.int32)), batch.column("v").take(at)], ["size", "cell", "v"])
+                some = max(1, STEP_BYTES // (8 * n))
+                for j in range(0, len(q), some):
+                    at = pa.array(part[q[j : j + some]])
+                    yield pa.RecordBatch.from_arrays([batch.column("size").take(at), pa.array(c[j : j + some].astype(np.int32)), batch.column("v").take(at)], ["size", "cell", "v"])
 
 
-def _answers(tree: Tree, points: np.ndarray, ids: list[list[int]], asked: list[list[float]], most: int, factor: float) -> pa.RecordBatch:
-    weight = np.array([len(i) for i in ids])
-    owner, every = np.repeat(np.arange(len(ids)), weight), np.array([i for own in ids for i in own], np.int64)
-    ends = np.cumsum(weight)
+def _answers(tree: Tree, points: np.ndarray, weight: np.ndarray, every: np.ndarray, asked: np.ndarray, most: int, factor: float) -> pa.RecordBatch:
+    """FOUND of some queries; ``weight``: ids of each point, ``every``: all of them in order."""
+    owner, ends = np.repeat(np.arange(len(weight)), weight), np.cumsum(weight)
     out = []
-    vectors = np.array(asked, float)
-    for q, (_, at) in enumerate(tree.search(unit(vectors), weight, most, factor)):
-        score = cosine(points[at], np.broadcast_to(vectors[q], points[at].shape))
+    for q, (_, at) in enumerate(tree.search(unit(asked), weight, most, factor)):
+        score = cosine(points[at], np.broadcast_to(asked[q], points[at].shape))
         rows = np.concatenate([np.arange(ends[p] - weight[p], ends[p]) for p in at.tolist()])
         of = dict(zip(at.tolist(), score.tolist()))
         s = np.array([of[p] for p in owner[rows].tolist()])
         first = np.lexsort((every[rows], -s))[:most]
         out.append([{"vec_id": i, "score": x} for i, x in zip(every[rows[first]].tolist(), s[first].tolist())])
     kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
-    return pa.RecordBatch.from_arrays([pa.array(asked, pa.list_(pa.float64())), pa.array(out, kind)], ["query", "hits"])
+    query = pa.ListArray.from_arrays(pa.array(np.arange(len(asked) + 1, dtype=np.int32) * asked.shape[1]), pa.array(asked.ravel()))
+    return pa.RecordBatch.from_arrays([query, pa.array(out, kind)], ["query", "hits"])
 
 
 def _stream(most: int, factor: float, batches):
-    """Rows come by shard, a shard's vectors (with ids) before its queries (without)."""
-    now, vectors, ids, asked, tree, points = None, [], [], [], None, None
-
-    def answer():
-        nonlocal tree, points
-        if asked and vectors:
-            if tree is None:
-                points = np.array(vectors, float)
-                tree = Tree(unit(points))
-            yield _answers(tree, points, ids, asked, most, factor)
-        asked.clear()
-
+    """Rows come by shard, a shard's vectors (with ids) before its queries (without). Only
+    a shard's vectors are held, as numbers."""
+    now, held, ids, shard = None, [], [], None
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("size", "cell", "part", "slice"))))
-        for key, v, own in zip(keys, batch.column("v").to_pylist(), batch.column("ids").to_pylist()):
-            if key != now:
-                yield from answer()
-                now, vectors, ids, tree = key, [], [], None
-            if own is None:
-                asked.append(v)
-                if len(asked) == BLOCK:
-                    yield from answer()
-            else:
-                vectors.append(v), ids.append(own)
-    yield from answer()
+        keys = np.stack([np.asarray(batch.column(c)) for c in ("size", "cell", "part", "slice")], 1)
+        asking = np.asarray(batch.column("ids").is_null())
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1) | (asking[1:] != asking[:-1])))[: len(keys)])
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(keys)]):
+            if tuple(keys[i]) != now:
+                now, held, ids, shard = tuple(keys[i]), [], [], None
+            if not asking[i]:
+                held.append(_matrix(batch.column("v").slice(i, j - i)))
+                ids.append(batch.column("ids").slice(i, j - i))
+                continue
+            if not held:
+                continue
+            if shard is None:
+                points, every = np.concatenate(held), pa.chunked_array(ids)
+                held = [points]
+                shard = Tree(unit(points)), points, np.concatenate([np.asarray(x.value_lengths()) for x in ids]), np.asarray(every.combine_chunks().flatten())
+            for k in range(i, j, BLOCK):
+                yield _answers(*shard, _matrix(batch.column("v").slice(k, min(BLOCK, j - k))), most, factor)
 
 
 def _searched(candidates: DataFrame, parts: DataFrame, routed: DataFrame, most: int, factor: float) -> DataFrame:
@@ -278,14 +275,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     # pivots for the sizes of over a shard of vectors: cells at most for all of them
     total = distinct.count()
     sizes = distinct.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") > shard)
-    share = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / shard), F.floor(F.col("n") * cells / total)))
+    share = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / shard), F.floor(F.col("n") * F.least(F.lit(cells), PIVOT_BYTES / (8 * F.col("size"))) / total)))
     ranked = distinct.join(F.broadcast(sizes.select("size", share.alias("share"))), "size").withColumn("rank", F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("v"), "v")))
     chosen: dict[int, list] = {}
     for r in ranked.where((F.col("rank") <= cells) & (F.col("rank") <= F.col("share"))).select("size", "v").collect():
         chosen.setdefault(r["size"], []).append(r.v)
     pivots = {n: unit(np.array(v, float)) for n, v in chosen.items()}
     candidates = cut(distinct.select("v", "ids").mapInArrow(partial(_deal, pivots), DEALT + ", ids array<long>"))
-    stats = cut(candidates.groupBy("size", "cell").agg(F.min("d").alias("nearest"), F.max("d").alias("farthest"), F.ceil(F.count("*") / shard).cast("int").alias("parts")))
+    stats = cut(candidates.groupBy("size", "cell").agg(F.min("d").alias("nearest"), F.max("d").alias("farthest"), F.ceil(F.count("*") / F.least(F.lit(shard), F.greatest(F.lit(1), F.floor(SHARD_BYTES / (8 * F.col("size")))))).cast("int").alias("parts")))
     parts = stats.select("size", "cell", "parts")
     routed = cut(asking.select("v").distinct().mapInArrow(partial(_deal, pivots), DEALT).select("size", "cell", "v"))
     found = _searched(candidates, parts, routed, most, factor)

@@ -6,10 +6,13 @@ import os
 import subprocess
 import sys
 import time
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -105,6 +108,25 @@ def test_fast_ids_are_the_tokenizers(spark):
         assert all(np.array(w.ids, "<u4").tobytes() == g for w, g in zip(want, got))
 
 
+def test_the_cache_is_bounded_by_bytes(monkeypatch):
+    """Long chunks aren't kept, short ones until they take so much."""
+    monkeypatch.setattr(packing, "CACHE", 1 << 20)
+    rng = np.random.default_rng(8)
+    ids = packing.Ids(TOKENIZER, packing.ranks_of(TOKENIZER))
+    most = 0
+    tracemalloc.start()
+    for _ in range(25):
+        long = ["".join(rng.choice(list("abcdefgh日本"), 4000)) for _ in range(20)]
+        text = " ".join([*long, *(f"w{k}" for k in rng.integers(0, 1 << 30, 500)), long[0]])
+        got = ids.of([text.encode()])[0]
+        most = max(most, sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in ids.chunks.items()))
+        assert all(len(k) <= packing.KEEP for k in ids.chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+    assert np.array(want, "<u4").tobytes() == got and most < 2 << 20 and peak < 64 << 20
+
+
 def test_long_texts_part_by_part(monkeypatch):
     rng = np.random.default_rng(9)
     texts = [" ".join(rng.choice(["Don't", "stop-", "x" * 50, "é\u0130", "日本"], n)).encode() for n in (0, 1, 2, 3, 4, 300)]
@@ -328,7 +350,7 @@ def test_neighbours_of_parallel_and_extreme_vectors(spark):
         want = brute_neighbours(rows, 5, 50)
         assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in got.items()} == want
     tree = vptree.Tree(vptree.unit(np.array([v for _, v in rows[:300]])))
-    found = vptree._answers(tree, np.array([v for _, v in rows[:300]]), [[i] for i in range(300)], [rows[0][1]] * 3, 6, 1.0)
+    found = vptree._answers(tree, np.array([v for _, v in rows[:300]]), np.ones(300, int), np.arange(300), np.array([rows[0][1]] * 3), 6, 1.0)
     assert [len(h) for h in found.column("hits").to_pylist()] == [6, 6, 6]
 
 
@@ -350,6 +372,32 @@ def test_cells_far_from_a_query_are_skipped(spark):
     assert seen[0] == 40 and seen[1] < 40 * 19 / 3
 
 
+def test_pairs_of_queries_and_cells_leave_in_steps():
+    """10,000 queries that must see all of 4,096 cells: 41 million pairs, never all at once."""
+    rng = np.random.default_rng(14)
+    pivots = vptree.unit(rng.normal(size=(4096, 4)))
+    held = SimpleNamespace(value={4: (pivots, np.zeros(4096), np.full(4096, 2.0))})
+    n = 10_000
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=4 * n)), 4).cast(pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 4, np.int32)), pa.array(np.zeros(n, np.int32)), vectors, pa.array(np.full(n, np.inf))], ["size", "cell", "v", "bound"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in vptree._far(held, 1.0, [batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n * 4095 and peak < 400 << 20
+
+
+def test_shards_and_pivots_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_BYTES", 40 * 8 * 64)
+    monkeypatch.setattr(vptree, "PIVOT_BYTES", 3 * 8 * 64)
+    rng = np.random.default_rng(15)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vptree.nearest(df, df.where("vec_id % 50 = 0"), shard=100)
+    want = brute_neighbours(rows, 5, 50)
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got.collect()} == {(q, n + 1): i for q, v in want.items() for n, (i, _) in enumerate(v)}
+
+
 def test_relaxed_search_still_finds_most():
     rng = np.random.default_rng(5)
     points = vptree.unit(rng.normal(size=(3000, 6)))
@@ -386,6 +434,14 @@ def test_decontamination_of_long_texts_and_colliding_hashes(spark, monkeypatch):
     assert {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.judge(several).select("row.doc_id", "n_hit", "n_items").collect()} == {(i, w.n_hit, w.n_items) for i, w in want.items()}
 
 
+@pytest.mark.parametrize("window", [1, 2])
+def test_short_windows_and_long_texts(spark, monkeypatch, window):
+    monkeypatch.setattr(decontaminate, "BLOCK", 50)
+    docs = documents(spark, [(1, "a b c d e f g h " * 40), (2, "x y " * 30), (3, "a")])
+    rows = {r.doc_id: r for r in decontaminate.judge(decontaminate.find_hits(docs, spark.createDataFrame([(1, "c d")], "item_id long, text string"), window)).select("row.doc_id", "n_words", "n_hit").collect()}
+    assert [(rows[i].n_words, rows[i].n_hit) for i in (1, 2, 3)] == [(320, 80), (60, 0), (1, 0)]
+
+
 def test_decontamination_edges(spark):
     item = " ".join(f"w{i}" for i in range(15))
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "..."), (4, "short one"), (None, "a b c")], "item_id long, text string")
