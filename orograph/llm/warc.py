@@ -55,7 +55,7 @@ def _without_comments(text: Column) -> Column:
         head, rest = _upto(t, "-->")
         return F.concat(F.regexp_replace(head, F.lit(STEPS[0][0]), F.lit(STEPS[0][1])), rest)
 
-    return F.when(text.contains("<!--"), let(text, cut)).otherwise(text)
+    return let(text, cut)
 
 
 def _without_hidden(text: Column, tag: str, pattern: str, to: str) -> Column:
@@ -77,50 +77,67 @@ def _without_hidden(text: Column, tag: str, pattern: str, to: str) -> Column:
 
     last = rf"(?is)^(.*)(</{tag}\s*>)"
     parts = lambda t: let(F.struct(F.regexp_extract(t, last, 1).alias("before"), F.regexp_extract(t, last, 2).alias("close"), t.alias("t")), lambda x: F.struct(x["before"].alias("before"), x["close"].alias("close"), F.substring(x["t"], F.char_length(x["before"]) + F.char_length(x["close"]) + 1, F.char_length(x["t"])).alias("rest")))
-    return F.when(text.rlike(rf"(?i)</{tag}\s*>"), let(text, lambda t: let(parts(t), cut))).otherwise(text)
+    return let(text, lambda t: F.when(t.rlike(rf"(?i)</{tag}\s*>"), let(parts(t), cut)).otherwise(t))
 
 
 def _without_tags(text: Column, pattern: str, to: str) -> Column:
+    """Tags taken out. Those behind the last > are never closed."""
+    whole = lambda t: F.regexp_replace(t, F.lit(pattern), F.lit(to))
+
     def cut(t):
         head, rest = _upto(t, ">")
-        return F.concat(F.regexp_replace(head, F.lit(pattern), F.lit(to)), rest)
+        return F.concat(whole(head), rest)
+
+    return let(text, lambda t: F.when(F.octet_length(F.substring_index(t, ">", -1)) <= _SHORT, whole(t)).otherwise(cut(t)))
 
-    return let(text, cut)
+
+#: Openings that a step may look for a closing of in vain, from which on it is kept from it,
+#: and bytes behind the last > likewise. So many cost no more than so many times the page.
+_FEW, _SHORT = 64, 2048
+_OPENINGS = rf"(?i)<(?:!--|title|{'|'.join(HIDDEN)})"
+
+
+def _hostile(html: Column) -> Column:
+    return F.regexp_count(html, F.lit(_OPENINGS)) > _FEW
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page, a line for each block: what STEPS and SPACES say, in time that
     goes with its length. An opening without a closing would be looked for to the end of the
-    page, so each step sees the part only in which all openings are closed."""
+    page, so where openings are many, each step sees the part only in which all are closed."""
     comments, *hidden, breaks, tags = STEPS
-    text = _without_comments(html)
-    common, rare = list(zip(HIDDEN, hidden))[:2], list(zip(HIDDEN, hidden))[2:]
-    for tag, (pattern, to) in common:
-        text = _without_hidden(text, tag, pattern, to)
 
-    def others(t):
-        out = t
-        for tag, (pattern, to) in rare:
-            out = _without_hidden(out, tag, pattern, to)
-        return F.when(t.rlike(f"(?i)</(?:{'|'.join(tag for tag, _ in rare)})"), out).otherwise(t)
+    def usual(t):
+        for pattern, to in (comments, *hidden):
+            t = F.regexp_replace(t, F.lit(pattern), F.lit(to))
+        return t
+
+    def guarded(t):
+        t = _without_comments(t)
+        for tag, (pattern, to) in zip(HIDDEN, hidden):
+            t = _without_hidden(t, tag, pattern, to)
+        return t
 
-    return _tidy(_without_tags(_without_tags(let(text, others), *breaks), *tags))
+    shown = let(html, lambda t: F.when(_hostile(t), guarded(t)).otherwise(usual(t)))
+    return _tidy(_without_tags(_without_tags(shown, *breaks), *tags))
 
 
 def title_of(html: Column) -> Column:
-    """What TITLE finds first; openings are looked at only in front of the last closing."""
+    """What TITLE finds first; of many openings, only those in front of the last closing are
+    looked at."""
 
     def find(before):
         head, _ = _upto(before, ">")
         return F.when(head.rlike("(?i)<title[^>]*>"), F.regexp_extract(F.concat(before, F.lit("</title")), TITLE, 1)).otherwise("")
 
-    return F.when(html.rlike("(?i)</title"), let(F.regexp_extract(html, "(?is)^(.*)</title", 1), find)).otherwise("")
+    guarded = F.when(html.rlike("(?i)</title"), let(F.regexp_extract(html, "(?is)^(.*)</title", 1), find)).otherwise("")
+    return F.when(_hostile(html), guarded).otherwise(F.regexp_extract(html, TITLE, 1))
 
 
 def links_of(html: Column) -> Column:
-    """How often LINK matches: at most once between two >, from the first opening there to
-    the last href, so no opening is tried again."""
-    return F.size(F.filter(F.split(html, ">"), lambda s: s.contains("<") & s.rlike(r"(?is)^(?>.*?<a\s).*href\s*=")))
+    """How often LINK matches: once at most from an opening to the next >, so all between
+    them is taken at once."""
+    return F.size(F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*"), F.lit(0)), lambda s: s.rlike(r"(?i)href\s*=")))
 
 
 def _tidy(text: Column) -> Column:
