@@ -1,5 +1,6 @@
 """Operators that are sequential by nature, re-aimed so that no task gets a whole raster:
-stream order by rounds of joins, closed contours by pairing border ends, and flow lines
+stream order by rounds of joins, closed contours by pairing border ends (``lines`` chains
+them), and flow lines
 and erosion over tiles with a margin as wide as a path is long.
 """
 
@@ -73,15 +74,16 @@ def stream_order(edges: DataFrame) -> DataFrame:
 def close_rings(crossings: DataFrame, rows: int, cols: int) -> DataFrame:
     """Contour crossings and, for each level, walks along the raster's border from one
     open end to the next, clockwise from the top left, in pairs. A level whose open ends
-    on the border are fewer than two or of odd number gets none. Open ends are points
-    where one crossing ends; a level has no more of them than the border has edges."""
+    on the border are fewer than two or of odd number gets none. Crossings that end at the
+    same point go on in pairs, so open ends are points where an odd number of them end; a
+    level has no more of them than the border has edges."""
     eps = 1e-9
     ends = crossings.select("i", "elev", F.explode(F.array(F.struct(F.col("c0").alias("c"), F.col("r0").alias("r")), F.struct(F.col("c1").alias("c"), F.col("r1").alias("r")))).alias("p"))
     w, h = float(cols - 1), float(rows - 1)
     c, r = F.col("p.c"), F.col("p.r")
     place = F.when(r <= eps, c / w).when(c >= w - eps, 1 + r / h).when(r >= h - eps, 2 + (1 - c / w)).otherwise(3 + (1 - r / h))
     border = (c <= eps) | (r <= eps) | (c >= w - eps) | (r >= h - eps)
-    open_ = ends.groupBy("i", "elev", "p").agg(F.count("*").alias("n")).where((F.col("n") == 1) & border).withColumn("pos", place)
+    open_ = ends.groupBy("i", "elev", "p").agg(F.count("*").alias("n")).where((F.col("n") % 2 == 1) & border).withColumn("pos", place)
     level = Window.partitionBy("i").orderBy("pos", "p")
     ranked = open_.withColumns({"k": F.row_number().over(level), "all": F.count("*").over(Window.partitionBy("i")), "q": F.lead(F.struct("p", "pos")).over(level)})
     pairs = ranked.where((F.col("all") % 2 == 0) & (F.col("k") % 2 == 1))

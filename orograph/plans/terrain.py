@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions.color import GRADIENTS
 from orograph.functions.numeric import micro, uniform, value_noise
-from orograph.operators import grid, mesh, modes, points, sequential, shade, view
+from orograph.operators import grid, lines, mesh, modes, points, sequential, shade, view
 from orograph.plans import duck as D
 from orograph.plans.catalog import query
 from orograph.sources.rasters import RASTERS, is_nodata
@@ -272,6 +272,46 @@ def m5c(spark, sf_dir):
     return ends_of(modes.contours(terrain(spark, sf_dir, "P"), interval=8, close=True), "i", "layer")
 
 
+def _polyline_sql(contours: str) -> str:
+    """Crossings chained one after the other: from open ends, and around from each crossing
+    as long as no smaller number comes, so that rings are those that come back."""
+    return f"""WITH RECURSIVE {contours},
+num AS MATERIALIZED (SELECT i, (CAST(r AS BIGINT) * cols + c) * 2 + part AS id, a, b FROM seg, m),
+tip AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY i, p.c, p.r ORDER BY id, e) AS k FROM (SELECT i, id, 0 AS e, a AS p FROM num UNION ALL SELECT i, id, 1, b FROM num)),
+nxt AS MATERIALIZED (SELECT x.i, x.id, x.e, y.id AS id2, 1 - y.e AS e2 FROM tip x JOIN tip y ON x.i = y.i AND x.p.c = y.p.c AND x.p.r = y.p.r AND y.k = CASE WHEN x.k % 2 = 1 THEN x.k + 1 ELSE x.k - 1 END),
+loose AS (SELECT i, id, 1 - e AS e FROM tip ANTI JOIN nxt USING (i, id, e)),
+walk AS (SELECT i, id AS s, e AS se, id, e, 0 AS pos FROM loose UNION ALL SELECT w.i, s, se, id2, e2, pos + 1 FROM walk w JOIN nxt n ON n.i = w.i AND n.id = w.id AND n.e = w.e),
+far AS (SELECT i, s, se, max(pos) AS last_, arg_max(id, pos) AS z FROM walk GROUP BY i, s, se),
+lines AS MATERIALIZED (SELECT i, s AS line, id, e, pos, false AS closed FROM walk JOIN far USING (i, s, se) WHERE s < z OR (s = z AND se = 1)),
+turn AS (SELECT i, id AS s, id, e, 0 AS pos FROM (SELECT i, id, 1 AS e FROM num) ANTI JOIN lines USING (i, id)
+  UNION ALL SELECT w.i, s, id2, e2, pos + 1 FROM turn w JOIN nxt n ON n.i = w.i AND n.id = w.id AND n.e = w.e WHERE id2 > s),
+back AS (SELECT w.i, w.s FROM turn w JOIN nxt n ON n.i = w.i AND n.id = w.id AND n.e = w.e WHERE n.id2 = w.s AND n.e2 = 1),
+every_ AS (SELECT * FROM lines UNION ALL SELECT i, s, id, e, pos, true FROM turn SEMI JOIN back USING (i, s))
+SELECT CAST(i AS INTEGER) AS i, line, CAST(pos AS BIGINT) AS "at", closed, id AS crossing, {D.r6('CASE e WHEN 1 THEN a.c ELSE b.c END')} AS c0, {D.r6('CASE e WHEN 1 THEN a.r ELSE b.r END')} AS r0,
+  {D.r6('CASE e WHEN 1 THEN b.c ELSE a.c END')} AS c1, {D.r6('CASE e WHEN 1 THEN b.r ELSE a.r END')} AS r1 FROM every_ JOIN num USING (i, id)"""
+
+
+def _polylines(t: grid.Terrain, interval: float) -> DataFrame:
+    chained = lines.polylines(modes.contour_crossings(t, interval=interval), t.meta.rows, t.meta.cols)
+    number = (F.col("r").cast("long") * t.meta.cols + F.col("c")) * 2 + F.col("part")
+    return tidy(chained.select("i", "line", "at", "closed", number.alias("crossing"), "c0", "r0", "c1", "r1"))
+
+
+for _n, _i in (("E", 8), ("N", 4), ("P", 4)):
+
+    @query(f"M5c_polylines_{_n}", _polyline_sql(contour_sql(_n, _i)))
+    def m5c_lines(spark, sf_dir, name=_n, interval=_i):
+        return _polylines(terrain(spark, sf_dir, name), interval)
+
+
+@query("M5c_polylines_steps", _polyline_sql(contour_sql("P", 6.25).replace(D.pixels("P"), D.pixels("P").replace("px AS (", "px AS (SELECT r, c, floor(raw * 16 + 0.5) / 16 AS raw, valid FROM (") + ")")))
+def m5c_steps(spark, sf_dir):
+    """Heights in sixteenths: every level passes through places of the grid."""
+    r = raster(spark, sf_dir, "P")
+    stepped = r.pixels.withColumn("raw", F.floor(F.col("raw") * 16 + 0.5) / 16)
+    return _polylines(grid.build_terrain(stepped, r.width, r.height), 6.25)
+
+
 def _around(*names: str) -> str:
     place = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
     return " ".join(f"LEFT JOIN {{t}} {k} ON {k}.r = a.r + {place[k][0]} AND {k}.c = a.c + {place[k][1]}" for k in names)
