@@ -10,9 +10,11 @@ as one text, where ranges of leading bytes would need each suffix with 200 bytes
 own. Suffixes whose anchor occurs once can't equal another and are left out before any
 text is shipped. Within a task all suffixes of a chunk of anchors are sorted in one go:
 the first key is the anchor and the distance to it, then come digits of 8 bytes, the
-leading ones first, compared as they are. A suffix that is alone in its group leaves at
-once. Equal segments are sorted as one, which counts for two: it is repeated even where it
-is alone. What the groups say of a segment's text goes to each place that has it.
+leading ones first; groups with different digits are dealt into buckets by 16 bits at a
+time. A suffix that is alone in its group leaves. Equal segments travel and are sorted as
+one, whose suffixes weigh two. Only after the last digit is it known which groups weigh
+two or more, and their suffixes, and no others, are repeated. What the groups say of a
+segment's text goes to each place that has it.
 
 Defined results: null and empty texts have no bytes; a text shorter than the threshold
 keeps all; rows that repeat an id and its text count as one document (each row is
@@ -50,16 +52,27 @@ def _digits(data: bytes) -> np.ndarray:
     return value
 
 
-def repeated(data: bytes, place: np.ndarray, group: np.ndarray, twice: np.ndarray, depth: int) -> np.ndarray:
-    """Which suffixes of ``data`` (at ``place``, ``depth`` bytes long at least) are equal
-    through ``depth`` bytes to another of their ``group``; those marked in ``twice`` are
-    repeated in any case."""
+def _bucketed(*keys: np.ndarray) -> np.ndarray:
+    """The stable order by keys (unsigned, the leading one first), by buckets of 16 bits from
+    the last ones on. NumPy sorts 16 bits by counting."""
+    order = np.arange(len(keys[0]))
+    for key in reversed(keys):
+        most = int(key.max()) if len(key) else 0
+        for bits in range(0, most.bit_length(), 16):
+            part = (key >> np.uint64(bits) & np.uint64(0xFFFF)).astype(np.uint16)
+            order = order[np.argsort(part[order], kind="stable")]
+    return order
+
+
+def repeated(data: bytes, place: np.ndarray, group: np.ndarray, weight: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes of ``data`` (at ``place``, ``depth`` bytes long at least) are in a group
+    that weighs two or more after ``depth`` bytes: of one ``group`` and equal that far."""
     digits = _digits(data)
-    index = np.argsort(group, kind="stable")
+    index = _bucketed(group.astype(np.uint64))
     key = group[index]
     new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]  # begins a group
     for at in range(0, depth + DIGIT, DIGIT):
-        alone = new & np.concatenate((new[1:], [True]))[: len(new)]
+        alone = new & np.concatenate((new[1:], [True]))[: len(new)] & (weight[index] < 2)
         index, new = index[~alone], new[~alone]
         if at >= depth or not len(index):
             break
@@ -71,10 +84,10 @@ def repeated(data: bytes, place: np.ndarray, group: np.ndarray, twice: np.ndarra
         mixed = np.logical_or.reduceat(digit != digit[start][number], start)
         if mixed.any():  # other groups stay as they are
             rows = np.flatnonzero(mixed[number])
-            order = rows[np.lexsort((digit[rows], number[rows]))]
+            order = rows[_bucketed(number[rows].astype(np.uint64), digit[rows])]
             index[rows], digit[rows] = index[order], digit[order]
             new[1:] |= digit[1:] != digit[:-1]
-    out = twice.copy()
+    out = np.zeros(len(place), bool)
     out[index] = True
     return out
 
@@ -90,7 +103,7 @@ def _located(depth: int, batches):
         h, again = np.asarray(table.column("h")), np.asarray(table.column("again"))
         anchor = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
         group = anchor[owner] * depth + np.asarray(table.column("at"))[owner] - offset
-        found = np.flatnonzero(repeated(b"".join(segs), (np.cumsum(size) - size)[owner] + offset, group, again[owner], depth))
+        found = np.flatnonzero(repeated(b"".join(segs), (np.cumsum(size) - size)[owner] + offset, group, np.where(again, 2, 1)[owner], depth))
         o, i = owner[found], offset[found]
         first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (i[1:] > i[:-1] + depth)))) if len(o) else np.zeros(0, np.int64)
         last = np.concatenate((first[1:], [len(o)]))[: len(first)] - 1

@@ -173,11 +173,26 @@ def test_radix_passes_against_whole_windows():
         place = rng.permutation(900 - depth)[:600]
         group = rng.integers(0, 3, 600)
         twice = rng.random(600) < 0.05
-        got = suffix_dedup.repeated(data, place, group, twice, depth)
+        got = suffix_dedup.repeated(data, place, group, np.where(twice, 2, 1), depth)
         keys = [(g, data[p : p + depth]) for g, p in zip(group.tolist(), place.tolist())]
         assert got.tolist() == [t or keys.count(k) > 1 for k, t in zip(keys, twice.tolist())]
 
 
+def test_buckets_sort():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 70_000, 5000).astype(np.uint64), rng.integers(0, 1 << 64, 5000, np.uint64) >> rng.integers(0, 64, 5000).astype(np.uint64)
+    assert suffix_dedup._bucketed(a, b).tolist() == np.lexsort((b, a)).tolist()
+    assert suffix_dedup._bucketed(a[:0]).tolist() == []
+
+
+def test_every_removed_byte_comes_through_the_digits(spark, monkeypatch):
+    """Groups are judged after the last digit only: without what the passes leave nothing is
+    removed, copies of segments included."""
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda data, place, *a: np.zeros(len(place), bool))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert suffix_dedup.remove_repeated_bytes(docs, with_text=False).where("n_removed > 0").isEmpty()
+
+
 def test_every_removed_word_comes_from_an_automaton(spark, monkeypatch):
     """Without passages for the automata nothing is removed, copies included."""
     monkeypatch.setattr(substring_dedup, "_passages", lambda *a: set())
