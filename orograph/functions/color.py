@@ -80,18 +80,24 @@ def luminance(color: Column) -> Column:
     return (c["r"] * 299 + c["g"] * 587 + c["b"] * 114) * 255 / 1000
 
 
-def edit_gradient(stops: Column, *, add: tuple[float, str] | None = None, remove: int | None = None, move: tuple[int, float] | None = None, near: float = 0.02) -> Column:
+def dash_svg(name: Column) -> Column:
+    """The SVG pattern of a dash name; an unknown one is solid."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DASH_SVG.items() for x in kv]), name), F.lit(""))
+
+
+def edit_gradient(stops: Column, *, add: tuple | None = None, remove=None, move: tuple | None = None, near: float = 0.02) -> Column:
     """An array of (pos, color) with a stop added (unless one is ``near``), removed or
-    moved. The stops at 0 and 1 stay where they are."""
+    moved; places, colours and numbers may be columns. The stops at 0 and 1 stay where they
+    are."""
     anchor = lambda s: (s["pos"] == 0) | (s["pos"] == 1)
     if add is not None:
         pos, color = add
-        new = F.struct(F.lit(float(pos)).alias("pos"), F.lit(color).alias("color"))
+        new = F.struct(F.lit(pos).cast("double").alias("pos"), F.lit(color).alias("color"))
         stops = F.when(F.exists(stops, lambda s: F.abs(s["pos"] - pos) < near), stops).otherwise(F.array_sort(F.concat(stops, F.array(new))))
     if remove is not None:
         stops = F.filter(stops, lambda s, i: anchor(s) | (i != remove))
     if move is not None:
         at, to = move
-        to = min(0.99, max(0.01, to))
-        stops = F.array_sort(F.transform(stops, lambda s, i: F.when((i == at) & ~anchor(s), F.struct(F.lit(to).alias("pos"), s["color"].alias("color"))).otherwise(s)))
+        to = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.lit(to).cast("double")))
+        stops = F.array_sort(F.transform(stops, lambda s, i: F.when((i == at) & ~anchor(s), F.struct(to.alias("pos"), s["color"].alias("color"))).otherwise(s)))
     return stops

@@ -226,6 +226,15 @@ def erosion_brush(radius: int) -> list[tuple[int, int, float]]:
     return [(dy, dx, w / total) for dy, dx, w in weights]
 
 
+def brushed(pixels: DataFrame, radius: int) -> DataFrame:
+    """(r, c, amount): the sum of an erosion brush over the heights of each place; what of
+    it lies outside the raster adds nothing."""
+    brush = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in erosion_brush(radius)])
+    each = pixels.select("r", "c", "raw", F.explode(brush).alias("b"))
+    share = each.select((F.col("r") - F.col("b.dy")).alias("r"), (F.col("c") - F.col("b.dx")).alias("c"), (F.col("raw") * F.col("b.w")).alias("part"))
+    return share.groupBy("r", "c").agg(F.sum("part").alias("amount")).join(pixels.select("r", "c"), ["r", "c"])
+
+
 # Parameters of the erosion and their defaults.
 EROSION = {"radius": 3, "inertia": 0.05, "capacity": 4.0, "least_capacity": 0.01, "erode": 0.3, "deposit": 0.3, "evaporate": 0.01, "gravity": 4.0, "lifetime": 30}
 

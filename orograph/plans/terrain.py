@@ -472,51 +472,84 @@ def f3(spark, sf_dir):
     return tidy(p.select("r", "c", value_noise(F.col("c") * 3.7 - 90, F.col("r") * 1.3 - 20).alias("n"), uniform(F.col("r"), F.col("c"), 9).alias("u")))
 
 
-@query("F8_gradient_table", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, CAST({float(p)!r} AS DOUBLE), '{c}')" for n, s in GRADIENTS.items() for i, (p, c) in enumerate(s)) + ") t(name, i, pos, color)")
+#: The named gradients, written out once more for SQL.
+_STOPS_SQL = """stops(name, pos, color) AS (VALUES
+  ('Jet', 0.0, '#000080'), ('Jet', 0.25, '#00ffff'), ('Jet', 0.5, '#00ff00'), ('Jet', 0.75, '#ff8800'), ('Jet', 1.0, '#800000'),
+  ('Classic', 0.0, '#1a1a2e'), ('Classic', 0.5, '#888888'), ('Classic', 1.0, '#ffffff'),
+  ('Fire', 0.0, '#1a0000'), ('Fire', 0.4, '#ff4400'), ('Fire', 0.7, '#ffaa00'), ('Fire', 1.0, '#ffffff'),
+  ('Ocean', 0.0, '#001433'), ('Ocean', 0.5, '#0066cc'), ('Ocean', 1.0, '#00eeff'),
+  ('Topo', 0.0, '#0d3b00'), ('Topo', 0.3, '#5a8c00'), ('Topo', 0.6, '#c8a800'), ('Topo', 0.85, '#8b4513'), ('Topo', 1.0, '#ffffff'),
+  ('Cyber', 0.0, '#0d0221'), ('Cyber', 0.5, '#b000ff'), ('Cyber', 1.0, '#00ffe7'),
+  ('Sunset', 0.0, '#0a0020'), ('Sunset', 0.4, '#c62a6b'), ('Sunset', 0.7, '#ff7b3a'), ('Sunset', 1.0, '#ffe066'),
+  ('Halloween', 0.0, '#0a0005'), ('Halloween', 0.25, '#3d0066'), ('Halloween', 0.5, '#b5000a'), ('Halloween', 0.75, '#ff6600'), ('Halloween', 1.0, '#ffcc00')),
+g AS (SELECT name, CAST(pos AS DOUBLE) AS pos, color, CAST(row_number() OVER (PARTITION BY name ORDER BY pos) - 1 AS INTEGER) AS i FROM stops)"""
+_PART = "CAST(CAST('0x' || substr({1}, {0}, 2) AS INTEGER) AS DOUBLE) / 255"
+_BETWEEN = lambda at: f"{_PART.format(at, 'a.color')} + ({_PART.format(at, 'b.color')} - {_PART.format(at, 'a.color')}) * ((raw - a.pos) / (b.pos - a.pos))"
+
+
+@query(
+    "F8_gradient_table",
+    f"""WITH {D.pixels('N')}, {_STOPS_SQL} SELECT r, c, a.name, {', '.join(D.r6(_BETWEEN(at)) + ' AS k' + n for at, n in ((2, 'r'), (4, 'g'), (6, 'b')))}
+FROM px, g a JOIN g b ON b.name = a.name AND b.i = a.i + 1 WHERE valid AND (raw > a.pos OR (a.i = 0 AND raw = 0)) AND raw <= b.pos""",
+)
 def f8(spark, sf_dir):
-    return spark.createDataFrame([(n, i, float(p), c) for n, s in GRADIENTS.items() for i, (p, c) in enumerate(s)], "name string, i int, pos double, color string")
+    """Every named gradient at every place of a raster."""
+    from orograph.functions.color import gradient
+
+    p = raster(spark, sf_dir, "N").pixels.where("valid")
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), gradient(s, F.col("raw")).alias("k")) for n, s in GRADIENTS.items()]))
+    return tidy(p.select("r", "c", named.alias("g")).select("r", "c", "g.name", *[F.col(f"g.k.{n}").alias(f"k{n}") for n in "rgb"]))
 
 
 @query(
     "F9_gradient_edit",
-    f"""WITH g AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {i}, CAST({float(p)!r} AS DOUBLE), '{c}')" for n, s in GRADIENTS.items() for i, (p, c) in enumerate(s))}) t(name, i, pos, color)),
-made AS (SELECT 'add' AS edit, name, pos, color FROM g UNION ALL SELECT DISTINCT 'add', name, CAST(0.31 AS DOUBLE), '#123456' FROM g WHERE name NOT IN (SELECT name FROM g WHERE abs(pos - CAST(0.31 AS DOUBLE)) < CAST(0.02 AS DOUBLE))
-  UNION ALL SELECT 'remove', name, pos, color FROM g WHERE i <> 1 OR pos IN (0, 1)
-  UNION ALL SELECT 'remove first', name, pos, color FROM g WHERE i <> 0 OR pos IN (0, 1)
-  UNION ALL SELECT 'move', name, CASE WHEN i = 1 AND pos NOT IN (0, 1) THEN CAST(0.99 AS DOUBLE) ELSE pos END, color FROM g)
-SELECT edit, name, CAST(row_number() OVER (PARTITION BY edit, name ORDER BY pos, color) - 1 AS INTEGER) AS i, pos, color FROM made""",
+    f"""WITH {D.pixels('N')}, {_STOPS_SQL}, low AS (SELECT r, min(raw) AS lo, max(raw) AS hi FROM px WHERE valid GROUP BY r), gr AS (SELECT g.*, low.* FROM g, low),
+made AS (SELECT 'add' AS edit, r, name, pos, color FROM gr
+  UNION ALL SELECT DISTINCT 'add', r, name, lo, '#123456' FROM gr WHERE NOT EXISTS (SELECT 1 FROM g n WHERE n.name = gr.name AND abs(n.pos - lo) < CAST(0.02 AS DOUBLE))
+  UNION ALL SELECT 'remove', r, name, pos, color FROM gr WHERE i <> r % 5 OR pos IN (0, 1)
+  UNION ALL SELECT 'move', r, name, CASE WHEN i = 1 AND pos NOT IN (0, 1) THEN least(CAST(0.99 AS DOUBLE), greatest(CAST(0.01 AS DOUBLE), hi)) ELSE pos END, color FROM gr)
+SELECT edit, r, name, CAST(row_number() OVER (PARTITION BY edit, r, name ORDER BY pos, color) - 1 AS INTEGER) AS i, {D.r6('pos')} AS pos, color FROM made""",
 )
 def f9(spark, sf_dir):
-    """Stops added, removed and moved in every gradient; the ends stay."""
+    """In every gradient and for each row of a raster: a stop added at its least height, one
+    removed, one moved to its greatest; the ends stay."""
     from orograph.functions.color import edit_gradient
 
-    rows = spark.createDataFrame([(n, [(float(p), c) for p, c in s]) for n, s in GRADIENTS.items()], "name string, stops array<struct<pos: double, color: string>>")
-    edits = {"add": {"add": (0.31, "#123456")}, "remove": {"remove": 1}, "remove first": {"remove": 0}, "move": {"move": (1, 5.0)}}
-    made = rows.select("name", F.explode(F.create_map(*[x for k, e in edits.items() for x in (F.lit(k), edit_gradient(F.col("stops"), **e))])).alias("edit", "stops"))
-    return made.select("edit", "name", F.posexplode(F.array_sort("stops")).alias("i", "s")).select("edit", "name", "i", "s.pos", "s.color")
+    known = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.struct(F.lit(float(p)).alias("pos"), F.lit(c).alias("color")) for p, c in s]).alias("stops")) for n, s in GRADIENTS.items()]))
+    rows = raster(spark, sf_dir, "N").pixels.where("valid").groupBy("r").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).select("*", known.alias("g"))
+    stops = F.col("g.stops")
+    edits = {"add": edit_gradient(stops, add=(F.col("lo"), "#123456")), "remove": edit_gradient(stops, remove=F.col("r") % 5), "move": edit_gradient(stops, move=(1, F.col("hi")))}
+    made = rows.select("r", "g.name", F.explode(F.create_map(*[x for k, e in edits.items() for x in (F.lit(k), e)])).alias("edit", "stops"))
+    return tidy(made.select("edit", "r", "name", F.posexplode(F.array_sort("stops")).alias("i", "s")).select("edit", "r", "name", "i", "s.pos", "s.color"))
 
 
-_HEX_ROWS = sorted({c for g in GRADIENTS.values() for _, c in g})
-_PART = "CAST(CAST('0x' || substr(color, {0}, 2) AS INTEGER) AS DOUBLE) / 255"
+_AS_HEX = "lower(printf('#%06x', CAST(floor(raw * 16777215) AS BIGINT)))"
 
 
 @query(
     "F1_hex_colors",
-    f"SELECT color, {', '.join(D.r6(_PART.format(a)) + ' AS k' + n for a, n in ((2, 'r'), (4, 'g'), (6, 'b')))}, {D.r6('(' + _PART.format(2) + ' * 299 + ' + _PART.format(4) + ' * 587 + ' + _PART.format(6) + ' * 114) * 255 / 1000')} AS light FROM (VALUES {', '.join(f'({c!r})' for c in _HEX_ROWS)}) t(color)",
+    f"""WITH {D.pixels('N')}, t AS (SELECT r, c, {_AS_HEX} AS color FROM px WHERE valid)
+SELECT r, c, color, {', '.join(D.r6(_PART.format(a, 'color')) + ' AS k' + n for a, n in ((2, 'r'), (4, 'g'), (6, 'b')))}, {D.r6('(' + _PART.format(2, 'color') + ' * 299 + ' + _PART.format(4, 'color') + ' * 587 + ' + _PART.format(6, 'color') + ' * 114) * 255 / 1000')} AS light FROM t""",
 )
 def f1(spark, sf_dir):
-    """channels and luminance."""
+    """channels and luminance of heights as hex colours."""
     from orograph.functions.color import hex_channels, luminance
 
     k = hex_channels(F.col("color"))
-    return tidy(spark.createDataFrame([(c,) for c in _HEX_ROWS], "color string").select("color", *[k[n].alias(f"k{n}") for n in "rgb"], luminance(F.col("color")).alias("light")))
+    heights = raster(spark, sf_dir, "N").pixels.where("valid").select("r", "c", F.format_string("#%06x", F.floor(F.col("raw") * 16777215)).alias("color"))
+    return tidy(heights.select("r", "c", "color", *[k[n].alias(f"k{n}") for n in "rgb"], luminance(F.col("color")).alias("light")))
 
 
-@query("F7_dashes", "SELECT * FROM (VALUES ('solid', ''), ('dashed', '3 2'), ('dotted', '2 5'), ('long-dash', '16 6')) t(name, svg)")
+@query(
+    "F7_dashes",
+    f"""WITH {D.pixels('N')} SELECT r, c, CASE CAST(floor(raw * 5) AS INTEGER) WHEN 1 THEN '3 2' WHEN 2 THEN '2 5' WHEN 3 THEN '16 6' ELSE '' END AS svg FROM px WHERE valid""",
+)
 def f7(spark, sf_dir):
-    from orograph.functions.color import DASH_SVG
+    """Dash patterns by name, one for each fifth of the heights; the last name is unknown."""
+    from orograph.functions.color import dash_svg
 
-    return spark.createDataFrame(list(DASH_SVG.items()), "name string, svg string")
+    names = F.array(*[F.lit(n) for n in ("solid", "dashed", "dotted", "long-dash", "wavy", "wavy")])
+    return raster(spark, sf_dir, "N").pixels.where("valid").select("r", "c", dash_svg(F.element_at(names, F.floor(F.col("raw") * 5).cast("int") + 1)).alias("svg"))
 
 
 # --- meshes and mirrors ----------------------------------------------------------------
@@ -794,9 +827,14 @@ def p6(spark, sf_dir):
     return tidy(points.animate(p, 6, lambda q, k: points.gravity_step(q, t.meta.min_z)).select("r", "c", "x", "y", "z"))
 
 
-@query("E1_brush", "WITH p AS (SELECT y, x, sqrt(x * x + y * y) AS d FROM range(-3, 4) a(y), range(-3, 4) b(x)), w AS (SELECT y, x, 1 - d / 3 AS w FROM p WHERE d <= 3) SELECT CAST(y AS INTEGER) AS dy, CAST(x AS INTEGER) AS dx, floor(w / (SELECT sum(w) FROM w) * 1e6 + 0.5) / 1e6 AS weight FROM w")
+@query(
+    "E1_brush",
+    f"""WITH {D.pixels('P')}, b AS (SELECT y, x, sqrt(x * x + y * y) AS d FROM range(-3, 4) p(y), range(-3, 4) q(x)), w AS (SELECT y, x, 1 - d / 3 AS w FROM b WHERE d <= 3),
+n AS (SELECT y, x, w / (SELECT sum(w) FROM w) AS w FROM w) SELECT a.r, a.c, {D.r6('sum(o.raw * w)')} AS amount FROM px a, n JOIN px o ON o.r = a.r + y AND o.c = a.c + x GROUP BY a.r, a.c""",
+)
 def e1(spark, sf_dir):
-    return tidy(spark.createDataFrame(sequential.erosion_brush(3), "dy int, dx int, weight double"))
+    """The erosion brush laid over every place of a raster."""
+    return tidy(sequential.brushed(raster(spark, sf_dir, "P").pixels, 3))
 
 
 @query("E3_erosion")
@@ -856,14 +894,22 @@ _F = "(CAST(t AS DOUBLE) / 64)"
 _PROBE = project_sql(*[f"{k}0 + ({k}1 - {k}0) * {_F}" for k in "xyz"])
 _RUNS = f"""ln AS MATERIALIZED (SELECT row_number() OVER () AS seg, * FROM ({_ridge_sql('P', False, 8)})),
 pr AS (SELECT seg, t, {_PROBE[0]} AS sx, {_PROBE[1]} AS sy, {_PROBE[2]} AS sz FROM ln, range(65) g(t)),
-vis AS MATERIALIZED (SELECT pr.*, inv IS NULL OR sz >= -1 / inv - 1 AS visible FROM pr LEFT JOIN zb ON px = CAST(greatest(0, least({CAMERA.width - 1}, floor(sx + 0.5))) AS INTEGER) AND py = CAST(greatest(0, least({CAMERA.height - 1}, floor(sy + 0.5))) AS INTEGER)),
+probe AS MATERIALIZED (SELECT *, CAST(greatest(0, least({CAMERA.width - 1}, floor(sx + 0.5))) AS INTEGER) AS px, CAST(greatest(0, least({CAMERA.height - 1}, floor(sy + 0.5))) AS INTEGER) AS py FROM pr),
+vis AS MATERIALIZED (SELECT seg, t, sx, sy, sz, inv IS NULL OR sz >= -1 / inv - 1 AS visible FROM probe LEFT JOIN zb USING (px, py)),
 isl AS (SELECT *, sum(CASE WHEN visible = prev THEN 0 ELSE 1 END) OVER (PARTITION BY seg ORDER BY t) AS run FROM (SELECT *, lag(visible, 1, visible) OVER (PARTITION BY seg ORDER BY t) AS prev FROM vis)),
 runs AS (SELECT seg, run, any_value(visible) AS visible, arg_min(sx, t) AS x0, arg_min(sy, t) AS y0, max(t) AS last_t FROM isl GROUP BY seg, run),
 cutt AS (SELECT runs.*, e.sx AS x1, e.sy AS y1 FROM runs JOIN vis e ON e.seg = runs.seg AND e.t = least(64, last_t + 1)),
 kept AS (SELECT * FROM cutt WHERE sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) >= 0.1)"""
 
 
-@query("V7_visible_runs", f"WITH {_project_cte('P')}, {ZBUFFER}, {_RUNS} SELECT CAST(run AS INTEGER) AS run, visible, {D.r6('x0')} AS x0, {D.r6('y0')} AS y0, {D.r6('x1')} AS x1, {D.r6('y1')} AS y1 FROM kept")
+def _stored(sql: str) -> str:
+    """The shared relations are worked out once, whatever plan is chosen."""
+    for name in ("px", "cells", "v", "s", "tri", "flat"):
+        sql = sql.replace(f"\n{name} AS (", f"\n{name} AS MATERIALIZED (").replace(f", {name} AS (", f", {name} AS MATERIALIZED (")
+    return sql
+
+
+@query("V7_visible_runs", _stored(f"WITH {_project_cte('P')}, {ZBUFFER}, {_RUNS}") + f" SELECT CAST(run AS INTEGER) AS run, visible, {D.r6('x0')} AS x0, {D.r6('y0')} AS y0, {D.r6('x1')} AS x1, {D.r6('y1')} AS y1 FROM kept")
 def v7(spark, sf_dir):
     t = terrain(spark, sf_dir, "P")
     depth = view.depth_buffer(_seen(t), CAMERA)
@@ -897,7 +943,7 @@ shown AS MATERIALIZED (SELECT CAST(visible AS BOOLEAN) AS visible, x0, y0, x1, y
 pg AS MATERIALIZED (SELECT (a.h + b.h + c3.h) / 3 AS b, sa.sx AS xa, sa.sy AS ya, sb.sx AS xb, sb.sy AS yb, sc.sx AS xc, sc.sy AS yc, (sa.sz + sb.sz + sc.sz) / 3 AS depth
   FROM tri JOIN s sa ON sa.vid = a.vid JOIN s sb ON sb.vid = b.vid JOIN s sc ON sc.vid = c3.vid WHERE (a.h + b.h + c3.h) / 3 BETWEEN CAST(0.1 AS DOUBLE) AND CAST(0.9 AS DOUBLE)),
 ci AS MATERIALIZED (SELECT sx AS cx, sy AS cy, 1200 / -sz * 0.5 AS radius, inv IS NULL OR sz >= -1 / inv - 1 AS visible FROM s
-  LEFT JOIN zb ON px = CAST(greatest(0, least({CAMERA.width - 1}, floor(sx + 0.5))) AS INTEGER) AND py = CAST(greatest(0, least({CAMERA.height - 1}, floor(sy + 0.5))) AS INTEGER) WHERE valid AND sz < 0 AND r % 5 = 0),
+  LEFT JOIN zb ON px = CAST(greatest(0, least({CAMERA.width - 1}, floor(sx + 0.5))) AS INTEGER) AND py = CAST(greatest(0, least({CAMERA.height - 1}, floor(sy + 0.5))) AS INTEGER) WHERE valid AND sz < 0),
 ends AS (SELECT x0, y0, x1, y1 FROM shown UNION ALL SELECT cx - radius, cy - radius, cx + radius, cy + radius FROM ci),
 box AS MATERIALIZED (SELECT min(least(x0, x1)) - 20 AS vx, min(least(y0, y1)) - 20 AS vy FROM ends),
 used AS (SELECT DISTINCT visible FROM shown)
@@ -922,6 +968,6 @@ def k1(spark, sf_dir):
     s = modes.colored(modes.draw(t, {"X": {"spacing": 8}}))
     s = s.select("layer", "color0", *[micro(F.col(p)).alias(p) for p in POINTS])
     runs = view.visible_runs(s, CAMERA, depth, ghosts=True, keep=("layer", "color0"))
-    dots = view.particle_circles(points.all_points(t).where("r % 5 = 0"), CAMERA, depth, ghosts=True)
+    dots = view.particle_circles(points.all_points(t), CAMERA, depth, ghosts=True)
     made = svg_elements(runs, CAMERA, weights={"X": 2}, dashes={"X": "dashed"}, opacities={"X": 0.8}, ghost_opacity=0.25, polygons=view.fill_polygons(faces, CAMERA, low=10, high=90), stops=_TOPO, circles=dots)
     return tidy(made.select("section", "part", "place", "layer", "ghost", "element"))
