@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ def read_png(data: bytes) -> np.ndarray:
     """Rows x columns x (red, green, blue, alpha) of an 8-bit, not interlaced PNG."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
-    at, body, palette, alpha = 8, b"", None, None
+    at, body, palette, alpha = 8, [], None, None
     while at < len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + size]
@@ -41,12 +42,12 @@ def read_png(data: bytes) -> np.ndarray:
         elif kind == b"tRNS":
             alpha = np.frombuffer(part, np.uint8)
         elif kind == b"IDAT":
-            body += part
+            body.append(part)
         at += 12 + size
     if depth != 8 or interlaced:
         raise ValueError("only 8-bit images that aren't interlaced")
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * n)
+    lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, 1 + width * n)
     out = np.zeros((height, width * n), np.uint8)
     before = np.zeros(width * n, np.int64)
     for y, line in enumerate(lines):
@@ -129,45 +130,90 @@ def unpack_lzw(data: bytes) -> bytes:
 UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpack_bits}
 
 
-def read_tiff(data: bytes) -> tuple[np.ndarray, float | None, float | None]:
-    """Band 0 of the first image, the declared NoData value and the pixel's width. Strips
-    or tiles that are not compressed, deflated, or packed by LZW or PackBits."""
-    order = {b"II": "<", b"MM": ">"}[data[:2]]
-    at = struct.unpack(order + "I", data[4:8])[0]
+@dataclass
+class Tiff:
+    """The first image of a TIFF: its size, the size of its blocks (strips or tiles), how
+    they are stored and where."""
+
+    width: int
+    height: int
+    block_w: int
+    block_h: int
+    kind: str
+    bands: int
+    compression: int
+    predictor: int
+    nodata: float | None
+    scale: float | None
+    offsets: np.ndarray | None = None
+    counts: np.ndarray | None = None
+
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.block_w)
+
+    def corner(self, k: int) -> tuple[int, int]:
+        """Row and column of a block's first value."""
+        return k // self.across * self.block_h, k % self.across * self.block_w
+
+    def block(self, k: int, part: bytes) -> np.ndarray:
+        """Band 0 of a block, without what lies beyond the image."""
+        top, left = self.corner(k)
+        block = np.frombuffer(UNPACK[self.compression](part), self.kind)
+        row = self.block_w * self.bands
+        block = block[: len(block) // row * row].reshape(-1, self.block_w, self.bands)
+        if self.predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=block.dtype)
+        return block[: self.height - top, : self.width - left, 0]
+
+
+def tiff_header(read) -> Tiff:
+    """The header of a TIFF or BigTIFF; ``read`` returns (from, number) bytes of it."""
+    start = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}[start[:2]]
+    one = lambda form, data: struct.unpack(order + form, data)
+    big = one("H", start[2:4])[0] == 43
+    word, number, entry, held = ("Q", "Q", 20, 8) if big else ("I", "H", 12, 4)
+    at = one(word, start[8:16] if big else start[4:8])[0]
+    n = struct.calcsize(number)
+    total = one(number, read(at, n))[0]
+    directory = read(at + n, entry * total)
     tags: dict = {}
-    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, count = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
+    for k in range(total):
+        item = directory[entry * k : entry * (k + 1)]
+        tag, kind, count = one("HH" + word, item[: entry - held])
         if tag in _TAGS and kind in _FIELD:
             size, form = _FIELD[kind]
-            place = at + 10 + 12 * k
-            if size * count > 4:
-                place = struct.unpack(order + "I", data[place : place + 4])[0]
-            raw = data[place : place + size * count]
-            tags[_TAGS[tag]] = raw.rstrip(b"\0 ").decode() if kind == 2 else list(struct.unpack(f"{order}{count}{form}" if len(form) == 1 else f"{order}{2 * count}I", raw))
-    width, height, samples = tags["width"][0], tags["height"][0], tags.get("samples", [1])[0]
-    if width * height > 1 << 30:
-        raise TooLarge("the raster is too large for one task")
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get("format", [1])[0]] + str(tags.get("bits", [8])[0] // 8)
-    compression, predictor = tags.get("compression", [1])[0], tags.get("predictor", [1])[0]
+            raw = item[entry - held :] if size * count <= held else read(one(word, item[entry - held :])[0], size * count)
+            raw = raw[: size * count]
+            tags[_TAGS[tag]] = raw.rstrip(b"\0 ").decode() if kind == 2 else np.frombuffer(raw, f"{order}u4" if form == "II" else order + np.dtype(form).str[1:])
+    get = lambda name, default: int(tags[name][0]) if name in tags else default
+    width, height = get("width", 0), get("height", 0)
+    kind = {1: "u", 2: "i", 3: "f"}[get("format", 1)] + str(get("bits", 8) // 8)
+    compression, predictor = get("compression", 1), get("predictor", 1)
     if compression not in UNPACK or predictor not in (1, 2):
         raise ValueError("a kind of compression that isn't known")
-    bands = samples if tags.get("planar", [1])[0] == 1 else 1
-    w, h = (tags["tile_w"][0], tags["tile_h"][0]) if "tile_w" in tags else (width, tags.get("rows", [height])[0])
-    across = -(-width // w)
-    out = np.zeros((height, width))
-    for k, (offset, count) in enumerate(zip(tags["offsets"], tags["counts"])):
-        top, left = k // across * h, k % across * w
-        if top >= height:
+    tiled = "tile_w" in tags
+    return Tiff(
+        width, height, get("tile_w", 0) if tiled else width, get("tile_h", 0) if tiled else min(height, get("rows", height)), order + kind, get("samples", 1) if get("planar", 1) == 1 else 1,
+        compression, predictor, float(tags["nodata"]) if tags.get("nodata") else None, float(tags["scale"][0]) if "scale" in tags else None, tags["offsets"], tags["counts"],
+    )
+
+
+def read_tiff(data: bytes) -> tuple[np.ndarray, float | None, float | None]:
+    """Band 0 of the first image, the declared NoData value and the pixel's width. Strips
+    or tiles that are not compressed, deflated, or packed by LZW or PackBits."""
+    t = tiff_header(lambda at, n: data[at : at + n])
+    if t.width * t.height > 1 << 30:
+        raise TooLarge("the raster is too large for one task")
+    out = np.zeros((t.height, t.width))
+    for k, (offset, count) in enumerate(zip(t.offsets.tolist(), t.counts.tolist())):
+        top, left = t.corner(k)
+        if top >= t.height:
             break  # further bands
-        part = data[offset : offset + count]
-        block = np.frombuffer(UNPACK[compression](part), order + kind)
-        block = block[: len(block) // (w * bands) * w * bands].reshape(-1, w, bands)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype)
-        part_h, part_w = min(h, height - top, block.shape[0]), min(w, width - left)
-        out[top : top + part_h, left : left + part_w] = block[:part_h, :part_w, 0]
-    nodata = float(tags["nodata"]) if tags.get("nodata") else None
-    return out, nodata, (tags["scale"][0] if "scale" in tags else None)
+        block = t.block(k, data[offset : offset + count])
+        out[top : top + block.shape[0], left : left + block.shape[1]] = block
+    return out, t.nodata, t.scale
 
 
 def _rows(path: str, v: np.ndarray, valid: np.ndarray):
