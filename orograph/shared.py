@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,7 @@ class _State:
     def __init__(self):
         self.lock, self.writers, self.before = threading.Lock(), 0, "false"
         self.written: list[str] = []
+        self.named: dict[int, list[list[str]]] = {}  # by thread: the lists of ``tables``
 
     def __reduce__(self):
         return _State, ()
@@ -70,17 +73,39 @@ def cut(df: DataFrame) -> DataFrame:
     if not _state.written:
         atexit.register(_at_exit)
     _state.written.append(path)
+    for named in _state.named.get(threading.get_ident(), []):
+        named.append(path)
     with _dropping_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables that ``cut`` wrote so far. What reads them can't be used after."""
+@contextmanager
+def tables():
+    """A list to which the paths of all tables are added that ``cut`` writes meanwhile in
+    this thread, in their order."""
+    named: list[str] = []
+    own = _state.named.setdefault(threading.get_ident(), [])
+    own.append(named)
+    try:
+        yield named
+    finally:
+        own[:] = [x for x in own if x is not named]
+
+
+def drop(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes tables that ``cut`` wrote. What reads them can't be used after."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _state.written:
-        path = jvm.org.apache.hadoop.fs.Path(_state.written.pop())
+    for name in list(paths):
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        if name in _state.written:
+            _state.written.remove(name)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut`` wrote so far. What reads them can't be used after."""
+    drop(spark, _state.written)
 
 
 def _at_exit() -> None:
