@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orograph.llm import decontaminate, packing, secrets, simhash, toxicity
 from orograph.llm.common import cut, read
+from orograph.shared import drop, tables
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again. What a
+    stage wrote on its way, and the table before it, go once its own table is written."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    with tables() as written:
+        for _, stage in STAGES[:-1]:
+            docs = cut(stage(spark, docs, sf_dir))
+            drop(spark, written[:-1])
+            del written[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)

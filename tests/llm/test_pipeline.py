@@ -1,8 +1,11 @@
 """The pipeline: each stage against what its operator says of its input."""
 
+import os
+
 import corpus_pipeline
 from orograph.llm import decontaminate, secrets, simhash, toxicity
 from orograph.llm.common import cut
+from orograph.shared import tables
 from tests.conftest import SMALL
 from tests.llm.test_operators import brute_simhash, check_packing
 
@@ -32,7 +35,10 @@ def test_stages(spark):
         docs = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
     assert check_packing([(r.doc_id, r.text) for r in docs.collect()], packed, 2048) < 0.05
-    whole = corpus_pipeline.run(spark, SMALL).collect()
+    with tables() as written:
+        whole = corpus_pipeline.run(spark, SMALL).collect()
+    # of all tables the last stage's input is left
+    assert len(written) > 10 and [os.path.isdir(p.removeprefix("file://")) for p in written].count(True) == 1
     assert sorted((r.doc_id, r.doc_tokens) for r in whole if r.start == 0) == sorted((r.doc_id, r.doc_tokens) for r in packed if r.start == 0)
 
 
