@@ -239,76 +239,75 @@ def brushed(pixels: DataFrame, radius: int) -> DataFrame:
 EROSION = {"radius": 3, "inertia": 0.05, "capacity": 4.0, "least_capacity": 0.01, "erode": 0.3, "deposit": 0.3, "evaporate": 0.01, "gravity": 4.0, "lifetime": 30}
 
 
-#: Cells of a tile for each droplet that runs at the same time as others.
-CELLS_A_DROPLET = 128
-
-
 def _rain(width: int, height: int, tile: int, p: dict, table: pa.Table) -> pa.Table:
-    """What the droplets of a tile change. They run over one map, in the order of their
-    numbers, a few far between at a time, which see each other's changes after each step."""
+    """What the droplets of a tile change: one after the other, in the order of their
+    numbers, each over the map that those before it left."""
     drops = table.filter(pa.compute.field("drop") >= 0).sort_by("drop")
     r_at, c_at, (h,) = _patch(table.filter(pa.compute.field("drop") < 0), "raw")
-    tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
-    before, rows, cols = h.copy(), *h.shape
-    flat = h.reshape(-1)
-    xs, ys = np.asarray(drops.column("x")) - c_at, np.asarray(drops.column("y")) - r_at
-    brush = erosion_brush(p["radius"])
-    di, dj, weight = (np.array(v) for v in zip(*brush))
-    wave = max(1, (min(height, (tr + 1) * tile) - tr * tile) * (min(width, (tc + 1) * tile) - tc * tile) // CELLS_A_DROPLET)
-
-    def look(x, y):
-        j, i = x.astype(np.int64), y.astype(np.int64)
-        u, v, at = x - j, y - i, i * cols + j
-        a, b, c, d = flat[at], flat[at + 1], flat[at + cols], flat[at + cols + 1]
-        return a * (1 - u) * (1 - v) + b * u * (1 - v) + c * (1 - u) * v + d * u * v, (b - a) * (1 - v) + (d - c) * v, (c - a) * (1 - u) + (d - b) * u
+    rows, cols = h.shape
+    flat = h.ravel().tolist()
+    brush = [(di, dj, di * cols + dj, w) for di, dj, w in erosion_brush(p["radius"])]
+    inertia, least, capacity, erode_, settle, gravity = (p[k] for k in ("inertia", "least_capacity", "capacity", "erode", "deposit", "gravity"))
+    rest, radius, east, south = 1 - p["evaporate"], p["radius"], width - 1 - c_at, height - 1 - r_at
+    turn = 1 - inertia
 
     def drop_load(x, y, amount):
-        j, i = x.astype(np.int64), y.astype(np.int64)
+        j, i = int(x), int(y)
         u, v, at = x - j, y - i, i * cols + j
-        np.add.at(flat, np.concatenate((at, at + 1, at + cols, at + cols + 1)), np.concatenate((amount * (1 - u) * (1 - v), amount * u * (1 - v), amount * (1 - u) * v, amount * u * v)))
-
-    for first in range(0, len(xs), wave):
-        x, y = xs[first : first + wave], ys[first : first + wave]
-        n = len(x)
-        dx, dy, speed, water, load = np.zeros(n), np.zeros(n), np.ones(n), np.ones(n), np.zeros(n)
+        flat[at] += amount * (1 - u) * (1 - v)
+        flat[at + 1] += amount * u * (1 - v)
+        flat[at + cols] += amount * (1 - u) * v
+        flat[at + cols + 1] += amount * u * v
+
+    for x, y in zip((np.asarray(drops.column("x")) - c_at).tolist(), (np.asarray(drops.column("y")) - r_at).tolist()):
+        dx = dy = load = 0.0
+        speed = water = 1.0
         for _ in range(p["lifetime"]):
-            old, gx, gy = look(x, y)
-            dx, dy = dx * p["inertia"] - gx * (1 - p["inertia"]), dy * p["inertia"] - gy * (1 - p["inertia"])
-            size = np.sqrt(dx * dx + dy * dy)
-            some = np.where(size > 0, size, 1.0)
-            dx, dy = dx / some, dy / some
+            j, i = int(x), int(y)
+            u, v, at = x - j, y - i, i * cols + j
+            a, b, c, d = flat[at], flat[at + 1], flat[at + cols], flat[at + cols + 1]
+            old = a * (1 - u) * (1 - v) + b * u * (1 - v) + c * (1 - u) * v + d * u * v
+            dx = dx * inertia - ((b - a) * (1 - v) + (d - c) * v) * turn
+            dy = dy * inertia - ((c - a) * (1 - u) + (d - b) * u) * turn
+            size = math.sqrt(dx * dx + dy * dy)
+            if size > 0:
+                dx, dy = dx / size, dy / size
             nx, ny = x + dx, y + dy
-            out = (nx + c_at < 0) | (nx + c_at >= width - 1) | (ny + r_at < 0) | (ny + r_at >= height - 1)
-            if out.any():
-                drop_load(x[out], y[out], load[out])
-                x, y, dx, dy, nx, ny, speed, water, load, old = (v[~out] for v in (x, y, dx, dy, nx, ny, speed, water, load, old))
-                if not len(x):
-                    break
-            rise = look(nx, ny)[0] - old
-            room = np.maximum(-rise, p["least_capacity"]) * speed * water * p["capacity"]
-            settle = (load > room) | (rise > 0)
-            amount = np.where(rise > 0, np.minimum(rise, load), (load - room) * p["deposit"])
-            drop_load(x[settle], y[settle], amount[settle])
-            taken = np.where(settle, 0.0, np.minimum((room - load) * p["erode"], -rise))
-            i, j = y[~settle].astype(np.int64)[:, None] + di, x[~settle].astype(np.int64)[:, None] + dj
-            inside = (i >= 0) & (i < rows) & (j >= 0) & (j < cols)  # the patch ends where the raster does
-            at = (i * cols + j)[inside]
-            np.subtract.at(flat, at, (taken[~settle][:, None] * weight)[inside])
-            flat[at] = np.maximum(flat[at], 0.0)
-            load = np.where(settle, load - amount, load + taken)
-            speed = np.sqrt(np.maximum(0.0, speed * speed + rise * p["gravity"]))
-            water = water * (1 - p["evaporate"])
+            if nx + c_at < 0 or nx >= east or ny + r_at < 0 or ny >= south:
+                drop_load(x, y, load)
+                break
+            k, m = int(nx), int(ny)
+            u, v, to = nx - k, ny - m, m * cols + k
+            rise = flat[to] * (1 - u) * (1 - v) + flat[to + 1] * u * (1 - v) + flat[to + cols] * (1 - u) * v + flat[to + cols + 1] * u * v - old
+            room = max(-rise, least) * speed * water * capacity
+            if load > room or rise > 0:
+                amount = min(rise, load) if rise > 0 else (load - room) * settle
+                drop_load(x, y, amount)
+                load -= amount
+            else:
+                taken = min((room - load) * erode_, -rise)
+                if radius <= i < rows - radius and radius <= j < cols - radius:
+                    for _, _, step, w in brush:
+                        flat[at + step] = max(flat[at + step] - taken * w, 0.0)
+                else:  # the patch ends where the raster does
+                    for di, dj, step, w in brush:
+                        if 0 <= i + di < rows and 0 <= j + dj < cols:
+                            flat[at + step] = max(flat[at + step] - taken * w, 0.0)
+                load += taken
+            speed = math.sqrt(max(0.0, speed * speed + rise * gravity))
+            water *= rest
             x, y = nx, ny
-    i, j = np.nonzero(h != before)
-    return pa.table([pa.array(i + r_at, pa.int32()), pa.array(j + c_at, pa.int32()), pa.array(h[i, j])], ["r", "c", "new"])
+    after = np.array(flat).reshape(h.shape)
+    i, j = np.nonzero(after != h)
+    return pa.table([pa.array(i + r_at, pa.int32()), pa.array(j + c_at, pa.int32()), pa.array(after[i, j])], ["r", "c", "new"])
 
 
 def erode(pixels: DataFrame, width: int, height: int, *, droplets: int = 50_000, batches: int = 5, seed: int = 1, tile: int = 256, progress=None, **options) -> DataFrame:
     """E: hydraulic erosion of (r, c, raw, valid) by droplets that each change the map under
     the next. They are dealt to tiles by where they fall. Tiles of one colour of a
     chessboard of four lie farther apart than droplets run, so they are worked on side by
-    side, and one colour after the other: as if all droplets ran one by one, but for the
-    few that run at a time (see ``_rain``). ``batches`` spread the colours over the rain.
+    side, and one colour after the other. The result is exactly that of all droplets one by
+    one, by batch, colour and number. ``batches`` spread the colours over the rain.
     Tiles are at least as wide as that needs. No cell falls below 0, and all end within
     0..1. Where droplets fall depends on the seed alone. A last row or column can't be
     entered, as in the original. ``progress`` is told the hundredths done after each batch;

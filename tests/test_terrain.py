@@ -365,7 +365,6 @@ def fallen(spark, seed, n, width, height):
 
 @pytest.mark.parametrize(("seed", "n"), [(1, 1), (2, 1), (3, 40)])
 def test_droplets_against_brute_force(spark, seed, n, monkeypatch):
-    monkeypatch.setattr(sequential, "CELLS_A_DROPLET", 10_000)  # one at a time
     rng = np.random.default_rng(seed)
     a = np.add.outer(np.linspace(0.8, 0.2, 24), np.linspace(0.1, 0, 20)) + rng.random((24, 20)) * 0.05
     wanted = brute_droplets(a, fallen(spark, seed, n, 20, 24), sequential.EROSION)
@@ -375,7 +374,6 @@ def test_droplets_against_brute_force(spark, seed, n, monkeypatch):
 
 def test_tiles_of_droplets_run_as_if_one_by_one(spark, monkeypatch):
     """Over several tiles: the same as one by one, colour by colour and tile by tile."""
-    monkeypatch.setattr(sequential, "CELLS_A_DROPLET", 10**9)
     rng = np.random.default_rng(4)
     options = {"lifetime": 6, "radius": 2}
     a = rng.random((50, 45)) * 0.3 + 0.4
