@@ -87,7 +87,7 @@ def _assigned(held, frames):
 def lloyd(kept: DataFrame, centroids: np.ndarray, rounds: int) -> np.ndarray:
     """Centroids after so many rounds over ``kept`` (of ``integers``)."""
     centroids = centroids.copy()
-    for _ in range(rounds):
+    for _ in range(rounds if len(centroids) else 0):
         held = kept.sparkSession.sparkContext.broadcast(centroids)
         sums = kept.select("v").mapInPandas(partial(_sums, held), "cluster int, at int, total long, n long")
         merged = sums.groupBy("cluster", "at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
@@ -101,7 +101,7 @@ def first_centroids(kept: DataFrame, k: int = CENTROIDS, seed: int = SEED) -> np
     """The vectors whose ids have the k smallest digests, in that order."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = kept.select(digest.alias("digest"), "v").orderBy("digest", "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dimensions: int = DIMENSIONS, seed: int = SEED, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
