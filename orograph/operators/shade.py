@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orograph import params
 from orograph.functions.color import Stops, gradient, parse_hex
 
 # Fixed value: pi as the shading has it.
@@ -88,8 +89,8 @@ def blend(base: Column, texture: Column, mode: str = "normal", opacity: float =
 
 
 def hillshade(base: Column, nx: Column, ny: Column, nz: Column, *, azimuth=315.0, altitude=45.0, intensity=1.0, opacity=0.6, exaggeration=2.0, highlight="#ffffff", shadow="#000000") -> Column:
-    """H7: light from one direction; azimuth 0 is the +x axis. The normal is that of the
-    world, so the result doesn't depend on a camera."""
+    """H7: light from one direction; azimuth 0 is the +x axis. With the normal of the world
+    the result doesn't depend on a camera; for that of a camera see ``view.view_normal``."""
     az, alt = azimuth * PI / 180, altitude * PI / 180
     light = (math.cos(az) * math.cos(alt), math.sin(alt), math.sin(az) * math.cos(alt))
     size = math.sqrt(sum(x * x for x in light))
@@ -104,3 +105,37 @@ def slope_shade(base: Column, ny: Column, *, opacity=0.75, low="#86efac", high="
     """H8: the steeper, the more of the steep colour."""
     s = clamp(1 - ny)
     return mix(base, mix(rgb(parse_hex(low)), rgb(parse_hex(high)), s), s * opacity)
+
+
+def surface(style: dict, b: Column, nx: Column, ny: Column, nz: Column, *, terrain: dict | None = None, raw: bool = False, texture: Column | None = None, alpha=1.0) -> Column:
+    """H9: the colour (r, g, b) of a surface by flat style parameters: the fill or gradient
+    (H2, H3, H5), the raw light (H4), texture (H6), hillshade (H7) and slope shade (H8), one
+    over the other. Null where the elevation band of ``terrain`` cuts the surface away, and
+    everywhere if neither fill nor shade is shown. What a style lacks, or gives as None, is
+    the default; an interval, a scale or an upper limit of 0 counts as not given, and an
+    unknown blend or colour mode as the first. The normal is that of the world or, by
+    ``view.view_normal``, that of a camera, as the original has it. Lines between bands
+    aren't drawn."""
+    t = params.TERRAIN | {k: v for k, v in (terrain or {}).items() if v is not None}
+    p = params.style_defaults() | {k: v for k, v in style.items() if v is not None}
+    if not (p["showFill"] or raw or p["showHillshade"] or p["showSlopeShade"]):
+        return F.lit(None).cast("struct<r: double, g: double, b: double>")
+    color = rgb(parse_hex(p["fillColor"]))
+    if p["fillHypsometric"]:
+        value = mode_value(b, nx, ny, nz, p["fillHypsoMode"])
+        if p["fillBanded"]:
+            value = banded(value, b, p["fillHypsoMode"] if p["fillHypsoMode"] in ("slope", "aspect") else "elevation", p["fillHypsoInterval"] or 10, t["elevScale"])
+        stops = p["gradientStops"] if len(p["gradientStops"]) > 1 else [(0, "#ffffff"), (1, "#ffffff")]
+        color = ramp(stops, value)
+    if raw:
+        color = rgb([x * raw_light(nx, ny, nz) for x in parts(color)])
+    if p["showTexture"] and texture is not None:
+        color = blend(color, texture, {"softlight": "soft-light"}.get(p["textureBlendMode"], p["textureBlendMode"]), p["textureOpacity"], alpha)
+    if p["showHillshade"]:
+        color = hillshade(
+            color, nx, ny, nz, azimuth=p["hillshadeAzimuth"], altitude=p["hillshadeAltitude"], intensity=p["hillshadeIntensity"], opacity=p["hillshadeOpacity"],
+            exaggeration=p["hillshadeExaggeration"], highlight=p["hillshadeHighlightColor"], shadow=p["hillshadeShadowColor"],
+        )
+    if p["showSlopeShade"]:
+        color = slope_shade(color, ny, opacity=p["slopeShadeOpacity"], low=p["slopeColorLow"], high=p["slopeColorHigh"])
+    return F.when(brightness_cut(b, t["elevMinCut"], t["elevMaxCut"]), color)

@@ -54,6 +54,11 @@ class Camera:
         return (nx + 1) * 0.5 * self.width, (1 - ny) * 0.5 * self.height, vz
 
 
+def view_normal(camera: Camera, nx: Column, ny: Column, nz: Column) -> tuple[Column, Column, Column]:
+    """A direction of the world as the camera has it: right, up, and towards it."""
+    return tuple(nx * a[0] + ny * a[1] + nz * a[2] for a in camera.axes()[1:])
+
+
 def clip(x: Column, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(x + 0.5))).cast("int")
 

@@ -728,6 +728,36 @@ def h8(spark, sf_dir):
     return _rough(s.withColumn("k", shade.slope_shade(shade.rgb((1, 1, 1)), F.col("ny"))), "k")
 
 
+_SURFACE = {"fillHypsometric": True, "fillBanded": True, "fillHypsoInterval": 8, "gradientStops": GRADIENTS["Ocean"], "showHillshade": True, "hillshadeIntensity": None, "showSlopeShade": True}
+
+
+def _surface_sql() -> str:
+    """Written out for CAMERA and _SURFACE: normals seen by the camera, bands of 8 through a
+    table of 256 colours, the light from the north-west, and green to red by slope."""
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    band = f"least(1, greatest(0, floor((b - 0.5) * 100 / {d(8)}) * 8 / {d(100)} + 0.5))"
+    ocean = D.gradient([(0, "#001433"), (0.5, "#0066cc"), (1, "#00eeff")], f"(floor({band} * 255 + 0.5) / 255)")
+    slope = "least(1, greatest(0, 1 - wy))"
+    colors = ", ".join(
+        f"round((k{n} * {d(0.4)} + light * {d(0.6)}) * (1 - {slope} * 0.75) + ({d(low)} / 255 * (1 - {slope}) + {d(high)} / 255 * {slope}) * {slope} * 0.75, 4) + 0.0 AS {n}"
+        for n, low, high in (("r", 0x86, 0xDC), ("g", 0xEF, 0x26), ("b", 0xAC, 0x26))
+    )
+    tilt, turn = "radians(40)", "radians(30)"
+    return f"""{_SHADE_BASE}, seen AS (SELECT vid, b, nx * cos({turn}) - nz * sin({turn}) AS wx,
+ -nx * cos({tilt}) * sin({turn}) + ny * sin({tilt}) - nz * cos({tilt}) * cos({turn}) AS wy, nx * sin({tilt}) * sin({turn}) + ny * cos({tilt}) + nz * sin({tilt}) * cos({turn}) AS wz FROM shaded),
+lit AS (SELECT vid, b, wy, least(1, greatest(0, (wx * 2 * 0.5 + wy * sqrt({d(0.5)}) - wz * 2 * 0.5) / sqrt(4 * wx * wx + wy * wy + 4 * wz * wz))) AS light, {", ".join(f"floor(({x}) * 255 + 0.5) / 255 AS k{n}" for n, x in zip("rgb", ocean))} FROM seen
+ WHERE b BETWEEN {d(0.05)} AND {d(0.9)})
+SELECT vid, {colors} FROM lit"""
+
+
+@query("H9_surface", _surface_sql())
+def h9(spark, sf_dir):
+    """All layers of the surface as a camera sees it, from a style that leaves things out."""
+    s = _shaded(spark, sf_dir)
+    normal = view.view_normal(CAMERA, F.col("nx"), F.col("ny"), F.col("nz"))
+    return _rough(s.withColumn("k", shade.surface(_SURFACE, F.col("b"), *normal, terrain={"elevMinCut": 5, "elevMaxCut": 90})).where("k IS NOT NULL"), "k")
+
+
 @query("H2_modes", f"{_SHADE_BASE} SELECT vid, round(b, 4) + 0.0 AS elevation, round(least(1, greatest(0, 1 - ny)), 4) + 0.0 AS slope, round(atan2(nz, nx) / CAST({shade.PI!r} AS DOUBLE) * 0.5 + 0.5, 4) + 0.0 AS aspect FROM shaded WHERE abs(nx) + abs(nz) > 1e-6")
 def h2(spark, sf_dir):
     """What the gradient is looked up by in each colour mode, where the aspect is defined."""
@@ -817,14 +847,14 @@ _XYZ = f"SELECT r, c, {D.r6('x')} AS x, {D.r6('y')} AS y, {D.r6('z')} AS z"
 @query("P5_spring", f"WITH {D.terrain('N')}, {_REST}, {', '.join(map(_spring_sql, range(4)))} {_XYZ} FROM s4")
 def p5(spark, sf_dir):
     p = points.at_rest(points.all_points(terrain(spark, sf_dir, "N")))
-    return tidy(points.animate(p, 4, lambda q, k: points.spring_step(q, k)).select("r", "c", "x", "y", "z"))
+    return tidy(points.advanced(p, 4, points.spring()).select("r", "c", "x", "y", "z"))
 
 
 @query("P6_gravity", f"WITH {D.terrain('N')}, {_REST}, {', '.join(map(_fall_sql, range(6)))} {_XYZ} FROM s6")
 def p6(spark, sf_dir):
     t = terrain(spark, sf_dir, "N")
     p = points.at_rest(points.all_points(t))
-    return tidy(points.animate(p, 6, lambda q, k: points.gravity_step(q, t.meta.min_z)).select("r", "c", "x", "y", "z"))
+    return tidy(points.advanced(p, 6, points.gravity(t.meta.min_z)).select("r", "c", "x", "y", "z"))
 
 
 @query(

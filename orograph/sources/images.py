@@ -7,6 +7,7 @@ images and textures come through Spark's own image source.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from orograph.sources.rasters import NoElevation, Raster, is_nodata, normalised
 
 PIXELS = "path string, r int, c int, v double, valid boolean"
 ROWS_AT_ONCE = 64
+CHANNELS = ("red", "green", "blue", "alpha")
 
 
 class TooLarge(MemoryError):
@@ -316,6 +318,52 @@ def textured(vertices: DataFrame, pixels: DataFrame, width: int, height: int, sc
     return placed.join(image, ["_r", "_c"]).drop("_r", "_c")
 
 
+def _level(pixels: DataFrame, width: int, height: int, k: int) -> tuple[DataFrame, int, int]:
+    """An image at a level: each pixel the mean of those that fall to it when sizes are
+    halved ``k`` times; what is left over at an end belongs to the last."""
+    r, c = F.col("r"), F.col("c")
+    for _ in range(k):
+        width, height = max(1, width // 2), max(1, height // 2)
+        r, c = F.least(F.lit(height - 1), F.shiftright(r, 1)), F.least(F.lit(width - 1), F.shiftright(c, 1))
+    if not k:
+        return pixels.select("r", "c", *CHANNELS), width, height
+    return pixels.select(r.alias("r"), c.alias("c"), *CHANNELS).groupBy("r", "c").agg(*[F.avg(n).alias(n) for n in CHANNELS]), width, height
+
+
+def _four_taps(level: DataFrame, width: int, height: int) -> DataFrame:
+    """(r, c, taps): a pixel, the one to its right, and the two below, around the ends."""
+    taps = F.array(*[F.struct(F.pmod(F.col("r") - i, F.lit(height)).alias("r"), F.pmod(F.col("c") - j, F.lit(width)).alias("c"), F.lit(2 * i + j).alias("n")) for i in (0, 1) for j in (0, 1)])
+    each = level.select(F.struct(*CHANNELS).alias("p"), F.explode(taps).alias("t"))
+    return each.groupBy("t.r", "t.c").agg(*[F.max(F.when(F.col("t.n") == n, F.col("p"))).alias(f"p{n}") for n in range(4)])
+
+
+def smoothly_textured(vertices: DataFrame, pixels: DataFrame, width: int, height: int, scale: float = 1, shift_x: float = 0, shift_y: float = 0, *, apart: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """``textured``, but by the weighted mean of the four pixels around a place. If vertices
+    lie more than a pixel apart (``apart``: the differences of u and of v from one to the
+    next), it is taken from smaller levels of the image, and between the two that are
+    nearest in size. A join for each level, and the image is aggregated once for it; Spark
+    broadcasts small images."""
+    scale = float(scale or 1)
+    step = max(abs(apart[0]) / abs(scale) * width, abs(apart[1]) / abs(scale) * height)
+    detail = min(max(0.0, math.log2(step)) if step > 0 else 0.0, math.floor(math.log2(max(width, height))))
+    low = math.floor(detail)
+    shares = [(low, 1 - (detail - low))] + ([(low + 1, detail - low)] if detail > low else [])
+    placed, sums = vertices, {n: F.lit(0.0) for n in CHANNELS}
+    for k, share in shares:
+        level, w, h = _level(pixels, width, height, k)
+        x = (F.col("u") / scale + float(shift_x)) * w - 0.5
+        y = (1 - (F.col("v") / scale + float(shift_y))) * h - 0.5
+        placed = placed.withColumns({"_c": F.pmod(F.floor(x), F.lit(w)).cast("int"), "_r": F.pmod(F.floor(y), F.lit(h)).cast("int"), f"_x{k}": x - F.floor(x), f"_y{k}": y - F.floor(y)})
+        taps = _four_taps(level, w, h).select(F.col("r").alias("_r"), F.col("c").alias("_c"), *[F.col(f"p{n}").alias(f"_p{k}{n}") for n in range(4)])
+        placed = placed.join(taps, ["_r", "_c"]).drop("_r", "_c")
+        fx, fy = F.col(f"_x{k}"), F.col(f"_y{k}")
+        for name in CHANNELS:
+            p = [F.col(f"_p{k}{n}")[name] for n in range(4)]
+            sums[name] = sums[name] + ((p[0] * (1 - fx) + p[1] * fx) * (1 - fy) + (p[2] * (1 - fx) + p[3] * fx) * fy) * share
+    texture = F.struct(*[sums[n].alias(n[0]) for n in CHANNELS[:3]]).alias("texture")
+    return placed.select(*vertices.columns, texture, sums["alpha"].alias("alpha"))
+
+
 def elevation_raster(spark: SparkSession, path: str) -> tuple[Raster, float | None]:
     """One GeoTIFF as a raster, and a suggested vertical scale."""
     values = tiff_values(spark, path)

@@ -14,6 +14,8 @@ from orograph.sources.rasters import Raster
 
 PARTS = {"terrain": params.TERRAIN, "style": None, "points": params.POINTS, "view": params.VIEW}
 EMBEDDED = "heightmapDataURL"
+GRADIENT_KEYS = ("gradientStops", "bgGradientStops")
+STOPS = "array<struct<pos: variant, color: variant>>"
 BACKGROUND = [(0, "#ffffff"), (1, "#cccccc")]
 
 
@@ -46,16 +48,36 @@ def merged(document: str, only: tuple[str, ...] = tuple(PARTS)) -> dict:
 
 def preset(p: dict, image_url: str | None = None) -> str:
     """K6: a preset of parameters (as of ``merged``)."""
-    stops = {k: [{"pos": a, "color": c} for a, c in p["style"].get(k, BACKGROUND)] for k in ("gradientStops", "bgGradientStops")}
+    stops = {k: [{"pos": a, "color": c} for a, c in p["style"].get(k, BACKGROUND)] for k in GRADIENT_KEYS}
     style = {k: v for k, v in p["style"].items() if k not in stops}
     made = {"terrain": p["terrain"], "style": style, "points": p["points"], "view": p["view"]} | stops
     return json.dumps(made | ({EMBEDDED: image_url} if image_url else {}), indent=2)
 
 
+def with_defaults(presets: DataFrame, only: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """(name, document) of presets over the defaults, as ``preset(merged(...))`` makes
+    one, by Spark's variants alone. What a preset has beside its parts and gradients goes,
+    the embedded image too. No document (null) stays none; one that isn't JSON is refused."""
+    given, objects = F.parse_json("document"), "map<string,variant>"
+    literal = lambda value, kind: F.variant_get(F.parse_json(F.lit(json.dumps(value))), "$", kind)
+    parts = []
+    for part, defaults in PARTS.items():
+        base = literal(params.style_defaults() if defaults is None else defaults, objects)
+        if part in only:
+            own = F.coalesce(F.try_variant_get(given, f"$.{part}", objects), literal({}, objects))
+            base = F.map_zip_with(base, own, lambda k, default, value: F.coalesce(value, default))
+        if part == "style":
+            base = F.map_filter(base, lambda k, v: ~k.isin(*GRADIENT_KEYS))
+        parts.append(base.alias(part))
+    for key, stops in zip(GRADIENT_KEYS, (params.style_defaults()["gradientStops"], BACKGROUND)):
+        own = F.try_variant_get(given, f"$.{key}", STOPS)
+        parts.append(F.when(F.size(own) > 0, own).otherwise(literal([{"pos": a, "color": c} for a, c in stops], STOPS)).alias(key))
+    return presets.select("name", F.when(F.col("document").isNotNull(), F.to_json(F.struct(*parts))).alias("document"))
+
+
 def migrated(presets: DataFrame) -> DataFrame:
     """K7: presets with what they lack filled in and no embedded image."""
-    made = F.pandas_udf(lambda documents: documents.map(lambda d: preset(merged(d))), "string")
-    return presets.select("name", made("document").alias("document"))
+    return with_defaults(presets)
 
 
 def drawn(p: dict, raster: Raster, base_scale: float = 1.0) -> tuple[Terrain, DataFrame]:
