@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orograph.functions.numeric import half_up, value_noise
-from orograph.shared import cut
+from orograph.shared import cut_seeing
 
 
 #: Cells of a row or column that a window's group has, beside its overlap.
@@ -115,14 +115,16 @@ def build_terrain(pixels: DataFrame, width: int, height: int, *, resolution: int
     sampled, rows, cols = stride_sample(blurred, width, height, resolution, off_x, off_y)
     norm = levels(F.col("raw").cast("double"), black, white)
     cells = sampled.select("r", "c", F.when(F.col("valid"), norm).alias("norm"), "valid")
-    cells = cut(with_slope(cells.withColumn("h", F.coalesce(F.col("norm"), F.lit(0.0)).cast("float").cast("double"))))
-    m = cells.where("valid").agg(*[F.min(x).alias(f"lo_{x}") for x in ("norm", "c", "r")], *[F.max(x).alias(f"hi_{x}") for x in ("norm", "c", "r", "slope")]).first()
-    some = m.lo_norm is not None
+    sloped = with_slope(cells.withColumn("h", F.coalesce(F.col("norm"), F.lit(0.0)).cast("float").cast("double")))
+    data = lambda x: F.when(F.col("valid"), F.col(x))
+    ends = [F.min(data(x)).alias(f"lo_{x}") for x in ("norm", "c", "r")] + [F.max(data(x)).alias(f"hi_{x}") for x in ("norm", "c", "r", "slope")]
+    cells, m = cut_seeing(sloped, *ends)
+    some = m["lo_norm"] is not None
     z = lambda b: (b - 0.5) * 100 * elev_scale
     middle = lambda lo, hi, n: (lo + hi) * resolution / 2 if some else (n - 1) * resolution / 2
     meta = Meta(
-        rows, cols, resolution, float(elev_scale), z(min(1.0, m.lo_norm) if some else 1.0), z(max(0.0, m.hi_norm) if some else 0.0),
-        float(middle(m.lo_c, m.hi_c, cols)), float(middle(m.lo_r, m.hi_r, rows)), m.hi_slope or 0.0,
+        rows, cols, resolution, float(elev_scale), z(min(1.0, m["lo_norm"]) if some else 1.0), z(max(0.0, m["hi_norm"]) if some else 0.0),
+        float(middle(m["lo_c"], m["hi_c"], cols)), float(middle(m["lo_r"], m["hi_r"], rows)), m["hi_slope"] or 0.0,
     )
     return Terrain(cells.select("r", "c", "h", "valid", F.col("slope").cast("float").cast("double").alias("slope")), meta)
 

@@ -71,7 +71,8 @@ def advanced(p: DataFrame, steps: int, rule, first: int = 0) -> DataFrame:
     row: the plan doesn't grow with them, and nothing is shuffled or written."""
     if steps < 1:
         return p
-    end = F.aggregate(F.sequence(F.lit(first), F.lit(first + steps - 1)), F.struct(*STATE), rule)
+    start = F.struct(*STATE)
+    end = rule(start, F.lit(first)) if steps == 1 else F.aggregate(F.sequence(F.lit(first), F.lit(first + steps - 1)), start, rule)
     return p.withColumn("_s", end).withColumns({k: F.col("_s")[k] for k in STATE}).drop("_s")
 
 

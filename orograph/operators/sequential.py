@@ -7,6 +7,7 @@ and erosion over tiles with a margin as wide as a path is long.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -310,12 +311,23 @@ def erode(pixels: DataFrame, width: int, height: int, *, droplets: int = 50_000,
     one, by batch, colour and number. ``batches`` spread the colours over the rain.
     Tiles are at least as wide as that needs. No cell falls below 0, and all end within
     0..1. Where droplets fall depends on the seed alone. A last row or column can't be
-    entered, as in the original. ``progress`` is told the hundredths done after each batch;
+    entered, as in the original. Only cells that change are written, and only tiles that
+    rain falls on are worked on. ``progress`` is told the hundredths done after each batch;
     the raster given stays as it was."""
     p = EROSION | options
     margin = p["lifetime"] + p["radius"] + 2
     tile = max(tile, 2 * margin)
-    spark, now = pixels.sparkSession, pixels.select("r", "c", F.col("raw").cast("double").alias("raw"), "valid")
+    spark, base = pixels.sparkSession, cut(pixels.select("r", "c", F.col("raw").cast("double").alias("raw"), "valid"))
+    edits: list[DataFrame] = []  # (r, c, new, n): cells that colour n changed, which alone are written
+
+    def latest(cells: DataFrame) -> DataFrame:
+        """``cells`` (with r, c, raw) as the edits so far leave them."""
+        if not edits:
+            return cells
+        new = reduce(DataFrame.unionByName, edits).groupBy("r", "c").agg(F.max_by("new", "n").alias("new"))
+        return cells.join(new, ["r", "c"], "left").withColumn("raw", F.coalesce("new", "raw")).drop("new")
+
+    tasks = max(1, min(-(-height // tile) * -(-width // tile), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     colours = [(i, j) for i in range(min(2, -(-height // tile))) for j in range(min(2, -(-width // tile)))]
     drawn = lambda b, k: F.pmod(F.xxhash64(F.lit(seed), F.lit(b), F.lit(k), "id"), F.lit(1 << 40)).cast("double") / float(1 << 40)
     for b in range(batches):
@@ -324,14 +336,18 @@ def erode(pixels: DataFrame, width: int, height: int, *, droplets: int = 50_000,
             F.floor("y").cast("int").alias("r"), F.floor("x").cast("int").alias("c"), F.lit(0.0).alias("raw"), F.floor(F.col("y") / tile).cast("int").alias("tr"), F.floor(F.col("x") / tile).cast("int").alias("tc"),
             F.col("id").alias("drop"), "x", "y",
         )
-        for i, j in colours:
+        for n, (i, j) in enumerate(colours):
             colour = (F.col("tr") % 2 == i) & (F.col("tc") % 2 == j)
-            patch = tiled(now, tile, margin, "raw").where(colour).select("r", "c", "raw", "tr", "tc", F.lit(-1).cast("long").alias("drop"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
             here = fallen.where(colour)
-            rained = here.unionByName(patch.join(here.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi").select(*fallen.columns))
+            reached = tiled(base, tile, margin, "raw").where(colour).join(here.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+            patch = latest(reached).select("r", "c", "raw", "tr", "tc", F.lit(-1).cast("long").alias("drop"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+            # a tile is much work on few bytes, so small shuffles aren't to be put together
+            rained = here.unionByName(patch.select(*fallen.columns)).repartition(tasks, "tr", "tc")
             changed = rained.groupBy("tr", "tc").applyInArrow(lambda table: _rain(width, height, tile, p, table), "r int, c int, new double")
-            now = cut(now.join(changed, ["r", "c"], "left").select("r", "c", F.coalesce("new", "raw").alias("raw"), "valid"))
+            edits.append(cut(changed.withColumn("n", F.lit(b * len(colours) + n))))
+        if len(edits) > 4:  # one row for each changed cell again
+            edits = [cut(reduce(DataFrame.unionByName, edits).groupBy("r", "c").agg(F.max_by("new", "n").alias("new"), F.max("n").alias("n")))]
         if progress:
             progress(100 * (b + 1) // batches)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw")))
-    return now.select("r", "c", clamped.alias("raw"), "valid")
+    return latest(base).select("r", "c", clamped.alias("raw"), "valid")

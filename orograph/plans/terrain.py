@@ -14,7 +14,9 @@ from orograph.functions.numeric import micro, uniform, value_noise
 from orograph.operators import grid, lines, mesh, modes, points, sequential, shade, view
 from orograph.plans import duck as D
 from orograph.plans.catalog import query
+from orograph.shared import folder_of
 from orograph.sources.rasters import RASTERS, is_nodata
+from orograph.sources.versions import History
 
 POINTS = modes.POINTS
 CAMERA = view.Camera(tilt=40, rotation=30, zoom=3, width=160, height=120)
@@ -867,6 +869,18 @@ def e1(spark, sf_dir):
     return tidy(sequential.brushed(raster(spark, sf_dir, "P").pixels, 3))
 
 
+@query("E9_undo", f"WITH {D.pixels('N')} SELECT r, c, {D.r6('raw')} AS raw, valid, {D.r6('CASE WHEN valid THEN 1 - raw ELSE raw END')} AS turned FROM px")
+def e9(spark, sf_dir):
+    """A raster after a step that was taken back, beside the same step made again."""
+    history = History(spark, folder_of(spark))
+    history.save(raster(spark, sf_dir, "N"))
+    history.apply(lambda px, *size: px.withColumn("raw", F.when(F.col("valid"), 1 - F.col("raw")).otherwise(F.col("raw"))), "turned")
+    history.undo()
+    now = history.raster()
+    history.redo()
+    return tidy(now.pixels.join(history.raster().pixels.select("r", "c", F.col("raw").alias("turned")), ["r", "c"]))
+
+
 @query("E3_erosion")
 def e3(spark, sf_dir):
     r = raster(spark, sf_dir, "E")

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,22 +64,36 @@ class _dropping_shuffles:
                 self.conf.set(_DROP_SHUFFLES, _state.before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder and read from there: later stages don't depend
-    on executors that computed it, nothing is computed twice, and the shuffle files behind
-    it go as soon as it is written. The table goes when the driver ends, or with ``clear``."""
-    spark = df.sparkSession
+def folder_of(spark: SparkSession) -> str:
+    """A new path in the shared folder. It goes when the driver ends, or with ``clear``."""
     path = f"{shared_folder(spark).rstrip('/')}/orograph-{uuid.uuid4().hex}"
     if not _state.written:
         atexit.register(_at_exit)
     _state.written.append(path)
     for named in _state.named.get(threading.get_ident(), []):
         named.append(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read from there: later stages don't depend
+    on executors that computed it, nothing is computed twice, and the shuffle files behind
+    it go as soon as it is written. The table goes when the driver ends, or with ``clear``."""
+    spark = df.sparkSession
+    path = folder_of(spark)
     with _dropping_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_seeing(df: DataFrame, *ends: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of the rows by name, taken as they are written: no scan more.
+    Only for least and greatest values, which a task that is run again doesn't change."""
+    seen = Observation()
+    done = cut(df.observe(seen, *ends))
+    return done, seen.get
+
+
 @contextmanager
 def tables():
     """A list to which the paths of all tables are added that ``cut`` writes meanwhile in

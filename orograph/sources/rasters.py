@@ -43,14 +43,14 @@ def normalised(spark: SparkSession, values: DataFrame, declared: float | None =
     """A raster of (r, c, v): heights stretched to 0..1 over the range of the values that
     are data; ``steps`` quantises them."""
     data = values.where(~is_nodata(F.col("v"), declared)).select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("v").cast("double").alias("v"))
-    m = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    size = values.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    held = F.when(~is_nodata(F.col("v"), declared), F.col("v").cast("double"))
+    m = values.agg(F.min(held).alias("lo"), F.max(held).alias("hi"), F.max("r").alias("r"), F.max("c").alias("c")).first()
     if m.lo is None or not m.hi > m.lo:
         raise NoElevation("the raster holds no range of elevations")
     raw = (F.col("v") - m.lo) / (m.hi - m.lo)
     if steps:
         raw = F.floor(raw * float(steps) + 0.5).cast("double") / float(steps)
-    width, height = width or int(size.c) + 1, height or int(size.r) + 1
+    width, height = width or int(m.c) + 1, height or int(m.r) + 1
     return Raster(dense(spark, data.select("r", "c", raw.alias("raw")), width, height), width, height, m.lo, m.hi)
 
 

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from orograph import params
-from orograph.operators import points, shade, view
+from orograph.operators import grid, points, sequential, shade, view
 from orograph.sources import images, presets
+from orograph.sources.rasters import Raster
+from orograph.sources.versions import History
 
 
 def _levels(image):
@@ -141,3 +143,45 @@ def test_presets_by_variants(spark):
         presets.migrated(spark.createDataFrame([("x", "{")], "name string, document string")).collect()
     assert presets.migrated(df.limit(0)).count() == 0
     assert set(params.POINTS) == set(json.loads(presets.migrated(df.where("name = 'lacks all'")).first().document)["points"])
+
+
+def _heights(raster):
+    return {(p.r, p.c): p.raw for p in raster.pixels.collect()}
+
+
+def test_erode_undo_erode(spark, tmp_path):
+    px = spark.createDataFrame([(r, c, (r * 31 + c * 17) % 23 / 23, True) for r in range(12) for c in range(10)], "r int, c int, raw double, valid boolean")
+    history = History(spark, f"file://{tmp_path}/history")
+    assert not history.undo() and not history.redo() and history.log().count() == 0
+    with pytest.raises(ValueError):
+        history.raster()
+    history.save(Raster(px, 10, 12, -5.0, 95.0))
+    start = _heights(history.raster())
+    assert not history.undo()
+    rain = lambda px, w, h: sequential.erode(px, w, h, droplets=60, batches=2)
+    assert history.apply(rain, "rain") == 1
+    once = _heights(history.raster())
+    history.apply(rain)
+    twice = _heights(history.raster())
+    assert start != once != twice
+    assert history.undo() and _heights(history.raster()) == once
+    assert history.undo() and _heights(history.raster()) == start and not history.undo()
+    assert history.redo() and _heights(history.raster()) == once
+    assert history.redo() and _heights(history.raster()) == twice and not history.redo()
+    # a step after a step back is another branch; what was taken back stays
+    history.undo(), history.undo()
+    assert history.apply(rain) == 3 and _heights(history.raster()) == once
+    assert _heights(history.raster(2)) == twice and (history.raster().low, history.raster().high) == (-5.0, 95.0)
+    # another session sees the same; a table without a row in the log is not a version
+    px.write.parquet(f"file://{tmp_path}/history/version=4")
+    assert _heights(History(spark, f"file://{tmp_path}/history").raster()) == once
+    with pytest.raises(ValueError):
+        history.raster(4)
+
+
+def test_terrain_of_nothing(spark):
+    """The range is taken while cells are written, also where there are none."""
+    kind = "r int, c int, raw double, valid boolean"
+    for rows, size in (([], 0), ([(0, 0, 0.0, False), (0, 1, 0.0, False)], 2)):
+        t = grid.build_terrain(spark.createDataFrame(rows, kind), size, min(size, 1))
+        assert t.cells.count() == size and t.meta.max_slope == 0 and (t.meta.min_z, t.meta.max_z) == (50, -50)
