@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LOW32 = 0xFFFFFFFF
+# The factors of the hash, of its two numbers and of the mixing.
+_A, _B, _MIX = 1031, 2999, 0x45D9F3B
 
 
 def half_up(x: float) -> int:
@@ -29,10 +31,10 @@ def hash01(a: Column, b: Column) -> Column:
     """A fixed pseudo-random number from 0 to 1 for whole numbers a and b: 32-bit integer
     mixing whose product is taken in double precision."""
     low = F.lit(_LOW32)
-    n = (a.cast("long") * 1031 + b.cast("long") * 2999).bitwiseAND(low)
+    n = (a.cast("long") * _A + b.cast("long") * _B).bitwiseAND(low)
     n = n.bitwiseXOR(F.shiftright(n, 13))
     signed = F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n)
-    n = (signed.cast("double") * float(0x45D9F3B)).cast("long").bitwiseAND(low)
+    n = (signed.cast("double") * float(_MIX)).cast("long").bitwiseAND(low)
     return n.bitwiseXOR(F.shiftright(n, 16)).bitwiseAND(F.lit(0xFFFF)).cast("double") / 65535
 
 
@@ -40,6 +42,7 @@ def value_noise(x: Column, y: Column) -> Column:
     """Smooth noise from 0 to 1 between the hashes of the four whole points around."""
     ix, iy = F.floor(x), F.floor(y)
     fx, fy = x - ix, y - iy
+    # fixed values: the polynomial of the fade
     fade = lambda f: f * f * f * (f * (f * 6 - 15) + 10)
     ux, uy = fade(fx), fade(fy)
     return (
