@@ -19,6 +19,7 @@ than the named and numeric ones of ENTITIES stay as they are.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,9 @@ STEPS = [
     (r"<[/!?]?[A-Za-z][^>]*>", ""),
 ]
 SPACES = [(r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+# \b and \s as SQL has them, of ASCII only and without \x0B, in the steps that Spark takes.
+_EDGE, _SPACE = "(?![0-9A-Za-z_])", "[ \\t\\n\\f\\r]"
+_STEPS = [(p.replace(r"\b", _EDGE).replace(r"\s*", f"{_SPACE}*"), to) for p, to in STEPS]
 TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title"
 LINK = r"(?i)<a\s[^>]*href\s*="
 _END = "\r\n"
@@ -53,7 +57,7 @@ def _upto(text: Column, last: str) -> tuple[Column, Column]:
 def _without_comments(text: Column) -> Column:
     def cut(t):
         head, rest = _upto(t, "-->")
-        return F.concat(F.regexp_replace(head, F.lit(STEPS[0][0]), F.lit(STEPS[0][1])), rest)
+        return F.concat(F.regexp_replace(head, F.lit(_STEPS[0][0]), F.lit(_STEPS[0][1])), rest)
 
     return let(text, cut)
 
@@ -75,9 +79,9 @@ def _without_hidden(text: Column, tag: str, pattern: str, to: str) -> Column:
 
         return let(F.struct(F.regexp_replace(F.concat(head, close), F.lit(pattern), F.lit(to)).alias("done"), tail.alias("tail"), close.alias("close")), put)
 
-    last = rf"(?is)^(.*)(</{tag}\s*>)"
+    last = rf"(?is)^(.*)(</{tag}{_SPACE}*>)"
     parts = lambda t: let(F.struct(F.regexp_extract(t, last, 1).alias("before"), F.regexp_extract(t, last, 2).alias("close"), t.alias("t")), lambda x: F.struct(x["before"].alias("before"), x["close"].alias("close"), F.substring(x["t"], F.char_length(x["before"]) + F.char_length(x["close"]) + 1, F.char_length(x["t"])).alias("rest")))
-    return let(text, lambda t: F.when(t.rlike(rf"(?i)</{tag}\s*>"), let(parts(t), cut)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike(rf"(?i)</{tag}{_SPACE}*>"), let(parts(t), cut)).otherwise(t))
 
 
 def _without_tags(text: Column, pattern: str, to: str) -> Column:
@@ -94,22 +98,51 @@ def _without_tags(text: Column, pattern: str, to: str) -> Column:
 #: Openings that a step may look for a closing of in vain, from which on it is kept from it,
 #: and bytes behind the last > likewise. So many cost no more than so many times the page.
 _FEW, _SHORT = 64, 2048
-_OPENINGS = rf"(?i)<(?:!--|title|{'|'.join(HIDDEN)})"
+#: Pieces that a text is split into at most, so that no array grows with a page; texts of
+#: more take the plain steps.
+_PIECES = 4096
+#: Openings of titles, openings and closings of hidden elements, and comments; what isn't
+#: whole in front of the next < is a mark by itself.
+_MARKS = rf"(?i)<(?:!--(?:[^<]*?-->)?|title|(?:{'|'.join(HIDDEN)})(?:{_EDGE}[^<>]*+>)?|/(?:{'|'.join(HIDDEN)})(?:{_SPACE}*+>)?)"
+#: Marks, each behind <>, of which every comment is whole and every opening is followed by its own closing.
+_PAIRED = rf"(?i)^(?:<><title|<><!--[^<]*-->|{'|'.join(rf'<><{t}{_EDGE}[^<>]*+><></{t}{_SPACE}*+>' for t in HIDDEN)})*+$"
+#: Comments and hidden elements of such a page at once.
+_UNSEEN = rf"(?i)<(?:!--[\s\S]*?-->|{'|'.join(rf'{t}{_EDGE}[^>]*>[\s\S]*?</{t}{_SPACE}*>' for t in HIDDEN)})"
 
 
-def _hostile(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(_OPENINGS)) > _FEW
+def marks_of(html: Column) -> Column:
+    """The _MARKS of a page in order."""
+    return F.regexp_extract_all(html, F.lit(_MARKS), F.lit(0))
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page, a line for each block: what STEPS and SPACES say, in time that
-    goes with its length. An opening without a closing would be looked for to the end of the
-    page, so where openings are many, each step sees the part only in which all are closed."""
-    comments, *hidden, breaks, tags = STEPS
+def _hostile(marks: Column) -> Column:
+    openings = F.filter(marks, lambda m: ~m.startswith("</"))
+    return (F.size(marks) > _FEW) & (F.size(openings) > _FEW)
+
+
+def _behind_tag(piece: Column, i: Column) -> Column:
+    """What breaks and tags leave of a piece of text between two <; null where a tag isn't
+    closed in front of the next one."""
+    rest = F.get(F.split(piece, ">", 2), F.lit(1))
+    shown = F.when(piece.rlike(rf"(?i)^/?(?:{BREAKS}){_EDGE}"), F.concat(F.lit("\n"), rest)).otherwise(rest)
+    return F.when(i == 0, piece).when(piece.rlike("^[/!?]?[A-Za-z]"), shown).otherwise(F.concat(F.lit("<"), piece))
 
-    def usual(t):
-        for pattern, to in (comments, *hidden):
-            t = F.regexp_replace(t, F.lit(pattern), F.lit(to))
+
+def plain_text(html: Column, marks: Column | None = None) -> Column:
+    """The text of a page, a line for each block: what STEPS and SPACES say, in time that
+    goes with its length. Where each comment and hidden element is closed before the next
+    one begins, the order of their steps doesn't matter, and all go in one. Elsewhere steps
+    without an opening in the page are left out; an opening without a closing would be
+    looked for to the end of the page, so where openings are many, each step sees the part
+    only in which all are closed. ``marks`` are those of marks_of, where they are at hand."""
+    comments, *hidden, breaks, tags = _STEPS
+
+    def step(t, has, pattern, to):
+        return let(t, lambda t: F.when(has, F.regexp_replace(t, F.lit(pattern), F.lit(to))).otherwise(t))
+
+    def usual(t, m):
+        for opening, (pattern, to) in zip(("!--", *HIDDEN), (comments, *hidden)):
+            t = step(t, F.exists(m, lambda x: F.lower(x).startswith(f"<{opening}")), pattern, to)
         return t
 
     def guarded(t):
@@ -118,11 +151,21 @@ def plain_text(html: Column) -> Column:
             t = _without_hidden(t, tag, pattern, to)
         return t
 
-    shown = let(html, lambda t: F.when(_hostile(t), guarded(t)).otherwise(usual(t)))
-    return _tidy(_without_tags(_without_tags(shown, *breaks), *tags))
+    def cut(x):
+        t, m = x["t"], x["m"]
+        paired = F.concat(F.lit("<>"), F.array_join(m, "<>")).rlike(_PAIRED)
+        return F.when(F.size(m) == 0, t).when(paired, F.regexp_replace(t, F.lit(_UNSEEN), F.lit(" "))).when(_hostile(m), guarded(t)).otherwise(usual(t, m))
 
+    def untagged(x):
+        t, pieces = x["t"], x["p"]
+        plain = (F.size(pieces) == _PIECES) | F.exists(pieces, F.isnull)
+        return F.when(plain, _without_tags(_without_tags(t, *breaks), *tags)).otherwise(F.array_join(pieces, ""))
 
-def title_of(html: Column) -> Column:
+    shown = let(F.struct(html.alias("t"), (marks_of(html) if marks is None else marks).alias("m")), cut)
+    return _tidy(let(let(shown, lambda t: F.struct(t.alias("t"), F.transform(F.split(t, "<", _PIECES), _behind_tag).alias("p"))), untagged))
+
+
+def title_of(html: Column, marks: Column | None = None) -> Column:
     """What TITLE finds first; of many openings, only those in front of the last closing are
     looked at."""
 
@@ -131,21 +174,55 @@ def title_of(html: Column) -> Column:
         return F.when(head.rlike("(?i)<title[^>]*>"), F.regexp_extract(F.concat(before, F.lit("</title")), TITLE, 1)).otherwise("")
 
     guarded = F.when(html.rlike("(?i)</title"), let(F.regexp_extract(html, "(?is)^(.*)</title", 1), find)).otherwise("")
-    return F.when(_hostile(html), guarded).otherwise(F.regexp_extract(html, TITLE, 1))
+    return F.when(_hostile(marks_of(html) if marks is None else marks), guarded).otherwise(F.regexp_extract(html, TITLE, 1))
 
 
 def links_of(html: Column) -> Column:
     """How often LINK matches: once at most from an opening to the next >, so all between
     them is taken at once."""
-    return F.size(F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*"), F.lit(0)), lambda s: s.rlike(r"(?i)href\s*=")))
+    return F.size(F.filter(F.regexp_extract_all(html, F.lit(rf"(?i)<a{_SPACE}[^>]*"), F.lit(0)), lambda s: s.rlike(rf"(?i)href{_SPACE}*=")))
+
+
+#: Spaces other than blanks and ends of lines.
+_ODD_SPACES = "\t\r\f\x0b"
+#: What follows & in an entity, and what both become: an & may make up another entity with
+#: what follows, which is looked for later.
+_NAMES = [(e[1:] + f[1:], to) for i, (e, to) in enumerate(ENTITIES) for f, _ in ENTITIES[i + 1 :] if to == "&"] + [(e[1:], to) for e, to in ENTITIES]
+
+
+def _decoded(text: Column) -> Column:
+    """What ENTITIES, one after the other, leave of a text. Each is looked for behind an & only."""
+
+    def named(piece, i):
+        out = F.when(i == 0, piece)
+        for name, to in _NAMES:
+            out = out.when(piece.startswith(name), F.concat(F.lit(to), F.substring(piece, len(name) + 1, 2**31 - 1)))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    def put(x):
+        plain = x["t"]
+        for entity, to in ENTITIES:
+            plain = F.replace(plain, F.lit(entity), F.lit(to))
+        return F.when(F.size(x["p"]) == 1, x["t"]).when(F.size(x["p"]) == _PIECES, plain).otherwise(F.array_join(F.transform(x["p"], named), ""))
+
+    return let(let(text, lambda t: F.struct(t.alias("t"), F.split(t, "&", _PIECES).alias("p"))), put)
 
 
 def _tidy(text: Column) -> Column:
-    for entity, to in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(to))
-    for pattern, to in SPACES:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
-    return text
+    """What ENTITIES and SPACES say: lines without the blanks at their ends, none empty, and
+    no two blanks side by side."""
+
+    def blank(t):
+        odd = reduce(Column.__or__, [t.contains(c) for c in _ODD_SPACES])
+        return F.when(odd, F.regexp_replace(t, F.lit(f"[{_ODD_SPACES}]+"), F.lit(" "))).otherwise(t)
+
+    def lines(x):
+        kept = F.array_join(F.filter(F.transform(x["p"], lambda line: F.trim(line)), lambda line: line != ""), "\n")
+        plain = F.regexp_replace(F.regexp_replace(x["t"], " +", " "), F.lit(SPACES[1][0]), F.lit(SPACES[1][1]))
+        return F.when(F.size(x["p"]) < _PIECES, kept).otherwise(F.btrim(plain, F.lit(" \n")))
+
+    split = let(let(_decoded(text), blank), lambda t: F.struct(t.alias("t"), F.split(t, "\n", _PIECES).alias("p")))
+    return let(let(split, lines), lambda t: F.when(t.contains("  "), F.regexp_replace(t, "  +", " ")).otherwise(t))
 
 
 def urn(*parts: Column) -> Column:
@@ -192,9 +269,10 @@ def derive(source: DataFrame) -> DataFrame:
     """Two records for each response (one, where a column is_text says false): key, record_type, record_id, refers_to, linked_to,
     target_uri, warc_date, content_type, source_headers, source_digest, block,
     block_digest, content_length (octets)."""
-    s = source.select(
+    marked = source.withColumn("marks", marks_of(F.col("payload")))
+    s = marked.select(
         "*", urn(F.lit("metadata"), F.col("record_id")).alias("meta_id"), urn(F.lit("conversion"), F.col("record_id")).alias("text_id"),
-        F.regexp_replace(_tidy(title_of(F.col("payload"))), "\n", " ").alias("title"),
+        F.regexp_replace(_tidy(title_of(F.col("payload"), F.col("marks"))), "\n", " ").alias("title"),
         links_of(F.col("payload")).alias("links"),
     )
     fields = F.concat(
@@ -206,7 +284,7 @@ def derive(source: DataFrame) -> DataFrame:
     )
     pair = F.array(
         made("metadata", "meta_id", "text_id", "application/warc-fields", fields),
-        made("conversion", "text_id", "meta_id", "text/plain", plain_text(F.col("payload"))),
+        made("conversion", "text_id", "meta_id", "text/plain", plain_text(F.col("payload"), F.col("marks"))),
     )
     if "is_text" in source.columns:
         alone = F.array(made("metadata", "meta_id", "meta_id", "application/warc-fields", fields).withField("linked_to", F.lit(None).cast("string")))
